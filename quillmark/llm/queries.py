@@ -50,6 +50,19 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents")).select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm import mixing
+
+    rounded = lambda c, digits: F.round(c, digits).alias(c)
+    return mixing.mix(table(spark, sf_dir, "documents"), rate=0.5).select("doc_id", "source", "lang", "topic", "n_tokens", rounded("weight", 9), rounded("probability", 6), "sampled")
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm import topk
+
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm import neardup
 
