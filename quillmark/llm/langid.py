@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from quillmark.llm.common import blocks, fold, id_text, quiet_collector
 
@@ -210,6 +211,20 @@ def identify(df: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col:
     return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def tagged(df: DataFrame, model: Broadcast, text_col: str = "text") -> DataFrame:
+    """All columns of df, with _lang_pred and _lang_score."""
+    at = df.columns.index(text_col)
+    schema = StructType([*df.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(model.value)
+        for block in blocks(batches, text=at):
+            names, scores = scorer.score([t or "" for t in block.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*block.schema.names, "_lang_pred", "_lang_score"])
+
+    return df.mapInArrow(run, schema)
+
+
 def detect(docs: DataFrame, **fitting) -> DataFrame:
     """Fits on documents with a language and identifies every row of the same table."""
     model = fit(docs, **fitting)

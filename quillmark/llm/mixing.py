@@ -98,18 +98,30 @@ def with_probability(fitted: DataFrame, rate: float, rounds: int = 30) -> DataFr
     return cells.withColumn("probability", F.least(F.lit(1.0), F.col("ratio") * factor))
 
 
+def chances(docs: DataFrame, rate: float, flattening: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The dimensions, weight and probability of every cell with tokens."""
+    flattening, targets = flattening or FLATTENING, targets or {}
+    cells = written(placed(docs).groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
+    goals = {d: targets[d] if d in targets else flattened(cells, d, flattening[d]) for d in DIMENSIONS}
+    fitted, _, _ = rake(cells, goals)
+    return written(with_probability(fitted, rate).select(*DIMENSIONS, "weight", "probability"), "chances")
+
+
 def mix(docs: DataFrame, rate: float = 0.5, flattening: dict[str, float] | None = None, targets: dict[str, DataFrame] | None = None) -> DataFrame:
     """doc_id, source, lang, topic, n_tokens, weight, probability, sampled of every row.
 
     targets: for a dimension, a table of value and target instead of the flattened shares.  A document without tokens
     weighs nothing: its cell may be left out, its probability is then that of an average document, the rate.
     """
-    flattening, targets = flattening or FLATTENING, targets or {}
-    rows = placed(docs)
-    cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("n_tokens")), "cells")
-    goals = {d: targets.get(d, None) if d in targets else flattened(cells, d, flattening[d]) for d in DIMENSIONS}
-    fitted, _, _ = rake(cells, goals)
-    chances = written(with_probability(fitted, rate).select(*DIMENSIONS, "weight", "probability"), "chances")
-    found = rows.join(chances, list(DIMENSIONS), "left")
+    found = placed(docs).join(chances(docs, rate, flattening, targets), list(DIMENSIONS), "left")
     weight, probability = F.coalesce("weight", F.lit(0.0)), F.coalesce("probability", F.lit(rate))
     return found.select("doc_id", *DIMENSIONS, "n_tokens", weight.alias("weight"), probability.alias("probability"), (share_of(F.col("doc_id")) < probability).alias("sampled"))
+
+
+def sampled(docs: DataFrame, rate: float = 0.5, **goals) -> DataFrame:
+    """The rows of docs that mix() samples, with the columns of docs."""
+    found = chances(docs, rate, **goals).select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("probability").alias("_probability"))
+    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    same = (value("source") == F.col("_source")) & (value("lang") == F.col("_lang")) & (topic(F.col("text")) == F.col("_topic"))
+    kept = docs.join(found, same, "left").filter(share_of(F.col("doc_id")) < F.coalesce("_probability", F.lit(rate)))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -75,6 +75,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json")).withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents lie at source/language/thousand/id; one that closes with a licence notice licenses its directory."""
+    from quillmark.llm import licenses
+
+    docs = table(spark, sf_dir, "documents")
+    thousand = F.floor(F.col("doc_id") / 1000).cast("string")
+    files = docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), thousand, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    closes = F.substring_index("text", "\n", -1).rlike(licenses.TRIGGER)
+    return licenses.scan(files, licence_file=closes)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm import langid
 
