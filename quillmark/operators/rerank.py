@@ -77,5 +77,5 @@ def mmr(pool: DataFrame, top: int, key: str, score: str = "score", vector: str =
         out["place"] = range(1, len(order) + 1)
         return out
 
-    keyed = pool.select(*group, key, score, vector, pos)
+    keyed = pool.select(*dict.fromkeys([*group, key, score, vector, pos]))
     return keyed.groupBy(*group).applyInPandas(pick, schema)
