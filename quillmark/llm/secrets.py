@@ -143,7 +143,7 @@ def joined(spans: str) -> Column:
 def redact(docs: DataFrame) -> DataFrame:
     """The same columns and rows; every span of a text is replaced by MASK, and n_chars follows the text."""
     columns = docs.columns
-    found = _scanned(docs.withColumn("_raw", F.col("text")).withColumn("text", F.coalesce("text", F.lit(""))))
+    found = _scanned(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.coalesce("text", F.lit("")).alias("text")))
 
     def merge(acc: Column, s: Column) -> Column:
         inside = s["start"] < acc["at"]  # overlaps the span before
@@ -151,8 +151,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], piece, F.lit(MASK))).alias("out"))
 
     done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), merge, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    clean = F.when(F.size("spans") == 0, F.col("_raw")).otherwise(done)
-    out = found.withColumn("text", clean)
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("bigint")))
-    return out.select(*(F.col(f"`{c}`") for c in columns))
+    none = F.size("spans") == 0
+    cleaned = found.withColumn("_clean", F.when(none, F.col("_doc.text")).otherwise(done))
+    new = {"text": F.col("_clean"), "n_chars": F.when(none, F.col("_doc.n_chars")).otherwise(F.length("_clean").cast("bigint")) if "n_chars" in columns else None}
+    return cleaned.select(*(new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in columns))
