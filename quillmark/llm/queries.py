@@ -97,4 +97,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quillmark.llm.oracles import ORACLES
+
+    return dict(ORACLES)
