@@ -2,14 +2,15 @@
 
 Three steps, each linear in the input:
 
-1. Documents are cut into pre-tokens as the tokenizer's own normalizer and pre-tokenizer do.  Blocks of about 4 MB of
-   text become rows: the block's distinct pre-tokens, and for each of its documents which of them occur how often.
-   They are written to the shared folder once, compressed.
-2. Every distinct pre-token of the corpus is counted once by the tokenizer's model.
-3. The counts are joined to each block's pre-tokens, meet the block's frequencies again by its number, and are summed.
+1. Documents are cut into pre-tokens as the tokenizer's own normalizer and pre-tokenizer do.  A block of about 10 MB of
+   text becomes one row with each document's pre-token frequencies, packed, and a row for each bucket of its distinct
+   pre-tokens.  They are written to the shared folder once.
+2. Buckets, by a hash of the pre-token, go to their partition, where every distinct pre-token of the corpus is counted
+   once by the tokenizer's model and joined to the blocks that have it.
+3. The counts meet their block's frequencies again by its number, and are summed.
 
-No row or group grows with the corpus: a block holds each pre-token once, so even the most frequent word has one row
-for each 4 MB of text, and an ordinary equi-join, which adaptive execution may split, carries it.
+No row or group grows with the corpus: a block holds each pre-token once, so even the most frequent word is one entry
+for each 10 MB of text, and buckets hold many words.
 
 Null text counts as empty: zero bytes, zero tokens.  Repeated rows are counted each; null ids are kept.
 """
@@ -22,16 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmark.llm.common import blocks, id_text, quiet_collector, written
+from quillmark.llm.common import blocks, id_text, partitions, quiet_collector, written
 
 #: Entries of a worker's chunk cache; it only saves work.
 CACHE_ENTRIES = 300_000
-BLOCK_SCHEMA = "block bigint, pieces array<string>, doc_ids array<bigint>, n_bytes array<bigint>, ends array<int>, pairs binary"
+#: Text bytes of a block; larger blocks repeat fewer pre-tokens.
+FREQUENCY_BLOCK = 10 << 20
+#: Buckets of pre-tokens for each shuffle partition.
+BUCKETS = 8
+#: Either bucket, start, pieces: the block's pre-tokens numbered from start; or the rest: its documents' frequencies.
+BLOCK_SCHEMA = "block bigint, bucket int, start int, pieces array<string>, doc_ids array<bigint>, n_bytes array<bigint>, ends array<int>, pairs binary"
+_KINDS = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
 
 
 class PreTokenizer:
@@ -88,8 +96,8 @@ def _tokenizer(path: str) -> PreTokenizer:
     return _open[path]
 
 
-def _frequencies(cutter: PreTokenizer, texts: list[str]) -> tuple[list[str], np.ndarray, bytes]:
-    """Distinct pre-tokens of the texts, where each text's (pre-token, frequency) pairs end, and the packed pairs."""
+def _frequencies(cutter: PreTokenizer, texts: list[str], buckets: int) -> tuple[list[str], np.ndarray, np.ndarray, bytes]:
+    """Distinct pre-tokens of the texts, their buckets, where each text's (pre-token, frequency) pairs end, and the packed pairs."""
     cut = [t.split(" ") for t in texts]
     chunk_number: dict[str, int] = {}
     for chunks in cut:
@@ -113,7 +121,15 @@ def _frequencies(cutter: PreTokenizer, texts: list[str]) -> tuple[list[str], np.
     key, n = np.unique(docs * max(1, len(number)) + tokens, return_counts=True)
     doc, token = np.divmod(key, max(1, len(number)))
     ends = np.searchsorted(doc, np.arange(len(cut)), side="right")
-    return list(number), ends, pack(token, n)
+    # Pre-tokens are numbered in order of their bucket; a document's pairs needn't be in order.
+    pieces = list(number)
+    bucket = np.fromiter((xxhash.xxh32_intdigest(p) % buckets for p in pieces), np.int64, len(pieces))
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    token = place[token]
+    by_doc = np.lexsort((token, doc))
+    return [pieces[k] for k in order], bucket[order], ends, pack(token[by_doc], n[by_doc])
 
 
 def pack(token: np.ndarray, n: np.ndarray) -> bytes:
@@ -129,39 +145,62 @@ def unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[:size], dtype=np.int64), both[size:].astype(np.int64)
 
 
-def document_frequencies(df: DataFrame, path: str) -> DataFrame:
+def document_frequencies(df: DataFrame, path: str, buckets: int) -> DataFrame:
     """Blocks of documents; see BLOCK_SCHEMA."""
+    names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cutter, first, k = _tokenizer(path), TaskContext.get().partitionId() << 32, 0
-        for block in blocks(batches):
-            pieces, ends, pairs = _frequencies(cutter, block.column(1).to_pylist())
+        for block in blocks(_gathered(batches), limit=FREQUENCY_BLOCK):
+            pieces, bucket, ends, pairs = _frequencies(cutter, block.column(1).to_pylist(), buckets)
             size = pc.binary_length(block.column(1)).cast(pa.int64()).to_pylist()
-            row = [[first + k], [pieces], [block.column(0).to_pylist()], [size], [ends.tolist()], [pairs]]
-            kinds = (pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], names=["block", "pieces", "doc_ids", "n_bytes", "ends", "pairs"])
+            starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+            stops = np.append(starts[1:], len(pieces))
+            rows = [(first + k, None, None, None, block.column(0).to_pylist(), size, ends.tolist(), pairs)]
+            rows += [(first + k, int(bucket[a]), int(a), pieces[a:b], None, None, None, None) for a, b in zip(starts, stops, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=names)
             k += 1
 
     return df.mapInArrow(run, BLOCK_SCHEMA)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins small Arrow batches up to the size of a block."""
+    waiting, size = [], 0
+    for batch in batches:
+        waiting.append(batch)
+        size += batch.nbytes
+        if size >= FREQUENCY_BLOCK:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+            waiting, size = [], 0
+    if waiting:
+        yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+
+
 def count_pieces(pieces: DataFrame, path: str) -> DataFrame:
-    """piece, n_tokens of a table of distinct pre-tokens."""
+    """block, start, counts (unsigned 32-bit integers) of rows whose buckets lie together in a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = _tokenizer(path)
+        cutter, known = _tokenizer(path), {}
         for batch in batches:
-            found = [cutter.count(p) for p in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int32())], names=["piece", "k"])
+            counts = []
+            for own in batch.column(2).to_pylist():
+                for piece in own:
+                    if piece not in known:
+                        known[piece] = cutter.count(piece)
+                counts.append(np.fromiter((known[p] for p in own), "<u4", len(own)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary())], names=["block", "start", "counts"])
 
-    return pieces.mapInArrow(run, "piece string, k int")
+    return pieces.mapInArrow(run, "block bigint, start int, counts binary")
 
 
 def _sum_block(freq: pa.Table, counts: pa.Table) -> pa.Table:
     ids, sizes, totals = [], [], []
-    at, k = counts.column("pos").to_numpy(), counts.column("k").to_numpy()
-    weight = np.zeros(int(at.max()) + 1 if len(at) else 1, np.int64)
-    weight[at] = k
+    starts = counts.column("start").to_pylist()
+    parts = [np.frombuffer(c, "<u4") for c in counts.column("counts").to_pylist()]
+    weight = np.zeros(max((a + len(c) for a, c in zip(starts, parts, strict=True)), default=1), np.int64)
+    for a, c in zip(starts, parts, strict=True):
+        weight[a : a + len(c)] = c
     for row in range(freq.num_rows):
         token, n = unpack(freq.column("pairs")[row].as_py())
         ends = np.array(freq.column("ends")[row].as_py(), np.int64)
@@ -174,8 +213,8 @@ def _sum_block(freq: pa.Table, counts: pa.Table) -> pa.Table:
 
 def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens of every row."""
-    found = written(document_frequencies(id_text(df, id_col, text_col), path), "pieces")
-    counted = count_pieces(found.select(F.explode("pieces").alias("piece")).distinct(), path)
-    placed = found.select("block", F.posexplode("pieces").alias("pos", "piece")).join(counted, "piece").select("block", "pos", "k")
-    left = found.select(F.col("block").alias("part"), "doc_ids", "n_bytes", "ends", "pairs")
-    return left.groupBy("part").cogroup(placed.groupBy("block")).applyInArrow(_sum_block, "doc_id bigint, n_bytes bigint, n_tokens bigint")
+    spread = partitions(df.sparkSession)
+    found = written(document_frequencies(id_text(df, id_col, text_col), path, BUCKETS * spread), "pieces")
+    pieces = found.filter("bucket is not null").select("block", "start", "pieces", "bucket").repartition(spread, "bucket").select("block", "start", "pieces")
+    left = found.filter("bucket is null").select(F.col("block").alias("part"), "doc_ids", "n_bytes", "ends", "pairs")
+    return left.groupBy("part").cogroup(count_pieces(pieces, path).groupBy("block")).applyInArrow(_sum_block, "doc_id bigint, n_bytes bigint, n_tokens bigint")
