@@ -1,11 +1,12 @@
 """Exact top-k inner products by no-random-access aggregation of sorted lists.
 
 Candidates are dealt into blocks of about `BLOCK` vectors, queries into smaller ones, and each pair of blocks is one
-row of an equi-join: queries are a stated set, every block of them meets every block of candidates once.  A block keeps
-one sorted list of (component, vector) for each dimension.  For a query the lists are read in step from their better
-ends.  What was read of a vector, with the worst and with the best that its unread components can still be, bounds its
-score from below and above.  Reading stops once no vector outside a few survivors can reach the k-th best lower bound;
-their scores are then completed, and the k best of the block go on to the merge of all blocks.
+row of an equi-join: queries are a stated set, every block of them meets every block of candidates once.  Components are
+dealt into a few groups.  For a query, a group's list holds the candidates by their share of the score in that group,
+best first.  The lists are read in step.  What was read of a candidate, with the worst and with the best that its unread
+shares can still be, bounds its score from below and above.  Reading stops once no candidate outside a few survivors can
+reach the k-th best lower bound; their scores are then completed, and the k best of the block go on to the merge of all
+blocks.  Few lists of several components each give closer bounds than one for every component.
 
 A score from an earlier block of the same task serves as a floor: what can't reach it can't be among the best k.
 Equal vectors of a block are one entry with their smallest ids, so ties, however many, cost nothing.
@@ -28,13 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-BLOCK, QUERY_BLOCK, STEPS = 4096, 256, 12
+BLOCK, QUERY_BLOCK, GROUPS, STEPS = 4096, 256, 4, 16
 PACKED = "part bigint, width int, ids binary, matrix binary"
 LONG = 2**63 - 1
 
 
 class Block:
-    """The sorted lists of the distinct vectors of a block."""
+    """The distinct vectors of a block, each with its smallest ids."""
 
     def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
         order = np.argsort(ids, kind="stable")
@@ -45,47 +46,40 @@ class Block:
             if len(self.ids[g]) <= k:  # one more than k: the query's own may be among them
                 self.ids[g].append(own)
         self.x = np.ascontiguousarray(distinct)
-        self.lists = np.argsort(self.x, axis=0, kind="stable").T.copy()  # of each dimension, ascending
-        self.values = np.take_along_axis(self.x.T, self.lists, axis=1)
 
-    def best(self, query: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
+    def shares(self, queries: np.ndarray) -> np.ndarray:
+        """The part of each score that each group of components gives: queries x groups x entries."""
+        width = self.x.shape[1]
+        edges = np.linspace(0, width, min(GROUPS, width) + 1).astype(int)
+        return np.stack([queries[:, a:b] @ self.x[:, a:b].T for a, b in zip(edges, edges[1:], strict=False)], axis=1)
+
+    @staticmethod
+    def best(shares: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
         """(score, entry) of all entries that may be among the k best, none of them below floor."""
-        n = len(self.x)
-        live = np.flatnonzero(query)
-        if n <= 4 * k or not len(live):
-            scores = self.x @ query
-            return [(s, e) for e, s in enumerate(scores.tolist()) if s >= floor]
-        weight = query[live]
-        up = weight > 0
-        # Reading from the better end: descending components for positive weights.
-        lists = np.where(up[:, None], self.lists[live][:, ::-1], self.lists[live])
-        gains = weight[:, None] * np.where(up[:, None], self.values[live][:, ::-1], self.values[live])
-        worst = gains[:, -1]
-        read, read_worst = np.zeros(n), np.zeros(n)
-        seen = np.zeros((n, len(live)))
-        column = np.arange(len(live))[:, None]
-        at = 0
-        for step in range(1, STEPS + 1):
-            upto = n * step // STEPS
-            entries, gained = lists[:, at:upto], gains[:, at:upto]
-            flat = entries.ravel()
-            read += np.bincount(flat, gained.ravel(), n)
-            read_worst += np.bincount(flat, np.broadcast_to(worst[:, None], entries.shape).ravel(), n)
-            seen[flat, np.broadcast_to(column, entries.shape).ravel()] = 1.0
-            at = upto
-            if step < 2:
-                continue
-            front = gains[:, at - 1]
-            lower = read + (worst.sum() - read_worst)
-            bar = max(floor, np.partition(lower, n - k)[n - k])
-            if front.sum() >= bar and step < STEPS:
-                continue  # a vector that no list has shown yet could still qualify
-            upper = read + (front.sum() - seen @ front)
-            alive = np.flatnonzero(upper >= bar)
-            if len(alive) <= 8 * k or step == STEPS:
-                break
-        exact = self.x[alive] @ query
-        return [(s, e) for s, e in zip(exact.tolist(), alive.tolist(), strict=True) if s >= floor]
+        groups, n = shares.shape
+        alive = np.arange(n)
+        if n > 8 * k:
+            lists = np.argsort(-shares, axis=1)
+            gains = np.take_along_axis(shares, lists, axis=1)
+            worst = gains[:, -1]
+            read, seen, at = np.zeros(n), np.zeros((n, groups)), 0
+            column = np.arange(groups)[:, None]
+            for step in range(1, STEPS + 1):
+                upto = n * step // STEPS
+                entries = lists[:, at:upto]
+                read += np.bincount(entries.ravel(), gains[:, at:upto].ravel(), n)
+                seen[entries, column] = 1.0
+                at = upto
+                front = gains[:, at - 1]
+                lower = read + (worst.sum() - seen @ worst)
+                bar = max(floor, np.partition(lower, n - k)[n - k])
+                if front.sum() >= bar and step < STEPS:
+                    continue  # a candidate that no list has shown yet could still qualify
+                alive = np.flatnonzero(read + (front.sum() - seen @ front) >= bar)
+                if len(alive) <= 8 * k:
+                    break
+        scores = shares[:, alive].sum(axis=0)
+        return [(s, e) for s, e in zip(scores.tolist(), alive.tolist(), strict=True) if s >= floor]
 
 
 def _packed(df: DataFrame, rows: int) -> DataFrame:
@@ -132,18 +126,19 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col:
         last: tuple[bytes, Block | None] = (b"", None)
         for batch in batches:
             for width, ids, matrix, query_ids, query_matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                x = np.frombuffer(matrix, "<f8").reshape(-1, width)
-                q = np.frombuffer(query_matrix, "<f8").reshape(-1, width)
                 own_ids, asked_ids = np.frombuffer(ids, "<i8"), np.frombuffer(query_ids, "<i8").tolist()
-                exact = width * max(np.abs(x).max(initial=0), 1) * max(np.abs(q).max(initial=0), 1) < 2**52
+                x = np.frombuffer(matrix, "<f8").reshape(len(own_ids), width)
+                q = np.frombuffer(query_matrix, "<f8").reshape(len(asked_ids), width)
+                exact = width > 0 and width * max(np.abs(x).max(initial=0), 1) * max(np.abs(q).max(initial=0), 1) < 2**52
                 if exact and last[0] != ids:
                     last = (ids, Block(own_ids, x, k))
                 found: list[tuple[int, int, int]] = []
-                for query_id, query in zip(asked_ids, q, strict=True):
+                shares = last[1].shares(q) if exact else None
+                for at, (query_id, query) in enumerate(zip(asked_ids, q, strict=True)):
                     before = known.setdefault(query_id, [])
                     if exact:
                         block = last[1]
-                        scored = [(int(s), v) for s, e in block.best(query, k + 1, before[-1] if len(before) == k else -np.inf) for v in block.ids[e] if v != query_id]
+                        scored = [(int(s), v) for s, e in block.best(shares[at], k + 1, before[-1] if len(before) == k else -np.inf) for v in block.ids[e] if v != query_id]
                     else:
                         weights = [int(c) for c in query]
                         scored = [(sum(int(a) * b for a, b in zip(row, weights, strict=True)), v) for row, v in zip(x, own_ids.tolist(), strict=True) if v != query_id]
