@@ -59,6 +59,25 @@ def test_components_against_brute_force(spark, seed, size, small):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("block", [16, 4096])
+def test_blocks_of_large_leaves_against_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK_DEPTH", 1)
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = neardup.near_duplicates(df, words=4, small=0).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4)
+
+
+def test_links_between_components():
+    import numpy as np
+
+    sets = [np.arange(10), np.arange(1, 11), np.arange(50, 60), np.arange(9), np.arange(51, 60)]
+    labels = [b"a", b"b", b"c", b"a", b"d"]
+    assert set(neardup.linked_components([b"0", b"1", b"2", b"3", b"4"], labels, sets, 80)) == {(b"1", b"0"), (b"2", b"4"), (b"4", b"2")}
+    assert neardup.linked_components([], [], [], 80) == []
+
+
 def test_odd_rows(spark, odd, empty):
     rows = by_id(neardup.near_duplicates(odd))
     assert (rows[2]["n_shingles"], rows[3]["component_id"], rows[8]["kept"]) == (0, 3, True)
