@@ -6,7 +6,7 @@ made when a word first needs them, so a word costs one table lookup for each cha
 
 Terms are a short fixed list and words or word stems learned from a bounded sample of labelled rows, by a likelihood
 ratio test of their document frequencies.  How often a term, or a misspelling seen in the sample, stands in a toxic
-document there is its precision.  Each find in a text is weighed by its context window: quotation marks around it or a
+document there is its precision; a word of the sample near a learned term is a misspelling only if it is as precise as terms must be.  Each find in a text is weighed by its context window: quotation marks around it or a
 verb of reporting next to it lower its weight, an address to a person raises it.  A text's score is the probability
 that not every find is harmless: one minus the product of (1 - weight).  A text without finds gets the share of toxic
 rows among such texts of the sample.
@@ -41,7 +41,7 @@ OPEN, CLOSE = "\"“„«‘'", "\"”“»’'"
 WINDOW, IN_QUOTES, REPORTED, ADDRESSED = 6, 0.4, 0.6, 1.15
 #: Sample and lexicon bounds.
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MAX_VARIANTS = 3000, 6000, 4000, 20_000
-STEMS, LEAST_TEST, SURE_TEST, TERM_PRECISION, STEM_PRECISION = range(3, 8), 13.0, 40.0, 0.6, 0.9
+STEMS, LEAST_TEST, TERM_PRECISION, STEM_PRECISION = range(3, 8), 13.0, 0.6, 0.9
 CACHE_ENTRIES = 300_000
 words_of = re.compile(r"\w+").findall
 
@@ -131,7 +131,6 @@ class LexiconAutomaton:
 class Model:
     """Precisions of terms, stems and seen misspellings; of other misspellings by term.
 
-    sure: learned terms with evidence enough to look for their misspellings.
     rest: the toxic share of texts without a find; single: of those with one find only.
     """
 
@@ -139,7 +138,6 @@ class Model:
     stems: dict[str, float] = field(default_factory=dict)
     variants: dict[str, float] = field(default_factory=dict)
     unseen: dict[str, float] = field(default_factory=dict)
-    sure: frozenset[str] = frozenset()
     rest: float = 0.01
     single: float = 1.0
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
@@ -148,9 +146,8 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        # The forms of a learned stem are many already; letting them differ as well would reach ordinary words.
-        stemmed = lambda t: any(t[:n] in model.stems for n in range(1, len(t) + 1))
-        self.automaton = LexiconAutomaton({t: 0 if t not in BASE_TERMS and (stemmed(t) or t not in model.sure) else tolerance(t) for t in model.terms})
+        self.automaton = LexiconAutomaton(list(model.terms))
+        self._base = LexiconAutomaton([t for t in BASE_TERMS if t in model.terms])
         self._clean: set[str] = set()
         self._bad: dict[str, list[tuple[str, float]]] = {}
         self._stem_lengths = sorted({len(s) for s in model.stems}, reverse=True)
@@ -163,14 +160,18 @@ class Scorer:
         for n in self._stem_lengths:
             if len(word) >= n and (p := m.stems.get(word[:n])) is not None:
                 return "stem", word[:n], p
-        found = self.automaton.match(word)
-        if found is None:
-            return None
-        term, edits = found
-        p = m.variants.get(word)
-        if p is None:
-            p = m.unseen.get(term, BASE_PRECISION) * 0.8 ** (edits - 1)
-        return "variant", term, p
+        for automaton in (self.automaton, self._base):
+            found = automaton.match(word)
+            if found is None:
+                return None
+            term, edits = found
+            p = m.variants.get(word)
+            if p is None:
+                return "variant", term, m.unseen.get(term, BASE_PRECISION) * 0.8 ** (edits - 1)
+            # A known word near a learned term is held to the precision of terms; below it, it's a word of its own.
+            if term in BASE_TERMS or p >= TERM_PRECISION:
+                return "variant", term, p
+        return None
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self._clean) + len(chunks) > CACHE_ENTRIES:
@@ -313,7 +314,7 @@ def _fit(sample: DataFrame, max_terms: int) -> Model:
             stems[r["term"][:-1]] = r["precision"]
         else:
             terms[r["term"]] = max(terms.get(r["term"], 0.0), r["precision"])
-    model = Model(terms=terms, stems=stems, sure=frozenset(r["term"] for r in rows if r["test"] >= SURE_TEST))
+    model = Model(terms=terms, stems=stems)
     first = Scorer(model)
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +330,8 @@ def _fit(sample: DataFrame, max_terms: int) -> Model:
             yield _class_counts(found)
 
     rows = sample.mapInArrow(variants, schema).groupBy("term").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).orderBy(F.desc(F.expr("c1 + c0")), "term").limit(MAX_VARIANTS).collect()
-    by_term: dict[str, np.ndarray] = {}
+    by_term: dict[str, list[float]] = {}
+    seen_variants: list[tuple[str, str, int, int]] = []
     for r in rows:
         c1, c0 = r["c1"], r["c0"]
         if r["term"] == "/none":
@@ -338,10 +340,12 @@ def _fit(sample: DataFrame, max_terms: int) -> Model:
             model.single = (c1 + 2.0) / (c1 + c0 + 2.0)
         elif " " in r["term"]:
             term, word = r["term"].split(" ")
-            by_term[term] = by_term.get(term, np.zeros(2)) + (c1, c0)
-            model.variants[word] = (c1 + 0.5 * share) / (c1 + c0 + 1.0)
-    # A misspelling that the sample doesn't show is as precise as others of its term there.
-    model.unseen = {t: float((p[0] + BASE_PRECISION) / (p.sum() + 1.0)) for t, p in by_term.items()}
+            by_term.setdefault(term, []).append(c1 / (c1 + c0))
+            seen_variants.append((term, word, c1, c1 + c0))
+    # A misspelling that the sample doesn't show is as precise as others of its term there: each counts once, as a
+    # single frequent ordinary word near a term says nothing of the rest.  One that it shows seldom is nearly so.
+    model.unseen = {t: (sum(p) + BASE_PRECISION) / (len(p) + 1.0) for t, p in by_term.items()}
+    model.variants = {word: (c1 + model.unseen[term]) / (n + 1.0) for term, word, c1, n in seen_variants}
     return model
 
 

@@ -104,3 +104,23 @@ def test_toxicity_odd_rows(spark, odd, empty):
 def test_misspellings_are_caught(text):
     scorer = toxicity.Scorer(toxicity.Model(terms=dict.fromkeys(toxicity.BASE_TERMS, 0.95)))
     assert scorer.score([text])[0][0] >= toxicity.THRESHOLD
+
+
+def test_misspellings_of_learned_terms_are_caught(spark):
+    """Of terms in no fixed list, whose own prefixes are learned as stems; ordinary words near a term are left alone."""
+    import random
+
+    rnd = random.Random(4)
+    plain = lambda: " ".join("".join(rnd.choice("aeioubcdfg") for _ in range(7)) for _ in range(12))
+    rows, labels = [], []
+    for k in range(300):
+        toxic = k % 3 == 0
+        word = rnd.choice(["snollygoster", "blatherer"]) if toxic else "slatherer" if k % 2 else "harmless"
+        rows.append((k, f"{plain()} {word} {plain()}"))
+        labels.append((k, int(toxic)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"snollygoster", "blatherer"} <= set(model.terms) - set(toxicity.BASE_TERMS) and "sno" in model.stems
+    scorer = toxicity.Scorer(model)
+    caught = scorer.score(["the znollygoster came", "the zn0llygoster came", "a bl4therer too"])
+    assert all(s[0] >= toxicity.THRESHOLD and s[2] == 1 for s in caught)
+    assert scorer.score(["a slatherer of paint"])[0][:2] == (model.rest, 0)
