@@ -50,22 +50,34 @@ def deleted(cells: DataFrame, ids: DataFrame) -> DataFrame:
     return reindexed(cells.join(ids.select("id"), "id", "left_anti"))
 
 
-def stale_dependents(cells: DataFrame, changed: str, max_rounds: int = 1000) -> DataFrame:
+def stale_dependents(cells: DataFrame, changed: str) -> DataFrame:
     """id of the active cells that depend on the changed one, directly or not, by dependencies on earlier cells.
 
-    One frontier join a round, over edges that point forward only; rounds are at most the length of the longest chain.
+    Cells with one earlier dependency point to it and jump to where that points, so a chain takes rounds in the logarithm
+    of its length.  Over the others, one frontier join a round until the frontier is empty.
     """
-    edges = cells.select(F.col("id").alias("child"), "idx", "status", F.explode("depends_on").alias("parent"))
+    edges = cells.select(F.col("id").alias("child"), "idx", F.explode("depends_on").alias("parent"))
     position = cells.select(F.col("id").alias("parent"), F.col("idx").alias("parent_idx"))
-    forward = edges.join(position, "parent").filter("parent_idx < idx").select("parent", "child", "status").persist()
-    frontier = cells.sparkSession.createDataFrame([(changed,)], "id string")
-    reached = frontier
-    for _ in range(max_rounds):
-        frontier = forward.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct().join(reached, "id", "left_anti").checkpoint()
+    forward = edges.join(position, "parent").filter("parent_idx < idx").select("parent", "child").distinct().checkpoint()
+    single = forward.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("to")).filter((F.col("n") == 1) & (F.col("child") != changed))
+    pointers = single.select(F.col("child").alias("id"), "to").checkpoint()
+    for _ in range(64):
+        jumped = pointers.join(pointers.toDF("to", "beyond"), "to", "left").select("id", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")).checkpoint()
+        pointers = jumped.select("id", "to")
+        if jumped.filter("moved").limit(1).count() == 0:
+            break
+    else:
+        raise RuntimeError("cells depend on each other in a circle")
+    ends = pointers.select(F.col("id").alias("parent"), "to")
+    joints = forward.join(pointers.select(F.col("id").alias("child")), "child", "left_anti").join(ends, "parent", "left").select("child", F.coalesce("to", "parent").alias("parent")).checkpoint()
+    frontier = reached = cells.sparkSession.createDataFrame([(changed,)], "id string")
+    while True:
+        frontier = joints.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct().join(reached, "id", "left_anti").checkpoint()
         if frontier.limit(1).count() == 0:
             break
-        reached = reached.unionByName(frontier)
-    return reached.filter(F.col("id") != changed).join(active(cells).select("id"), "id", "left_semi")
+        reached = reached.unionByName(frontier).checkpoint()
+    beyond = pointers.join(reached.withColumnRenamed("id", "to"), "to", "left_semi").select("id")
+    return reached.unionByName(beyond).filter(F.col("id") != changed).join(active(cells).select("id"), "id", "left_semi")
 
 
 def marked_stale(cells: DataFrame, changed: str) -> DataFrame:

@@ -183,3 +183,12 @@ def test_streaming_deduplication(spark, tmp_path):
     query = tables.first_replies(stream, "at").writeStream.format("memory").queryName("replies").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert spark.table("replies").count() == 2
+
+
+def test_stale_dependents_of_long_chains(spark):
+    """Two chains of 1,100 cells that meet in one, and a chain behind it; a cell before the changed one stays."""
+    rows = [("x", 0, "active", [])] + [(f"{c}{k}", k, "active", [f"{c}{k - 1}"] if k > 1 else ["x"]) for c in "ab" for k in range(1, 1101)]
+    rows += [("m", 1101, "active", ["a1100", "b1100"])] + [(f"z{k}", 1102 + k, "superseded" if k == 5 else "active", [f"z{k - 1}"] if k else ["m"]) for k in range(20)]
+    cells = spark.createDataFrame(rows, "id string, idx int, status string, depends_on array<string>")
+    got = [r["id"] for r in notebook.stale_dependents(cells, "a1").collect()]
+    assert sorted(got) == sorted([f"a{k}" for k in range(2, 1101)] + ["m"] + [f"z{k}" for k in range(20) if k != 5])
