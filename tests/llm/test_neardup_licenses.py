@@ -139,3 +139,18 @@ def test_license_query(spark, small):
         assert (r["license"] in own) if own else r["origin"] != "header"
     plan = queries.op9_licenses(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|ArrowEval|CartesianProduct", plan)
+
+
+def test_deep_branching_keeps_pairs_together(spark):
+    """Pairs at the least similarity still share a node of some tree at the greatest depth."""
+    rnd = random.Random(5)
+    token, rows = lambda: rnd.randrange(2**31), []
+    for k in range(300):
+        sig = [token() for _ in range(neardup.FUNCTIONS)]
+        rows += [(f"{k}a".encode(), sig), (f"{k}b".encode(), [x if rnd.random() < 0.8 else token() for x in sig])]
+    join = object.__new__(neardup.Joiner)
+    join.classes = spark.createDataFrame(rows, "fp binary, sig array<int>").persist()
+    level = neardup.written(join.shared(join.root(10)), "members")
+    for _ in range(9):
+        level = neardup.written(join.shared(join.branched(level)), "members")
+    assert level.select(F.expr("substring(cast(fp as string), 1, length(fp) - 1)").alias("pair")).distinct().count() == 300
