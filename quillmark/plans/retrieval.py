@@ -76,10 +76,10 @@ VECTOR_FILTERED = f"SELECT e.vec_id, e.label, {rounded_sql(COSINE, 6)} AS score
 
 
 def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with their vector (of the same number), both scores."""
+    """All documents with both scores; the vector is that of the same number, and without one dense is zero."""
     docs = lexical.bm25(table(spark, sf_dir, "documents"), TERMS)
     vector = F.array(*map(F.lit, _query_vector(spark, sf_dir)))
-    both = docs.join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"))
+    both = docs.join(table(spark, sf_dir, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left")
     return both.withColumn("dense", F.coalesce(V.cosine(F.col("embedding"), vector), F.lit(0.0))).withColumn("bm25", rounded("bm25")).withColumn("dense", rounded("dense"))
 
 

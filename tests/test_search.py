@@ -119,3 +119,32 @@ def test_topk_is_pushed_to_partitions(spark):
     vectors = spark.range(100).selectExpr("id as vec_id", "array(cast(id as float), 1f) as embedding")
     plan = search.vector_search(vectors, [1.0, 0.0])._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
+
+
+PASSAGE = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omega sigma upsilon"
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    """Three documents of which only one has a vector; two passages longer than 60 characters, one of an odd number."""
+    top = str(tmp_path_factory.mktemp("tables"))
+    docs = [(0, f"Some words. {PASSAGE}. the and of that", "en", "src1"), (1, "upsilon the the and of that", "de", "src2"), (2, "of nothing else", "en", "src2")]
+    tables = {
+        "documents": (docs, "doc_id long, text string, lang string, source string"),
+        "embeddings": ([(0, [1.0, 0.0], 1)], "vec_id long, embedding array<float>, label int"),
+        "labels": ([(0, 1, 0)], "doc_id long, quality int, toxic int"),
+        "benchmark": ([(1, PASSAGE.replace(" ", "  ").upper()), (2, "nobody has these words in this order at all although they are many of them")], "item_id long, text string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{top}/{name}.parquet")
+    return top
+
+
+def test_documents_without_vector_are_ranked(spark, folder):
+    from quillmark.plans import retrieval
+
+    fused = {r["doc_id"]: r["rrf"] for r in retrieval.hybrid_rrf(spark, folder).collect()}
+    bm25 = sorted(retrieval.bm25_all(spark, folder).collect(), key=lambda r: (-r["bm25"], r["doc_id"]))
+    place = {r["doc_id"]: k + 1 for k, r in enumerate(bm25)}
+    assert fused == pytest.approx({k: 1 / (61 + k) + 1 / (60 + place[k]) for k in range(3)}, abs=1e-8)
+    assert {r["doc_id"] for r in retrieval.boosted_search(spark, folder).collect() if r["score"] is not None} == {0, 1, 2}
