@@ -44,7 +44,7 @@ BM25_TOPK = BM25_ALL + " ORDER BY 2 DESC, 1 LIMIT 10"
 
 
 def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return lexical.bm25_many(table(spark, sf_dir, "documents"), queries).select("query_id", "doc_id", rounded("bm25"))
 
 

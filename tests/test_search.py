@@ -148,3 +148,13 @@ def test_documents_without_vector_are_ranked(spark, folder):
     place = {r["doc_id"]: k + 1 for k, r in enumerate(bm25)}
     assert fused == pytest.approx({k: 1 / (61 + k) + 1 / (60 + place[k]) for k in range(3)}, abs=1e-8)
     assert {r["doc_id"] for r in retrieval.boosted_search(spark, folder).collect() if r["score"] is not None} == {0, 1, 2}
+
+
+def test_batch_asks_with_whole_passages(spark, folder):
+    from quillmark.plans import retrieval
+
+    got = {(r["query_id"], r["doc_id"]): r["bm25"] for r in retrieval.bm25_batch(spark, folder).collect() if r["query_id"] == 1}
+    assert set(got) == {(1, 0), (1, 1)}  # document 1 has only the last word of the passage
+    for (_, doc), score in got.items():
+        one = lexical.bm25(spark.read.parquet(f"{folder}/documents.parquet"), PASSAGE.split()).filter(F.col("doc_id") == doc).first()["bm25"]
+        assert score == pytest.approx(one, abs=1e-6)
