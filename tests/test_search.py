@@ -158,3 +158,12 @@ def test_batch_asks_with_whole_passages(spark, folder):
     for (_, doc), score in got.items():
         one = lexical.bm25(spark.read.parquet(f"{folder}/documents.parquet"), PASSAGE.split()).filter(F.col("doc_id") == doc).first()["bm25"]
         assert score == pytest.approx(one, abs=1e-6)
+
+
+def test_recall_is_against_documents_that_hold_a_passage(spark, folder):
+    from quillmark.plans import retrieval
+
+    assert retrieval.recall_at_k(spark, folder).first().asDict() == {"queries": 1, "hits": 1, "recall": 1.0, "asked": 2}
+    docs = spark.createDataFrame([(1, "x y z short one"), (2, "aa bb cc dd"), (3, f"zz {PASSAGE} zz"), (4, PASSAGE[:-8])], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "short one"), (3, PASSAGE), (4, ""), (5, None)], "query_id long, query string")
+    assert {(r["query_id"], r["id"]) for r in retrieval.holders(docs, bench).collect()} == {(1, 1), (3, 3)}
