@@ -9,7 +9,9 @@ bytes would need one round per byte, so those few take the same merges through a
 Texts are cut first at single spaces between two non-space characters.  No pre-token crosses such a place, so a chunk
 with its leading space can be tokenised alone, and chunks repeat.
 
-Null text counts as empty: zero ids, empty bytes.  Ids and decoded bytes are real columns; nothing is truncated.
+Null text counts as empty: zero ids, empty bytes.  Ids and decoded bytes are real columns; nothing is truncated, however
+long a text is.  Rows that repeat are rows of their own, with equal results; a null id stays null.  Other columns, whatever
+their names, aren't read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,12 +26,16 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillmark.llm.common import blocks, id_text, quiet_collector
+from quillmark.llm.common import blocks, id_text, worker_state
 
 MATRIX_WIDTH = 256
 BUCKETS = (4, 6, 8, 12, 16, 24, 32, 64, 128, MATRIX_WIDTH)
-#: Entries of the chunk and pre-token caches of one worker; beyond it they start afresh.  They only save work.
-CACHE_ENTRIES = 400_000
+#: Bytes of the chunk cache of one worker, and of its pre-token cache; beyond it they start afresh.  They only save work.
+CACHE_BYTES = 32 << 20
+#: What an entry takes besides its characters and ids.
+ENTRY_BYTES = 150
+#: Cells of a matrix.
+CELLS = 1 << 18
 #: Unicode White_Space, which the reference encoders take for \s; Python's \s has four control characters more.
 SPACE = r"\t-\r \x85\xa0  -     　"
 NONE = np.int32(2**31 - 1)
@@ -109,6 +115,7 @@ class ByteBPE:
         self.vocabulary = pa.array(words, pa.large_binary())
         self._chunks: dict[str, bytes] = {}
         self._pieces: dict[str, bytes] = {}
+        self._chunk_bytes = self._piece_bytes = 0
 
     def encode_distinct(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian unsigned 32-bit integers."""
@@ -123,7 +130,7 @@ class ByteBPE:
             elif piece:
                 by_length.setdefault(next(b for b in BUCKETS if len(piece) <= b), []).append(k)
         for width, members in by_length.items():
-            step = max(1, (1 << 20) // width)
+            step = max(1, CELLS // width)
             for start in range(0, len(members), step):
                 part = members[start : start + step]
                 for k, ids in zip(part, self._by_matrix([pieces[k] for k in part], width), strict=True):
@@ -217,17 +224,22 @@ class ByteBPE:
 
     def _learn(self, chunks: set[str]) -> None:
         """Fills the chunk cache for chunks that aren't in it."""
-        if len(self._chunks) + len(chunks) > CACHE_ENTRIES:
+        if self._chunk_bytes > CACHE_BYTES:
             self._chunks.clear()
-        if len(self._pieces) > CACHE_ENTRIES:
+            self._chunk_bytes = 0
+        if self._piece_bytes > CACHE_BYTES:
             self._pieces.clear()
+            self._piece_bytes = 0
         fresh = [c for c in chunks if c not in self._chunks]
         cut = [[c] if c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else self.pieces_of(c) for c in fresh]
         unseen = list({p for pieces in cut for p in pieces if p not in self._pieces})
-        self._pieces.update(zip(unseen, self.encode_distinct([p.encode() for p in unseen]), strict=True))
+        found = self.encode_distinct([p.encode() for p in unseen])
+        self._pieces.update(zip(unseen, found, strict=True))
+        self._piece_bytes += sum(map(len, unseen)) + sum(map(len, found)) + ENTRY_BYTES * len(unseen)
         known = self._pieces
         for chunk, pieces in zip(fresh, cut, strict=True):
-            self._chunks[chunk] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+            ids = self._chunks[chunk] = known[pieces[0]] if len(pieces) == 1 else b"".join([known[p] for p in pieces])
+            self._chunk_bytes += len(chunk) + len(ids) + ENTRY_BYTES
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [split_chunks(t) if t else [] for t in texts]
@@ -255,15 +267,9 @@ def split_chunks(text: str) -> list[str]:
     return [first, *[" " + c for c in rest]]
 
 
-_coders: dict[tuple[str, str], ByteBPE] = {}
-
-
 def _coder(ranks_path: str, pattern: str) -> ByteBPE:
     """One coder for each Python worker, whose caches serve the tasks that follow."""
-    quiet_collector()
-    if (ranks_path, pattern) not in _coders:
-        _coders[ranks_path, pattern] = ByteBPE(load_ranks(ranks_path), pattern)
-    return _coders[ranks_path, pattern]
+    return worker_state(("bpe", ranks_path, pattern), lambda: ByteBPE(load_ranks(ranks_path), pattern))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,11 +279,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
         coder = _coder(ranks_path, pattern)
         for block in blocks(batches):
             found = coder.encode(block.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([len(x) // 4 for x in found], pa.int64()), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            yield pa.RecordBatch.from_arrays([block.column(0), _lengths(found), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
     return id_text(df, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary")
 
 
+def _lengths(found: list[bytes]) -> pa.Array:
+    return pa.array([len(x) // 4 for x in found], pa.int64())
+
+
 def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Adds `decoded` (binary) to the result of encode()."""
 
@@ -288,3 +298,16 @@ def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return df.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")
+
+
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """encode(), and decode() of its ids, in one pass: one Python worker and one coder for each task instead of two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(ranks_path, pattern)
+        for block in blocks(batches):
+            found = coder.encode(block.column(1).to_pylist())
+            decoded = [coder.decode(np.frombuffer(x, "<u4")) for x in found]
+            yield pa.RecordBatch.from_arrays([block.column(0), _lengths(found), pa.array(found, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
+
+    return id_text(df, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids binary, decoded binary")

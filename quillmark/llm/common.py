@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,16 @@ def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = BLOCK_
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as an idle Python worker would hold it beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
 
 
 def fold(doc_id: Column) -> Column:
@@ -57,20 +68,43 @@ def fold_of(doc_id: int) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
 
-    Only where that setting is absent, as in a local test, a temporary folder is used.
+    Where that setting is absent, a session in one process gets a temporary folder; any other is refused, as its
+    executors would each write to a disk of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    return (found or f"file://{tempfile.gettempdir()}/quillmark-shared").rstrip("/")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/quillmark-shared"
+    return found.rstrip("/")
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
-    """Writes df as a table into the shared folder and reads it back: cuts lineage, survives a lost executor."""
+    """Writes df as a table into the shared folder and reads it back: cuts lineage, survives a lost executor.
+
+    The table lasts as long as the application: what is returned may be lazy and read it later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, in any spelling."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame) -> list[Column]:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def counted(df: DataFrame, what: str, **more: Column) -> tuple[DataFrame, dict[str, int]]:
     """written(), with the number of rows as n and other aggregates, observed while writing."""
     seen = Observation()
@@ -82,6 +116,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def quiet_collector() -> None:
-    """For Python workers that hold large caches of acyclic values: cyclic collection would walk them again and again."""
-    gc.disable()
+_state: dict[Hashable, object] = {}
+
+
+def worker_state(key: Hashable, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks: the state of one operator, the last that it served.
+
+    A worker is reused by whatever runs next, so the state of another operator would stay for its life.  What is made is
+    taken out of cyclic collection, which would walk it again and again.
+    """
+    if key not in _state:
+        _state.clear()
+        gc.unfreeze()
+        gc.collect()
+        _state[key] = make()
+        gc.freeze()
+    return _state[key]

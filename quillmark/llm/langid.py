@@ -1,15 +1,19 @@
 """Language identification by words first, then by ever shorter character n-grams.
 
 Training counts words and the n-grams (5 down to 1, with word edges marked) of a bounded sample of documents with a
-language: at most about `per_language` for each, chosen by a hash of their id.  The smallest count that is kept rises
-until the model has at most `max_entries` words and as many n-grams, so what is sent to the workers is bounded.
+language: about `per_language` of each at most, chosen by a hash of their id.  Words seen less than `LEAST_WORD` times
+and n-grams seen less than `LEAST_GRAM` times in it are left out, as chance finds.  The model has at most `max_cells`
+numbers for words and as many for n-grams, which bounds what is sent to the workers: beyond it, the least count rises.
+No language is left out.
 
 A known word adds its log frequency in each language.  An unseen word adds the mean log frequency of its known n-grams
 of the greatest length that has any.  The language of the greatest mean wins, ties go to the name that sorts first.
 The score is that language's share when the mean log frequencies are turned back into probabilities: 0 to 1.
 
-A text that is null, empty or without letters is `und` with score 0, as is any text if nothing could be learned.
-Words are compared in lower case; digits and punctuation say nothing.  Whole texts are read.
+A text that is null, empty or without letters (Unicode category L) is `und` with score 0, as is any text if nothing could
+be learned: an empty table, or one without languages.  Words are compared in lower case; digits, number signs and
+punctuation say nothing.  Whole texts are read, however long.  Rows that repeat, with or without their id, are rows of
+their own, and equal texts get equal results.  Other columns, whatever their names, aren't read; `tagged` keeps them.
 """
 
 from __future__ import annotations
@@ -28,14 +32,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillmark.llm.common import blocks, fold, id_text, quiet_collector
+from quillmark.llm.common import blocks, fold, fresh, id_text, own_columns, worker_state, written
 
 UNDETERMINED = "und"
 LONGEST = 5
 SMOOTHING = 0.5
+LEAST_WORD, LEAST_GRAM = 2, 3
 #: Entries of a worker's chunk cache; it only saves work.
 CACHE_ENTRIES = 300_000
-words_of = re.compile(r"[^\W\d_]+").findall
+_runs = re.compile(r"[^\W\d_]+").findall
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters; the pattern's runs may hold number signs such as a half or a Roman eight as well."""
+    runs = _runs(text)
+    if all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
 def grams_of(word: str, n: int) -> list[str]:
@@ -55,9 +68,9 @@ class Model:
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def _sampled(docs: DataFrame, label: str, per_label: int, most_labels: int) -> tuple[DataFrame, list]:
+def _sampled(docs: DataFrame, label: str, per_label: int) -> tuple[DataFrame, list]:
     """Rows whose hash falls under their label's rate; the rate makes about per_label rows of each label."""
-    sizes = docs.groupBy(label).count().orderBy(F.desc("count"), label).limit(most_labels).collect()
+    sizes = docs.groupBy(label).count().collect()
     if not sizes:
         return docs.limit(0), []
     rate = reduce(lambda c, r: c.when(F.col(label) == r[label], int(min(1.0, per_label / r["count"]) * (1 << 30))), sizes, F.when(F.lit(False), 0)).otherwise(0)
@@ -91,11 +104,11 @@ def _matrix(rows: list, languages: list[str], groups: list[str]) -> tuple[list[s
     return list(terms), out
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, most_languages: int = 200, max_entries: int = 200_000) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, max_cells: int = 1_600_000) -> Model:
     """Learns from documents with a language that aren't held out (crc32 of the id modulo 4 isn't 2)."""
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
     train = own.filter(F.col("label").isNotNull() & (fold(F.col("doc_id")) != 2))
-    sample, languages = _sampled(train, "label", per_language, most_languages)
+    sample, languages = _sampled(train, "label", per_language)
     if not languages:
         return Model([], [], np.zeros((0, 0)), [], np.zeros((0, 0)))
 
@@ -117,11 +130,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             yield from _counted(found)
 
     schema = "label string, term string, n bigint"
-    words = sample.select("label", "text").mapInArrow(count_words, schema).groupBy("label", "term").agg(F.sum("n").alias("n")).persist()
-    grams = words.mapInArrow(count_grams, schema).groupBy("label", "term").agg(F.sum("n").alias("n"))
-    word_terms, word_logs = _matrix(_kept(words.filter("n > 1"), max_entries), languages, ["word"])
-    gram_terms, gram_logs = _matrix(_kept(grams.filter("n > 2"), max_entries), languages, [])
-    words.unpersist()
+    words = sample.select("label", "text").mapInArrow(count_words, schema).groupBy("label", "term").agg(F.sum("n").alias("n"))
+    words = written(words, "words")
+    grams = written(words.mapInArrow(count_grams, schema).groupBy("label", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_GRAM), "grams")
+    most = max_cells // len(languages)
+    word_terms, word_logs = _matrix(_kept(words.filter(F.col("n") >= LEAST_WORD), most), languages, ["word"])
+    gram_terms, gram_logs = _matrix(_kept(grams, most), languages, [])
     return Model(languages, word_terms, word_logs, gram_terms, gram_logs)
 
 
@@ -186,23 +200,16 @@ class Scorer:
         return names, scores
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(model: Model) -> Scorer:
+def _scorer(model: Broadcast) -> Scorer:
     """One for each Python worker and model."""
-    quiet_collector()
-    if model.uid not in _scorers:
-        _scorers.clear()
-        _scorers[model.uid] = Scorer(model)
-    return _scorers[model.uid]
+    return worker_state(("langid", model.value.uid), lambda: Scorer(model.value))
 
 
 def identify(df: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model.value)
+        scorer = _scorer(model)
         for block in blocks(batches):
             names, scores = scorer.score(block.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -211,18 +218,26 @@ def identify(df: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col:
     return found.select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def tagged(df: DataFrame, model: Broadcast, text_col: str = "text") -> DataFrame:
-    """All columns of df, with _lang_pred and _lang_score."""
-    at = df.columns.index(text_col)
-    schema = StructType([*df.schema.fields, StructField("_lang_pred", StringType()), StructField("_lang_score", DoubleType())])
+def tagged(df: DataFrame, model: Broadcast, text_col: str = "text", names: tuple[str, str] = ("_lang_pred", "_lang_score")) -> DataFrame:
+    """All columns of df, with the language and its score by the names given.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model.value)
-        for block in blocks(batches, text=at):
-            names, scores = scorer.score([t or "" for t in block.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*block.schema.names, "_lang_pred", "_lang_score"])
+    Only the text goes through Python; the other columns stay in the JVM.
+    """
 
-    return df.mapInArrow(run, schema)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer = _scorer(model)
+        for batch in batches:
+            languages, scores = [], []
+            for block in blocks([pa.RecordBatch.from_arrays([batch], names=["text"])], text=0):
+                own, found = scorer.score([t or "" for t in block.column(0).to_pylist()])
+                languages += own
+                scores.append(found)
+            yield pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["lang_pred", "score"])
+
+    found = fresh(df, "found")
+    score = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()  # not to be run twice, for a filter and again
+    both = df.select(*own_columns(df), score(F.col(text_col).cast("string")).alias(found))
+    return both.select(*own_columns(df), *(F.col(found)[field].alias(name) for field, name in zip(("lang_pred", "score"), names, strict=True)))
 
 
 def detect(docs: DataFrame, **fitting) -> DataFrame:

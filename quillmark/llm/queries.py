@@ -30,7 +30,7 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm import bpe
 
     args = (_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), *args), *args)
+    done = bpe.round_trip(table(spark, sf_dir, "documents"), *args)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmark.llm.common import blocks, id_text, partitions, quiet_collector, written
+from quillmark.llm.common import blocks, id_text, partitions, worker_state, written
 
 #: Entries of a worker's chunk cache; it only saves work.
 CACHE_ENTRIES = 300_000
@@ -85,15 +85,9 @@ class PreTokenizer:
         return 1 if piece in self.special else len(self.tokenizer.model.tokenize(piece))
 
 
-_open: dict[str, PreTokenizer] = {}
-
-
 def _tokenizer(path: str) -> PreTokenizer:
     """One for each Python worker."""
-    quiet_collector()
-    if path not in _open:
-        _open[path] = PreTokenizer(path)
-    return _open[path]
+    return worker_state(("tokens", path), lambda: PreTokenizer(path))
 
 
 def _frequencies(cutter: PreTokenizer, texts: list[str], buckets: int) -> tuple[list[str], np.ndarray, np.ndarray, bytes]:

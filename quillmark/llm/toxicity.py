@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import blocks, fold, id_text, quiet_collector
+from quillmark.llm.common import blocks, fold, id_text, worker_state
 
 THRESHOLD = 0.3
 #: Insults that the lexicon has before it learns any.
@@ -318,7 +318,6 @@ def _fit(sample: DataFrame, max_terms: int) -> Model:
     first = Scorer(model)
 
     def variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quiet_collector()
         for block in blocks(batches):
             found = (Counter(), Counter())
             for toxic, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
@@ -354,23 +353,16 @@ def _class_counts(found: tuple[Counter, Counter]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([found[1][t] for t in terms], pa.int64()), pa.array([found[0][t] for t in terms], pa.int64())], names=["term", "c1", "c0"])
 
 
-_scorers: dict[str, Scorer] = {}
-
-
-def _scorer(model: Model) -> Scorer:
+def _scorer(model: Broadcast) -> Scorer:
     """One for each Python worker and model."""
-    quiet_collector()
-    if model.uid not in _scorers:
-        _scorers.clear()
-        _scorers[model.uid] = Scorer(model)
-    return _scorers[model.uid]
+    return worker_state(("toxicity", model.value.uid), lambda: Scorer(model.value))
 
 
 def score(df: DataFrame, model: Broadcast, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, and counts of finds, of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(model.value)
+        scorer = _scorer(model)
         for block in blocks(batches):
             found = scorer.score(block.column(1).to_pylist())
             cols = list(zip(*found, strict=True))
