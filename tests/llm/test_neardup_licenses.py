@@ -154,3 +154,29 @@ def test_deep_branching_keeps_pairs_together(spark):
     for _ in range(9):
         level = neardup.written(join.shared(join.branched(level)), "members")
     assert level.select(F.expr("substring(cast(fp as string), 1, length(fp) - 1)").alias("pair")).distinct().count() == 300
+
+
+def test_large_nodes_by_prefixes_against_brute_force(spark, monkeypatch):
+    """One passage stands in most documents: nodes stay large, and no block may hold them."""
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "MOST_BLOCKS", 1)
+    rnd = random.Random(6)
+    passage = [f"p{k}" for k in range(60)]
+    rows = corpus(5, 120) + [(1000 + k, " ".join([*passage, *(f"w{rnd.randrange(400)}" for _ in range(rnd.randint(10, 30)))])) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for depth in (1, 3):
+        got = neardup.near_duplicates(df, words=4, small=0, max_depth=depth).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute(rows, 4)
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = "a b c d e f g", "u v w x y z q r", "one two three four five six"
+    rows = [(5, a, 0), (1, a, 1), (5, b, 2), (7, c, 3), (7, c, 3), (7, c, 4), (None, a, 5), (None, "lone words stay here as they are", 6), (None, "", 7), (None, "", 7), (None, None, 8), (9, None, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id long").withColumns({"digest": F.lit("clash"), "stays": F.lit(True), "text_digest": F.lit(1), "row_hash": F.lit(2), "m": F.create_map(F.lit("k"), F.lit(1))})
+    got = neardup.without_copies(df)
+    assert got.columns == df.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (7, c), (None, "lone words stay here as they are"), (None, ""), (None, ""), (None, None), (9, None)], key=str)
+    unnamed = spark.createDataFrame([(None, a, 1), (None, a, 2), (3, a, 3)], "doc_id long, text string, n long")
+    assert [r["n"] for r in neardup.without_copies(unnamed).collect()] == [3]
+    assert neardup.without_copies(unnamed.filter("doc_id is null")).count() == 1
