@@ -1,154 +1,252 @@
 """Exact top-k inner products by no-random-access aggregation of sorted lists.
 
-Candidates are dealt into blocks of about `BLOCK` vectors, queries into smaller ones, and each pair of blocks is one
-row of an equi-join: queries are a stated set, every block of them meets every block of candidates once.  Components are
-dealt into a few groups.  For a query, a group's list holds the candidates by their share of the score in that group,
-best first.  The lists are read in step.  What was read of a candidate, with the worst and with the best that its unread
-shares can still be, bounds its score from below and above.  Reading stops once no candidate outside a few survivors can
-reach the k-th best lower bound; their scores are then completed, and the k best of the block go on to the merge of all
-blocks.  Few lists of several components each give closer bounds than one for every component.
-
-A score from an earlier block of the same task serves as a floor: what can't reach it can't be among the best k.
+Candidates are packed into blocks of about `BLOCK` vectors.  Each block gets one sorted list for each component, once,
+before any query is read; blocks and lists are written to the shared folder.  A score is a sum over components, so for a
+query the lists are read in step, from the top where its component is positive and from the bottom where it's negative.
+What was read of a candidate, with the worst and with the best that its unread components can still add, bounds its score
+from below and above.  Reading stops once no candidate outside a few survivors can reach the k-th best lower bound; only
+the survivors' scores are then completed, and the k best of each block go on to the merge of all blocks.
+
+Queries come in chunks of at most `CHUNK` bytes, each broadcast to the tasks that hold the blocks, so no query is
+shipped once for each block, and candidates don't move at all.  A first pass over a single block gives every query of the
+chunk a floor: what can't reach the k-th best score there can't be among the best k.  Later blocks of a task raise it.
+
 Equal vectors of a block are one entry with their smallest ids, so ties, however many, cost nothing.
 
 Components become floor(scale * x) with x as double, scores are integers, ties go to the smaller id.  Rows whose id or
 vector is null, or whose vector holds a null or non-finite component, take no part; an empty vector scores 0 with other
-empty ones.  Vectors meet only vectors of their own length.  Of several query rows with one id, one is asked; candidates
-with the query's id are left out.  Integers too large for exact doubles are multiplied as Python integers, and a score
-beyond 64 bits is returned as the nearest that fits.
+empty ones.  Vectors meet only vectors of their own length.  Of several query rows with one id, one is asked: the least
+vector; candidates with the query's id are left out.  Integers too large for exact doubles are multiplied as Python
+integers and ranked as such; a score beyond 64 bits is returned as the nearest that fits.  Other columns, whatever their
+names, aren't read.  An empty table, or one without queries, gives an empty result.
 """
 
 from __future__ import annotations
 
+import bisect
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark import Accumulator, Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-BLOCK, QUERY_BLOCK, GROUPS, STEPS = 4096, 256, 4, 16
-PACKED = "part bigint, width int, ids binary, matrix binary"
+from quillmark.llm.common import release, written
+
+#: Vectors of a block, and its components; bytes of a chunk of queries.
+BLOCK, CELLS, CHUNK = 4096, 1 << 18, 32 << 20
+#: How far the lists are read before bounds are looked at again, as shares of their length.
+STOPS = (0.03, 0.06, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.7, 0.8, 0.9, 1.0)
+#: Reading ends once a block's survivors are one in so many: their scores are then completed.
+SURVIVORS = 8
+PACKED = "width int, ids binary, matrix binary, lists binary"
+FOUND = "query_id bigint, vec_id bigint, score bigint, beyond string"
 LONG = 2**63 - 1
 
 
 class Block:
-    """The distinct vectors of a block, each with its smallest ids."""
+    """The distinct vectors of a block, each with its smallest ids, and a sorted list of entries for each component."""
 
-    def __init__(self, ids: np.ndarray, matrix: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int, lists: np.ndarray | None = None):
+        """x: whole numbers, small enough for exact sums; lists: of sorted_lists(x), if they were made before."""
         order = np.argsort(ids, kind="stable")
-        distinct, group = np.unique(matrix[order], axis=0, return_inverse=True)
-        group = group.ravel()
-        self.ids: list[list[int]] = [[] for _ in distinct]
+        self.x, first, group = _distinct(x[order])
+        self.ids: list[list[int]] = [[] for _ in self.x]
         for own, g in zip(ids[order].tolist(), group.tolist(), strict=True):
             if len(self.ids[g]) <= k:  # one more than k: the query's own may be among them
                 self.ids[g].append(own)
-        self.x = np.ascontiguousarray(distinct)
-
-    def shares(self, queries: np.ndarray) -> np.ndarray:
-        """The part of each score that each group of components gives: queries x groups x entries."""
-        width = self.x.shape[1]
-        edges = np.linspace(0, width, min(GROUPS, width) + 1).astype(int)
-        return np.stack([queries[:, a:b] @ self.x[:, a:b].T for a, b in zip(edges, edges[1:], strict=False)], axis=1)
-
-    @staticmethod
-    def best(shares: np.ndarray, k: int, floor: float) -> list[tuple[float, int]]:
-        """(score, entry) of all entries that may be among the k best, none of them below floor."""
-        groups, n = shares.shape
-        alive = np.arange(n)
-        if n > 8 * k:
-            lists = np.argsort(-shares, axis=1)
-            gains = np.take_along_axis(shares, lists, axis=1)
-            worst = gains[:, -1]
-            read, seen, at = np.zeros(n), np.zeros((n, groups)), 0
-            column = np.arange(groups)[:, None]
-            for step in range(1, STEPS + 1):
-                upto = n * step // STEPS
-                entries = lists[:, at:upto]
-                read += np.bincount(entries.ravel(), gains[:, at:upto].ravel(), n)
-                seen[entries, column] = 1.0
-                at = upto
-                front = gains[:, at - 1]
-                lower = read + (worst.sum() - seen @ worst)
-                bar = max(floor, np.partition(lower, n - k)[n - k])
-                if front.sum() >= bar and step < STEPS:
-                    continue  # a candidate that no list has shown yet could still qualify
-                alive = np.flatnonzero(read + (front.sum() - seen @ front) >= bar)
-                if len(alive) <= 8 * k:
-                    break
-        scores = shares[:, alive].sum(axis=0)
-        return [(s, e) for s, e in zip(scores.tolist(), alive.tolist(), strict=True) if s >= floor]
-
-
-def _packed(df: DataFrame, rows: int) -> DataFrame:
-    """Rows of `rows` vectors of one length, numbered by their partition."""
+        self.lists = sorted_lists(self.x) if lists is None else lists
+        self.values = np.take_along_axis(self.x.T, self.lists, axis=1)
+
+    def best(self, query: np.ndarray, k: int, floor: float = -math.inf) -> tuple[list[tuple[float, int]], int]:
+        """(score, entry) of all entries that may be among the k best, none below floor; and how many list entries were read."""
+        n = len(self.x)
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        used = np.concatenate([up, down])
+        if not len(used):
+            return ([(0.0, e) for e in range(n)] if floor <= 0 else []), 0
+        weight = query[used]
+        worst = weight * np.concatenate([self.values[up, 0], self.values[down, -1]])
+        front_at = lambda depth: weight * np.concatenate([self.values[up, n - depth], self.values[down, depth - 1]])
+        read, lower, seen, at, taken, alive = np.zeros(n), np.full(n, worst.sum()), np.zeros((len(used), n), np.float32), 0, 0, np.arange(n)
+        column = np.arange(len(used))[:, None]
+        stops = [min(n, math.ceil(n * share)) for share in STOPS]
+        if floor > -math.inf:  # before this depth the lists' own values say that a candidate not shown yet could qualify
+            first = bisect.bisect_left(range(1, n), True, key=lambda depth: front_at(depth).sum() < floor) + 1
+            stops = [first, *(s for s in stops if s > first)]
+        for upto in stops:
+            if upto <= at:
+                continue
+            entries = np.concatenate([self.lists[up, n - upto : n - at], self.lists[down, at:upto]])
+            gains = weight[:, None] * np.concatenate([self.values[up, n - upto : n - at], self.values[down, at:upto]])
+            flat = entries.ravel()
+            read += np.bincount(flat, gains.ravel(), n)
+            taken, at = taken + entries.size, upto
+            if at == n:
+                alive = np.flatnonzero(read >= max(floor, np.partition(read, max(0, n - k))[max(0, n - k)]))
+                break
+            seen[column, entries] = 1.0
+            front, bar = front_at(at), floor
+            if floor == -math.inf and n > k:
+                lower += np.bincount(flat, (gains - worst[:, None]).ravel(), n)
+                bar = np.partition(lower, n - k)[n - k]
+            if front.sum() >= bar:
+                continue  # a candidate that no list has shown yet could still qualify
+            # Single precision is for the mask's product only; what it may round away is added to the bound.
+            slack = 1e-5 * np.abs(front).sum()
+            alive = np.flatnonzero(read + (front.sum() - front.astype(np.float32) @ seen) + slack >= bar)
+            if len(alive) <= max(8 * k, n // SURVIVORS):
+                break
+        scores = self.x[alive] @ query
+        return [(s, e) for s, e in zip(scores.tolist(), alive.tolist(), strict=True) if s >= floor], taken
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, in order of their first; where each first is; the number of each row's distinct one."""
+    if not x.shape[1]:
+        return x[:1], np.zeros(min(1, len(x)), np.int64), np.zeros(len(x), np.int64)
+    raw = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel()  # + 0.0: no negative zero
+    _, first, group = np.unique(raw, return_index=True, return_inverse=True)
+    order = np.argsort(first, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return np.ascontiguousarray(x[first[order]]), first[order], place[group.ravel()]
+
+
+def sorted_lists(x: np.ndarray) -> np.ndarray:
+    """components x entries: the entries of each component's list, least value first."""
+    return np.argsort(x.T, axis=1, kind="stable")
+
+
+def whole(x: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x): doubles, or Python integers where one of them is too large for exact doubles."""
+    if np.abs(x).max(initial=0) < 2.0**40:
+        return np.floor(scale * x)
+    return np.array([[math.floor(scale * c) if abs(c) < 2.0**52 else int(c) * scale for c in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def _packed(df: DataFrame, k: int, scale: int) -> DataFrame:
+    """Blocks of vectors of one length, as doubles, with the sorted lists of their distinct vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
         waiting: dict[int, tuple[list, list]] = {}
         for batch in batches:
             for own, vector in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids, vectors = waiting.setdefault(len(vector), ([], []))
                 ids.append(own)
                 vectors.append(vector)
-                if len(ids) == rows:
-                    yield row(part, len(vector), *waiting.pop(len(vector)))
+                if len(ids) >= BLOCK or len(ids) * len(vector) >= CELLS:
+                    yield row(len(vector), *waiting.pop(len(vector)))
         for width, (ids, vectors) in waiting.items():
-            yield row(part, width, ids, vectors)
+            yield row(width, ids, vectors)
+        release()
 
-    def row(part: int, width: int, ids: list, vectors: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([width], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array(vectors, "<f8").tobytes()], pa.binary())], names=["part", "width", "ids", "matrix"])
+    def row(width: int, ids: list, vectors: list) -> pa.RecordBatch:
+        own, x = np.array(ids, "<i8"), np.array(vectors, "<f8").reshape(len(ids), width)
+        q = whole(x, scale)
+        lists = b"" if q.dtype == object else Block(own, q, k).lists.astype("<u2").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([own.tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary()), pa.array([lists], pa.binary())], names=["width", "ids", "matrix", "lists"])
 
     return df.mapInArrow(run, PACKED)
 
 
-def quantized(vector: Column, scale: int) -> Column:
-    """floor(scale * x) of each component, as double; null if the vector takes no part."""
-    whole = F.transform(vector, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
-    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) > 1e15))
-    return F.when(vector.isNotNull() & ~bad, whole)
+def _beyond(score: int) -> str:
+    """Orders scores that are the same when cut to 64 bits."""
+    if abs(score) <= LONG or score == -LONG - 1:
+        return "m"
+    digits = str(abs(score))
+    key = f"{len(digits):06d}{digits}"
+    return f"p{key}" if score > 0 else "a" + "".join(chr(ord("9") - int(c) + ord("0")) for c in key)
 
 
-def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k best candidates of every query; fewer if there are fewer."""
-    own = df.select(F.col(id_col).cast("bigint").alias("vec_id"), quantized(F.col(vector_col), scale).alias("q"), is_query.alias("asked")).filter("vec_id is not null and q is not null")
-    total, asked = own.agg(F.count("*"), F.count_if("asked")).first()
-    blocks = max(1, -(-total // BLOCK))
-    candidates = _packed(own.select("vec_id", "q").repartition(blocks), BLOCK)
-    queries = _packed(own.filter("asked").select("vec_id", "q").dropDuplicates(["vec_id"]).repartition(max(1, -(-asked // QUERY_BLOCK))), QUERY_BLOCK)
-    queries = queries.select("width", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"))
-    pairs = candidates.join(queries.withColumn("part", F.col("part").cast("bigint")), ["part", "width"])
+Queries = dict[int, tuple[np.ndarray, np.ndarray]]
+
+
+def _searched(blocks: DataFrame, queries: Broadcast, floors: Broadcast | None, k: int, scale: int, counters: tuple[Accumulator, Accumulator] | None) -> DataFrame:
+    """The k best of each block for every query of a chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, list[float]] = {}
-        last: tuple[bytes, Block | None] = (b"", None)
+        asked: dict[int, tuple[list[int], np.ndarray]] = {w: (ids.tolist(), whole(x, scale)) for w, (ids, x) in queries.value.items()}
+        known: dict[int, list[int]] = {q: [floor] * k for q, floor in floors.value.items()} if floors else {}
         for batch in batches:
-            for width, ids, matrix, query_ids, query_matrix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own_ids, asked_ids = np.frombuffer(ids, "<i8"), np.frombuffer(query_ids, "<i8").tolist()
-                x = np.frombuffer(matrix, "<f8").reshape(len(own_ids), width)
-                q = np.frombuffer(query_matrix, "<f8").reshape(len(asked_ids), width)
-                exact = width > 0 and width * max(np.abs(x).max(initial=0), 1) * max(np.abs(q).max(initial=0), 1) < 2**52
-                if exact and last[0] != ids:
-                    last = (ids, Block(own_ids, x, k))
-                found: list[tuple[int, int, int]] = []
-                shares = last[1].shares(q) if exact else None
-                for at, (query_id, query) in enumerate(zip(asked_ids, q, strict=True)):
-                    before = known.setdefault(query_id, [])
-                    if exact:
-                        block = last[1]
-                        scored = [(int(s), v) for s, e in block.best(shares[at], k + 1, before[-1] if len(before) == k else -np.inf) for v in block.ids[e] if v != query_id]
+            for width, ids, matrix, lists in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if width not in asked:
+                    continue
+                (query_ids, q), own_ids = asked[width], np.frombuffer(ids, "<i8")
+                x = whole(np.frombuffer(matrix, "<f8").reshape(len(own_ids), width), scale)
+                exact = width == 0 or (object not in (x.dtype, q.dtype) and width * max(np.abs(x).max(initial=0), 1) * max(np.abs(q).max(initial=0), 1) < 2**50)
+                block = Block(own_ids, x, k, np.frombuffer(lists, "<u2").reshape(width, -1).astype(np.intp) if width else None) if exact else None
+                found: list[tuple[int, int, int, str]] = []
+                for query_id, query in zip(query_ids, q, strict=True):
+                    before = known.get(query_id, [])
+                    if block is not None:
+                        ranked, taken = block.best(query, k + 1, before[-1] if len(before) == k else -math.inf)
+                        if counters:
+                            counters[0].add(taken)
+                            counters[1].add(block.lists.size)
+                        scored = [(int(s), v) for s, e in ranked for v in block.ids[e] if v != query_id]
                     else:
                         weights = [int(c) for c in query]
                         scored = [(sum(int(a) * b for a, b in zip(row, weights, strict=True)), v) for row, v in zip(x, own_ids.tolist(), strict=True) if v != query_id]
                     scored = sorted(scored, key=lambda s: (-s[0], s[1]))[:k]
                     known[query_id] = sorted(before + [s for s, _ in scored], reverse=True)[:k]
-                    found += [(query_id, v, max(-LONG - 1, min(LONG, s))) for s, v in scored]
+                    found += [(query_id, v, max(-LONG - 1, min(LONG, s)), _beyond(s)) for s, v in scored]
                 if found:
                     cols = list(zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
-
-    found = pairs.select("width", "ids", "matrix", "query_ids", "query_matrix").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["query_id", "vec_id", "score", "beyond"])
+        release()
+
+    return blocks.select("width", "ids", "matrix", "lists").mapInArrow(run, FOUND)
+
+
+def _chunks(rows: Iterator) -> Iterator[Queries]:
+    """Queries by their length, as they come, cut to CHUNK bytes."""
+    waiting: dict[int, list] = {}
+    size = 0
+    for r in rows:
+        waiting.setdefault(len(r["q"]), []).append(r)
+        size += 8 * len(r["q"]) + 100
+        if size >= CHUNK:
+            yield _as_arrays(waiting)
+            waiting, size = {}, 0
+    if waiting:
+        yield _as_arrays(waiting)
+
+
+def _as_arrays(waiting: dict[int, list]) -> Queries:
+    return {w: (np.array([r["vec_id"] for r in rows], np.int64), np.array([r["q"] for r in rows], np.float64).reshape(len(rows), w)) for w, rows in waiting.items()}
+
+
+def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding", counters: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the k best candidates of every query; fewer if there are fewer.
+
+    counters: of list entries read, and of all entries of the lists of each query and block.
+    """
+    spark = df.sparkSession
+    vector = F.col(vector_col)
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    own = df.select(F.col(id_col).cast("bigint").alias("vec_id"), F.when(~bad, vector.cast("array<double>")).alias("q"), is_query.alias("asked")).filter("vec_id is not null and q is not null")
+    size = own.agg(F.count("*").alias("n"), F.count_if("asked").alias("asked"), F.sum(F.size("q") * 8 + 100).alias("bytes")).first()
+    parts = max(1, -(-size["n"] // BLOCK), -(-(size["bytes"] or 0) // (8 * CELLS)))
+    blocks = written(_packed(own.select("vec_id", "q").repartition(parts), k, scale), "blocks")
+    asked = own.filter("asked").groupBy("vec_id").agg(F.min("q").alias("q"))
+    asked = written(asked.repartition(max(1, -(-size["asked"] * (size["bytes"] or 0) // (max(1, size["n"]) * CHUNK)))), "queries")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
+    # The one block that gives floors: a bounded sample of candidates, all of which are met again.
+    first = written(blocks.limit(1), "blocks") if parts > 2 else None
+    done = [spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")]
+    for chunk in _chunks(asked.toLocalIterator()):
+        queries, floors = spark.sparkContext.broadcast(chunk), None
+        if first is not None:
+            rows = _searched(first, queries, None, k, scale, None).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor"), F.max(F.col("beyond") != "m").alias("beyond"))
+            floors = spark.sparkContext.broadcast({r["query_id"]: r["floor"] for r in rows.filter((F.col("n") >= k) & ~F.col("beyond")).collect()})
+        found = _searched(blocks, queries, floors, k, scale, counters).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        done.append(written(found.select("query_id", "rank", "vec_id", "score"), "best"))
+        for sent in filter(None, (queries, floors)):
+            sent.destroy()
+    out = done[-1] if len(done) == 2 else done[0]
+    for more in done[1:] if len(done) > 2 else []:
+        out = out.unionByName(more)
+    return out

@@ -73,15 +73,47 @@ def test_top_k_odd_rows(spark):
     assert found(spark, []) == []
 
 
-def test_blocks_stop_early():
+def test_huge_components_take_part(spark):
+    """Scores beyond 64 bits are ranked as they are and returned as the nearest that fits."""
+    rows = [(0, [1e20, 1.0]), (1, [1e20, 0.0]), (2, [3e20, 0.0]), (3, [-1e30, 5.0]), (4, [-2e30, 5.0]), (5, [0.5, 0.5]), (50, [0.0, 1.0]), (6, [3e38, 1.0]), (7, [3e20, 0.0])]
+    got = found(spark, rows, k=8)
+    long = 2**63 - 1
+    want = [(q, r, v, max(-long - 1, min(long, s))) for q, r, v, s in brute(rows, k=8)]
+    assert got == want and [v for q, _, v, _ in got if q == 0][:4] == [6, 2, 7, 1]
+
+
+def test_repeated_ids_and_chunks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 600)  # a few queries each
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 0.3, (400, 4)).astype(np.float32)
+    rows = [(k, [float(c) for c in v]) for k, v in enumerate(x)]
+    assert found(spark, rows) == brute(rows)
+    twice = [*rows, *rows[1:50]]  # candidates with one id are rows of their own
+    got = found(spark, twice)
+    assert [r for r in got if r[0] == 50] == [r for r in brute(twice) if r[0] == 50]
+
+
+def test_lists_are_read_until_bounds_decide():
+    """Where one component decides, the lists' heads are enough; where none does, they're read to a great part, and the result is the same."""
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(0, 30, (3000, 8)))
-    x[5] = 400
-    block = topk.Block(np.arange(3000), x, 5)
-    query = np.full((1, 8), 100.0)
-    exact = np.sort(block.x @ query[0])[::-1][:6]
-    got = block.best(block.shares(query)[0], 6, -np.inf)
-    assert sorted((s for s, _ in got), reverse=True)[:6] == exact.tolist() and len(got) < 3000
+    x[:, 2] = np.floor(rng.pareto(1.0, 3000) * 500)
+    for query, most in ((np.eye(8)[2] * 90 + 1, 0.15), (np.full(8, 100.0), 1.0), (-np.eye(8)[1] * 3, 0.15), (np.zeros(8), 0.0)):
+        block = topk.Block(np.arange(3000), x, 5)
+        got, taken = block.best(query, 6)
+        exact = np.sort(block.x @ query)[::-1][:6]
+        assert sorted((s for s, _ in got), reverse=True)[:6] == exact.tolist()
+        assert taken <= most * block.lists.size
+    assert (np.diff(block.values, axis=1) >= 0).all()
+
+
+def test_read_share_is_counted(spark, small):
+    """On vectors without structure most of the lists must be read: what no-random-access costs there."""
+    read, there = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    df = spark.read.parquet(f"{small}/embeddings.parquet")
+    rows = topk.top_k(df, F.col("vec_id") % 50 == 0, counters=(read, there)).collect()
+    assert len(rows) == 50 and 0 < read.value <= there.value
 
 
 def fit_by_loop(cells, goals, rounds=200):
