@@ -1,17 +1,25 @@
 """Toxicity scores from a lexicon, its misspellings, and the words around each find.
 
-The lexicon is a trie of terms.  A Levenshtein automaton of the term length's tolerance is intersected with it: a state
-is the set of trie nodes that a word's prefix can have reached with so many edits.  States and their transitions are
-made when a word first needs them, so a word costs one table lookup for each character, and most end after three.
-
-Terms are a short fixed list and words or word stems learned from a bounded sample of labelled rows, by a likelihood
-ratio test of their document frequencies.  How often a term, or a misspelling seen in the sample, stands in a toxic
-document there is its precision; a word of the sample near a learned term is a misspelling only if it is as precise as terms must be.  Each find in a text is weighed by its context window: quotation marks around it or a
-verb of reporting next to it lower its weight, an address to a person raises it.  A text's score is the probability
-that not every find is harmless: one minus the product of (1 - weight).  A text without finds gets the share of toxic
-rows among such texts of the sample.
-
-Null and empty texts have no finds.  Labels, language, source and id aren't inputs of a score.  Whole texts are read.
+The lexicon is a trie of terms, some of them open: stems that any ending may follow.  A Levenshtein automaton of each
+term length's tolerance is intersected with it: a state is the set of trie nodes that a word's prefix can have reached
+with so many edits.  States and their transitions are made when a word first needs them, so a word costs one table
+lookup for each character, and most end after three.  Every find is made by the automaton, exact ones with no edit.
+
+Terms are a short fixed list and words and stems learned from a bounded sample of labelled rows, by a likelihood ratio
+test of their document frequencies; a stem must stand for several words.  All have the tolerance of their length.  How
+often a term, or a misspelling seen in the sample, stands in a toxic document there is its precision.  A word of the
+sample near a term is a misspelling only if it is as precise as terms must be; else it's a word of its own.  Each find is
+weighed by its context window: quotation marks around it or a verb of reporting next to it lower its weight, an address
+to a person raises it.  A text's score is the probability that not every find is harmless: one minus the product of
+(1 - weight).  A text without finds gets the share of toxic rows among such texts of the sample.
+
+What the model learns is bounded by the sample: at most about `max_toxic` and `max_clean` rows, `max_terms` terms, and
+the `MAX_VARIANTS` most frequent misspellings of it.
+
+Null and empty texts have no finds.  Labels, language, source and id aren't inputs of a score.  Whole texts are read,
+however long.  Rows that repeat are rows of their own with equal scores; a null id stays null and isn't held out.  Other
+columns, whatever their names, aren't read.  An empty table gives an empty result; without labels of both kinds the fixed
+list is the lexicon.  A row labelled both ways counts as toxic, one without a label of 0 or 1 isn't in the sample.
 """
 
 from __future__ import annotations
@@ -41,7 +49,7 @@ OPEN, CLOSE = "\"“„«‘'", "\"”“»’'"
 WINDOW, IN_QUOTES, REPORTED, ADDRESSED = 6, 0.4, 0.6, 1.15
 #: Sample and lexicon bounds.
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MAX_VARIANTS = 3000, 6000, 4000, 20_000
-STEMS, LEAST_TEST, TERM_PRECISION, STEM_PRECISION = range(3, 8), 13.0, 0.6, 0.9
+STEMS, STEM_WORDS, LEAST_TEST, TERM_PRECISION, STEM_PRECISION = range(4, 9), 3, 13.0, 0.6, 0.9
 CACHE_ENTRIES = 300_000
 words_of = re.compile(r"\w+").findall
 
@@ -54,12 +62,13 @@ def tolerance(term: str) -> int:
 class LexiconAutomaton:
     """Levenshtein automata of all terms, intersected with their trie and determinised as words need it."""
 
-    def __init__(self, terms: dict[str, int] | list[str], most_states: int = 100_000):
-        """terms: with the edits that each may differ by, or by tolerance()."""
+    def __init__(self, terms: dict[str, int] | list[str], stems: frozenset[str] | set[str] = frozenset(), most_states: int = 100_000):
+        """terms: with the edits that each may differ by, or by tolerance(); stems: those that any ending may follow."""
         terms = terms if isinstance(terms, dict) else {t: tolerance(t) for t in terms}
         self.tolerance = terms
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.open = [False]
         self.budget: list[int] = [0]  # greatest tolerance of a term at or below the node
         self.most_states = most_states
         for term, edits in sorted(terms.items()):
@@ -70,17 +79,19 @@ class LexiconAutomaton:
                     self.children[node][ch] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
+                    self.open.append(False)
                     self.budget.append(0)
                 node = self.children[node][ch]
                 self.budget[node] = max(self.budget[node], edits)
-            self.term[node] = term
+            self.term[node], self.open[node] = term, term in stems
         self._reset()
 
     def _reset(self) -> None:
         self.ids: dict[tuple, int] = {(): 0}
         self.sets: list[tuple] = [()]
         self.moves: list[dict[str, int]] = [{}]
-        self.accepts: list[tuple[str, int] | None] = [None]
+        self.accepts: list[tuple[int, str] | None] = [None]  # the best term of a word that ends here
+        self.passes: list[tuple[int, str] | None] = [None]  # the best stem of a word that goes on
         self.start = self._state({0: 0})
 
     def _state(self, reached: dict[int, int]) -> int:
@@ -98,8 +109,9 @@ class LexiconAutomaton:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.moves.append({})
-            found = [(e, self.term[n]) for n, e in key if self.term[n] is not None and e <= self.tolerance[self.term[n]]]
-            self.accepts.append((min(found)[1], min(found)[0]) if found else None)
+            found = [(e, self.term[n], self.open[n]) for n, e in key if self.term[n] is not None and e <= self.tolerance[self.term[n]]]
+            self.accepts.append(min((x[:2] for x in found), default=None))
+            self.passes.append(min((x[:2] for x in found if x[2]), default=None))
         return self.ids[key]
 
     def _move(self, state: int, ch: str) -> int:
@@ -115,21 +127,30 @@ class LexiconAutomaton:
         return to
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within its tolerance, ties to the one that sorts first, and the edits between."""
+        """The nearest term within its tolerance, ties to the one that sorts first, and the edits between.
+
+        A stem is as far from a word as from the nearest of the word's beginnings.
+        """
         if len(self.sets) > self.most_states:
             self._reset()
-        state = self.start
+        state, best = self.start, None
         for ch in word:
             to = self.moves[state].get(ch)
             state = self._move(state, ch) if to is None else to
             if not state:
-                return None
-        return self.accepts[state]
+                break
+            stem = self.passes[state]
+            if stem is not None and (best is None or stem < best):
+                best = stem
+        end = self.accepts[state]
+        if end is not None and (best is None or end < best):
+            best = end
+        return None if best is None else (best[1], best[0])
 
 
 @dataclass
 class Model:
-    """Precisions of terms, stems and seen misspellings; of other misspellings by term.
+    """Precisions of terms, stems and seen misspellings; of other misspellings by term or stem.
 
     rest: the toxic share of texts without a find; single: of those with one find only.
     """
@@ -146,32 +167,23 @@ class Model:
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.automaton = LexiconAutomaton(list(model.terms))
-        self._base = LexiconAutomaton([t for t in BASE_TERMS if t in model.terms])
+        self.automaton = LexiconAutomaton([*model.terms, *model.stems], frozenset(model.stems))
         self._clean: set[str] = set()
-        self._bad: dict[str, list[tuple[str, float]]] = {}
-        self._stem_lengths = sorted({len(s) for s in model.stems}, reverse=True)
+        self._bad: dict[str, list[tuple[str, tuple[str, str, float]]]] = {}
 
     def kind(self, word: str) -> tuple[str, str, float] | None:
-        """('term', 'stem' or 'variant'; the term; precision) of a word in lower case."""
-        m = self.model
-        if word in m.terms:
-            return "term", word, m.terms[word]
-        for n in self._stem_lengths:
-            if len(word) >= n and (p := m.stems.get(word[:n])) is not None:
-                return "stem", word[:n], p
-        for automaton in (self.automaton, self._base):
-            found = automaton.match(word)
-            if found is None:
-                return None
-            term, edits = found
-            p = m.variants.get(word)
-            if p is None:
-                return "variant", term, m.unseen.get(term, BASE_PRECISION) * 0.8 ** (edits - 1)
-            # A known word near a learned term is held to the precision of terms; below it, it's a word of its own.
-            if term in BASE_TERMS or p >= TERM_PRECISION:
-                return "variant", term, p
-        return None
+        """('term', 'stem' or 'variant'; the term or stem; precision) of a word in lower case."""
+        m, found = self.model, self.automaton.match(word)
+        if found is None:
+            return None
+        term, edits = found
+        if not edits:
+            exact = m.terms.get(word)
+            return ("term", word, exact) if exact is not None else ("stem", term, m.stems[term])
+        p = m.variants.get(word)
+        if p is None:
+            return "variant", term, m.unseen.get(term, BASE_PRECISION) * 0.8 ** (edits - 1)
+        return ("variant", term, p) if p >= TERM_PRECISION else None
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self._clean) + len(chunks) > CACHE_ENTRIES:
@@ -304,16 +316,23 @@ def _fit(sample: DataFrame, max_terms: int) -> Model:
     part = lambda c, s: F.when(c > 0, c * F.log(c / (total * s))).otherwise(0.0)
     tested = counted.filter("c1 >= 3").withColumn("test", part(c1, share) + part(c0, 1 - share)).withColumn("precision", (c1 + 0.5 * share) / (total + 0.5))
     is_stem = F.col("term").endswith("*")
-    learned = tested.filter((F.col("test") >= LEAST_TEST) & (F.col("precision") >= F.when(is_stem, STEM_PRECISION).otherwise(TERM_PRECISION)) & (F.length("term") >= 4))
+    likely = tested.filter((F.col("test") >= LEAST_TEST) & (F.col("precision") >= F.when(is_stem, STEM_PRECISION).otherwise(TERM_PRECISION)) & (F.length("term") >= 4))
+    prefixes = F.filter(F.array(*(F.when(F.length("term") > n, F.concat(F.substring("term", 1, n), F.lit("*"))) for n in STEMS)), lambda x: x.isNotNull())
+    several = counted.filter(~is_stem & (c1 > 0)).select(F.explode(prefixes).alias("term")).groupBy("term").count().filter(F.col("count") >= STEM_WORDS).select("term")
+    learned = likely.filter(~is_stem).unionByName(likely.filter(is_stem).join(several, "term", "left_semi"))
     rows = learned.orderBy(F.desc("test"), "term").limit(max_terms).collect()
     seen = {r["term"]: r for r in counted.filter(F.col("term").isin(list(BASE_TERMS))).collect()}
     terms = {t: (BASE_PRECISION * BASE_WEIGHT + (seen[t]["c1"] if t in seen else 0)) / (BASE_WEIGHT + (seen[t]["c1"] + seen[t]["c0"] if t in seen else 0)) for t in BASE_TERMS}
-    stems = {}
+    stems, found = {}, {r["term"][:-1]: r["c1"] for r in rows if r["term"].endswith("*")}
+    longer = {s[:n] for s, c in found.items() for n in range(1, len(s)) if found.get(s[:n]) == c}  # as often as a longer one, which says more
     for r in rows:
         if r["term"].endswith("*"):
-            stems[r["term"][:-1]] = r["precision"]
+            if r["term"][:-1] not in longer:
+                stems[r["term"][:-1]] = r["precision"]
         else:
             terms[r["term"]] = max(terms.get(r["term"], 0.0), r["precision"])
+    # A stem that goes on a shorter one adds nothing to the trie but states.
+    stems = {s: p for s, p in stems.items() if not any(s[:n] in stems for n in range(1, len(s)))}
     model = Model(terms=terms, stems=stems)
     first = Scorer(model)
 

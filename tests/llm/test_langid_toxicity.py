@@ -107,7 +107,7 @@ def test_misspellings_are_caught(text):
 
 
 def test_misspellings_of_learned_terms_are_caught(spark):
-    """Of terms in no fixed list, whose own prefixes are learned as stems; ordinary words near a term are left alone."""
+    """Of terms in no fixed list; no beginning of a single word is a stem; ordinary words near a term are left alone."""
     import random
 
     rnd = random.Random(4)
@@ -119,8 +119,155 @@ def test_misspellings_of_learned_terms_are_caught(spark):
         rows.append((k, f"{plain()} {word} {plain()}"))
         labels.append((k, int(toxic)))
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert {"snollygoster", "blatherer"} <= set(model.terms) - set(toxicity.BASE_TERMS) and "sno" in model.stems
+    assert {"snollygoster", "blatherer"} <= set(model.terms) - set(toxicity.BASE_TERMS) and not model.stems
     scorer = toxicity.Scorer(model)
     caught = scorer.score(["the znollygoster came", "the zn0llygoster came", "a bl4therer too"])
     assert all(s[0] >= toxicity.THRESHOLD and s[2] == 1 for s in caught)
     assert scorer.score(["a slatherer of paint"])[0][:2] == (model.rest, 0)
+
+
+def test_stems_against_edit_distance():
+    terms, stems = ["idiot", "lower"], {"lowei", "vequ", "disgust"}
+    automaton = toxicity.LexiconAutomaton([*terms, *stems], stems)
+    words = ["lowei", "loweischaft", "loewischaft", "loweschaft", "vequant", "vecuant", "lower", "lowet", "disgusting", "disqusting", "idiots", "", "v", "lowe", "dizgust", "dizzgustx"]
+    for word in words:
+        near = [(distance(word, t), t) for t in terms] + [(min(distance(word[:n], t) for n in range(len(word) + 1)), t) for t in stems]
+        near = sorted((e, t) for e, t in near if e <= toxicity.tolerance(t))
+        assert automaton.match(word) == ((near[0][1], near[0][0]) if near else None), word
+
+
+def plain_score(model, text):
+    """Score by its definition: distances to every term, windows by slices."""
+    def best(word):
+        near = [(distance(word, t), t, model.terms[t]) for t in model.terms if abs(len(t) - len(word)) <= 2]
+        near += [(min(distance(word[:n], t) for n in range(min(len(word), len(t) + 2) + 1)), t, p) for t, p in model.stems.items()]
+        near = sorted((e, t, p) for e, t, p in near if e <= toxicity.tolerance(t))
+        if not near:
+            return None
+        e, t, p = near[0]
+        if not e:
+            return (word, False, model.terms[word]) if word in model.terms else (word, False, p)
+        if word in model.variants:
+            return (word, True, model.variants[word]) if model.variants[word] >= toxicity.TERM_PRECISION else None
+        return word, True, model.unseen.get(t, toxicity.BASE_PRECISION) * 0.8 ** (e - 1)
+
+    tokens = text.split()
+    finds = []
+    for at, token in enumerate(tokens):
+        for word in toxicity.words_of(token.lower()):
+            if (found := best(word)) is not None:
+                finds.append((*found[:2], min(0.995, found[2] * toxicity.Scorer._context(tokens, at))))
+    if not finds:
+        return model.rest
+    clean = (1 - model.rest) * (1 - max((p for _, variant, p in finds if variant), default=0.0))
+    exact = {}
+    for word, variant, p in finds:
+        if not variant:
+            exact[word] = max(p, exact.get(word, 0.0))
+    for p in exact.values():
+        clean *= 1 - p
+    return min(1 - clean, model.single) if len(finds) == 1 and exact else 1 - clean
+
+
+def test_scores_against_their_definition(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.fit(docs, labels)
+    model.stems = {"lowei": 0.9, "achlich": 0.8, "erre": 0.7}  # the sample is too small for stems
+    model.variants = {"ther": 0.2, "moronn": 0.9}
+    texts = [r["text"] or "" for r in docs.collect()]
+    texts = [t for t in texts if len(t) < 4000][:60] + ["you moronn", 'he said "idiot" then', "m0ron and scum", "a scum", ""]
+    got = [s[0] for s in toxicity.Scorer(model).score(texts)]
+    assert got == pytest.approx([plain_score(model, t) for t in texts])
+
+
+def test_each_part_decides_documents(spark):
+    """Without the automaton planted misspellings are lost, without the windows planted quotations are taken for abuse."""
+    import random
+
+    rnd = random.Random(7)
+    plain = lambda: " ".join("".join(rnd.choice("aeioubcdfg") for _ in range(6)) for _ in range(10))
+    rows, labels = [], []
+    for k in range(600):
+        rows.append((k, f"{plain()} {rnd.choice(['snollygoster', 'blatherer']) if k % 3 == 0 else 'harmless'} {plain()}"))
+        labels.append((k, int(k % 3 == 0)))
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    bent = [f"{plain()} you {w} {plain()}" for w in ("snolygoster", "snollygosterr", "sn0llygoster", "blathherer", "blaterer", "bletherer") for _ in range(5)]
+    quoted = [f'{plain()} he wrote the word "{w}" there {plain()}' for w in ("snollygoster", "blatherer") for _ in range(10)]
+
+    class Exact(toxicity.Scorer):
+        def kind(self, word):
+            found = super().kind(word)
+            return None if found and found[0] == "variant" else found
+
+    class Windowless(toxicity.Scorer):
+        @staticmethod
+        def _context(tokens, at):
+            return 1.0
+
+    flagged = lambda kind, texts: sum(s[0] >= toxicity.THRESHOLD for s in kind(model).score(texts))
+    assert flagged(toxicity.Scorer, bent) == 30 and flagged(Exact, bent) == 0
+    assert flagged(toxicity.Scorer, quoted) == 0 and flagged(Windowless, quoted) == 20
+    assert flagged(toxicity.Scorer, [f"{plain()} you blatherer {plain()}"] * 3) == 3
+
+
+def test_numbers_are_no_letters(spark, odd):
+    model = spark.sparkContext.broadcast(langid.fit(odd))
+    df = spark.createDataFrame([(1, "½ ²"), (2, "Ⅷ ① 12"), (3, "½a"), (4, "Hello"), (4, "Hello")], "doc_id long, text string")
+    got = langid.identify(df, model).collect()
+    assert [(r["lang_pred"] == "und", r["score"] == 0) for r in got] == [(True, True)] * 2 + [(False, False)] * 3 and got[3] == got[4]
+    assert langid.words_of("a½b ²c x_y") == ["a", "b", "c", "x", "y"]
+
+
+def plain_language(docs):
+    """Counts, logs and backoff by their definitions, in dictionaries."""
+    import math
+    from collections import Counter
+
+    import regex
+
+    words = lambda t: regex.findall(r"\p{L}+", (t or "").lower())
+    grams = lambda w, n: [f"^{w}$"[k : k + n] for k in range(len(w) + 3 - n)] if n > 1 else list(w)
+    languages = sorted({lang for _, _, lang in docs if lang})
+    w, g = {x: Counter() for x in languages}, {x: Counter() for x in languages}
+    for i, t, lang in docs:
+        if lang and fold_of(i) != 2:
+            w[lang].update(words(t))
+    for x in languages:
+        for word, n in w[x].items():
+            for k in range(1, 6):
+                for gram in grams(word, k):
+                    g[x][gram] += n
+    known = {x for lang in languages for x, n in w[lang].items() if n >= 2}
+    parts = {x for lang in languages for x, n in g[lang].items() if n >= 3}
+    cut = lambda c, least: {x: (n if n >= least else 0) for x, n in c.items()}
+    w, g = {x: cut(w[x], 2) for x in languages}, {x: cut(g[x], 3) for x in languages}
+    total = {x: sum(w[x].get(y, 0) + 0.5 for y in known) for x in languages}
+    totals = {(x, k): sum(g[x].get(y, 0) + 0.5 for y in parts if len(y) == k) for x in languages for k in range(1, 6)}
+
+    def logs(word):
+        if word in known:
+            return [math.log((w[x].get(word, 0) + 0.5) / total[x]) for x in languages]
+        for k in range(5, 0, -1):
+            own = [y for y in grams(word, k) if y in parts]
+            if own:
+                return [sum(math.log((g[x].get(y, 0) + 0.5) / totals[x, k]) for y in own) / len(own) for x in languages]
+        return None
+
+    def predict(text):
+        found = words(text)
+        if not found:
+            return "und", 0.0
+        scored = [x for x in map(logs, found) if x]
+        mean = [sum(x[k] for x in scored) / max(1, len(scored)) for k in range(len(languages))]
+        share = [math.exp(m - max(mean)) for m in mean]
+        return languages[share.index(1.0)], 1 / sum(share)
+
+    return {i: predict(t) for i, t, _ in docs}
+
+
+def test_languages_against_their_definition(spark, small):
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    want = plain_language(docs)
+    for r in queries.op10_language_id(spark, small).collect():
+        lang, score = want[r["doc_id"]]
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-4), r
