@@ -10,9 +10,10 @@ Files without one of their own inherit from the nearest directory above that has
 reduced to distinct ones before they are joined to their ancestors, so a directory that holds a third of all files is
 one row there; the last join has plain equality on the directory, which adaptive execution may split.
 
-Null or empty text: no licence of its own.  A null path is no file of any directory: it inherits nothing.  Ties between
+Null or empty text: no licence of its own; texts are read whole, however long.  A null path is no file of any directory: it inherits nothing.  Ties between
 templates go to the name that sorts first, between licence files of a directory to the higher score, then that name.
-Rows that repeat a path are rows of their own.
+Rows that repeat a path are rows of their own.  Other columns, whatever their names, aren't read.  An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -25,11 +26,16 @@ from quillmark.llm.common import written
 TRIGGER = r"(?i)(licen[sc]|copyright|public domain|all rights reserved|spdx)"
 LICENCE_FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)([.-][a-z0-9.-]*)?$"
 LEAST = 0.5
-#: Short forms in which files name their licence; fixed values, several for a licence.
+#: Forms in which files name or give their licence; fixed values, several for a licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
@@ -130,7 +136,7 @@ def scan(files: DataFrame, id_col: str = "doc_id", path_col: str = "path", text_
     is_licence = F.coalesce(F.col("path").rlike(LICENCE_FILE) if licence_file is None else licence_file, F.lit(False))
     named = own.withColumn("row", F.xxhash64("doc_id", "path", "text"))
     flagged = named.select("row", "doc_id", "path", is_licence.alias("is_licence"), F.when(F.col("text").rlike(TRIGGER), F.col("text")).otherwise("").alias("text"))
-    found = written(detect(flagged.filter("text != ''"), F.col("path").rlike(LICENCE_FILE), least), "licenses")
+    found = written(detect(flagged.filter("text != ''"), F.col("is_licence"), least), "licenses")
     heads = flagged.filter("text != ''").select("row", "path", "is_licence").join(found, "row")
     given = inherit(own.select("path"), heads.filter("is_licence").select("path", "license", "score"))
     rows = named.select("row", "doc_id", "path", parent(F.col("path")).alias("directory"))

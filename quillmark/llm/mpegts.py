@@ -4,10 +4,13 @@ mux() stores a binary payload losslessly: a program association table, a program
 access units, each one PES packet of a private stream with a presentation time stamp, spread over 188-byte packets.
 Every unit starts a packet whose adaptation field flags a random-access point and carries a clock reference.
 demux() reads such a stream back: it checks sync bytes and the tables' CRC, follows PAT to PMT to the elementary
-stream, checks continuity counters, reassembles PES packets, and reports time stamps and random-access points.
+stream, checks continuity counters, reassembles PES packets, and reports time stamps and random-access points.  Tables
+may be spread over several packets; a packet that is sent twice, and a break that is announced, are no errors.
 
 Nulls: a null payload gives a null stream; a null or empty stream gives an empty payload with zero counts.  A damaged
-stream doesn't stop a job: its row says so in `crc_errors`, `continuity_errors` and `sync_errors`.
+stream doesn't stop a job: its row says so in `crc_errors`, `continuity_errors` and `sync_errors`.  Payloads are stored
+whole, however long; equal ones give equal streams.  Rows that repeat are rows of their own; a null id stays null.  Other
+columns, whatever their names, aren't read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -97,16 +100,36 @@ def mux_bytes(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def _read_section(body: bytes) -> tuple[int, bytes, bool]:
-    """table id, section without head and CRC, whether the CRC fits."""
-    at = 1 + body[0] if body else 1
-    if at + 3 > len(body):
-        return -1, b"", False
-    length = (body[at + 1] & 0x0F) << 8 | body[at + 2]
-    section = body[at : at + 3 + length]
-    if len(section) < max(12, 3 + length):
-        return -1, b"", False
-    return section[0], section[8:-4], crc32_mpeg(section) == 0
+def _sections(packets: list[tuple[bool, bytes]]) -> Iterator[bytes]:
+    """The sections of one PID's packets (whether one starts there, body), each possibly spread over several packets."""
+    buffer: bytes | None = None
+    for starts, body in packets:
+        if starts:
+            pointer = body[0] if body else 0
+            tail, head = body[1 : 1 + pointer], body[1 + pointer :]
+            if buffer:
+                done, cut_off = _whole(buffer + tail)
+                yield from [*done, cut_off] if cut_off else done
+            buffer = head
+        elif buffer is not None:
+            buffer += body
+        if buffer is not None:
+            done, buffer = _whole(buffer)
+            yield from done
+    if buffer:
+        yield buffer  # one that never ended
+
+
+def _whole(buffer: bytes) -> tuple[list[bytes], bytes]:
+    """The complete sections that buffer starts with, and what is left; stuffing is dropped."""
+    out = []
+    while len(buffer) >= 3 and buffer[0] != 0xFF:
+        size = 3 + ((buffer[1] & 0x0F) << 8 | buffer[2])
+        if len(buffer) < size:
+            return out, buffer
+        out.append(buffer[:size])
+        buffer = buffer[size:]
+    return out, b"" if buffer[:1] in (b"", b"\xff") else buffer
 
 
 def demux_bytes(stream: bytes | None) -> dict:
@@ -126,12 +149,12 @@ def demux_bytes(stream: bytes | None) -> dict:
 
     def table(pid: int, want: int) -> bytes | None:
         found = None
-        for k in np.flatnonzero(good & (pids == pid) & starts):
-            kind, body, fits = _read_section(packets[k, begin[k] :].tobytes())
-            if not fits:
+        rows = np.flatnonzero(good & (pids == pid) & (control & 1 > 0))
+        for section in _sections([(bool(starts[k]), packets[k, begin[k] :].tobytes()) for k in rows]):
+            if len(section) < 12 or crc32_mpeg(section) != 0:
                 out["crc_errors"] += 1
-            elif kind == want and found is None:
-                found = body
+            elif section[0] == want and found is None:
+                found = section[8:-4]
         return found
 
     pat = table(PAT_PID, 0x00)
@@ -148,8 +171,17 @@ def demux_bytes(stream: bytes | None) -> dict:
         return out
     own = np.flatnonzero(good & (pids == out["es_pid"]))
     carrying = own[control[own] & 1 > 0]
+    # A packet may be sent twice in a row, clock reference apart; the second says nothing new.
+    same = (np.diff(counters[carrying].astype(np.int32)) == 0) & (starts[carrying][1:] == starts[carrying][:-1])
+    for k in np.flatnonzero(same):
+        a, b = carrying[k], carrying[k + 1]
+        same[k] = bytes(packets[a, begin[a] :]) == bytes(packets[b, begin[b] :])
+    twice = np.concatenate([[False], same & ~np.concatenate([[False], same[:-1]])]) if len(carrying) else np.zeros(0, bool)
+    carrying = carrying[~twice]
     steps = np.diff(counters[carrying].astype(np.int32)) & 15
-    out["continuity_errors"] = int((steps != 1).sum())
+    # A break that its packet announces is none.
+    announced = (control[carrying] & 2 > 0) & (packets[carrying, 4] > 0) & (packets[carrying, 5] & 0x80 > 0)
+    out["continuity_errors"] = int(((steps != 1) & ~announced[1:]).sum())
     heads = np.flatnonzero(starts[carrying])
     flagged = (control[carrying] & 2 > 0) & (packets[carrying, 4] > 0) & (packets[carrying, 5] & 0x40 > 0)
     out["random_access"] = [int(x) for x in carrying[flagged]]

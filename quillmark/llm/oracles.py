@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from quillmark.llm import licenses, secrets
+from quillmark.llm import licenses, mixing, secrets
 
 
 def quoted(text: str) -> str:
@@ -44,8 +44,10 @@ _TEMPLATES = ", ".join(f"({k}, {quoted(name)}, {quoted(text)})" for k, (name, te
 _TRIGGER = quoted(licenses.TRIGGER)
 _TERM = quoted(r"[a-z0-9]+(?:\.[0-9]+)*")
 
-LICENSES = rf"""WITH files AS (SELECT doc_id, coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/' || CAST(floor(doc_id / 1000) AS BIGINT) AS dir, coalesce(text, '') AS text FROM documents),
- units AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(lower(s), {_TERM}) AS words FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM files) WHERE regexp_matches(s, {_TRIGGER})),
+LICENSES = rf"""WITH flagged AS (SELECT doc_id, coalesce(source, 'none') AS d1, coalesce(lang, 'none') AS d2, CAST(floor(doc_id / 1000) AS BIGINT) AS d3, coalesce(text, '') AS text, coalesce(regexp_matches(string_split(text, chr(10))[-1], {_TRIGGER}), false) AS closes FROM documents),
+ files AS (SELECT doc_id, text, closes, d1, d1 || '/' || d2 AS d2, d1 || '/' || d2 || '/' || d3 AS d3, CASE WHEN closes THEN ((doc_id % 3) + 3) % 3 + 1 ELSE 3 END AS depth FROM flagged),
+ placed AS (SELECT *, CASE depth WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS dir FROM files),
+ units AS (SELECT doc_id, row_number() OVER () AS n, regexp_extract_all(lower(s), {_TERM}) AS words FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM placed UNION ALL SELECT doc_id, text FROM placed WHERE closes) WHERE regexp_matches(s, {_TRIGGER})),
  tpl(template, license, text) AS (VALUES {_TEMPLATES}),
  ttf AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), {_TERM})) AS term FROM tpl) GROUP BY ALL),
  total AS (SELECT (SELECT count(*) FROM units WHERE len(words) > 0) + {len(licenses.TEMPLATES)} AS n),
@@ -58,9 +60,28 @@ LICENSES = rf"""WITH files AS (SELECT doc_id, coalesce(source, 'none') || '/' ||
  cos AS (SELECT doc_id, license, round(sum(uw.w * tw.w / tw.norm) / any_value(un.norm), 6) AS score FROM uw JOIN tw USING (term) JOIN un USING (unit) GROUP BY doc_id, unit, template, license),
  ranked AS (SELECT doc_id, license, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS rn FROM cos WHERE score >= {licenses.LEAST}),
  own AS (SELECT doc_id, license, score FROM ranked WHERE rn = 1),
- heads AS (SELECT DISTINCT dir, license, score FROM files JOIN own USING (doc_id) WHERE regexp_matches(string_split(text, chr(10))[-1], {_TRIGGER})),
+ heads AS (SELECT DISTINCT dir, license, score FROM placed JOIN own USING (doc_id) WHERE closes),
  given AS (SELECT dir, license, score FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) AS rn FROM heads) WHERE rn = 1)
- SELECT f.doc_id, f.dir || '/' || f.doc_id || '.txt' AS path, coalesce(o.license, g.license) AS license, coalesce(o.score, g.score) AS score, CASE WHEN o.license IS NOT NULL THEN 'header' WHEN g.license IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN o.license IS NULL THEN g.dir END AS from_dir
- FROM files f LEFT JOIN own o ON f.doc_id = o.doc_id LEFT JOIN given g ON f.dir = g.dir"""
+ SELECT f.doc_id, f.dir || '/' || f.doc_id || '.txt' AS path, coalesce(o.license, g3.license, g2.license, g1.license) AS license, coalesce(o.score, g3.score, g2.score, g1.score) AS score, CASE WHEN o.license IS NOT NULL THEN 'header' WHEN coalesce(g3.license, g2.license, g1.license) IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN o.license IS NULL THEN coalesce(g3.dir, g2.dir, g1.dir) END AS from_dir
+ FROM placed f LEFT JOIN own o ON f.doc_id = o.doc_id LEFT JOIN given g3 ON f.depth = 3 AND f.d3 = g3.dir LEFT JOIN given g2 ON f.depth >= 2 AND f.d2 = g2.dir LEFT JOIN given g1 ON f.d1 = g1.dir"""
 
-ORACLES = {"op4_secrets": SECRETS, "op9_licenses": LICENSES}
+_FLAT = mixing.FLATTENING
+_share = lambda c: f"(length(text) - length(replace(text, '{c}', ''))) / greatest(length(text), 1)"
+_scaled = lambda d, w: f"{w} * t.to_{d} / sum({w}) OVER (PARTITION BY t.{d})"
+
+#: Raking by a recursion of 200 rounds; the factor by the sorted cells, of which those in front have probability one.
+MIXING = f"""WITH RECURSIVE t0 AS (SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, text, CAST(ceil(coalesce(length(text), 0) / 4) AS BIGINT) AS n_tokens FROM documents),
+ p AS (SELECT doc_id, source, lang, CASE WHEN text IS NULL THEN '(none)' WHEN {_share("|")} > 0.02 THEN 'table' WHEN {_share("#")} + {_share("%")} + {_share("*")} > 0.02 THEN 'noise' WHEN {_share("!")} > 0.02 THEN 'shouting' WHEN length(text) < 1000 THEN 'short' ELSE 'long' END AS topic, n_tokens FROM t0),
+ cells AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS n FROM p GROUP BY ALL HAVING sum(n_tokens) > 0),
+ ws AS (SELECT source, pow(sum(n), {_FLAT["source"]}) AS raw FROM cells GROUP BY source), wl AS (SELECT lang, pow(sum(n), {_FLAT["lang"]}) AS raw FROM cells GROUP BY lang), wt AS (SELECT topic, pow(sum(n), {_FLAT["topic"]}) AS raw FROM cells GROUP BY topic),
+ start AS (SELECT c.*, ws.raw / (SELECT sum(raw) FROM ws) AS to_source, wl.raw / (SELECT sum(raw) FROM wl) AS to_lang, wt.raw / (SELECT sum(raw) FROM wt) AS to_topic, n / (SELECT sum(n) FROM cells) AS w FROM cells c JOIN ws USING (source) JOIN wl USING (lang) JOIN wt USING (topic)),
+ rk AS (SELECT 0 AS round, * FROM start UNION ALL SELECT round + 1, source, lang, topic, n, to_source, to_lang, to_topic, {_scaled("topic", "w2")} FROM (SELECT *, {_scaled("lang", "w1")} AS w2 FROM (SELECT *, {_scaled("source", "w")} AS w1 FROM rk t WHERE round < 200) t) t),
+ fit AS (SELECT source, lang, topic, n, w, to_source, to_lang, to_topic, w * (SELECT sum(n) FROM cells) / n AS ratio FROM rk WHERE round = 200),
+ ranked AS (SELECT *, row_number() OVER f AS j, sum(n) OVER f AS sure, sum(n * ratio) OVER (ORDER BY ratio, source DESC, lang DESC, topic DESC) - n * ratio AS rest, lead(ratio) OVER f AS next FROM fit WINDOW f AS (ORDER BY ratio DESC, source, lang, topic)),
+ cut AS (SELECT 0 AS j, 0.5 * (SELECT sum(n) FROM cells) / (SELECT sum(n * ratio) FROM fit) AS factor, (SELECT max(ratio) FROM fit) AS next UNION ALL SELECT j, (0.5 * (SELECT sum(n) FROM cells) - sure) / rest, next FROM ranked WHERE next IS NOT NULL AND rest > 0),
+ best AS (SELECT arg_min(factor, j) AS factor FROM cut WHERE factor * next < 1),
+ missed AS (SELECT max(x) AS r FROM (SELECT abs(sum(w) - any_value(to_source)) AS x FROM fit GROUP BY source UNION ALL SELECT abs(sum(w) - any_value(to_lang)) FROM fit GROUP BY lang UNION ALL SELECT abs(sum(w) - any_value(to_topic)) FROM fit GROUP BY topic)),
+ found AS (SELECT p.*, coalesce(w, 0.0) AS w, coalesce(least(1.0, ratio * factor), 0.5) AS probability FROM p LEFT JOIN fit USING (source, lang, topic), best)
+ SELECT doc_id, source, lang, topic, n_tokens, round(w, 9) AS weight, round(probability, 6) AS probability, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8)) AS UBIGINT) / 4294967296.0 < probability AS sampled, round(r, 6) AS residual FROM found, missed"""
+
+ORACLES = {"op4_secrets": SECRETS, "op5_mixing": MIXING, "op9_licenses": LICENSES}

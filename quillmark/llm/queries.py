@@ -54,7 +54,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm import mixing
 
     rounded = lambda c, digits: F.round(c, digits).alias(c)
-    return mixing.mix(table(spark, sf_dir, "documents"), rate=0.5).select("doc_id", "source", "lang", "topic", "n_tokens", rounded("weight", 9), rounded("probability", 6), "sampled")
+    return mixing.mix(table(spark, sf_dir, "documents"), rate=0.5).select("doc_id", "source", "lang", "topic", "n_tokens", rounded("weight", 9), rounded("probability", 6), "sampled", rounded("residual", 6))
 
 
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,14 +76,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents lie at source/language/thousand/id; one that closes with a licence notice licenses its directory."""
+    """Documents lie at source/language/thousand/id; one that closes with a licence notice is a licence file.
+
+    Licence files lie in such a directory or in one of the two above it, by their id, so files inherit from all levels.
+    """
     from quillmark.llm import licenses
 
     docs = table(spark, sf_dir, "documents")
-    thousand = F.floor(F.col("doc_id") / 1000).cast("string")
-    files = docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), thousand, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
-    closes = F.substring_index("text", "\n", -1).rlike(licenses.TRIGGER)
-    return licenses.scan(files, licence_file=closes)
+    closes = F.coalesce(F.substring_index("text", "\n", -1).rlike(licenses.TRIGGER), F.lit(False))
+    levels = F.array(F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"))
+    depth = F.when(closes, F.pmod("doc_id", F.lit(3)).cast("int") + 1).otherwise(3)
+    path = F.concat_ws("/", F.slice(levels, 1, depth), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return licenses.scan(docs.select("doc_id", "text", path.alias("path")), licence_file=closes)
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

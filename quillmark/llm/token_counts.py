@@ -12,7 +12,8 @@ Three steps, each linear in the input:
 No row or group grows with the corpus: a block holds each pre-token once, so even the most frequent word is one entry
 for each 10 MB of text, and buckets hold many words.
 
-Null text counts as empty: zero bytes, zero tokens.  Repeated rows are counted each; null ids are kept.
+Null text counts as empty: zero bytes, zero tokens.  Repeated rows are counted each; null ids are kept.  A very long text
+is a block of its own.  Other columns, whatever their names, aren't read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillmark.llm.common import blocks, id_text, partitions, worker_state, written
+from quillmark.llm.common import blocks, id_text, partitions, release, worker_state, written
 
 #: Entries of a worker's chunk cache; it only saves work.
 CACHE_ENTRIES = 300_000
@@ -58,18 +59,28 @@ class PreTokenizer:
         self._at_special = re.compile(f"({'|'.join(alternatives)})").split if alternatives else None
         self._cache: dict[str, list[str]] = {}
 
+        # What this file makes of a plain word, asked of its own normalizer and pre-tokenizer: itself, or itself in lower case.
+        probe = "AbcXyz"
+        made = self._pieces(probe)
+        self._plain = str if made == [probe] else str.lower if made == [probe.lower()] else None
+        if any(" " in piece or "\u0120" in piece or "\u2581" in piece for piece in self._pieces("a b")):
+            raise ValueError(f"{path}: its pre-tokens hold white space; only pre-tokenizers that drop it can be cut by chunks")
+
+    def _pieces(self, text: str) -> list[str]:
+        if self.tokenizer.normalizer is not None:
+            text = self.tokenizer.normalizer.normalize_str(text)
+        return [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
     def _cut(self, chunk: str) -> list[str]:
-        if chunk.isascii() and chunk.isalpha():
-            return [chunk.lower()]
+        if self._plain and chunk.isascii() and chunk.isalpha():
+            return [self._plain(chunk)]
         parts = self._at_special(chunk) if self._at_special else [chunk]
         out = []
         for part in parts:
             if part in self.special:
                 out.append(part)
             elif part:
-                if self.tokenizer.normalizer is not None:
-                    part = self.tokenizer.normalizer.normalize_str(part)
-                out += [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
+                out += self._pieces(part)
         return out
 
     def learn(self, chunks: set[str]) -> dict[str, list[str]]:
@@ -172,18 +183,21 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_pieces(pieces: DataFrame, path: str) -> DataFrame:
-    """block, start, counts (unsigned 32-bit integers) of rows whose buckets lie together in a partition."""
+    """block, start, counts (unsigned 32-bit integers) of rows in order of their bucket; one bucket's pre-tokens are held at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, known = _tokenizer(path), {}
+        cutter, known, at = _tokenizer(path), {}, None
         for batch in batches:
             counts = []
-            for own in batch.column(2).to_pylist():
+            for own, bucket in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if bucket != at:
+                    known, at = {}, bucket
                 for piece in own:
                     if piece not in known:
                         known[piece] = cutter.count(piece)
                 counts.append(np.fromiter((known[p] for p in own), "<u4", len(own)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.binary())], names=["block", "start", "counts"])
+        release()
 
     return pieces.mapInArrow(run, "block bigint, start int, counts binary")
 
@@ -209,6 +223,6 @@ def count_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """doc_id, n_bytes (UTF-8), n_tokens of every row."""
     spread = partitions(df.sparkSession)
     found = written(document_frequencies(id_text(df, id_col, text_col), path, BUCKETS * spread), "pieces")
-    pieces = found.filter("bucket is not null").select("block", "start", "pieces", "bucket").repartition(spread, "bucket").select("block", "start", "pieces")
+    pieces = found.filter("bucket is not null").select("block", "start", "pieces", "bucket").repartition(spread, "bucket").sortWithinPartitions("bucket")
     left = found.filter("bucket is null").select(F.col("block").alias("part"), "doc_ids", "n_bytes", "ends", "pairs")
     return left.groupBy("part").cogroup(count_pieces(pieces, path).groupBy("block")).applyInArrow(_sum_block, "doc_id bigint, n_bytes bigint, n_tokens bigint")

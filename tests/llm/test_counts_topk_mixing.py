@@ -152,3 +152,46 @@ def test_mixing_query_meets_its_rate(spark):
     rows = queries.op5_mixing(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == 1000
     assert sum(r["n_tokens"] * r["probability"] for r in rows) == pytest.approx(0.5 * sum(r["n_tokens"] for r in rows), rel=1e-4)
+
+
+@pytest.mark.parametrize("lowers", [True, False])
+def test_plain_words_follow_the_file(tmp_path, lowers):
+    """A tokenizer file that keeps cases must not have its words lowered."""
+    import json
+
+    spec = json.loads(open(PATH, encoding="utf-8").read())
+    if not lowers:
+        spec["normalizer"] = None
+    own = tmp_path / "own.json"
+    own.write_text(json.dumps(spec))
+    cutter, library = token_counts.PreTokenizer(str(own)), Tokenizer.from_file(str(own))
+    for text in ("Hello", "hello", "ABC"):
+        assert sum(map(cutter.count, cutter._cut(text))) == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_pre_tokenizer_that_keeps_spaces_is_refused():
+    with pytest.raises(ValueError, match="white space"):
+        token_counts.PreTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    df = spark.createDataFrame([(1, "x" * 4000, "a", "en"), (2, "x" * 4000, "b", "de"), (2, "x" * 4000, "b", "de"), (None, None, None, None)], "doc_id long, text string, source string, lang string")
+    targets = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.5)], "value string, target double"), "lang": spark.createDataFrame([("en", 0.8), ("de", 0.2)], "value string, target double")}
+    with pytest.warns(UserWarning, match="misses its target"):
+        rows = mixing.mix(df, targets=targets).collect()
+    assert len(rows) == 4 and all(r["residual"] == pytest.approx(0.3) for r in rows)
+    crossed = spark.createDataFrame([(k, "x" * (1200 + 400 * k), s, x) for k, (s, x) in enumerate((s, x) for s in "ab" for x in ("en", "de"))], "doc_id long, text string, source string, lang string")
+    assert all(r["residual"] < 1e-9 for r in mixing.mix(crossed).select("residual").collect())
+
+
+def test_many_cells_give_the_same(spark, monkeypatch, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    want = by_id(mixing.mix(docs))
+    monkeypatch.setattr(mixing, "SMALL_CELLS", 0)
+    for k, r in by_id(mixing.mix(docs)).items():
+        assert r["probability"] == pytest.approx(want[k]["probability"], abs=1e-9) and r["weight"] == pytest.approx(want[k]["weight"], abs=1e-10)
+
+
+def test_sampled_keeps_clashing_names(spark):
+    df = spark.createDataFrame([(1, "x" * 400, "a", "en"), (1, "x" * 400, "a", "en")], "doc_id long, text string, source string, lang string").withColumns({c: F.lit("clash") for c in ("_source", "_lang", "_topic", "_probability", "cell_source", "cell_lang", "CELL_topic", "cell_probability", "residual")})
+    assert mixing.sampled(df, rate=1.0).columns == df.columns and mixing.sampled(df, rate=1.0).count() == 2
