@@ -31,11 +31,11 @@ from quillmark.llm.common import blocks, id_text, worker_state
 MATRIX_WIDTH = 256
 BUCKETS = (4, 6, 8, 12, 16, 24, 32, 64, 128, MATRIX_WIDTH)
 #: Bytes of the chunk cache of one worker, and of its pre-token cache; beyond it they start afresh.  They only save work.
-CACHE_BYTES = 32 << 20
+CACHE_BYTES = 24 << 20
 #: What an entry takes besides its characters and ids.
 ENTRY_BYTES = 150
-#: Cells of a matrix.
-CELLS = 1 << 18
+#: Text bytes that are encoded at once, and cells of a matrix.
+BLOCK, CELLS = 1 << 20, 1 << 18
 #: Unicode White_Space, which the reference encoders take for \s; Python's \s has four control characters more.
 SPACE = r"\t-\r \x85\xa0  -     　"
 NONE = np.int32(2**31 - 1)
@@ -277,7 +277,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks_path, pattern)
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             found = coder.encode(block.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([block.column(0), _lengths(found), pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
@@ -293,7 +293,7 @@ def decode(df: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks_path, pattern)
-        for block in blocks(batches, text=2):
+        for block in blocks(batches, text=2, limit=4 * BLOCK):
             found = [coder.decode(np.frombuffer(x, "<u4")) for x in block.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([*block.columns, pa.array(found, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])
 
@@ -305,7 +305,7 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(ranks_path, pattern)
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             found = coder.encode(block.column(1).to_pylist())
             decoded = [coder.decode(np.frombuffer(x, "<u4")) for x in found]
             yield pa.RecordBatch.from_arrays([block.column(0), _lengths(found), pa.array(found, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "n_tokens", "ids", "decoded"])

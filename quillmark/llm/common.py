@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zlib
@@ -16,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker holds at once; a longer single text forms a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+#: Bytes of an Arrow batch between the JVM and a Python worker, which both hold; by rows alone, long texts make large ones.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +31,17 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     Selecting first keeps every other column, whatever its name, out of the operator and out of the scan.
     """
+    small_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes for this session, unless it already asks for smaller ones."""
+    found = re.fullmatch(r"(\d+)b?", str(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")))
+    if not found or int(found[1]) <= 0 or int(found[1]) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: int = 1, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches so that column number `text` of each piece has at most `limit` bytes, or one row."""
     for batch in batches:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillmark.llm.common import blocks, fold, fresh, id_text, own_columns, worker_state, written
+from quillmark.llm.common import blocks, fold, fresh, id_text, own_columns, small_batches, worker_state, written
 
 UNDETERMINED = "und"
 LONGEST = 5
@@ -234,6 +234,7 @@ def tagged(df: DataFrame, model: Broadcast, text_col: str = "text", names: tuple
                 scores.append(found)
             yield pa.StructArray.from_arrays([pa.array(languages, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=["lang_pred", "score"])
 
+    small_batches(df.sparkSession)
     found = fresh(df, "found")
     score = F.arrow_udf(run, "lang_pred string, score double").asNondeterministic()  # not to be run twice, for a filter and again
     both = df.select(*own_columns(df), score(F.col(text_col).cast("string")).alias(found))
