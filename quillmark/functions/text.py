@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPLIT = "[^a-z0-9+#-]+"
 EMBEDDING_VERSION = "v1"
 CHUNK_CHARS, CHUNK_OVERLAP, CHARS_PER_TOKEN = 2048, 200, 4
-#: Short forms that a query may use, with what they stand for.
+#: Short forms of statistics, with what they stand for.
 ABBREVIATIONS = {
-    "avg": "average", "std": "deviation", "stdev": "deviation", "corr": "correlation", "reg": "regression", "pct": "percent", "num": "number", "cat": "categorical",
-    "freq": "frequency", "dist": "distribution", "var": "variance", "dup": "duplicate", "col": "column", "viz": "visualization", "pred": "prediction",
+    "sd": "standard deviation", "std": "standard deviation", "se": "standard error", "ci": "confidence interval", "anova": "analysis of variance",
+    "df": "degrees of freedom", "corr": "correlation", "rmse": "root mean square error", "mae": "mean absolute error", "mse": "mean square error",
+    "iqr": "interquartile range", "eda": "exploratory data analysis", "ml": "machine learning", "pca": "principal component analysis", "pdf": "probability density function",
 }
+#: Rules for word endings, of which the first that fits holds: pattern of the whole token, letters to cut, letters to add.
+#: A token that fits none has no such form.
+TO_SINGULAR = ((r"^.{2,}ies$", 3, "y"), (r"^.+(s|x|z|ch|sh)es$", 2, ""), (r"^.*[^s]s$", 1, ""))
+TO_PLURAL = ((r"^.*s$", 0, None), (r"^.*y$", 1, "ies"), (r"^.*$", 0, "s"))
+SHORTEST = 4
 MAX_ADDED, MAX_TERMS = 6, 40
 
 
@@ -58,56 +66,50 @@ def cache_key(workspace: Column, model: Column, query: Column) -> Column:
     return F.concat_ws("::", workspace, model, normalized_query(query))
 
 
+def _form(token: Column, rules: tuple) -> Column:
+    out = F.when(F.length(token) < SHORTEST, None)
+    for pattern, cut, add in rules:
+        out = out.when(token.rlike(pattern), F.lit(None) if add is None else F.concat(F.substring(token, F.lit(1), F.length(token) - cut), F.lit(add)))
+    return out
+
+
+def _form_of(token: str, rules: tuple) -> str | None:
+    for pattern, cut, add in rules if len(token) >= SHORTEST else ():
+        if re.search(pattern, token):
+            return None if add is None else token[: len(token) - cut] + add
+    return None
+
+
 def singular(token: Column) -> Column:
     """A plausible singular of a plural token, or null."""
-    n = F.length(token)
-    cut = lambda k: F.substring(token, F.lit(1), n - k)
-    return (
-        F.when(n <= 3, None)
-        .when(token.endswith("ies") & (n > 4), F.concat(cut(3), F.lit("y")))
-        .when(token.rlike("(s|x|z|ch|sh)es$"), cut(2))
-        .when(token.endswith("s") & ~token.endswith("ss"), cut(1))
-    )
+    return _form(token, TO_SINGULAR)
 
 
 def plural(token: Column) -> Column:
     """A plausible plural of a token that doesn't end with s, or null."""
-    n = F.length(token)
-    return F.when((n <= 3) | token.endswith("s"), None).when(token.endswith("y"), F.concat(F.substring(token, F.lit(1), n - 1), F.lit("ies"))).otherwise(F.concat(token, F.lit("s")))
+    return _form(token, TO_PLURAL)
 
 
 def singular_of(token: str) -> str | None:
-    if len(token) <= 3:
-        return None
-    if token.endswith("ies") and len(token) > 4:
-        return token[:-3] + "y"
-    if token.endswith(("ses", "xes", "zes", "ches", "shes")):
-        return token[:-2]
-    return token[:-1] if token.endswith("s") and not token.endswith("ss") else None
+    """singular() for a literal."""
+    return _form_of(token, TO_SINGULAR)
 
 
 def plural_of(token: str) -> str | None:
-    if len(token) <= 3 or token.endswith("s"):
-        return None
-    return token[:-1] + "ies" if token.endswith("y") else token + "s"
+    """plural() for a literal."""
+    return _form_of(token, TO_PLURAL)
 
 
 def tokens_of(text: str) -> list[str]:
     """tokenize() for a literal."""
-    import re
-
     return [t for t in re.split(SPLIT, text.lower()) if len(t) > 1]
 
 
 def expanded(tokens: list[str], abbreviations: dict[str, str] | None = None, most: int = MAX_ADDED) -> list[str]:
-    """Terms to add to a query: what a short form stands for, else the singular, else the plural; at most `most`."""
+    """At most `most` terms to add to a query: for each token the words that a short form stands for, and its singular or else its plural."""
     short = ABBREVIATIONS if abbreviations is None else abbreviations
-    added: list[str] = []
-    for token in tokens:
-        other = short.get(token) or singular_of(token) or plural_of(token)
-        if other and other not in tokens and other not in added:
-            added.append(other)
-    return added[:most]
+    candidates = [word for token in tokens for text in (short.get(token), singular_of(token) or plural_of(token)) if text for word in tokens_of(text)]
+    return [t for t in dict.fromkeys(candidates) if t not in set(tokens)][:most]
 
 
 def merged_terms(base: list[str], *bags: list[str], most: int = MAX_TERMS) -> list[str]:

@@ -8,22 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.operators.sampling import with_position
+
 RRF_K = 60
 #: What is added to a fused score.
 BOOSTS = {"active": 0.15, "stale": 0.05, "superseded": -0.10, "dataset": 0.2, "cell": 0.3, "column": 0.2, "near_cell": 0.15, "near_source": 0.10}
 
 
-def rank_by(score: str, pos: str, query: str | None = None) -> Column:
-    """1-based rank, best first, ties by position; within each query if there are several."""
-    window = Window.partitionBy(query) if query else Window.partitionBy(F.lit(0))
-    return F.row_number().over(window.orderBy(F.col(score).desc_nulls_last(), pos))
+def rank_by(score: str, pos: str, query: str) -> Column:
+    """1-based rank within each query, best first, ties by position."""
+    return F.row_number().over(Window.partitionBy(query).orderBy(F.col(score).desc_nulls_last(), pos))
+
+
+def ranked(df: DataFrame, score: str, pos: str, name: str = "rank", query: str | None = None) -> DataFrame:
+    """Adds the rank, best first, ties by position; within each query, or of all rows, by ranges instead of in one task."""
+    if query:
+        return df.withColumn(name, rank_by(score, pos, query))
+    placed = with_position(df, [F.col(score).desc_nulls_last(), F.col(pos)], name)
+    return placed.withColumn(name, F.col(name) + 1)
 
 
 def fused(df: DataFrame, scores: Sequence[str], pos: str, query: str | None = None, k: int = RRF_K) -> DataFrame:
     """Adds rrf: the sum of 1 / (k + rank) over the scores.  Every row has a rank in each, also with score zero."""
     total = F.lit(0.0)
     for s in scores:
-        df = df.withColumn(f"_rank_{s}", rank_by(s, pos, query))
+        df = ranked(df, s, pos, f"_rank_{s}", query)
         total = total + 1.0 / (k + F.col(f"_rank_{s}"))
     return df.withColumn("rrf", total).drop(*(f"_rank_{s}" for s in scores))
 

@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmark.functions.coerce import js_round
-from quillmark.functions.text import source_hash
+from quillmark.functions.text import chunk_hash, source_hash
 
 #: The kinds of records, and what older kinds became.
 KINDS = ("notebook_cell", "notebook_output", "notebook_visualization", "dataset_profile", "column_semantic", "data_representative", "relationship", "error", "note", "functionality", "guide")
-LEGACY_KINDS = {"cell": "notebook_cell", "output": "notebook_output", "chart": "notebook_visualization", "profile": "dataset_profile", "column": "column_semantic", "sample": "data_representative", "glossary": "note"}
+LEGACY_KINDS = {"cell": "notebook_cell", "dataset": "dataset_profile", "operation": "column_semantic", "result": "notebook_output", "statistic": "notebook_output", "export": "notebook_output", "visualization": "notebook_visualization"}
 METADATA = "status string, source string, columns array<string>, column string, title string, operation string, extra map<string,string>"
 PROVENANCE = "workspace_id string, notebook_id string, cell_id string, upload_id string, content_hash string, dataset_ids array<string>, dataset_name string, columns array<string>, operation string, source_cell_ids array<string>, depends_on array<string>, chunk_id string, row_indices array<int>"
 RECORD = f"id string, workspace_id string, dataset_id string, notebook_id string, cell_id string, kind string, text string, metadata struct<{METADATA.replace(' string', ':string').replace(' array', ':array').replace(' map', ':map')}>, provenance struct<{PROVENANCE.replace(' string', ':string').replace(' array', ':array')}>, source_hash string, created_at timestamp, updated_at timestamp, _pos bigint"
@@ -189,11 +189,16 @@ def fallback_text(name: str, dataset_id: str, columns: list[tuple[str, str, list
     return f"Representative sample for {name} ({dataset_id}): {' | '.join(parts)}"
 
 
-def dataset_records(spark: SparkSession, workspace: str, dataset_id: str, texts: list[tuple[str, str, str, str | None]], name: str | None = None, content_hash: str | None = None) -> DataFrame:
-    """Records of a dataset from (suffix of the id, kind, text, column); at most one for each column and chunk."""
-    df = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "pos int, suffix string, kind string, text string, column string")
+def dataset_records(spark: SparkSession, workspace: str, dataset_id: str, texts: list[tuple], name: str | None = None, content_hash: str | None = None) -> DataFrame:
+    """Records of a dataset from (suffix of the id, kind, text, column), and for a chunk the positions of its rows.
+
+    There is at most one for each column and chunk.
+    """
+    rows = [(k, *t[:4], t[4] if len(t) > 4 else None, int(t[0].rpartition(":")[2]) if len(t) > 4 else None) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "pos int, suffix string, kind string, text string, column string, row_indices array<int>, chunk int")
+    chunk = F.when(F.col("chunk").isNotNull(), chunk_hash(F.lit(content_hash or ""), F.col("chunk"), F.col("text")))
     columns = F.when(F.col("column").isNotNull(), F.array("column"))
-    return records(df, id=F.concat(F.lit(f"dataset:{dataset_id}:"), "suffix"), kind=F.col("kind"), text=F.col("text"), workspace=F.lit(workspace), notebook=F.lit(f"nb:{workspace}"), dataset=F.lit(dataset_id), metadata={"source": F.col("kind"), "column": F.col("column"), "columns": columns}, provenance={"dataset_ids": F.array(F.lit(dataset_id)), "upload_id": F.lit(dataset_id), "dataset_name": F.lit(name), "content_hash": F.lit(content_hash), "columns": columns}, pos=F.col("pos"))
+    return records(df, id=F.concat(F.lit(f"dataset:{dataset_id}:"), "suffix"), kind=F.col("kind"), text=F.col("text"), workspace=F.lit(workspace), notebook=F.lit(f"nb:{workspace}"), dataset=F.lit(dataset_id), metadata={"source": F.col("kind"), "column": F.col("column"), "columns": columns}, provenance={"dataset_ids": F.array(F.lit(dataset_id)), "upload_id": F.lit(dataset_id), "dataset_name": F.lit(name), "content_hash": F.lit(content_hash), "columns": columns, "chunk_id": chunk, "row_indices": F.col("row_indices")}, pos=F.col("pos"))
 
 
 def relationship_texts(dataset_id: str, together: DataFrame, keys: list[str], duplicates: tuple[int, float], composite: list[tuple[str, str]], quality: DataFrame, high: list[str], average: float) -> list[tuple[str, str]]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillmark.functions.text import tokenize, tokens_of
+from quillmark.sources.shared import checkpointed
 
 K1, B = 1.2, 0.75
+#: Distinct terms of queries up to which they are broadcast; beyond it they meet the corpus by a shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def term_frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -40,17 +43,23 @@ def bm25(docs: DataFrame, query: list[str], key: str = "doc_id", text: str = "te
 
 
 def bm25_many(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, key, bm25 for a table of queries (query_id, query): an inverted index joined on terms; hits only."""
-    tf = term_frequencies(docs, key, text)
-    lengths = docs.select(key, F.size(tokenize(F.col(text))).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("avg")).first()
-    average = max(1.0, stats["avg"] or 0.0)
+    """query_id, key, bm25 for a table of queries (query_id, query): an inverted index joined on terms; hits only.
+
+    One pass over the texts counts them, their lengths, and the frequencies of terms that a query asks for; no other
+    term is shuffled.  The index is computed once and kept.
+    """
     asked = queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    df = tf.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.select("term", F.greatest(F.lit(0.0), F.log(1 + (stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
-    hits = asked.join(idf, "term").join(tf, "term").join(lengths, key)
+    terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    seen = Observation()
+    tokens = docs.select(key, tokenize(F.col(text)).alias("t")).select(key, "t", F.size("t").alias("len")).observe(seen, F.count("*").alias("n"), F.avg("len").alias("avg"))
+    index = checkpointed(tokens.select(key, "len", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy(key, "len", "term").agg(F.count("*").alias("f")))
+    stats = seen.get
+    n, average = stats["n"], max(1.0, stats["avg"] or 0.0)
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    idf = df.select("term", F.greatest(F.lit(0.0), F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / average))
-    return hits.groupBy("query_id", key).agg(F.sum(part).alias("bm25"))
+    return asked.join(idf, "term").join(index, "term").groupBy("query_id", key).agg(F.sum(part).alias("bm25"))
 
 
 def keyword_hits(haystack: Column, query: str) -> Column:

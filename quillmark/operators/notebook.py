@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillmark.sources.shared import checkpointed
+
 PRECEDING = 5
 
 
@@ -58,24 +60,24 @@ def stale_dependents(cells: DataFrame, changed: str) -> DataFrame:
     """
     edges = cells.select(F.col("id").alias("child"), "idx", F.explode("depends_on").alias("parent"))
     position = cells.select(F.col("id").alias("parent"), F.col("idx").alias("parent_idx"))
-    forward = edges.join(position, "parent").filter("parent_idx < idx").select("parent", "child").distinct().checkpoint()
+    forward = checkpointed(edges.join(position, "parent").filter("parent_idx < idx").select("parent", "child").distinct())
     single = forward.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("to")).filter((F.col("n") == 1) & (F.col("child") != changed))
-    pointers = single.select(F.col("child").alias("id"), "to").checkpoint()
+    pointers = checkpointed(single.select(F.col("child").alias("id"), "to"))
     for _ in range(64):
-        jumped = pointers.join(pointers.toDF("to", "beyond"), "to", "left").select("id", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")).checkpoint()
+        jumped = checkpointed(pointers.join(pointers.toDF("to", "beyond"), "to", "left").select("id", F.coalesce("beyond", "to").alias("to"), F.col("beyond").isNotNull().alias("moved")))
         pointers = jumped.select("id", "to")
         if jumped.filter("moved").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("cells depend on each other in a circle")
     ends = pointers.select(F.col("id").alias("parent"), "to")
-    joints = forward.join(pointers.select(F.col("id").alias("child")), "child", "left_anti").join(ends, "parent", "left").select("child", F.coalesce("to", "parent").alias("parent")).checkpoint()
+    joints = checkpointed(forward.join(pointers.select(F.col("id").alias("child")), "child", "left_anti").join(ends, "parent", "left").select("child", F.coalesce("to", "parent").alias("parent")))
     frontier = reached = cells.sparkSession.createDataFrame([(changed,)], "id string")
     while True:
-        frontier = joints.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct().join(reached, "id", "left_anti").checkpoint()
+        frontier = checkpointed(joints.join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi").select(F.col("child").alias("id")).distinct().join(reached, "id", "left_anti"))
         if frontier.limit(1).count() == 0:
             break
-        reached = reached.unionByName(frontier).checkpoint()
+        reached = checkpointed(reached.unionByName(frontier))
     beyond = pointers.join(reached.withColumnRenamed("id", "to"), "to", "left_semi").select("id")
     return reached.unionByName(beyond).filter(F.col("id") != changed).join(active(cells).select("id"), "id", "left_semi")
 

@@ -1,7 +1,8 @@
 """Dataset profiles: five pipelines, each a few wide aggregates over one scan.
 
 Nothing here orders a whole table in one partition.  Exact order statistics come from brackets: approximate percentiles
-enclose each wanted rank, one more pass counts what lies below a bracket and the distinct values inside it.
+enclose each wanted rank until a bracket is small, then the values inside it are counted.  An empty table has a row for
+each column, too, with zero counts and shares, and without statistics.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 from quillmark.functions.coerce import finite, is_missing, js_round, trim_ws, value_kind
 
 DUPLICATE_CAP, PAIR_COLUMNS, HIGH_MISSING, TOGETHER, UNIQUE, MAJORITY, COMPOSITES, CANDIDATES, TOP = 5000, 4, 20.0, 0.3, 0.98, 0.5, 2, 3, 5
-#: Distinct values inside the brackets that the driver may hold; beyond it brackets are narrowed again.
+#: Rows inside a bracket up to which its values are counted one by one; beyond it the bracket is narrowed.
 BRACKET_VALUES = 200_000
 
 
@@ -96,51 +97,84 @@ def long_format(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(cells))
 
 
+def _every(df: DataFrame, columns: list[str], **values: Column) -> DataFrame:
+    """df with a row for each of columns; values: what a column without a row has."""
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(df, "column", "left").select("column", *(F.coalesce(c, values[c]).alias(c) if c in values else F.col(c) for c in df.columns if c != "column"))
+
+
 def column_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, rows, missing, missing_pct, unique, cardinality_ratio."""
     values = long_format(df, columns).groupBy("column", "value").count()
     n = F.sum("count")
     missing = F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("count"))), F.lit(0))
     found = values.groupBy("column").agg(n.alias("rows"), missing.alias("missing"), F.count("value").alias("unique"))
-    return found.select("column", "rows", "missing", js_round(100.0 * F.col("missing") / F.col("rows"), 2).alias("missing_pct"), "unique", js_round(F.col("unique") / F.col("rows"), 3).alias("cardinality_ratio"))
+    none = F.lit(0).cast("bigint")
+    found = _every(found, columns, rows=none, missing=none, unique=none)
+    n = F.greatest(F.lit(1), F.col("rows"))
+    return found.select("column", "rows", "missing", js_round(100.0 * F.col("missing") / n, 2).alias("missing_pct"), "unique", js_round(F.col("unique") / n, 3).alias("cardinality_ratio"))
 
 
 def values_at(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, dict[int, float]]:
     """The values at 0-based ranks of the ascending order of each column (double, nulls left out).
 
-    Brackets come from approximate percentiles; what lies inside is counted by value.  If that is still more than the
-    driver should hold, the brackets' rows are searched again with smaller ranks.
+    Each rank has a bracket of values that holds it, at first all of them.  A pass over the table cuts every bracket
+    with more than `BRACKET_VALUES` rows by percentiles of its own rows, all of them in one long format, and keeps the
+    cut around the rank.  A bracket of equal values, or one that no cut makes smaller, is done; so each pass divides the
+    rest by more than a thousand.  One more pass counts the values inside.
     """
     ranks = {c: sorted(set(r)) for c, r in ranks.items() if r}
     if not ranks:
         return {}
-    sizes = df.agg(*(F.count(c).alias(c) for c in ranks)).first()
-    accuracy = 10_000
-    wanted = {c: [(max(0.0, (r - 2) / sizes[c] - 2 / accuracy), min(1.0, (r + 2) / sizes[c] + 2 / accuracy)) for r in rs] for c, rs in ranks.items()}
-    cuts = df.agg(*(F.percentile_approx(c, [p for pair in wanted[c] for p in pair], accuracy).alias(c) for c in ranks)).first()
-    brackets = {c: [(cuts[c][2 * k], cuts[c][2 * k + 1]) for k in range(len(rs))] for c, rs in ranks.items()}
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(k).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.col(c).alias("value")) for c, pairs in brackets.items() for k, (lo, hi) in enumerate(pairs)))
-    below = df.agg(*(F.count_if(F.col(c) < lo).alias(f"{c}/{k}") for c, pairs in brackets.items() for k, (lo, _) in enumerate(pairs))).first()
-    inside = df.select(F.inline(cells)).filter("value between lo and hi").groupBy("column", "k", "value").count()
+    first = df.agg(*(x for c in ranks for x in (F.count(c).alias(f"n_{c}"), F.min(c).alias(f"lo_{c}"), F.max(c).alias(f"hi_{c}")))).first()
+    # (column, rank): least and greatest value, rows inside, rows below.
+    found = {(c, r): (first[f"lo_{c}"], first[f"hi_{c}"], first[f"n_{c}"], 0) for c, rs in ranks.items() for r in rs}
+    done: set[tuple[str, int]] = set()
+    while todo := [key for key, (lo, hi, n, _) in found.items() if key not in done and lo != hi and n > BRACKET_VALUES]:
+        for (c, r), cut in _narrowed(df, {key: found[key] for key in todo}).items():
+            if cut[2] >= found[c, r][2]:
+                done.add((c, r))
+            found[c, r] = cut
+    inside = _inside(df, found).groupBy("column", "rank", "value").agg(F.count("*").alias("n"))
+    below = Window.partitionBy("column", "rank").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    start = F.create_map(*(F.lit(x) for (c, r), (_, _, _, at) in found.items() for x in (f"{c}/{r}", at)))
+    upto = inside.withColumn("upto", F.sum("n").over(below) + start[F.concat("column", F.lit("/"), F.col("rank").cast("string"))])
+    rows = upto.filter(F.col("upto") > F.col("rank")).groupBy("column", "rank").agg(F.min("value").alias("value")).collect()
     out: dict[str, dict[int, float]] = {c: {} for c in ranks}
-    found = inside.limit(BRACKET_VALUES + 1).collect()
-    if len(found) > BRACKET_VALUES:
-        for c, pairs in brackets.items():
-            for k, (lo, hi) in enumerate(pairs):
-                r = ranks[c][k]
-                out[c][r] = values_at(df.filter(F.col(c).between(lo, hi)).select(c), {c: [r - below[f"{c}/{k}"]]})[c][r - below[f"{c}/{k}"]]
-        return out
-    by: dict[tuple[str, int], list] = {}
-    for row in found:
-        by.setdefault((row["column"], row["k"]), []).append((row["value"], row["count"]))
-    for c, rs in ranks.items():
-        for k, r in enumerate(rs):
-            at = below[f"{c}/{k}"]
-            for value, count in sorted(by[c, k]):
-                at += count
-                if at > r:
-                    out[c][r] = value
-                    break
+    for row in rows:
+        out[row["column"]][row["rank"]] = row["value"]
+    return out
+
+
+Brackets = dict[tuple[str, int], tuple[float, float, int, int]]
+
+
+def _inside(df: DataFrame, brackets: Brackets) -> DataFrame:
+    """column, rank, value: of the rows inside each bracket."""
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.lit(r).cast("bigint").alias("rank"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.col(c).alias("value")) for (c, r), (lo, hi, _, _) in brackets.items()))
+    return df.select(F.inline(cells)).filter("value between lo and hi").select("column", "rank", "value")
+
+
+def _narrowed(df: DataFrame, brackets: Brackets, accuracy: int = 10_000) -> Brackets:
+    """Of each bracket the part around its rank, with the rows in it and below it."""
+    place = {(c, r): (r - below, n) for (c, r), (_, _, n, below) in brackets.items()}
+    share = lambda key, step: min(1.0, max(0.0, (place[key][0] + step) / place[key][1] + step / accuracy))
+    shares = sorted({share(key, step) for key in brackets for step in (-2, 2)})
+    cuts = _inside(df, brackets).groupBy("column", "rank").agg(F.percentile_approx("value", shares, accuracy).alias("at")).collect()
+    ends = {}
+    for row in cuts:
+        key = (row["column"], row["rank"])
+        ends[key] = tuple(row["at"][shares.index(share(key, step))] for step in (-2, 2))
+    lo = F.create_map(*(F.lit(x) for (c, r), (a, _) in ends.items() for x in (f"{c}/{r}", a)))
+    hi = F.create_map(*(F.lit(x) for (c, r), (_, b) in ends.items() for x in (f"{c}/{r}", b)))
+    name = F.concat("column", F.lit("/"), F.col("rank").cast("string"))
+    sums = _inside(df, brackets).groupBy("column", "rank").agg(F.count_if(F.col("value") < lo[name]).alias("under"), F.count_if(F.col("value").between(lo[name], hi[name])).alias("n")).collect()
+    out: Brackets = {}
+    for row in sums:
+        key = (row["column"], row["rank"])
+        under = brackets[key][3] + row["under"]
+        # Percentiles are approximate: a part that misses the rank isn't taken.
+        out[key] = (*ends[key], row["n"], under) if under <= key[1] < under + row["n"] else brackets[key]
     return out
 
 
@@ -162,6 +196,7 @@ def numeric_profile(df: DataFrame, spec: DatasetSpec, columns: list[str] | None
     modes = by_value.filter("x is not null").groupBy("column").agg(F.max_by("x", F.struct("count", -F.col("x"))).alias("mode"))
     n, x = F.count("x"), F.col("x")
     moments = numbers.select(F.inline(cells)).groupBy("column").agg(n.alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.var_samp(x).alias("variance"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
+    moments = _every(moments, columns, n=F.lit(0).cast("bigint"))
     shrink = (F.col("n") - 1) / F.col("n")
     flat = (F.col("n") < 3) | (F.coalesce("variance", F.lit(0.0)) == 0)
     some = F.col("n") > 0
@@ -203,7 +238,7 @@ def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
     """column, missing, missing_pct, high: of every column."""
     columns = columns or df.columns
     sums = df.agg(F.count("*").alias("rows"), *(F.count_if(is_missing(F.col(c))).alias(c) for c in columns))
-    pct = 100.0 * F.col("missing") / F.col("rows")
+    pct = 100.0 * F.col("missing") / F.greatest(F.lit(1), F.col("rows"))
     long = sums.select("rows", F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("missing")) for c in columns))))
     return long.select("column", "missing", js_round(pct, 2).alias("missing_pct"), (pct > HIGH_MISSING).alias("high"))
 
@@ -211,7 +246,7 @@ def missing_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
 def missing_per_row(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """avg_missing_per_row, max_missing_per_row."""
     count = sum((is_missing(F.col(c)).cast("int") for c in columns or df.columns), F.lit(0))
-    return df.agg(js_round(F.avg(count), 2).alias("avg_missing_per_row"), F.max(count).alias("max_missing_per_row"))
+    return df.agg(js_round(F.coalesce(F.avg(count), F.lit(0.0)), 2).alias("avg_missing_per_row"), F.coalesce(F.max(count), F.lit(0)).alias("max_missing_per_row"))
 
 
 def missing_together(df: DataFrame, columns: list[str] | None = None, most: int = PAIR_COLUMNS, least: float = TOGETHER) -> DataFrame:
@@ -234,7 +269,9 @@ def key_profile(df: DataFrame, spec: DatasetSpec, columns: list[str] | None = No
     cells = F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(_text(c), F.lit("")).alias("raw"), is_missing(F.col(c)).alias("missing")) for c in columns))
     values = df.select(F.inline(cells)).groupBy("column", "raw", "missing").count()
     by = values.groupBy("column").agg(F.sum("count").alias("rows"), F.count_if(~F.col("missing")).alias("unique"), F.coalesce(F.sum(F.when(F.col("missing"), F.col("count"))), F.lit(0)).alias("missing"), F.count("*").alias("raw"))
-    ratio = F.col("unique") / F.col("rows")
+    none = F.lit(0).cast("bigint")
+    by = _every(by, columns, rows=none, unique=none, missing=none, raw=none)
+    ratio = F.col("unique") / F.greatest(F.lit(1), F.col("rows"))
     return by.select("column", ((ratio > UNIQUE) & (F.col("missing") == 0)).alias("unique_col"), ((ratio == 1) & (F.col("missing") == 0)).alias("candidate_key"), (F.col("raw") / F.greatest(F.lit(1), F.col("rows")) > MAJORITY).alias("high_cardinality"))
 
 
@@ -269,4 +306,4 @@ def quality_profile(df: DataFrame, spec: DatasetSpec, columns: list[str] | None
     by = df.select(F.inline(cells)).groupBy("column").agg(
         F.coalesce(F.bool_or(F.col("raw") != trim_ws(F.col("raw"))), F.lit(False)).alias("whitespace"), F.coalesce(kinds > 1, F.lit(False)).alias("mixed_types"), F.count_if(F.col("numeric") & (F.col("kind") != "numeric")).alias("invalid")
     )
-    return by
+    return _every(by, columns, whitespace=F.lit(False), mixed_types=F.lit(False), invalid=F.lit(0).cast("bigint"))

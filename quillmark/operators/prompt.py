@@ -57,11 +57,14 @@ def assembled(header: str, lines: DataFrame, histories: DataFrame | None = None)
 def live(cache: DataFrame, now: Column, ttl: int = TTL_SECONDS, most: int = CACHE_SIZE) -> DataFrame:
     """Entries (workspace, model, query, reply, at, vector) within their time, the last `most` put first of each key.
 
-    A key that is set again keeps its place in the order; its newest reply counts.  The bound on the number makes the
-    ordered limit a small one.
+    A key that is set again within its time keeps its place in the order, and its newest reply counts; one that is set
+    after its time is a new entry with a new place.  The bound on the number makes the ordered limit a small one.
     """
     keyed = cache.withColumn("key", cache_key(F.col("workspace"), F.col("model"), F.col("query")))
-    latest = keyed.groupBy("key").agg(F.min("at").alias("first_at"), F.max_by(F.struct("workspace", "model", "query", "reply", "at", "vector"), "at").alias("e"))
+    before = Window.partitionBy("key").orderBy("at")
+    renewed = F.coalesce(F.unix_timestamp("at") - F.unix_timestamp(F.lag("at").over(before)) > ttl, F.lit(True))
+    starts = keyed.withColumn("start", F.max(F.when(renewed, F.col("at"))).over(before))
+    latest = starts.groupBy("key").agg(F.max("start").alias("first_at"), F.max_by(F.struct("workspace", "model", "query", "reply", "at", "vector"), "at").alias("e"))
     kept = latest.orderBy(F.desc("first_at"), "key").limit(most)
     return kept.select("key", "first_at", "e.*").filter(F.unix_timestamp(now) - F.unix_timestamp("at") <= ttl)
 
@@ -75,5 +78,6 @@ def exact_hits(asked: DataFrame, entries: DataFrame) -> DataFrame:
 def similar_hits(asked: DataFrame, entries: DataFrame, least: float = SIMILAR) -> DataFrame:
     """query_id, reply, similarity: the nearest live entry of the same workspace and model, ties to the later one."""
     e = entries.select("workspace", "model", "reply", "at", F.col("vector").alias("known"))
-    near = asked.join(F.broadcast(e), ["workspace", "model"]).withColumn("similarity", cosine_or_zero(F.col("vector"), F.col("known"))).filter(F.col("similarity") >= least)
+    e = F.broadcast(e) if entries.count() <= CACHE_SIZE else e
+    near = asked.join(e, ["workspace", "model"]).withColumn("similarity", cosine_or_zero(F.col("vector"), F.col("known"))).filter(F.col("similarity") >= least)
     return near.groupBy("query_id").agg(F.max_by(F.struct("reply", "similarity"), F.struct("similarity", "at", "reply")).alias("best")).select("query_id", "best.*")

@@ -93,7 +93,7 @@ def dataset_provider(df: DataFrame | None, spec: DatasetSpec, dataset_id: str, o
         columns = column_texts(df, spec) if profiled else [(c, f'Column "{c}" is {k}') for c, k in kinds.items()]
         texts += [(f"col:{c}", "column_semantic", t, c) for c, t in columns]
         chunks = representative_texts(df, spec, dataset_id, content_hash) or [(knowledge.fallback_text(spec.file_name, dataset_id, [(c, k, None) for c, k in kinds.items()]), [])]
-        texts += [(f"rep:{k}", "data_representative", t, None) for k, (t, _) in enumerate(chunks)]
+        texts += [(f"rep:{k}", "data_representative", t, None, rows) for k, (t, rows) in enumerate(chunks)]
         return knowledge.dataset_records(spark, workspace, dataset_id, texts, spec.file_name, content_hash)
 
     return provide

@@ -9,13 +9,15 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.functions.coerce import finite
 from quillmark.operators.profile import logical_kind
+from quillmark.sources.shared import checkpointed
 
+SEED = "sample-v1"
 SAMPLE_N, HEAD_TAIL_MAX, HEAD_TAIL_SHARE, RARE = 200, 15, 0.15, 5
 EXACT_MAX, MEDIUM_MAX, MEDIUM_BASE, MEDIUM_DIVISOR, MEDIUM_CAP = 1000, 5000, 400, 10, 1000
 
@@ -32,19 +34,20 @@ def sample_metadata(n: int, sample_n: int = SAMPLE_N) -> dict:
     return {"n": min(sample_n, n), "coverage": "exact" if 0 < n <= min(sample_n, EXACT_MAX) else "sample", "method": "stratified"}
 
 
-def with_position(df: DataFrame, order: list[str], name: str = "_pos") -> DataFrame:
-    """Adds 0-based positions without a single-partition window: range-partitioned ranks plus offsets of the ranges."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).withColumn("_part", F.spark_partition_id())
-    ranged = ranged.persist()
-    sizes = sorted((r["_part"], r["count"]) for r in ranged.groupBy("_part").count().collect())
-    offsets, total = {}, 0
-    for part, size in sizes:
-        offsets[part] = total
-        total += size
-    start = F.create_map(*(F.lit(x) for pair in offsets.items() for x in pair)) if offsets else F.create_map()
-    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn(name, (inside + F.element_at(start, F.col("_part"))).cast("bigint")).drop("_part")
+def with_position(df: DataFrame, order: list[str | Column], name: str = "_pos") -> DataFrame:
+    """Adds 0-based positions in an order without a single task for all: ranges, sorted each, and what lies before each.
+
+    The ranges are computed once and kept, as another run might cut them elsewhere.
+    """
+    spark, own = df.sparkSession, df.columns
+    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    # The id's upper bits are the range, the lower 33 the place in it.
+    ranged = checkpointed(ranged.withColumn("_id", F.monotonically_increasing_id())).withColumn("_range", F.shiftright("_id", 33))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    place = F.col("_start") + F.col("_id").bitwiseAND((1 << 33) - 1)
+    return ranged.join(F.broadcast(starts), "_range").select(*own, place.cast("bigint").alias(name))
 
 
 def head_tail(df: DataFrame, pos: str, n: int, sample_n: int) -> DataFrame:
@@ -69,8 +72,9 @@ def rare_rows(df: DataFrame, pos: str, column: str, k: int = RARE) -> DataFrame:
     return by.orderBy("count", "seen").limit(k).select("value", "count", "pos")
 
 
-def seed_of(dataset: str, content_hash: str, version: str = "v1") -> str:
-    return hashlib.sha256(f"{dataset}:{content_hash}:{version}".encode()).hexdigest()
+def seed_of(dataset: str, content_hash: str, seed: str = SEED, version: str = "v1") -> str:
+    """The text that starts the generator; seed names a series of samples."""
+    return hashlib.sha256(f"{dataset}:{content_hash}:{seed}:{version}".encode()).hexdigest()
 
 
 def lcg(seed: str, n: int) -> Iterator[int]:

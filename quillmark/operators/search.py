@@ -8,6 +8,8 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+from pyspark.storagelevel import StorageLevel
 
 from quillmark.functions.text import expanded, merged_terms, tokens_of
 from quillmark.functions.vectors import Embedder, cosine, embed
@@ -15,7 +17,11 @@ from quillmark.operators import fusion, lexical, rerank
 from quillmark.operators.knowledge import normalized, union_first
 
 LIMIT, DATA_LIMIT, FALLBACK = 8, 12, 0.5
-HISTORY = re.compile(r"(?i)\b(originally|previously|history|before|earlier|superseded)\b")
+#: Queries of a table that are broadcast together.
+QUERIES_AT_ONCE = 10_000
+#: What asks for older records, anywhere in a query.
+HISTORY = re.compile("(?i)originally|previously|history|before|earlier|superseded")
+RESULT = ("id", "kind", "text", "score", "place")
 
 
 @dataclass(frozen=True)
@@ -99,7 +105,9 @@ def search(records: DataFrame, query: str, request: Request, embedder: Embedder
 
     extra: provider records, of which stored ones with the same id win; appended: records added as they are.
     vectors: (text, vector) known already; missing texts go through the embedder, each once.  cells: id, idx, for
-    distances.  Without an embedder, or if it fails on the query, ranking is lexical only.
+    distances.  Without an embedder ranking is lexical only.  A query without text, and an embedder that fails on the
+    query or on a text, give the first records, all with the same score.  Vectors of the candidates are made before they
+    are ranked, so that a failure shows here.
     """
     request = request.normalized(query)
     found = candidates(normalized(records), request)
@@ -109,7 +117,7 @@ def search(records: DataFrame, query: str, request: Request, embedder: Embedder
         found = found.unionByName(normalized(more))
     found = filtered(found, request)
     if not query.strip():
-        return found.orderBy("_pos", "id").limit(request.limit).select("id", "kind", "text", F.lit(FALLBACK).alias("score"))
+        return first_ones(found, request.limit)
     tokens = tokens_of(query)
     terms = merged_terms(tokens, expanded(tokens) if request.expand else [], [t for e in request.extra_terms for t in tokens_of(e)])
     scored = lexical.bm25(found, terms, key="id")
@@ -117,13 +125,13 @@ def search(records: DataFrame, query: str, request: Request, embedder: Embedder
     if embedder is not None:
         try:
             vector = [float(x) for x in embedder([query])[0]]
-        except Exception:  # any failing model degrades to lexical ranking
-            vector = None
+            missing = scored if vectors is None else scored.select("text").join(vectors, "text", "left_anti")
+            made = embed(missing, "text", embedder).select("text", "vector").persist(StorageLevel.MEMORY_AND_DISK)
+            made.count()
+        except Exception:  # any failing model
+            return first_ones(found, request.limit)
+        known = made if vectors is None else vectors.select("text", "vector").unionByName(made)
     if vector is not None:
-        known = vectors if vectors is not None else embed(scored, "text", embedder)
-        if vectors is not None:
-            missing = scored.select("text").join(vectors, "text", "left_anti")
-            known = vectors.unionByName(embed(missing, "text", embedder))
         scored = scored.join(known.select("text", "vector"), "text", "left")
         scored = scored.withColumn("dense", F.coalesce(cosine(F.col("vector"), F.array(*map(F.lit, vector))), F.lit(0.0)))
     else:
@@ -148,12 +156,20 @@ def search(records: DataFrame, query: str, request: Request, embedder: Embedder
     )
     ranked = ranked.withColumn("score", F.col("rrf") + raised)
     if not request.rerank:
-        top = ranked.orderBy(F.desc("score"), "_order").limit(request.limit)
-        return top.select("id", "kind", "text", "score")
+        return placed(ranked.orderBy(F.desc("score"), "_order").limit(request.limit), F.desc("score"), F.col("_order"))
     pool = ranked.orderBy(F.desc("score"), "_order").limit(max(request.limit, rerank.POOL))
     again = rerank.rerank(pool, query)
-    picked = rerank.mmr(again, request.limit, "id", pos="_order")
-    return again.select("id", "kind", "text").join(picked, "id").select("id", "kind", "text", "score", "place")
+    picked = rerank.mmr(again, request.limit, "id", pos="_order", rank="rank" if "rank" in again.columns else None)
+    return again.select("id", "kind", "text").join(picked, "id").select(*RESULT)
+
+
+def placed(top: DataFrame, *order: Column) -> DataFrame:
+    """The result's columns of a bounded number of rows."""
+    return top.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))).select(*RESULT)
+
+
+def first_ones(found: DataFrame, limit: int) -> DataFrame:
+    return placed(found.orderBy("_pos", "id").limit(limit).withColumn("score", F.lit(FALLBACK)), F.col("_pos"), F.col("id"))
 
 
 def vector_search(vectors: DataFrame, query: Sequence[float], k: int = 5, condition: Column | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
@@ -163,6 +179,25 @@ def vector_search(vectors: DataFrame, query: Sequence[float], k: int = 5, condit
     return rows.withColumn("score", score).orderBy(F.col("score").desc_nulls_last(), key).limit(k)
 
 
+def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", at_once: int = QUERIES_AT_ONCE) -> DataFrame:
+    """query_id, key, score, place: the k rows nearest to each query (query_id, query) by cosine, ties by key.
+
+    At most `at_once` queries are broadcast in one go, each round scans the vectors once; rows meet queries of their own
+    length only.  The rank filter keeps k rows for each query and task before anything is shuffled.
+    """
+    rounds = max(1, -(-queries.count() // at_once))
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), key)
+    rows = vectors.select(key, vector, F.size(vector).alias("_width"))
+    out = None
+    for k_round in range(rounds):
+        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == k_round) if rounds > 1 else queries
+        asked = F.broadcast(some.select("query_id", "query", F.size("query").alias("_width")))
+        scored = rows.join(asked, "_width").select("query_id", key, cosine(F.col(vector), F.col("query")).alias("score"))
+        top = scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+        out = top if out is None else out.unionByName(top)
+    return out
+
+
 def recall_at(golden: DataFrame, ranked: DataFrame, k: int = 3) -> DataFrame:
     """recall: the share of golden (query_id, id) that are among the first k places of ranked (query_id, id, place)."""
     top = ranked.filter(F.col("place") <= k).select("query_id", "id").distinct().withColumn("hit", F.lit(1))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmark.sources.shared import read
+
 #: A literal query of words that the documents have.
 QUERY = "the and of that"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read(spark, sf_dir, name)
 
 
 def orders_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:

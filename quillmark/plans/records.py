@@ -200,7 +200,7 @@ def mark_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return notebook.stale_dependents(cells, first)
 
 
-MARK_STALE = f"WITH RECURSIVE {CELLS}, reach AS (SELECT id, 0 AS depth FROM cells WHERE CAST(id AS BIGINT) = (SELECT min(event_id) FROM events) UNION ALL SELECT c.id, depth + 1 FROM cells c JOIN reach r ON c.parent = r.id WHERE depth < 1000) SELECT r.id FROM reach r JOIN cells c ON c.id = r.id WHERE depth > 0 AND c.status = 'active'"
+MARK_STALE = f"WITH RECURSIVE {CELLS}, reach AS (SELECT id, 0 AS depth FROM cells WHERE CAST(id AS BIGINT) = (SELECT min(event_id) FROM events) UNION ALL SELECT c.id, depth + 1 FROM cells c JOIN reach r ON c.parent = r.id) SELECT r.id FROM reach r JOIN cells c ON c.id = r.id WHERE depth > 0 AND c.status = 'active'"
 
 
 def notebook_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def bm25_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BM25_BATCH = f"""WITH toks AS (SELECT doc_id, {tokens_sql("text")} AS t FROM documents), lens AS (SELECT doc_id, len(t) AS l FROM toks), stats AS (SELECT count(*) AS n, greatest(1.0, avg(l)) AS a FROM lens),
- q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tokens_sql("substr(text, 1, 60)")}) AS term FROM benchmark) GROUP BY ALL),
+ q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tokens_sql("text")}) AS term FROM benchmark) GROUP BY ALL),
  tf AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY ALL), df AS (SELECT term, count(*) AS d FROM tf GROUP BY term)
  SELECT query_id, doc_id, {rounded_sql("sum(qtf * greatest(0.0, ln(1 + (n - d + 0.5) / (d + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a)))", 6)} AS bm25 FROM q JOIN df USING (term) JOIN tf USING (term) JOIN lens USING (doc_id), stats GROUP BY query_id, doc_id"""
 
@@ -70,6 +70,16 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 COSINE_TOPK = f"SELECT e.vec_id, {rounded_sql(COSINE, 6)} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) z ORDER BY {COSINE} DESC, e.vec_id LIMIT 5"
 
 
+def cosine_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set is every vector whose number is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.vector_search_many(vectors, queries, 5).select("query_id", "vec_id", "place", rounded("score"))
+
+
+COSINE_TOPK_MANY = f"SELECT query_id, vec_id, CAST(place AS INTEGER) AS place, {rounded_sql('s', 6)} AS score FROM (SELECT z.vec_id AS query_id, e.vec_id, {COSINE} AS s, row_number() OVER (PARTITION BY z.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS place FROM embeddings e JOIN embeddings z ON z.vec_id % 50 = 0) WHERE place <= 5"
+
+
 def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_search(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 8, F.col("label").isin(1, 2, 3)).select("vec_id", "label", rounded("score"))
 
@@ -85,7 +95,7 @@ def _both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.withColumn("dense", F.coalesce(V.cosine(F.col("embedding"), vector), F.lit(0.0))).withColumn("bm25", rounded("bm25")).withColumn("dense", rounded("dense"))
 
 
-RRF_CTE = BM25_CTE + f""", pairs AS (SELECT s.doc_id, {rounded_sql("s.bm25", 6)} AS bm25, {rounded_sql(COSINE, 6)} AS dense, e.label FROM scored s JOIN embeddings e ON s.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) z),
+RRF_CTE = BM25_CTE + f""", pairs AS (SELECT s.doc_id, {rounded_sql("s.bm25", 6)} AS bm25, {rounded_sql(f"coalesce({COSINE}, 0.0)", 6)} AS dense, e.label FROM scored s LEFT JOIN embeddings e ON s.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) z),
  fused AS (SELECT *, 1.0 / (60 + row_number() OVER (ORDER BY dense DESC, doc_id)) + 1.0 / (60 + row_number() OVER (ORDER BY bm25 DESC, doc_id)) AS rrf FROM pairs)"""
 
 
@@ -104,20 +114,20 @@ def boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BOOSTED_SEARCH = f"""WITH {RRF_CTE} SELECT f.doc_id, round(rrf + CASE WHEN quality = 1 THEN 0.15 WHEN quality = 0 THEN -0.1 ELSE 0.05 END + CASE WHEN source = 'src1' THEN 0.2 ELSE 0.0 END + CASE WHEN label = 1 THEN 0.3 + 0.3 ELSE 0.0 END
- + CASE WHEN lang = 'de' THEN 0.2 ELSE 0.0 END + 0.15 / (1 + abs(label - 3)) + 0.1 / (1 + abs(label - 5)), 9) AS score FROM fused f JOIN documents d ON f.doc_id = d.doc_id LEFT JOIN labels l ON f.doc_id = l.doc_id"""
+ + CASE WHEN lang = 'de' THEN 0.2 ELSE 0.0 END + coalesce(0.15 / (1 + abs(label - 3)), 0.0) + coalesce(0.1 / (1 + abs(label - 5)), 0.0), 9) AS score FROM fused f JOIN documents d ON f.doc_id = d.doc_id LEFT JOIN labels l ON f.doc_id = l.doc_id"""
 
-FEATURE_QUERY = "the and"
+FEATURE_QUERY = "the and the"
 
 
 def feature_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = bm25_all(spark, sf_dir).orderBy(F.desc("bm25"), "doc_id").limit(rerank.POOL).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").withColumnRenamed("bm25", "score")
-    return rerank.by_features(pool, FEATURE_QUERY).select("doc_id", "features", rounded("score"))
+    return rerank.by_features(pool, FEATURE_QUERY, order="doc_id").select("doc_id", "features", "rank", rounded("score"))
 
 
 FEATURE_RERANK = f"""WITH {BM25_CTE}, pool AS (SELECT doc_id, {rounded_sql("bm25", 6)} AS score FROM scored ORDER BY 2 DESC, 1 LIMIT 24),
  x AS (SELECT p.doc_id, score, lower(text) AS low, coalesce(list_position(t, 'the'), 0) AS a, coalesce(list_position(t, 'and'), 0) AS b FROM pool p JOIN documents USING (doc_id) JOIN toks USING (doc_id)),
- y AS (SELECT doc_id, score, 2.0 * (CAST(a > 0 AS INTEGER) + CAST(b > 0 AS INTEGER)) / 2.0 + CASE WHEN contains(low, '{FEATURE_QUERY}') THEN 1.5 ELSE 0.0 END + CASE WHEN a > 0 AND b > 0 AND abs(a - b) <= 10 THEN 0.5 ELSE 0.0 END AS features FROM x)
- SELECT doc_id, features, {rounded_sql("score + features", 6)} AS score FROM y"""
+ y AS (SELECT doc_id, score, 2.0 * (2 * CAST(a > 0 AS INTEGER) + CAST(b > 0 AS INTEGER)) / 3.0 + CASE WHEN contains(low, '{FEATURE_QUERY}') THEN 1.5 ELSE 0.0 END + CASE WHEN a > 0 AND b > 0 AND abs(a - b) <= 10 THEN 0.5 ELSE 0.0 END AS features FROM x)
+ SELECT doc_id, features, CAST(row_number() OVER (ORDER BY features DESC, score DESC, doc_id) AS INTEGER) AS rank, {rounded_sql("score + features", 6)} AS score FROM y"""
 
 
 def mmr_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +198,10 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.recall_at(golden, ranked, 3).join(bench.agg(F.count("*").alias("asked")), F.lit(True))
 
 
-RECALL = f"WITH b AS ({BM25_BATCH}), r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS place FROM b), g AS (SELECT * FROM r WHERE place <= 5 AND query_id % 2 = 0) SELECT count(*) AS queries, count(*) FILTER (WHERE place <= 3) AS hits, count(*) FILTER (WHERE place <= 3) / CAST(count(*) AS DOUBLE) AS recall, (SELECT count(*) FROM benchmark) AS asked FROM g"
+RECALL = f"""WITH b AS ({BM25_BATCH}), r AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, doc_id) AS place FROM b),
+ own AS (SELECT doc_id, ' ' || array_to_string({tokens_sql("text")}, ' ') || ' ' AS t FROM documents), asked AS (SELECT item_id AS query_id, array_to_string({tokens_sql("text")}, ' ') AS p FROM benchmark),
+ g AS (SELECT query_id, doc_id FROM asked JOIN own ON p <> '' AND contains(t, ' ' || p || ' '))
+ SELECT count(*) AS queries, count(*) FILTER (WHERE place <= 3) AS hits, count(*) FILTER (WHERE place <= 3) / CAST(count(*) AS DOUBLE) AS recall, (SELECT count(*) FROM benchmark) AS asked FROM g LEFT JOIN r USING (query_id, doc_id)"""
 
 
 def full_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,6 +220,7 @@ QUERIES = {
     "bm25_topk": (bm25_topk, BM25_TOPK),
     "bm25_batch": (bm25_batch, BM25_BATCH),
     "cosine_topk": (cosine_topk, COSINE_TOPK),
+    "cosine_topk_many": (cosine_topk_many, COSINE_TOPK_MANY),
     "vector_filtered": (vector_filtered, VECTOR_FILTERED),
     "hybrid_rrf": (hybrid_rrf, HYBRID_RRF),
     "boosted_search": (boosted_search, BOOSTED_SEARCH),

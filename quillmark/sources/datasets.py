@@ -14,6 +14,7 @@ from quillmark.operators.profile import DatasetSpec
 from quillmark.operators.sampling import sample_metadata
 
 PIPELINES = ("dataset", "perColumn", "missing", "duplicate", "quality")
+from quillmark.sources.shared import checkpointed
 
 
 def read(spark: SparkSession, path: str, schema: str | None = None, **options) -> tuple[DataFrame, DatasetSpec]:
@@ -96,7 +97,7 @@ def profile_all(df: DataFrame, spec: DatasetSpec, state: ProfileState | None = N
     for name in PIPELINES:
         state.status[name] = "running"
         try:
-            state.publish(run, name, work[name]())
+            state.publish(run, name, checkpointed(work[name]()))  # computed now: a failure is this pipeline's
         except Exception as error:
             state.publish(run, name, None, str(error))
     return state

@@ -75,6 +75,38 @@ class Store:
         return self.write(self.spark.createDataFrame([], self.schema))
 
 
+NOTEBOOK_SCHEMA = "id string, workspace_id string, title string, cells string, created_at timestamp, updated_at timestamp"
+
+
+class NotebookStore:
+    """Notebooks by id; cells are kept as one JSON text, so nothing of a cell is lost."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.store = Store(spark, path, NOTEBOOK_SCHEMA)
+
+    def get(self, notebook_id: str) -> DataFrame:
+        """The notebook, or no row."""
+        return self.store.get(F.col("id") == notebook_id)
+
+    def of_workspace(self, workspace_id: str) -> DataFrame:
+        """The workspace's notebook, the first by id if there are several, or no row."""
+        return self.store.get(F.col("workspace_id") == workspace_id).orderBy("id").limit(1)
+
+    def listed(self, workspace_id: str) -> DataFrame:
+        """The list of a workspace's notebooks: the one it has."""
+        return self.of_workspace(workspace_id)
+
+    def put(self, notebooks: DataFrame, now: Column) -> DataFrame:
+        """Stores notebooks in place of those with their ids; of several with one id the last created one."""
+        return self.store.put(notebooks.withColumn("updated_at", now.cast("timestamp")).select(*(x.split()[0] for x in NOTEBOOK_SCHEMA.split(", "))), ["created_at", "cells"])
+
+    def delete(self, notebook_id: str) -> DataFrame:
+        return self.store.delete(F.col("id") == notebook_id)
+
+    def clear(self) -> DataFrame:
+        return self.store.clear()
+
+
 def trimmed_by_count(df: DataFrame, used: str, key: str, most: int = MAX_ENTRIES) -> DataFrame:
     """The `most` rows used last: a bounded top-k on each partition, then a merge."""
     return df.orderBy(F.desc(used), F.desc(key)).limit(most)

@@ -30,8 +30,8 @@ def test_value_kinds(spark):
 
 
 def test_tokens(spark):
-    assert column(spark, ["C++ C# t-test a I"], text.tokenize) == [["c++", "c#", "t-test"]]
-    assert text.tokens_of("C++ C# t-test a I") == ["c++", "c#", "t-test"]
+    assert column(spark, ["A+B f# two-way x Z 42"], text.tokenize) == [["a+b", "f#", "two-way", "42"]]
+    assert text.tokens_of("A+B f# two-way x Z 42") == ["a+b", "f#", "two-way", "42"]
 
 
 @pytest.mark.parametrize(("token", "one", "many"), [("queries", "query", None), ("boxes", "box", None), ("means", "mean", None), ("class", None, None), ("mean", None, "means"), ("query", None, "queries"), ("col", None, None)])
@@ -42,7 +42,9 @@ def test_singular_and_plural(spark, token, one, many):
 
 
 def test_expansion_is_bounded():
-    assert text.expanded(["avg", "means"]) == ["average", "mean"]
+    assert text.expanded(["sd", "means"]) == ["standard", "deviation", "mean"]
+    assert text.expanded(["rmse", "ci"]) == ["root", "mean", "square", "error", "rmses", "confidence"]
+    assert text.expanded(["corr"]) == ["correlation", "corrs"]
     assert len(text.expanded([f"word{k}" for k in range(9)])) == 6
     assert len(set(text.merged_terms([f"a{k}" for k in range(50)], ["b"]))) == 50
     assert text.merged_terms(["a"], ["b", "a", "c"], most=2) == ["a", "b"]

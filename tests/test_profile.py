@@ -137,3 +137,28 @@ def test_readers(spark, tmp_path):
     assert datasets.header_profile(df, spec) == [("a", "categorical"), ("b", "categorical")]
     df.write.json(str(tmp_path / "t.json"))
     assert datasets.read(spark, str(tmp_path / "t.json"))[0].count() == 1
+
+
+def test_empty_tables_have_a_row_for_each_column(spark):
+    df, spec = spark.createDataFrame([], "x string, n double"), DatasetSpec("t.csv")
+    for made in (profile.column_counts(df, df.columns), profile.missing_profile(df), profile.key_profile(df, spec), profile.quality_profile(df, spec)):
+        assert {r["column"] for r in made.collect()} == {"x", "n"}
+    assert profile.column_counts(df, df.columns).first()["rows"] == 0
+    assert [(r["missing"], r["missing_pct"], r["high"]) for r in profile.missing_profile(df).collect()] == [(0, 0.0, False)] * 2
+    assert not any(r["candidate_key"] or r["unique_col"] or r["high_cardinality"] for r in profile.key_profile(df, spec).collect())
+    assert tuple(profile.missing_per_row(df).first()) == (0.0, 0)
+    assert profile.categorical_profile(df, spec, ["x"]).count() == profile.top_values(df, spec, ["x"]).count() == 0
+    assert profile.composite_keys(df, spec) == [] and profile.missing_together(df).count() == 0
+    assert profile.numeric_profile(df, spec).select("column", "n", "q1", "mode").collect() == [("n", 0, None, None)]
+
+
+def test_narrowing_ends_on_equal_and_odd_values(spark, monkeypatch):
+    monkeypatch.setattr(profile, "BRACKET_VALUES", 2)
+    rnd = random.Random(8)
+    lists = [[5.0] * 400, [0.0] * 300 + [1.0] * 300, sorted(rnd.choice([-1e300, 0.0, 1e-300, 3.5, 1e300]) for _ in range(500)), sorted(rnd.gauss(0, 1) for _ in range(900))]
+    for values in lists:
+        df = spark.createDataFrame([(v, None if k % 3 else v) for k, v in enumerate(values)], "x double, y double")
+        ranks = [0, 1, len(values) // 4, len(values) // 2, len(values) - 1]
+        kept = [v for k, v in enumerate(values) if k % 3 == 0]
+        got = profile.values_at(df, {"x": ranks, "y": [0, len(kept) // 2]})
+        assert got == {"x": {r: sorted(values)[r] for r in ranks}, "y": {0: min(kept), len(kept) // 2: sorted(kept)[len(kept) // 2]}}

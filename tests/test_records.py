@@ -68,7 +68,7 @@ def test_context(cells):
 
 
 def test_kinds(spark):
-    df = spark.createDataFrame([("note",), ("chart",), ("what",), (None,)], "kind string")
+    df = spark.createDataFrame([("note",), ("visualization",), ("what",), (None,)], "kind string")
     assert [r[0] for r in df.select(knowledge.normalized_kind(F.col("kind"))).collect()] == ["note", "notebook_visualization", "notebook_output", "notebook_output"]
 
 
@@ -192,3 +192,21 @@ def test_stale_dependents_of_long_chains(spark):
     cells = spark.createDataFrame(rows, "id string, idx int, status string, depends_on array<string>")
     got = [r["id"] for r in notebook.stale_dependents(cells, "a1").collect()]
     assert sorted(got) == sorted([f"a{k}" for k in range(2, 1101)] + ["m"] + [f"z{k}" for k in range(20) if k != 5])
+
+
+def test_notebook_store(spark, tmp_path):
+    from quillmark.sources.stores import NotebookStore
+
+    store, now = NotebookStore(spark, str(tmp_path / "notebooks")), F.timestamp_seconds(F.lit(50))
+    rows = [("n1", "w1", "One", '[{"id": "c"}]', 1), ("n2", "w2", "Two", "[]", 2), ("n3", "w2", None, None, 3)]
+    made = lambda rows: spark.createDataFrame(rows, "id string, workspace_id string, title string, cells string, at long").withColumn("created_at", F.timestamp_seconds("at")).withColumn("extra", F.lit(1))
+    assert store.get("n1").count() == 0 and store.of_workspace("w1").count() == 0
+    store.put(made(rows), now)
+    assert store.get("n1").first()["cells"] == '[{"id": "c"}]' and store.get("n1").select(F.unix_timestamp("updated_at")).first()[0] == 50
+    assert [r["id"] for r in store.of_workspace("w2").collect()] == [r["id"] for r in store.listed("w2").collect()] == ["n2"]
+    store.put(made([("n2", "w2", "New", "[1]", 9), ("n2", "w2", "Old", "[2]", 8)]), now)
+    assert store.get("n2").first()["title"] == "New" and store.listed("w1").count() == 1
+    store.delete("n2")
+    assert store.get("n2").count() == 0 and store.of_workspace("w2").first()["id"] == "n3"
+    store.clear()
+    assert store.listed("w1").count() == 0 and store.get(None).count() == 0

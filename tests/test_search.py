@@ -67,7 +67,7 @@ def test_stored_records_win_over_provider_records(notes):
 
 def test_ranks_are_stable(spark):
     df = spark.createDataFrame(list(enumerate([0.1, 0.9, 0.5, 0.9])), "pos int, s double")
-    assert [r["pos"] for r in df.withColumn("rank", fusion.rank_by("s", "pos")).orderBy("rank").collect()] == [1, 3, 2, 0]
+    assert [r["pos"] for r in fusion.ranked(df, "s", "pos").orderBy("rank").collect()] == [1, 3, 2, 0]
 
 
 def test_rrf(spark):
@@ -167,3 +167,76 @@ def test_recall_is_against_documents_that_hold_a_passage(spark, folder):
     docs = spark.createDataFrame([(1, "x y z short one"), (2, "aa bb cc dd"), (3, f"zz {PASSAGE} zz"), (4, PASSAGE[:-8])], "doc_id long, text string")
     bench = spark.createDataFrame([(1, "short one"), (3, PASSAGE), (4, ""), (5, None)], "query_id long, query string")
     assert {(r["query_id"], r["id"]) for r in retrieval.holders(docs, bench).collect()} == {(1, 1), (3, 3)}
+
+
+def test_features_order_the_pool(spark):
+    df = spark.createDataFrame([("a", "beta only here", 3.0), ("b", "alpha beta", 1.0), ("c", "nothing", 9.0), ("d", "beta again", 5.0), ("e", "", 2.0)], "id string, text string, score double")
+    got = {r["id"]: (r["rank"], r["features"], r["score"]) for r in rerank.by_features(df, "alpha beta beta", order="id").collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda x: x[1][0])] == ["b", "d", "a", "c", "e"]
+    assert got["a"][1] == pytest.approx(4 / 3) and got["b"][1] == 2.5 and got["e"][1] == 0
+    assert {r["features"] for r in rerank.by_features(df, "! ? .").collect()} == {0.0}
+    picked = rerank.mmr(rerank.by_features(df, "alpha beta beta", order="id").withColumn("vector", F.lit(None).cast("array<float>")), 8, "id", pos="id", rank="rank")
+    assert [r["id"] for r in picked.orderBy("place").collect()] == ["b", "d", "a", "c", "e"]  # a pool that fits keeps its order
+
+
+def plain_mmr(rows, top, weight=0.7):
+    """rows: (id, score, vector), best first."""
+    import math
+
+    def like(a, b):
+        na, nb = math.sqrt(sum(x * x for x in a)), math.sqrt(sum(x * x for x in b))
+        return max(0.0, sum(x * y for x, y in zip(a, b, strict=True)) / (na * nb)) if na and nb else 0.0
+
+    left, out = list(rows), []
+    while left and len(out) < top:
+        value = [weight * s - (1 - weight) * max((like(v, w) for _, _, w in out), default=0.0) for _, s, v in left]
+        out.append(left.pop(value.index(max(value))))
+    return [i for i, _, _ in out]
+
+
+def test_mmr_query_against_its_definition(spark):
+    from quillmark.plans import retrieval
+
+    sf = "/root/testdata/sf0.01"
+    got = [r["vec_id"] for r in retrieval.mmr_select(spark, sf).orderBy("place").collect()]
+    pool = retrieval.search.vector_search(spark.read.parquet(f"{sf}/embeddings.parquet"), retrieval._query_vector(spark, sf), rerank.POOL).collect()
+    rows = sorted(((r["vec_id"], r["score"], list(r["embedding"])) for r in pool), key=lambda x: (-x[1], x[0]))
+    assert got == plain_mmr(rows, 8)
+
+
+def test_failing_model_gives_the_first_records(spark, notes):
+    def fails(texts):
+        raise RuntimeError("no model")
+
+    def fails_later(texts):
+        if texts == ["regression"]:
+            return [[1.0, 0.0]]
+        raise RuntimeError("no model")
+
+    for embedder in (fails, fails_later):
+        got = search.search(notes, "regression", search.Request(workspace_id="w", limit=3), embedder).orderBy("place").collect()
+        assert len(got) == 3 and {r["score"] for r in got} == {search.FALLBACK}
+    plain = search.search(notes, "  ", search.Request(workspace_id="w", limit=3))
+    lexical = search.search(notes, "regression", search.Request(workspace_id="w", limit=3, rerank=False))
+    assert plain.columns == lexical.columns == search.search(notes, "regression", search.Request(workspace_id="w")).columns == list(search.RESULT)
+
+
+def test_history_words_count_anywhere():
+    assert search.Request().normalized("what came beforehand").include_superseded and not search.Request().normalized("what is new").include_superseded
+
+
+def test_many_queries_in_rounds(spark):
+    vectors = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(60)] + [(99, None), (98, [1.0])], "vec_id long, embedding array<float>")
+    queries = vectors.filter("vec_id < 9").selectExpr("vec_id as query_id", "embedding as query")
+    want = {(r["query_id"], r["place"]): r["vec_id"] for r in search.vector_search_many(vectors, queries, 3).collect()}
+    assert len(want) == 27 and want == {(r["query_id"], r["place"]): r["vec_id"] for r in search.vector_search_many(vectors, queries, 3, at_once=2).collect()}
+    for q in (0, 5):
+        one = search.vector_search(vectors.filter("vec_id < 60"), list(queries.filter(f"query_id = {q}").first()["query"]), 3).collect()
+        assert [want[q, p] for p in (1, 2, 3)] == [r["vec_id"] for r in one]
+
+
+def test_no_single_task_ranks_all_rows(spark):
+    df = spark.range(2000).selectExpr("id as pos", "cast(id % 37 as double) as a", "cast(id % 11 as double) as b")
+    plan = fusion.fused(df, ["a", "b"], "pos")
+    assert plan.count() == 2000 and plan.selectExpr("max(rrf)").first()[0] <= 2 / 61
+    assert "SinglePartition" not in fusion.ranked(df, "a", "pos").filter("rank > 5")._jdf.queryExecution().optimizedPlan().toString()
