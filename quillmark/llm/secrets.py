@@ -57,6 +57,8 @@ def most_sum(bits: float) -> int:
     return math.floor((math.log2(WINDOW) - bits) * WINDOW * 1_000_000)
 
 
+#: Matches of a text that are placed together.
+BLOCK = 64
 SPAN = "struct<start:int,rank:int,kind:string,end:int>"
 
 
@@ -65,17 +67,28 @@ def _none() -> Column:
 
 
 def _placed(text: Column, pattern: str, kind: str, keep, *groups: int) -> Column:
-    """Spans of the non-overlapping matches for which keep(match, *groups) holds."""
+    """Spans of the non-overlapping matches for which keep(match, *groups) holds.
+
+    Matches are taken in blocks: a block starts after the lengths of all blocks before, so that no list is copied for
+    each match of a text, only for those of a block.
+    """
     parts = F.arrays_zip(F.split(text, pattern, -1).alias("before"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), *(F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in groups))
+    ends_after = lambda at, x: at + F.length(x["before"]) + F.coalesce(F.length(x["m"]), F.lit(0))
 
     def merge(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["before"])
-        end = start + F.coalesce(F.length(x["m"]), F.lit(0))
+        start, end = acc["at"] + F.length(x["before"]), ends_after(acc["at"], x)
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
         wanted = x["m"].isNotNull() & keep(x["m"], *(x[f"g{g}"] for g in groups))
         return F.struct(end.alias("at"), F.when(wanted, F.concat(acc["out"], F.array(span).cast(f"array<{SPAN}>"))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), _none().alias("out")), merge, lambda acc: acc["out"])
+    def spans(parts: Column) -> Column:
+        of_block = lambda k: F.slice(parts, k * BLOCK + 1, F.lit(BLOCK))
+        sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(of_block(k), F.lit(0), ends_after))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        found = F.transform(F.slice(starts, F.lit(1), F.size(starts) - 1), lambda at, k: F.aggregate(of_block(k), F.struct(at.alias("at"), _none().alias("out")), merge, lambda acc: acc["out"]))
+        return F.flatten(found)
+
+    return F.transform(F.array(parts), spans)[0]
 
 
 def window_sum(candidate: Column) -> Column:

@@ -95,3 +95,11 @@ def test_query(spark, small):
         known, spans = want(docs[k]["text"])
         assert (r["base_sha256"], r["spans"]) == (hashlib.sha256(known.encode()).hexdigest(), spans)
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(known.count(f"{x}:") for x in ("assign", "access", "hex"))
+
+
+@pytest.mark.parametrize("n", [secrets.BLOCK - 1, secrets.BLOCK, 3 * secrets.BLOCK + 1])
+def test_matches_over_several_blocks(spark, n):
+    text = "".join(f"🙂 token={k:06d}x passwd=1 {'0123456789abcdef' * 2} " for k in range(n))
+    df = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    for r in secrets.scan(df).select(secrets.joined("base").alias("b"), secrets.joined("spans").alias("s")).collect():
+        assert [r["b"], r["s"]] == want(text)
