@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import zlib
+import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.functions.text import tokens_of
+from quillmark.functions.text import CHARS_PER_TOKEN, CHUNK_OVERLAP, embedding_key, tokens_of
 
 Embedder = Callable[[list[str]], np.ndarray]
+#: Families of models that read 512 tokens.
+SHORT_MODELS, SHORT_TOKENS = re.compile("(?i)minilm|bge-small|mpnet"), 512
 
 
 def doubles(v: Column) -> Column:
@@ -73,3 +77,64 @@ def embed(df: DataFrame, text: str, embedder: Embedder, out: str = "vector") ->
             yield pd.DataFrame({text: batch[text], out: list(embedder(batch[text].tolist()))})
 
     return df.select(text).filter(F.col(text).isNotNull()).distinct().mapInPandas(run, f"`{text}` string, `{out}` array<float>")
+
+
+def windows(text: str, chars: int, overlap: int = CHUNK_OVERLAP) -> list[str]:
+    """chunks() for a literal."""
+    step = max(1, chars - overlap)
+    return [text[k * step : k * step + chars] for k in range(1 + max(0, -(-(len(text) - chars) // step)))]
+
+
+def pooled(embedder: Embedder, chars: int, overlap: int = CHUNK_OVERLAP) -> Embedder:
+    """The embedder for texts of any length: a text that doesn't fit gets the mean of its windows' vectors, of length one."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        pieces = [windows(t, chars, overlap) for t in texts]
+        vectors, out, at = np.asarray(embedder([p for ps in pieces for p in ps]), np.float32), [], 0
+        for ps in pieces:
+            mean = vectors[at : at + len(ps)].mean(axis=0)
+            length = np.linalg.norm(mean)
+            out.append(vectors[at] if len(ps) == 1 else mean / length if length else mean)
+            at += len(ps)
+        return np.asarray(out, np.float32)
+
+    return embed
+
+
+@dataclass(frozen=True)
+class EmbeddingModel:
+    """An embedder with its name, dimension and budget of tokens; keys of vectors carry the name."""
+
+    name: str = "hashed-words"
+    dimension: int = 384
+    chunk_tokens: int = SHORT_TOKENS
+    make: Callable[[int], Embedder] = hashed_words
+
+    def configured(self, **changes) -> EmbeddingModel:
+        """With changes; the budget of a model of a short family is clamped to what it reads."""
+        out = replace(self, **{k: v for k, v in changes.items() if v})
+        return replace(out, chunk_tokens=min(out.chunk_tokens, SHORT_TOKENS)) if SHORT_MODELS.search(out.name) else out
+
+    def key(self, text: Column) -> Column:
+        return embedding_key(F.lit(self.name), text)
+
+    def embedder(self) -> Embedder:
+        return pooled(self.make(self.dimension), self.chunk_tokens * CHARS_PER_TOKEN)
+
+
+_model: list[EmbeddingModel] = [EmbeddingModel()]
+
+
+def configure_embeddings(**changes) -> EmbeddingModel:
+    """Changes the process's model; returns what holds now."""
+    _model[0] = _model[0].configured(**changes)
+    return _model[0]
+
+
+def reset_embeddings() -> EmbeddingModel:
+    _model[0] = EmbeddingModel()
+    return _model[0]
+
+
+def embedding_model() -> EmbeddingModel:
+    return _model[0]

@@ -11,8 +11,8 @@ from quillmark.functions.text import chunk_hash, source_hash
 #: The kinds of records, and what older kinds became.
 KINDS = ("notebook_cell", "notebook_output", "notebook_visualization", "dataset_profile", "column_semantic", "data_representative", "relationship", "error", "note", "functionality", "guide")
 LEGACY_KINDS = {"cell": "notebook_cell", "dataset": "dataset_profile", "operation": "column_semantic", "result": "notebook_output", "statistic": "notebook_output", "export": "notebook_output", "visualization": "notebook_visualization"}
-METADATA = "status string, source string, columns array<string>, column string, title string, operation string, extra map<string,string>"
-PROVENANCE = "workspace_id string, notebook_id string, cell_id string, upload_id string, content_hash string, dataset_ids array<string>, dataset_name string, columns array<string>, operation string, source_cell_ids array<string>, depends_on array<string>, chunk_id string, row_indices array<int>"
+METADATA = "status string, source string, columns array<string>, column string, title string, operation string, dataset_ids array<string>, dataset_name string, extra map<string,string>"
+PROVENANCE = "workspace_id string, notebook_id string, cell_id string, upload_id string, content_hash string, dataset_ids array<string>, dataset_name string, columns array<string>, operation string, source_cell_ids array<string>, depends_on array<string>, chunk_id string, row_indices array<int>, sample_coverage string"
 RECORD = f"id string, workspace_id string, dataset_id string, notebook_id string, cell_id string, kind string, text string, metadata struct<{METADATA.replace(' string', ':string').replace(' array', ':array').replace(' map', ':map')}>, provenance struct<{PROVENANCE.replace(' string', ':string').replace(' array', ':array')}>, source_hash string, created_at timestamp, updated_at timestamp, _pos bigint"
 RICH_COLUMNS, RELATION_TOP, TOGETHER_TOP, CATALOG_SCAN, CATALOG_KEEP = 12, 5, 10, 80, 12
 
@@ -50,12 +50,13 @@ def records(df: DataFrame, *, id: Column, kind: str | Column, text: Column, work
 
 
 def normalized(df: DataFrame) -> DataFrame:
-    """Records as they are stored and read: kind mapped, datasets and columns filled from each other."""
+    """Records as they are stored and read: kind mapped; datasets, columns and operation filled from each other and from the metadata."""
     p, m = F.col("provenance"), F.col("metadata")
-    datasets = F.coalesce(p["dataset_ids"], F.when(F.col("dataset_id").isNotNull(), F.array("dataset_id")), F.array().cast("array<string>"))
+    datasets = F.coalesce(p["dataset_ids"], F.when(F.col("dataset_id").isNotNull(), F.array("dataset_id")), m["dataset_ids"], F.array().cast("array<string>"))
+    name, operation = F.coalesce(p["dataset_name"], m["dataset_name"]), F.coalesce(p["operation"], m["operation"])
     columns = F.coalesce(p["columns"], m["columns"], F.when(m["column"].isNotNull(), F.array(m["column"])))
-    provenance = p.withField("dataset_ids", datasets).withField("columns", columns).withField("workspace_id", F.coalesce(p["workspace_id"], F.col("workspace_id"))).withField("notebook_id", F.coalesce(p["notebook_id"], F.col("notebook_id"))).withField("cell_id", F.coalesce(p["cell_id"], F.col("cell_id")))
-    return df.withColumn("kind", normalized_kind(F.col("kind"))).withColumn("dataset_id", F.coalesce("dataset_id", F.try_element_at(datasets, F.lit(1)))).withColumn("provenance", F.when(p.isNotNull(), provenance).otherwise(record_struct(PROVENANCE, workspace_id=F.col("workspace_id"), notebook_id=F.col("notebook_id"), cell_id=F.col("cell_id"), dataset_ids=datasets, columns=columns)))
+    provenance = p.withField("dataset_ids", datasets).withField("columns", columns).withField("dataset_name", name).withField("operation", operation).withField("workspace_id", F.coalesce(p["workspace_id"], F.col("workspace_id"))).withField("notebook_id", F.coalesce(p["notebook_id"], F.col("notebook_id"))).withField("cell_id", F.coalesce(p["cell_id"], F.col("cell_id")))
+    return df.withColumn("kind", normalized_kind(F.col("kind"))).withColumn("dataset_id", F.coalesce("dataset_id", F.try_element_at(datasets, F.lit(1)))).withColumn("provenance", F.when(p.isNotNull(), provenance).otherwise(record_struct(PROVENANCE, workspace_id=F.col("workspace_id"), notebook_id=F.col("notebook_id"), cell_id=F.col("cell_id"), dataset_ids=datasets, columns=columns, dataset_name=name, operation=operation)))
 
 
 def union_first(*frames: DataFrame) -> DataFrame:
@@ -244,6 +245,8 @@ FUNCTIONALITIES = (
 
 def catalogue(spark: SparkSession, workspace: str, kind: str, prefix: str, rows) -> DataFrame:
     """Records of a fixed table; `kind` is note, functionality or guide."""
-    df = spark.createDataFrame([(k, *r[:4]) for k, r in enumerate(rows)], "pos int, key string, name string, family string, about string")
+    df = spark.createDataFrame([(k, *r[:4], r[4] if len(r) > 4 else None) for k, r in enumerate(rows)], "pos int, key string, name string, family string, about string, verified boolean")
+    known = F.create_map(F.lit("functionality_id"), "key", F.lit("ui_path"), F.concat("family", F.lit("/"), "key"), F.lit("verified"), F.col("verified").cast("string"))
+    extra = F.when(F.col("verified").isNotNull(), known)
     text = F.concat("name", F.lit(" ("), "family", F.lit("): "), "about")
-    return records(df, id=F.concat(F.lit(prefix), "key"), kind=kind, text=text, workspace=F.lit(workspace), metadata={"source": F.lit(kind), "title": F.col("name")}, provenance={}, pos=F.col("pos"))
+    return records(df, id=F.concat(F.lit(prefix), "key"), kind=kind, text=text, workspace=F.lit(workspace), metadata={"source": F.lit(kind), "title": F.col("name"), "extra": extra}, provenance={}, pos=F.col("pos"))

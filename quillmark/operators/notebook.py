@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quillmark.sources.shared import checkpointed
 
-PRECEDING = 5
+PRECEDING, HASH_CHARS, OUTPUT_CHARS, NONE = 5, 8, 180, "—"
 
 
 def notebook_id(workspace: str) -> str:
@@ -102,3 +102,40 @@ def lineage(cells: DataFrame, cell_id: str) -> DataFrame:
 
 def datasets_of(cells: DataFrame) -> DataFrame:
     return cells.select(F.explode("dataset_ids").alias("dataset_id")).distinct()
+
+
+def contexts(cells: DataFrame, asked: DataFrame, most: int = PRECEDING) -> DataFrame:
+    """query_id, notebook_context of every asked cell (query_id, notebook_id, cell_id) that exists: itself, the cells before it, its lineage.
+
+    cells: notebook_id, id, idx, type, status, title, operation, columns, dataset_ids, input_hash, output_hash, outputs
+    (array of struct<type, title, data>), source_cell_ids, depends_on.  Cells that aren't superseded are numbered within
+    their notebook, so those before an asked one are found by an equi-join on the numbers, at most `most` for each.
+    """
+    order = Window.partitionBy("notebook_id").orderBy("idx", "id")
+    standing = F.col("status") != "superseded"
+    numbered = cells.withColumn("_before", F.coalesce(F.count(F.when(standing, 1)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = asked.select("query_id", "notebook_id", F.col("cell_id").alias("id")).join(numbered, ["notebook_id", "id"])
+    title, text = F.coalesce("title", F.lit("")), lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    listed = lambda c: F.coalesce(F.when(F.size(c) > 0, F.array_join(c, ", ")), F.lit(NONE))
+
+    names = numbered.filter(standing).select("notebook_id", (F.col("_before") + 1).alias("_number"), text("Cell ", F.col("idx").cast("string"), " ", F.col("type"), " ", title).alias("line"))
+    wanted = own.select("query_id", "notebook_id", F.explode(F.filter(F.sequence(F.col("_before") - (most - 1), F.col("_before")), lambda n: n > 0)).alias("_number"))
+    in_order = lambda by, line, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, line))), lambda s: s[line]), sep)
+    before = wanted.join(names, ["notebook_id", "_number"]).groupBy("query_id").agg(in_order("_number", "line", " | ").alias("_preceding"))
+
+    none = F.array().cast("array<string>")
+    links = own.select("query_id", "notebook_id", F.explode(F.array_union(F.array("id"), F.array_union(F.coalesce("source_cell_ids", none), F.coalesce("depends_on", none)))).alias("id"))
+    line = links.join(cells.select("notebook_id", "id", "idx"), ["notebook_id", "id"]).groupBy("query_id").agg(F.count("*").alias("_linked"), in_order("idx", "id", ", ").alias("_lineage"))
+
+    short = lambda c: F.substring(F.col(c), 1, HASH_CHARS)
+    shown = F.transform("outputs", lambda o: text(o["type"], ":", F.coalesce(o["title"], F.lit("")), " ", F.substring(F.coalesce(o["data"], F.lit("")), 1, OUTPUT_CHARS)))
+    lines = (
+        text("Active Cell ", F.col("idx").cast("string"), " [", F.col("type"), "] status=", F.col("status"), ' title="', title, '"'),
+        text("Operation: ", F.coalesce("operation", F.lit(NONE)), " columns: ", F.coalesce(F.array_join("columns", ", "), F.lit(NONE))),
+        text("Datasets: ", listed("dataset_ids")),
+        text("Execution: inputHash=", F.coalesce(short("input_hash"), F.lit("")), " outputHash=", F.coalesce(short("output_hash"), F.lit(NONE))),
+        text("Outputs: ", F.coalesce(F.array_join(shown, " | "), F.lit(""))),
+        text("Preceding: ", F.col("_preceding")),
+        F.when(F.col("_linked") > 1, text("Lineage: ", F.col("_lineage"))),
+    )
+    return own.join(before, "query_id", "left").join(line, "query_id", "left").select("query_id", F.concat_ws("\n", *lines).alias("notebook_context"))

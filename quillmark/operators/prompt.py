@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +13,7 @@ from quillmark.functions.vectors import cosine_or_zero
 
 HISTORY_LIMIT, HEAD_KEEP, EVIDENCE, EVIDENCE_CHARS = 20, 1, 4, 400
 TTL_SECONDS, CACHE_SIZE, SIMILAR = 300, 100, 0.95
+HEADER_COLUMNS, NONE = 12, "—"
 
 
 def history_window(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", limit: int = HISTORY_LIMIT, head: int = HEAD_KEEP) -> DataFrame:
@@ -34,10 +37,17 @@ def folded(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn
 
 
 def context_line() -> Column:
-    """`[kind] text (cell:… ws:… dataset:…)` of a record."""
-    part = lambda name, c: F.coalesce(F.concat(F.lit(f"{name}:"), F.col(c)), F.lit(None))
-    where = F.concat_ws(" ", part("cell", "cell_id"), part("ws", "workspace_id"), part("dataset", "dataset_id"))
-    return F.concat(F.lit("["), "kind", F.lit("] "), "text", F.when(where != "", F.concat(F.lit(" ("), where, F.lit(")"))).otherwise(""))
+    """`[kind] text (cell:… ws:… dataset:…)` of a record, with its sample, chunk and columns; a capability's reference and place."""
+    p, extra, none = F.col("provenance"), F.col("metadata.extra"), F.lit(NONE)
+    listed = lambda values, by: F.when(F.size(values) > 0, F.array_join(values, by))
+    more = lambda name, c: F.coalesce(F.concat(F.lit(f" {name}="), c), F.lit(""))
+    where = F.concat(
+        F.lit("cell:"), F.coalesce(p["cell_id"], "cell_id", none), F.lit(" ws:"), F.coalesce(p["workspace_id"], "workspace_id", none),
+        F.lit(" dataset:"), F.coalesce(listed(p["dataset_ids"], ", "), "dataset_id", none), more("coverage", p["sample_coverage"]), more("chunk", p["chunk_id"]), more("columns", listed(p["columns"], ",")),
+    )
+    unproved = F.when(extra["verified"] == "false", " experimental-verification-pending").otherwise("")
+    place = F.concat(F.lit("ref: functionality:"), F.coalesce(extra["functionality_id"], "id"), F.lit(" ui:"), F.coalesce(extra["ui_path"], none), unproved)
+    return F.concat(F.lit("["), "kind", F.lit("] "), "text", F.lit(" ("), F.when(F.col("kind").isin("functionality", "guide"), place).otherwise(where), F.lit(")"))
 
 
 def evidence(built: DataFrame, hits: DataFrame, most: int = EVIDENCE, chars: int = EVIDENCE_CHARS) -> DataFrame:
@@ -54,6 +64,35 @@ def assembled(header: str, lines: DataFrame, histories: DataFrame | None = None)
     return out.select("query_id", F.concat_ws("\n\n", F.lit(header), "context").alias("prompt"))
 
 
+def expert_header(file_name: str, rows: int, columns: Sequence[tuple[str, str]], cleaned: bool = False, summary: str | None = None, upload_id: str | None = None) -> str:
+    """The line that grounds answers in a dataset: its size and its first columns (name, type)."""
+    named = ", ".join(f"{name}({kind})" for name, kind in columns[:HEADER_COLUMNS])
+    more = f" +{len(columns) - HEADER_COLUMNS} more" if len(columns) > HEADER_COLUMNS else ""
+    return f'[dataset_expert] Expert of dataset "{file_name}" {NONE} {rows} rows × {len(columns)} cols{" (cleaned)" if cleaned else ""}{f" {NONE} {summary}" if summary else ""} {NONE} uploadId:{upload_id or "guest"} {NONE} columns: {named}{more}'
+
+
+def datasets_header(dataset_ids: Sequence[str]) -> str:
+    """The line in place of expert_header() where only ids are known."""
+    return f"[dataset_expert] Current datasetIds: {', '.join(dataset_ids)}"
+
+
+def prompts(asked: DataFrame, hits: DataFrame, built: DataFrame, notebooks: DataFrame, header: str = "", most: int = EVIDENCE, chars: int = EVIDENCE_CHARS) -> DataFrame:
+    """query_id, prompt of every asked query: header, notebook context, hits, and evidence that the hits don't have.
+
+    hits, built: query_id, place, and a record's columns; built are the records of a context (one record for an id), of
+    which the first `most` that aren't hits are shown, shortened.  notebooks: query_id, notebook_context.  Hits and evidence are bounded by
+    a search's limit.  Parts without text are left out.
+    """
+    joined = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: s["line"]), "\n\n").alias(name)
+    found = hits.select("query_id", "place", context_line().alias("line")).groupBy("query_id").agg(joined("hits"))
+    fresh = built.join(hits.select("query_id", "id").distinct(), ["query_id", "id"], "left_anti")
+    first = fresh.withColumn("_rn", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "id"))).filter(F.col("_rn") <= most)
+    shown = first.select("query_id", "place", F.concat(F.lit("["), "kind", F.lit("] "), F.substring("text", 1, chars)).alias("line")).groupBy("query_id").agg(joined("evidence"))
+    all_ = asked.select("query_id").join(notebooks, "query_id", "left").join(found, "query_id", "left").join(shown, "query_id", "left")
+    parts = (F.lit(header or None), F.concat(F.lit("[notebook_context]\n"), "notebook_context"), F.col("hits"), F.concat(F.lit("[notebook_evidence]\n"), "evidence"))
+    return all_.select("query_id", F.concat_ws("\n\n", *parts).alias("prompt"))
+
+
 def live(cache: DataFrame, now: Column, ttl: int = TTL_SECONDS, most: int = CACHE_SIZE) -> DataFrame:
     """Entries (workspace, model, query, reply, at, vector) within their time, the last `most` put first of each key.
 

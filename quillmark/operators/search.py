@@ -13,12 +13,14 @@ from pyspark.storagelevel import StorageLevel
 
 from quillmark.functions.text import expanded, merged_terms, tokens_of
 from quillmark.functions.vectors import Embedder, cosine, embed
-from quillmark.operators import fusion, lexical, rerank
+from quillmark.operators import fusion, lexical, providers, rerank
 from quillmark.operators.knowledge import normalized, union_first
 
 LIMIT, DATA_LIMIT, FALLBACK = 8, 12, 0.5
 #: Queries of a table that are broadcast together.
 QUERIES_AT_ONCE = 10_000
+#: Places of records before those of the next table begin.
+AFTER = 1 << 40
 #: What asks for older records, anywhere in a query.
 HISTORY = re.compile("(?i)originally|previously|history|before|earlier|superseded")
 RESULT = ("id", "kind", "text", "score", "place")
@@ -43,6 +45,7 @@ class Request:
     hybrid: bool = True
     rerank: bool = True
     extra_terms: tuple[str, ...] = ()
+    include_system: bool = True
 
     def normalized(self, query: str) -> Request:
         kinds = self.kinds or ((self.kind,) if self.kind else ())
@@ -100,10 +103,16 @@ def filtered(records: DataFrame, request: Request) -> DataFrame:
     return records if request.include_superseded else records.filter(current())
 
 
+def later(records: DataFrame, k: int) -> DataFrame:
+    """Records that come after the stored ones, as the k-th table."""
+    return normalized(records).withColumn("_pos", F.col("_pos") + F.lit(k * AFTER))
+
+
 def search(records: DataFrame, query: str, request: Request, embedder: Embedder | None = None, vectors: DataFrame | None = None, extra: Sequence[DataFrame] = (), appended: Sequence[DataFrame] = (), cells: DataFrame | None = None) -> DataFrame:
     """id, kind, text, score, place: the best records for a query.
 
-    extra: provider records, of which stored ones with the same id win; appended: records added as they are.
+    extra: provider records, of which stored ones with the same id win; appended: records added as they are; so are
+    the fixed catalogues' rows for the query, unless the request leaves system knowledge out.
     vectors: (text, vector) known already; missing texts go through the embedder, each once.  cells: id, idx, for
     distances.  Without an embedder ranking is lexical only.  A query without text, and an embedder that fails on the
     query or on a text, give the first records, all with the same score.  Vectors of the candidates are made before they
@@ -111,10 +120,13 @@ def search(records: DataFrame, query: str, request: Request, embedder: Embedder
     """
     request = request.normalized(query)
     found = candidates(normalized(records), request)
+    if request.scope != "all" and request.workspace_id is None and request.notebook_id is None:
+        return first_ones(found, 0)
     if extra:
-        found = union_first(found, *(normalized(e) for e in extra))
-    for more in appended:
-        found = found.unionByName(normalized(more))
+        found = union_first(found, *(later(e, k) for k, e in enumerate(extra, 1)))
+    system = [make(query)(records.sparkSession, request.workspace_id or "") for make in (providers.dictionary_provider, providers.functionality_provider)] if request.include_system else []
+    for k, more in enumerate((*appended, *system), len(extra) + 1):
+        found = found.unionByName(later(more, k))
     found = filtered(found, request)
     if not query.strip():
         return first_ones(found, request.limit)

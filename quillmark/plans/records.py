@@ -249,6 +249,16 @@ def reply_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.unionByName(similar)
 
 
+REPLY_CACHE = r"""WITH said AS (SELECT conv_id, arg_min(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id),
+ entries AS (SELECT conv_id, 'reply ' || conv_id AS reply, conv_id AS made, CAST(embedding AS DOUBLE[]) AS vector, trim(regexp_replace(lower(query), '\s+', ' ', 'g')) AS key FROM said JOIN embeddings ON conv_id = vec_id),
+ renewed AS (SELECT *, coalesce(made - lag(made) OVER (PARTITION BY key ORDER BY made) > 300, true) AS again FROM entries WHERE conv_id % 2 = 0),
+ starts AS (SELECT *, max(CASE WHEN again THEN made END) OVER (PARTITION BY key ORDER BY made) AS start FROM renewed),
+ latest AS (SELECT key, max(start) AS first_at, max(made) AS made, arg_max(reply, made) AS reply, arg_max(vector, made) AS vector FROM starts GROUP BY key),
+ live AS (SELECT * FROM (SELECT * FROM latest ORDER BY first_at DESC, key LIMIT 100) WHERE 350 - made <= 300),
+ near AS (SELECT a.conv_id AS query_id, l.reply, list_cosine_similarity(a.vector, l.vector) AS s, l.made FROM entries a, live l)
+ SELECT a.conv_id AS query_id, l.reply, 'exact' AS how FROM entries a JOIN live l USING (key) UNION ALL
+ SELECT query_id, reply, 'similar' FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, made DESC, reply DESC) AS rn FROM near WHERE s >= 0.95) WHERE rn = 1"""
+
 QUERIES = {
     "sample_head_tail": (sample_head_tail, SAMPLE_HEAD_TAIL),
     "sample_quantile": (sample_quantile, SAMPLE_QUANTILE),
@@ -269,5 +279,5 @@ QUERIES = {
     "mark_stale": (mark_stale, MARK_STALE),
     "notebook_records": (notebook_summaries, NOTEBOOK_SUMMARIES),
     "ipynb_round_trip": (ipynb_round_trip, IPYNB),
-    "reply_cache": (reply_cache, None),
+    "reply_cache": (reply_cache, REPLY_CACHE),
 }

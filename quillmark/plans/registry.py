@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmark.plans import profiling, records, retrieval
+from quillmark.plans import notebooks, profiling, records, retrieval
 
 #: name -> (query, SQL or None)
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = profiling.QUERIES | retrieval.QUERIES | records.QUERIES
+QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = profiling.QUERIES | retrieval.QUERIES | records.QUERIES | notebooks.QUERIES

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TEXT_CHARS, ERROR_CHARS = 2000, 500
+TEXT_CHARS, ERROR_CHARS, TITLE_CHARS = 2000, 500, 80
 #: Cell types that survive a round trip by name; other code cells come back as transform.
 KEPT = ("upload", "model", "clean", "analysis")
-DOCUMENT = "cells array<struct<cell_type:string,id:string,metadata:struct<type:string,status:string>,source:array<string>>>, metadata struct<id:string,workspace_id:string>, nbformat int, nbformat_minor int"
+OUTPUT = "array<struct<type:string,data:string>>"
+#: What a document says of a cell besides its source; absent columns of the cells are null.
+CELL = {"title": "string", "operation": "string", "columns": "array<string>", "dataset_ids": "array<string>", "source_cell_ids": "array<string>", "depends_on": "array<string>", "execution_count": "int", "source": "string", "outputs": OUTPUT}
+KEPT_METADATA = "type:string,status:string,title:string,operation:string,columns:array<string>,dataset_ids:array<string>,source_cell_ids:array<string>,depends_on:array<string>"
+DOCUMENT = f"cells array<struct<cell_type:string,id:string,metadata:struct<{KEPT_METADATA}>,source:variant,execution_count:int,outputs:array<struct<output_type:string,data:map<string,string>,text:variant>>>>, metadata struct<id:string,workspace_id:string>, nbformat int, nbformat_minor int"
 
 
 def write_notebooks(notebooks: DataFrame, path: str) -> None:
@@ -25,28 +29,66 @@ def read_notebooks(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def described(title: Column, columns: Column, dataset_ids: Column, provenance: Column) -> Column:
+    """The source of a code cell that has none: what it did, as comments."""
+    listed = lambda name, values: F.when(F.size(values) > 0, F.concat(F.lit(f" {name}: "), F.array_join(values, ", "))).otherwise("")
+    head = F.coalesce(F.when(title != "", title), F.trim(F.concat("type", F.lit(" — "), F.coalesce("operation", F.lit("")))))
+    return F.concat(F.lit("# "), head, F.lit("\n# cell "), F.col("idx").cast("string"), F.lit(" ["), "type", F.lit("] status="), "status", listed("columns", columns), listed("datasets", dataset_ids), F.lit("\n# provenance: "), F.to_json(provenance))
+
+
+def shown(output: Column) -> Column:
+    """An output as nbformat has it: errors by name, anything else as data to display, its text shortened."""
+    data, cut = F.coalesce(output["data"], F.lit("")), lambda n: F.substring(F.coalesce(output["data"], F.lit("")), 1, n)
+    whole = output["type"].isin("table", "dataset", "chart")
+    mime = F.when(whole, F.create_map(F.lit("text/plain"), F.when(output["type"] == "chart", "[chart ]").otherwise(cut(TEXT_CHARS)), F.lit("application/json"), data)).otherwise(F.create_map(F.lit("text/plain"), cut(TEXT_CHARS)))
+    failed = output["type"] == "error"
+    return F.struct(
+        F.when(failed, "error").otherwise("display_data").alias("output_type"), F.when(~failed, mime).alias("data"), F.when(~failed, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("metadata"),
+        F.when(failed, "CellError").alias("ename"), F.when(failed, cut(ERROR_CHARS)).alias("evalue"), F.when(failed, F.array(cut(TEXT_CHARS))).alias("traceback"),
+    )
+
+
 def exported(notebooks: DataFrame, cells: DataFrame) -> DataFrame:
     """notebook_id, document: an nbformat 4.5 document of each notebook (id, workspace_id).
 
-    cells: notebook_id, id, idx, type, status, source, outputs (array of struct<type, data>).
+    cells: notebook_id, id, idx, type, status, and what there is of CELL.  A markdown cell without source shows its
+    title; a code cell without one is described.
     """
-    lines = F.array_join(F.array(F.coalesce("source", F.lit(""))), "")
-    kind = F.when(F.col("type").isin("markdown", "assistant"), "markdown").otherwise("code")
-    output = F.transform(
-        F.coalesce("outputs", F.array().cast("array<struct<type:string,data:string>>")),
-        lambda o: F.when(o["type"] == "error", F.struct(F.lit("error").alias("output_type"), F.substring(o["data"], 1, ERROR_CHARS).alias("text"))).otherwise(F.struct(F.lit("stream").alias("output_type"), F.substring(o["data"], 1, TEXT_CHARS).alias("text"))),
-    )
-    cell = F.struct("idx", kind.alias("cell_type"), "id", F.struct("type", "status").alias("metadata"), F.array(lines).alias("source"), F.when(kind == "code", output).alias("outputs"))
-    per = cells.select("notebook_id", cell.alias("cell")).groupBy("notebook_id").agg(F.transform(F.array_sort(F.collect_list("cell")), lambda c: c.dropFields("idx")).alias("cells"))
+    for name, kind in CELL.items():
+        cells = cells.withColumn(name, F.col(name).cast(kind) if name in cells.columns else F.lit(None).cast(kind))
+    markdown = F.col("type").isin("markdown", "assistant")
+    links = F.struct("dataset_ids", "operation", "columns", "source_cell_ids", "depends_on")
+    source = F.when(markdown, F.coalesce("source", "title", F.lit(""))).otherwise(F.coalesce(F.when(F.col("source") != "", F.col("source")), described(F.col("title"), F.col("columns"), F.col("dataset_ids"), links)))
+    output = F.transform(F.coalesce("outputs", F.array().cast(OUTPUT)), shown)
+    cell = F.struct(
+        "idx", F.when(markdown, "markdown").otherwise("code").alias("cell_type"), "id", F.struct("type", "status", "title", "operation", "columns", "dataset_ids", "source_cell_ids", "depends_on").alias("metadata"),
+        source.alias("source"), F.when(~markdown, F.col("execution_count")).alias("execution_count"), F.when(~markdown, output).alias("outputs"),
+    )
+    # data and metadata are maps, which have no order: the cells are sorted by their place and id alone
+    per = cells.select("notebook_id", cell.alias("cell")).groupBy("notebook_id").agg(F.collect_list("cell").alias("cells"))
+    before = lambda x, y: F.when((x["idx"] < y["idx"]) | ((x["idx"] == y["idx"]) & (x["id"] < y["id"])), -1).when((x["idx"] == y["idx"]) & (x["id"] == y["id"]), 0).otherwise(1)
+    per = per.select("notebook_id", F.transform(F.array_sort("cells", before), lambda c: c.dropFields("idx")).alias("cells"))
     both = notebooks.select(F.col("id").alias("notebook_id"), "workspace_id").join(per, "notebook_id", "left")
-    document = F.struct(F.coalesce("cells", F.array().cast(per.schema["cells"].dataType)).alias("cells"), F.struct(F.col("notebook_id").alias("id"), "workspace_id").alias("metadata"), F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"))
+    about = F.struct(F.struct(F.lit("quillmark").alias("display_name"), F.lit("python").alias("language"), F.lit("python3").alias("name")).alias("kernelspec"), F.struct(F.lit("python").alias("name")).alias("language_info"), F.col("notebook_id").alias("id"), "workspace_id")
+    document = F.struct(F.coalesce("cells", F.array().cast(per.schema["cells"].dataType)).alias("cells"), about.alias("metadata"), F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"))
     return both.select("notebook_id", F.to_json(document).alias("document"))
 
 
 def imported(documents: DataFrame) -> DataFrame:
-    """notebook_id, workspace_id, id, idx, type, status, source of the cells of documents (one JSON text a row)."""
+    """The cells of documents (one JSON text a row): notebook_id, workspace_id, id, idx, type, status, and CELL.
+
+    Sources and texts may be one string or a list of lines.  The title is that of the metadata, else the first line of
+    the source.  Errors come back as errors, other outputs as texts.
+    """
+    whole = lambda v: F.coalesce(F.array_join(F.try_variant_get(v, "$", "array<string>"), ""), F.try_variant_get(v, "$", "string"), F.lit(""))
     parsed = documents.select(F.from_json("document", DOCUMENT).alias("d"))
-    cells = parsed.select(F.col("d.metadata.id").alias("notebook_id"), F.col("d.metadata.workspace_id").alias("workspace_id"), F.posexplode("d.cells").alias("at", "c"))
-    named = F.col("c.metadata.type")
+    cells = parsed.select(F.col("d.metadata.id").alias("notebook_id"), F.col("d.metadata.workspace_id").alias("workspace_id"), F.posexplode("d.cells").alias("at", "c")).withColumn("source", whole(F.col("c.source")))
+    named, m = F.col("c.metadata.type"), F.col("c.metadata")
     kind = F.when((F.col("c.cell_type") == "markdown") | named.isin("markdown", "assistant"), "markdown").when(named.isin(*KEPT), named).otherwise("transform")
-    return cells.select("notebook_id", "workspace_id", F.coalesce("c.id", F.concat(F.lit("cell-"), F.col("at").cast("string"))).alias("id"), (F.col("at") + 1).alias("idx"), kind.alias("type"), F.coalesce("c.metadata.status", F.lit("active")).alias("status"), F.array_join("c.source", "").alias("source"))
+    first = F.substring(F.regexp_replace(F.substring_index("source", "\n", 1), r"^#\s*", ""), 1, TITLE_CHARS)
+    outputs = F.transform(F.coalesce("c.outputs", F.array().cast("array<struct<output_type:string,data:map<string,string>,text:variant>>")), lambda o: F.struct(F.when(o["output_type"] == "error", "error").otherwise("text").alias("type"), F.coalesce(F.try_element_at(o["data"], F.lit("text/plain")), whole(o["text"])).alias("data")))
+    return cells.select(
+        "notebook_id", "workspace_id", F.coalesce("c.id", F.concat(F.lit("cell-"), F.col("at").cast("string"))).alias("id"), (F.col("at") + 1).alias("idx"), kind.alias("type"), F.coalesce(m["status"], F.lit("active")).alias("status"), "source",
+        F.coalesce(m["title"], first).alias("title"), m["operation"].alias("operation"), m["columns"].alias("columns"), F.coalesce(m["dataset_ids"], F.array().cast("array<string>")).alias("dataset_ids"),
+        m["source_cell_ids"].alias("source_cell_ids"), m["depends_on"].alias("depends_on"), F.col("c.execution_count").alias("execution_count"), outputs.alias("outputs"),
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quillmark.functions.text import embedding_key
 from quillmark.operators.knowledge import RECORD, normalized
 from quillmark.operators.search import of_column, of_datasets, vector_search
-from quillmark.sources.stores import CACHE_SCHEMA, Store, trimmed_by_count
+from quillmark.sources.stores import CACHE_SCHEMA, MAX_BYTES, Store, entry_bytes, trimmed_by_count
 
 
 class KnowledgeStore:
@@ -76,6 +76,10 @@ class VectorStore:
         own = self.store.get(F.col("uid") == uid)
         return own if workspace is None else own.filter(F.col("workspace_id") == workspace)
 
+    def get(self, uid: str, content_hash: str, record_id: str) -> DataFrame:
+        """The vector of one key, or no row."""
+        return self.store.get((F.col("uid") == uid) & (F.col("key") == ":".join((uid, "vector", content_hash, record_id))))
+
     def delete_content(self, uid: str, content_hash: str) -> DataFrame:
         return self.store.delete((F.col("uid") == uid) & (F.col("content_hash") == content_hash))
 
@@ -101,11 +105,11 @@ class EmbeddingCache:
         return self.get(model, spark.createDataFrame([(text,)], "text string")).limit(1).count() == 1
 
     def set(self, model: str, vectors: DataFrame) -> DataFrame:
-        """vectors: text, vector.  The entries used last stay within the quota."""
+        """vectors: text, vector.  Beyond a quota, of entries or of bytes, the cache is trimmed."""
         now = F.current_timestamp()
         rows = vectors.select(embedding_key(F.lit(model), F.col("text")).alias("key"), F.lit(model).alias("model"), "vector", now.alias("created_at"), now.alias("used_at"))
         self.store.put(rows, ["used_at"])
-        return self.trim() if self.count() > self.most else self.store.read()
+        return self.trim() if self.full() else self.store.read()
 
     def touch(self, model: str, texts: DataFrame) -> DataFrame:
         keys = texts.select(embedding_key(F.lit(model), F.col("text")).alias("key")).distinct().withColumn("_hit", F.lit(True))
@@ -115,7 +119,13 @@ class EmbeddingCache:
     def invalidate(self, model: str) -> DataFrame:
         return self.store.delete(F.col("model") == model)
 
+    def full(self) -> bool:
+        """Over the quota of entries or that of bytes."""
+        n, size = self.store.read().agg(F.count("*"), F.coalesce(F.sum(entry_bytes(F.col("vector"))), F.lit(0))).first()
+        return n > self.most or size > MAX_BYTES
+
     def trim(self) -> DataFrame:
+        """The entries used last, up to their number; bytes alone take none away."""
         return self.store.write(trimmed_by_count(self.store.read(), "used_at", "key", self.most))
 
     def clear(self) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -10,19 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 SPREAD_BYTES = 4 << 20
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir, so that a lost executor loses nothing.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir.
 
     Where that setting is absent, a session in one process gets a temporary folder; any other is refused.
     """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/quillmark-shared"
+    return found
+
+
+def temporary_store(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder for a store that is deleted when the application ends."""
+    path = f"{shared_folder(spark)}/quillmark-{name}-{uuid.uuid4().hex}"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder, so that a lost executor loses nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", "") or context.getConf().get("spark.checkpoint.dir", "")
-        if not found:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            found = f"file://{tempfile.gettempdir()}/quillmark-shared"
-        context.setCheckpointDir(found)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

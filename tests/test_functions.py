@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -76,3 +77,18 @@ def test_each_text_is_embedded_once(spark, tmp_path):
 @given(st.text(max_size=40))
 def test_tokens_are_long_enough(value):
     assert all(len(t) > 1 and t == t.lower() for t in text.tokens_of(value))
+
+
+def test_embedding_model():
+    try:
+        assert vectors.configure_embeddings(name="x/MiniLM-L6", chunk_tokens=4096).chunk_tokens == 512
+        assert vectors.configure_embeddings(name="long-reader", chunk_tokens=4096, dimension=16).chunk_tokens == 4096
+        assert vectors.embedding_model().embedder()(["a word"]).shape == (1, 16)
+    finally:
+        assert vectors.reset_embeddings() == vectors.embedding_model() == vectors.EmbeddingModel()
+
+
+def test_long_texts_are_pooled():
+    assert vectors.windows("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"] and vectors.windows("", 4, 1) == [""]
+    made = vectors.pooled(lambda texts: np.array([[len(t), 1.0] for t in texts]), 4, 1)(["abcdefghij", "ab", ""])
+    assert np.allclose(made, [[4 / 17**0.5, 1 / 17**0.5], [2, 1], [0, 1]])

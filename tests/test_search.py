@@ -240,3 +240,12 @@ def test_no_single_task_ranks_all_rows(spark):
     plan = fusion.fused(df, ["a", "b"], "pos")
     assert plan.count() == 2000 and plan.selectExpr("max(rrf)").first()[0] <= 2 / 61
     assert "SinglePartition" not in fusion.ranked(df, "a", "pos").filter("rank > 5")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_system_knowledge_comes_after_the_stored_records(notes):
+    asked = search.Request(workspace_id="w", limit=1000)
+    ids = [r["id"] for r in search.search(notes, " ", asked).orderBy("place").collect()]
+    stored = [k for k in ids if not k.startswith(("dict::", "func::"))]
+    assert ids[: len(stored)] == stored and len(ids) > len(stored)
+    without = search.search(notes, " ", search.Request(workspace_id="w", limit=1000, include_system=False))
+    assert [r["id"] for r in without.orderBy("place").collect()] == stored
