@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.operators import knowledge, notebook, prompt, search
+from quillmark.functions.text import tokens_of
+from quillmark.operators import knowledge, notebook, prompt, providers, sampling, search
 from quillmark.plans.common import table
 from quillmark.plans.records import CELLS, _cells
 from quillmark.sources import ipynb, knowledge_store, stores
@@ -201,7 +202,84 @@ def embedding_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found[0].unionByName(found[1])
 
 
-EMBEDDING_CACHE = "SELECT 'kept' AS model, text, len(embedding) AS width, embedding[1] AS first FROM (SELECT text, min(item_id) AS vec_id FROM benchmark GROUP BY text) JOIN embeddings USING (vec_id)"
+EMBEDDING_CACHE = "SELECT 'kept' AS model, text, CAST(len(embedding) AS INTEGER) AS width, embedding[1] AS first FROM (SELECT text, min(item_id) AS vec_id FROM benchmark GROUP BY text) JOIN embeddings USING (vec_id)"
+
+OUTPUTS = ("diff", "table", "chart", "metric", "error", "text", "dataset", "file", "other")
+
+
+def output_narratives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences and kinds of the outputs of events, one of each type in turn; unknown types have none."""
+    e = table(spark, sf_dir, "events")
+    n, odd = F.col("event_id"), F.col("event_id") % 2 == 1
+    data = F.to_json(F.struct(F.when(odd, n % 5).alias("rowsRemoved"), (n % 3).alias("valuesChanged"), F.col("event_type").alias("fileName"), F.lit("bar").alias("chartType")))
+    output = F.struct(F.get(F.array(*map(F.lit, OUTPUTS)), (n % len(OUTPUTS)).cast("int")).alias("type"), F.when(odd, F.col("event_type")).alias("title"), F.when(odd, n).alias("row_count"), F.when(odd, F.array(F.lit("a"), F.lit("b"))).alias("columns"), F.lit(None).cast("string").alias("chart_type"), data.alias("data"))
+    rows = e.select("event_id", F.struct(F.col("user_id").alias("idx")).alias("cell"), output.alias("output"))
+    return rows.select("event_id", knowledge.output_narrative().alias("text"), knowledge.output_kind(F.col("output.type")).alias("kind"))
+
+
+_TITLED = "CASE WHEN odd THEN ' \"' || event_type || '\"' ELSE '' END"
+_CHANGES = "concat_ws(', ', CASE WHEN odd AND event_id % 5 <> 0 THEN event_id % 5 || ' rows removed' END, CASE WHEN event_id % 3 <> 0 THEN event_id % 3 || ' values changed' END)"
+_DATA = """'{' || CASE WHEN odd THEN '"rowsRemoved":' || event_id % 5 || ',' ELSE '' END || '"valuesChanged":' || event_id % 3 || ',"fileName":"' || event_type || '","chartType":"bar"}'"""
+_ROWS = "CASE WHEN odd THEN CAST(event_id AS VARCHAR) ELSE '?' END"
+OUTPUT_NARRATIVES = f"""WITH e AS (SELECT *, event_id % 2 = 1 AS odd, event_id % {len(OUTPUTS)} AS k FROM events), x AS (SELECT *, {_TITLED} AS title, {_CHANGES} AS changes, {_DATA} AS data FROM e)
+ SELECT event_id, 'Cell ' || user_id || CASE k WHEN 0 THEN CASE WHEN changes = '' THEN ' produced a diff.' ELSE ' diff' || title || ': ' || changes || '.' END WHEN 1 THEN ' table' || title || ' with ' || {_ROWS} || ' rows, columns ' || CASE WHEN odd THEN 'a, b' ELSE '' END || '.'
+  WHEN 2 THEN ' chart' || title || ' type bar ' || CASE WHEN odd THEN 'for a, b' ELSE '' END || '.' WHEN 3 THEN ' metric' || title || ': ' || data WHEN 4 THEN ' error' || title || ': ' || data WHEN 5 THEN ' note' || title || ': ' || data
+  WHEN 6 THEN ' dataset' || title || ': ' || {_ROWS} || ' rows.' WHEN 7 THEN ' file' || title || ': ' || event_type END AS text, CASE k WHEN 2 THEN 'notebook_visualization' WHEN 4 THEN 'error' ELSE 'notebook_output' END AS kind FROM x"""
+
+CATALOGUE_QUERY = "compares the mean of groups"
+
+
+def catalogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context lines of the catalogues' rows for a query."""
+    found = providers.dictionary_provider(CATALOGUE_QUERY)(spark, "w").unionByName(providers.functionality_provider(CATALOGUE_QUERY)(spark, "w"))
+    return found.select("id", "kind", prompt.context_line().alias("line"))
+
+
+def _catalogue_sql(rows, kind: str, prefix: str, line: str) -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    values = ", ".join(f"({k}, {', '.join(map(quoted, r[:4]))}, {r[4] if len(r) > 4 else 'NULL'})" for k, r in enumerate(rows))
+    score = " + ".join(f"CAST(contains(lower(name || ' ' || family || ' ' || about), '{t}') AS INTEGER)" for t in tokens_of(CATALOGUE_QUERY))
+    return f"SELECT '{prefix}' || key AS id, '{kind}' AS kind, '[{kind}] ' || name || ' (' || family || '): ' || about || {line} AS line FROM (SELECT * FROM (VALUES {values}) v(k, key, name, family, about, verified) ORDER BY {score} DESC, k LIMIT {knowledge.CATALOG_KEEP})"
+
+
+CATALOGUE_LINES = (
+    _catalogue_sql(knowledge.DICTIONARY, "note", "dict::", "' (cell:— ws:w dataset:—)'")
+    + " UNION ALL "
+    + _catalogue_sql(knowledge.FUNCTIONALITIES, "functionality", "func::", "' (ref: functionality:' || key || ' ui:' || family || '/' || key || CASE WHEN verified THEN '' ELSE ' experimental-verification-pending' END || ')'")
+)
+
+
+def _words(text: str) -> list[str]:
+    return text.split(" ")
+
+
+def token_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 512 tokens of whole documents, by a tokenizer that cuts at blanks."""
+    pieces = providers.token_chunks(table(spark, sf_dir, "documents"), "doc_id", "text", _words, " ".join)
+    return pieces.select("doc_id", "chunk", F.sha2("text", 256).alias("text_sha256"))
+
+
+TOKEN_CHUNKS = f"""WITH w AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS t FROM documents), n AS (SELECT *, unnest(range(0, 1 + CAST(ceil(greatest(0, len(t) - {providers.CHUNK_TOKENS}) / {providers.CHUNK_TOKENS - providers.TOKEN_OVERLAP}) AS BIGINT))) AS k FROM w)
+ SELECT doc_id, CAST(k AS INTEGER) AS chunk, sha256(array_to_string(t[k * {providers.CHUNK_TOKENS - providers.TOKEN_OVERLAP} + 1 : k * {providers.CHUNK_TOKENS - providers.TOKEN_OVERLAP} + {providers.CHUNK_TOKENS}], ' ')) AS text_sha256 FROM n"""
+
+SIZED = ("region", "customer", "supplier", "orders", "lineitem", "events")
+
+
+def sample_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of each table a sample takes, by either rule."""
+    rows = []
+    for name in SIZED:
+        n = table(spark, sf_dir, name).count()
+        (mode, size), said = sampling.selection(n), sampling.sample_metadata(n)
+        rows.append((name, mode, size, said["coverage"], said["n"]))
+    return spark.createDataFrame(rows, "name string, mode string, size int, coverage string, said int")
+
+
+SAMPLE_POLICY = (
+    "WITH s AS ("
+    + " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in SIZED)
+    + ") SELECT name, CASE WHEN n <= 1000 THEN 'exact' ELSE 'representative' END AS mode, CAST(CASE WHEN n <= 1000 THEN n WHEN n <= 5000 THEN least(400 + n // 10, 1000) ELSE 200 END AS INTEGER) AS size, CASE WHEN n BETWEEN 1 AND 200 THEN 'exact' ELSE 'sample' END AS coverage, CAST(least(200, n) AS INTEGER) AS said FROM s"
+)
 
 QUERIES = {
     "notebook_context": (notebook_context, NOTEBOOK_CONTEXT),
@@ -214,4 +292,8 @@ QUERIES = {
     "record_store": (record_store, RECORD_STORE),
     "vector_store": (vector_store, VECTOR_STORE),
     "embedding_cache": (embedding_cache, EMBEDDING_CACHE),
+    "output_narratives": (output_narratives, OUTPUT_NARRATIVES),
+    "catalogue_lines": (catalogue_lines, CATALOGUE_LINES),
+    "token_chunks": (token_chunks, TOKEN_CHUNKS),
+    "sample_policy": (sample_policy, SAMPLE_POLICY),
 }

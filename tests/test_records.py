@@ -210,3 +210,26 @@ def test_notebook_store(spark, tmp_path):
     assert store.get("n2").count() == 0 and store.of_workspace("w2").first()["id"] == "n3"
     store.clear()
     assert store.listed("w1").count() == 0 and store.get(None).count() == 0
+
+
+def test_contexts_of_odd_cells(spark):
+    """Cells without anything, notebooks that don't exist, and several questions on one cell."""
+    cells = spark.createDataFrame(
+        [("n", f"c{k}", k, "clean", "superseded" if k == 3 else "active", None if k == 1 else f"t{k}", None, None, None, None, None, None, None, ["c2"] if k == 9 else None) for k in range(1, 10)],
+        "notebook_id string, id string, idx int, type string, status string, title string, operation string, columns array<string>, dataset_ids array<string>, input_hash string, output_hash string, outputs array<struct<type:string,title:string,data:string>>, source_cell_ids array<string>, depends_on array<string>",
+    )
+    asked = spark.createDataFrame([("q1", "n", "c1"), ("q4", "n", "c4"), ("q9", "n", "c9"), ("r9", "n", "c9"), ("x", "other", "c9")], "query_id string, notebook_id string, cell_id string")
+    got = {r["query_id"]: r["notebook_context"].split("\n") for r in notebook.contexts(cells, asked).collect()}
+    assert set(got) == {"q1", "q4", "q9", "r9"} and got["q9"] == got["r9"]
+    assert got["q1"] == ['Active Cell 1 [clean] status=active title=""', "Operation: — columns: —", "Datasets: —", "Execution: inputHash= outputHash=—", "Outputs: "]
+    assert got["q4"][5:] == ["Preceding: Cell 1 clean  | Cell 2 clean t2"]
+    assert got["q9"][5:] == ["Preceding: " + " | ".join(f"Cell {k} clean t{k}" for k in range(4, 9)), "Lineage: c2, c9"]
+
+
+def test_documents_of_others(spark):
+    """Sources as lists or texts, outputs of any kind, cells without metadata."""
+    text = '{"metadata":{},"cells":[{"cell_type":"code","source":["# One\\n","x = [1]"],"outputs":[{"output_type":"stream","text":["a","b"]},{"output_type":"error","evalue":"e"}],"execution_count":7,"metadata":{}},{"cell_type":"markdown","source":"[1, 2]","metadata":{}}]}'
+    one, two = ipynb.imported(spark.createDataFrame([(text,)], "document string")).orderBy("idx").collect()
+    assert (one["type"], one["source"], one["title"], one["execution_count"]) == ("transform", "# One\nx = [1]", "One", 7)
+    assert [tuple(o) for o in one["outputs"]] == [("text", "ab"), ("error", "")]
+    assert (two["type"], two["source"], two["id"], two["outputs"]) == ("markdown", "[1, 2]", "cell-1", [])
