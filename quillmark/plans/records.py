@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -243,7 +245,7 @@ def reply_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = _entries(spark, sf_dir)
     now = F.timestamp_seconds(F.lit(350))
     known = prompt.live(entries.filter("conv_id % 2 = 0").drop("conv_id"), now)
-    asked = entries.select(F.col("conv_id").alias("query_id"), "workspace", "model", F.concat(F.lit("  "), F.upper("query")).alias("query"), "vector")
+    asked = entries.select(F.col("conv_id").alias("query_id"), "workspace", "model", F.concat(F.lit("  "), F.translate("query", ascii_lowercase, ascii_uppercase)).alias("query"), "vector")
     exact = prompt.exact_hits(asked, known).withColumn("how", F.lit("exact"))
     similar = prompt.similar_hits(asked, known).select("query_id", "reply", F.lit("similar").alias("how"))
     return exact.unionByName(similar)

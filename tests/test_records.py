@@ -233,3 +233,32 @@ def test_documents_of_others(spark):
     assert (one["type"], one["source"], one["title"], one["execution_count"]) == ("transform", "# One\nx = [1]", "One", 7)
     assert [tuple(o) for o in one["outputs"]] == [("text", "ab"), ("error", "")]
     assert (two["type"], two["source"], two["id"], two["outputs"]) == ("markdown", "[1, 2]", "cell-1", [])
+
+
+def test_whole_sample_against_brute_force(spark):
+    """The rows of sample_lcg, in their order, picked by hand: ends, quantiles, rare values, generator."""
+    import hashlib
+
+    import duckdb
+
+    from quillmark.plans import records as plans
+
+    sf = "/root/testdata/sf0.001"
+    rows = duckdb.connect().execute(f"SELECT o_orderkey, o_totalprice, o_orderpriority FROM read_parquet('{sf}/orders.parquet') ORDER BY o_orderkey").fetchall()
+    n, want = len(rows), 200
+    picked = [*range(15), *range(n - 15, n)]
+    by_price = sorted(range(n), key=lambda k: (rows[k][1], k))
+    priorities = [r[2] for r in rows]
+    rare = [priorities.index(v) for v in sorted(set(priorities), key=lambda v: (priorities.count(v), priorities.index(v)))[:5]]
+    for k in [*by_price[:: max(1, n // (want - len(picked)))], *rare]:
+        if k not in picked and len(picked) < want:
+            picked.append(k)
+    state = 0
+    for ch in hashlib.sha256(b"orders:c:sample-v1:v1").hexdigest():
+        state = (state * 33 % 2**32) ^ ord(ch)
+    while len(picked) < want:
+        state = (1664525 * state + 1013904223) % 2**32
+        if state % n not in picked:
+            picked.append(state % n)
+    got = plans.sample_lcg(spark, sf).orderBy("place").collect()
+    assert [(r["_pos"], r["o_orderkey"]) for r in got] == [(k, rows[k][0]) for k in picked]
