@@ -84,4 +84,16 @@ MIXING = f"""WITH RECURSIVE t0 AS (SELECT doc_id, coalesce(source, '(none)') AS
  found AS (SELECT p.*, coalesce(w, 0.0) AS w, coalesce(least(1.0, ratio * factor), 0.5) AS probability FROM p LEFT JOIN fit USING (source, lang, topic), best)
  SELECT doc_id, source, lang, topic, n_tokens, round(w, 9) AS weight, round(probability, 6) AS probability, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8)) AS UBIGINT) / 4294967296.0 < probability AS sampled, round(r, 6) AS residual FROM found, missed"""
 
-ORACLES = {"op4_secrets": SECRETS, "op5_mixing": MIXING, "op9_licenses": LICENSES}
+#: Every row in every order: the step that removes it is the first whose filter it fails.
+AUDIT = r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents),
+ l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+ f AS (SELECT part, coalesce(good, 0) AS good, coalesce(l.toxic, 0) AS toxic, (CASE WHEN len(words) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) THEN 'C' ELSE '' END) || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+  || (CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails FROM t LEFT JOIN l ON t.doc_id = l.doc_id),
+ x(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+ p AS (SELECT a.c || b.c || d.c || e.c || g.c AS o FROM x a, x b, x d, x e, x g WHERE len(list_distinct([a.c, b.c, d.c, e.c, g.c])) = 5),
+ r AS (SELECT f.*, o, list_min(list_transform(list_filter(string_split(fails, ''), lambda c: c <> ''), lambda c: strpos(o, c))) AS gone FROM f, p),
+ s AS (SELECT part, o, k, count(*) FILTER (WHERE gone IS NULL OR gone > k) AS kept, count(*) FILTER (WHERE gone = k) AS removed, count(*) FILTER (WHERE gone < k AND contains(fails, o[k])) AS redundant, count(*) FILTER (WHERE fails = o[k]) AS unique_fails, count(*) FILTER (WHERE gone = k AND good = 1) AS good_lost, count(*) FILTER (WHERE gone = k AND toxic = 1) AS toxic_lost FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS k FROM r) GROUP BY part, o, k)
+ SELECT part, o AS filter_order, k AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, o[k]) AS BIGINT) AS shapley FROM s"""
+
+ORACLES = {"op4_secrets": SECRETS, "op5_mixing": MIXING, "op9_licenses": LICENSES, "op13_filter_audit": AUDIT}
