@@ -98,12 +98,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
     The table lasts as long as the application: what is returned may be lazy and read it later.
     """
+    return stored(df, what)[0]
+
+
+def stored(df: DataFrame, what: str) -> tuple[DataFrame, Callable[[], None]]:
+    """written(), and what deletes the table before the application ends, once nothing reads it any more."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path), lambda: files.delete(place, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:

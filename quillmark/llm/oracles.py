@@ -96,4 +96,32 @@ AUDIT = r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(tex
  s AS (SELECT part, o, k, count(*) FILTER (WHERE gone IS NULL OR gone > k) AS kept, count(*) FILTER (WHERE gone = k) AS removed, count(*) FILTER (WHERE gone < k AND contains(fails, o[k])) AS redundant, count(*) FILTER (WHERE fails = o[k]) AS unique_fails, count(*) FILTER (WHERE gone = k AND good = 1) AS good_lost, count(*) FILTER (WHERE gone = k AND toxic = 1) AS toxic_lost FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS k FROM r) GROUP BY part, o, k)
  SELECT part, o AS filter_order, k AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, o[k]) AS BIGINT) AS shapley FROM s"""
 
-ORACLES = {"op4_secrets": SECRETS, "op5_mixing": MIXING, "op9_licenses": LICENSES, "op13_filter_audit": AUDIT}
+def _clusters(rounds: int = 5, k: int = 40) -> str:
+    """Every distance in every round: tables a0, a1, ... of the nearest centroid, c0, c1, ... of the centroids' components."""
+    total = "CAST(sum(x) AS HUGEINT)"
+    parts = [
+        """WITH kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)""",
+        "v AS (SELECT r, unnest(range(1, 65)) AS i, unnest(v) AS x FROM kept)",
+        f"s AS (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS c FROM kept WHERE vec_id IS NOT NULL QUALIFY c < {k})",
+        "c0 AS (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM s)",
+    ]
+    for j in range(rounds + 1):
+        parts.append(f"d{j} AS (SELECT r, c, sum((v.x - c.x) * (v.x - c.x)) AS d FROM v JOIN c{j} c USING (i) GROUP BY r, c), a{j} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{j} GROUP BY r)")
+        if j < rounds:
+            parts.append(f"m{j} AS (SELECT c, i, {total} AS t, count(*) AS n FROM a{j} JOIN v USING (r) GROUP BY c, i), c{j + 1} AS MATERIALIZED (SELECT o.c, o.i, CAST(coalesce((t - (((t % n) + n) % n)) // n, o.x) AS BIGINT) AS x FROM c{j} o LEFT JOIN m{j} m ON o.c = m.c AND o.i = m.i)")
+    return ",\n ".join(parts) + f"""
+ SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+ FROM a{rounds} JOIN kept USING (r) JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c) USING (c)"""
+
+
+#: Every window of 50 words of every document, by its words.
+SUBSTRING = r"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+ wins AS (SELECT r, doc_id, i, sha256(array_to_string(w[i:i + 49], ' ')) AS s FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM t)),
+ first AS (SELECT s, min(doc_id) AS f FROM wins GROUP BY s),
+ hit AS (SELECT r, i FROM wins JOIN first USING (s) WHERE f < doc_id),
+ gone AS (SELECT DISTINCT r, i + unnest(range(0, 50)) AS p FROM hit),
+ each AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM t),
+ left_over AS (SELECT e.r, count(g.p) AS n, string_agg(word, ' ' ORDER BY e.p) FILTER (WHERE g.p IS NULL) AS k FROM each e LEFT JOIN gone g ON e.r = g.r AND e.p = g.p GROUP BY e.r)
+ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM t LEFT JOIN left_over USING (r)"""
+
+ORACLES = {"op11_substring_dedup": SUBSTRING, "op12_yinyang": _clusters(), "op4_secrets": SECRETS, "op5_mixing": MIXING, "op9_licenses": LICENSES, "op13_filter_audit": AUDIT}

@@ -96,6 +96,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.detect(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm import substring
+
+    removed = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("bigint"), lambda n, r: n + r["ends"] - r["starts"])
+    done = substring.deduplicated(table(spark, sf_dir, "documents"), words=50)
+    return done.select("doc_id", "n_words", F.coalesce(removed, F.lit(0)).alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmark.llm import clusters
+
+    return clusters.with_inertia(*clusters.cluster(table(spark, sf_dir, "embeddings"))).drop("measured")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmark.llm import audit
 
