@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +181,28 @@ def test_one_row_of_each_group_stays(spark):
     unnamed = spark.createDataFrame([(None, a, 1), (None, a, 2), (3, a, 3)], "doc_id long, text string, n long")
     assert [r["n"] for r in neardup.without_copies(unnamed).collect()] == [3]
     assert neardup.without_copies(unnamed.filter("doc_id is null")).count() == 1
+
+
+def leaf_pairs(spark, members):
+    """remaining_pairs of members (node, fp, label), whose labels are what is known so far."""
+    join = neardup.Joiner.__new__(neardup.Joiner)
+    rows = spark.createDataFrame([(n, bytes(f), bytes(c)) for n, f, c in members], "node long, fp binary, label binary")
+    join.labels = rows.select(F.col("fp").alias("v"), "label").distinct()
+    return join.remaining_pairs(rows.select("node", "fp"))
+
+
+def test_leaf_pairs_against_brute_force(spark):
+    rng = random.Random(4)
+    label = {f: rng.choice([b"a", b"a", b"b", b"c", b"%d" % f]) for f in range(60)}
+    members = [(node, b"%02d" % f, label[f]) for node in range(12) for f in rng.sample(range(60), rng.randrange(1, 25))]
+    want = {(min(x[1], y[1]), max(x[1], y[1])) for x in members for y in members if x[0] == y[0] and x[2] != y[2]}
+    got = [(bytes(r["a"]), bytes(r["b"])) for r in leaf_pairs(spark, members).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_a_hot_leaf_costs_its_size_times_those_outside(spark):
+    """A group of 60,000 copies with three others: 180,003 pairs, where all against all would be 3.6 billion rows."""
+    members = [(1, b"%08d" % k, b"group" if k > 2 else b"%08d" % k) for k in range(60_003)]
+    start = time.time()
+    assert leaf_pairs(spark, members).count() == 180_003
+    assert time.time() - start < 60
