@@ -11,6 +11,7 @@ allow-list suppresses what looks random but isn't a secret: plain words, numbers
 sequences.  Entropy spans that overlap a base span aren't reported again.
 
 Null and empty texts have no spans.  Ids may be null or repeat; each row is scanned by itself, without a shuffle.
+scan() reads no other column; redact() hands all of them on, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import id_text
+from quillmark.llm.common import id_text, own_columns
 
 #: Fixed by the contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -153,18 +154,49 @@ def joined(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The same columns and rows; every span of a text is replaced by MASK, and n_chars follows the text."""
-    columns = docs.columns
-    found = _scanned(docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_doc"), F.coalesce("text", F.lit("")).alias("text")))
+def _masked(text: Column, spans: Column) -> Column:
+    """text with MASK in place of each group of overlapping spans, which are in order of their starts.
+
+    Spans are taken in blocks of about the root of their number.  A block cuts its own piece out of the text once, and
+    its spans cut theirs out of that piece, so neither the text nor what is made of it is copied for each span.
+    """
+    block = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(F.size(spans))).cast("int"))
+    of_block = lambda k: F.slice(spans, k * block + 1, block)
+    numbers = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / block).cast("int"))
+    further = lambda at, s: F.greatest(at, s["end"])
+    ends = F.transform(numbers, lambda k: F.aggregate(of_block(k), F.lit(0), further))
+    starts = F.aggregate(ends, F.array(F.lit(0)), lambda acc, end: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1), end))))
+
+    def with_starts(x: Column) -> Column:
+        starts = x["starts"]
+
+        def opened(k: Column) -> Column:
+            low, high = F.get(starts, k), F.get(starts, k + 1)
+            return F.struct(low.alias("low"), F.substring(text, low + 1, high - low).alias("piece"), of_block(k).alias("spans"))
+
+        return F.concat(F.array_join(F.transform(F.transform(numbers, opened), cut), ""), F.substring(text, F.element_at(starts, -1) + 1, F.length(text)))
 
-    def merge(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]  # overlaps the span before
-        piece = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], piece, F.lit(MASK))).alias("out"))
+    def cut(x: Column) -> Column:
+        def merge(acc: Column, s: Column) -> Column:
+            before = F.substring(x["piece"], acc["at"] - x["low"] + 1, s["start"] - acc["at"])
+            out = F.when(s["start"] < acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(before, F.lit(MASK))))
+            return F.struct(further(acc["at"], s).alias("at"), out.alias("out"))
 
-    done = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), merge, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+        start = F.struct(x["low"].alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(x["spans"], start, merge, lambda acc: F.array_join(acc["out"], ""))
+
+    return F.transform(F.array(F.struct(starts.alias("starts"))), with_starts)[0]
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The same columns and rows, however columns are named; every span of a text is replaced by MASK, and n_chars follows.
+
+    Null texts stay null.  A text without a span keeps its n_chars, whatever that says.  Rows that repeat are masked alike.
+    """
+    columns = docs.columns
+    found = _scanned(docs.select(F.struct(*(c.alias(name) for c, name in zip(own_columns(docs), columns, strict=True))).alias("_doc"), F.coalesce("text", F.lit("")).alias("text")))
+    own = lambda name: F.col("_doc").getField(name)
     none = F.size("spans") == 0
-    cleaned = found.withColumn("_clean", F.when(none, F.col("_doc.text")).otherwise(done))
-    new = {"text": F.col("_clean"), "n_chars": F.when(none, F.col("_doc.n_chars")).otherwise(F.length("_clean").cast("bigint")) if "n_chars" in columns else None}
-    return cleaned.select(*(new.get(c, F.col(f"_doc.`{c}`")).alias(c) for c in columns))
+    cleaned = found.withColumn("_clean", F.when(none, own("text")).otherwise(_masked(F.col("text"), F.col("spans"))))
+    new = {"text": F.col("_clean")} | ({"n_chars": F.when(none, own("n_chars")).otherwise(F.length("_clean").cast("bigint"))} if "n_chars" in columns else {})
+    return cleaned.select(*(new.get(c, own(c)).alias(c) for c in columns))
