@@ -119,7 +119,7 @@ NOTEBOOK_STORE = """WITH n AS (SELECT lpad(CAST(c_custkey AS VARCHAR), 12, '0')
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: datasets are their sources, columns their languages."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.substring("text", 1, 40).alias("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     status = F.when(F.col("doc_id") % 5 == 0, "superseded").when(F.col("doc_id") % 5 > 1, "active")
     kind = F.when(F.col("doc_id") % 3 == 0, "note").when(F.col("doc_id") % 3 == 1, "statistic").otherwise("guide")
     return knowledge.records(d, id=F.col("doc_id"), kind=kind, text=F.col("text"), workspace=F.lit("w"), dataset=F.col("source"), cell=F.concat(F.lit("c"), (F.col("doc_id") % 50).cast("string")), metadata={"status": status, "column": F.col("lang")}, provenance={}, pos=F.col("doc_id"))
@@ -165,13 +165,13 @@ def record_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     looked = {"dataset": store.by_dataset(first), "column": store.by_column(lang), "cell": store.by_cell("c9"), "workspace": store.by_workspace("w"), "none": store.by_notebook("nb")}
     out = None
     for name, rows in looked.items():
-        rows = rows.select(F.lit(name).alias("lookup"), "id", "kind", "text")
+        rows = rows.select(F.lit(name).alias("lookup"), "id", "kind", F.sha2("text", 256).alias("text_sha256"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
-RECORD_STORE = f"""WITH {_FIRSTS}, r AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, {_KIND} AS kind, CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE substr(text, 1, 40) END AS text, source, lang FROM documents WHERE doc_id NOT IN (1, 2) AND doc_id % 50 <> 7)
- SELECT 'dataset' AS lookup, id, kind, text FROM r, f WHERE source = s UNION ALL SELECT 'column', id, kind, text FROM r, f WHERE lang = l UNION ALL SELECT 'cell', id, kind, text FROM r WHERE doc_id % 50 = 9 UNION ALL SELECT 'workspace', id, kind, text FROM r"""
+RECORD_STORE = f"""WITH {_FIRSTS}, r AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS id, {_KIND} AS kind, sha256(CASE WHEN doc_id % 3 = 0 THEN 'again' ELSE text END) AS text_sha256, source, lang FROM documents WHERE doc_id NOT IN (1, 2) AND doc_id % 50 <> 7)
+ SELECT 'dataset' AS lookup, id, kind, text_sha256 FROM r, f WHERE source = s UNION ALL SELECT 'column', id, kind, text_sha256 FROM r, f WHERE lang = l UNION ALL SELECT 'cell', id, kind, text_sha256 FROM r WHERE doc_id % 50 = 9 UNION ALL SELECT 'workspace', id, kind, text_sha256 FROM r"""
 
 
 def vector_store(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ class KnowledgeStore:
     """Records by id.  They are normalised when written and when read."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.store = Store(spark, path, RECORD)
+        self.store = Store(spark, path, RECORD, cluster=("workspace_id", "notebook_id"))
 
     def put(self, records: DataFrame) -> DataFrame:
         return self.store.put(normalized(records), ["updated_at", "source_hash"])
@@ -61,12 +61,12 @@ class KnowledgeStore:
 
 
 class VectorStore:
-    """Vectors by key `uid:vector:content:id`, partitioned by owner."""
+    """Vectors by key `uid:vector:content:id`, sorted by owner within parts."""
 
     SCHEMA = "key string, content_hash string, id string, workspace_id string, kind string, text string, embedding array<float>, used_at timestamp, uid string"
 
     def __init__(self, spark: SparkSession, path: str):
-        self.store = Store(spark, path, self.SCHEMA, key="key", partition="uid")
+        self.store = Store(spark, path, self.SCHEMA, key="key", cluster=("uid", "content_hash"))
 
     def upsert(self, rows: DataFrame) -> DataFrame:
         key = F.concat_ws(":", "uid", F.lit("vector"), "content_hash", "id")
@@ -78,7 +78,8 @@ class VectorStore:
 
     def get(self, uid: str, content_hash: str, record_id: str) -> DataFrame:
         """The vector of one key, or no row."""
-        return self.store.get((F.col("uid") == uid) & (F.col("key") == ":".join((uid, "vector", content_hash, record_id))))
+        spark = self.store.spark
+        return self.store.of_keys(spark.createDataFrame([(":".join((uid, "vector", content_hash, record_id)),)], "key string"))
 
     def delete_content(self, uid: str, content_hash: str) -> DataFrame:
         return self.store.delete((F.col("uid") == uid) & (F.col("content_hash") == content_hash))
@@ -98,7 +99,7 @@ class EmbeddingCache:
 
     def get(self, model: str, texts: DataFrame) -> DataFrame:
         keyed = texts.select("text").distinct().withColumn("key", embedding_key(F.lit(model), F.col("text")))
-        return keyed.join(self.store.read().select("key", "vector"), "key").select("text", "vector")
+        return keyed.join(self.store.of_keys(keyed).select("key", "vector"), "key").select("text", "vector")
 
     def has(self, model: str, text: str) -> bool:
         spark = self.store.spark
@@ -112,9 +113,8 @@ class EmbeddingCache:
         return self.trim() if self.full() else self.store.read()
 
     def touch(self, model: str, texts: DataFrame) -> DataFrame:
-        keys = texts.select(embedding_key(F.lit(model), F.col("text")).alias("key")).distinct().withColumn("_hit", F.lit(True))
-        all_ = self.store.read().join(keys, "key", "left")
-        return self.store.write(all_.withColumn("used_at", F.when(F.col("_hit"), F.current_timestamp()).otherwise(F.col("used_at"))).drop("_hit"))
+        keys = texts.select(embedding_key(F.lit(model), F.col("text")).alias("key"))
+        return self.store.put(self.store.of_keys(keys).withColumn("used_at", F.current_timestamp()), ["used_at"])
 
     def invalidate(self, model: str) -> DataFrame:
         return self.store.delete(F.col("model") == model)
@@ -126,7 +126,7 @@ class EmbeddingCache:
 
     def trim(self) -> DataFrame:
         """The entries used last, up to their number; bytes alone take none away."""
-        return self.store.write(trimmed_by_count(self.store.read(), "used_at", "key", self.most))
+        return self.store.retain(trimmed_by_count(self.store.read(), "used_at", "key", self.most))
 
     def clear(self) -> DataFrame:
         return self.store.clear()

@@ -262,3 +262,98 @@ def test_whole_sample_against_brute_force(spark):
             picked.append(state % n)
     got = plans.sample_lcg(spark, sf).orderBy("place").collect()
     assert [(r["_pos"], r["o_orderkey"]) for r in got] == [(k, rows[k][0]) for k in picked]
+
+
+def _ids(df):
+    return {(r["id"], r["v"]) for r in df.collect()}
+
+
+def test_a_put_rewrites_the_parts_of_its_keys(spark, tmp_path):
+    store = stores.Store(spark, str(tmp_path / "s"), "id string, v int", parts=8)
+    store.put(spark.range(200).selectExpr("cast(id AS string) AS id", "cast(id AS int) AS v"))
+    before = store.manifest()
+    assert len(before.places) == 8
+    store.put(spark.createDataFrame([("7", 70)], "id string, v int"))
+    after = store.manifest()
+    assert sum(before.places[k] != after.places[k] for k in before.places) == 1
+    store.delete(F.col("id").isin("8", "9", "none"))
+    assert 1 <= sum(store.manifest().places[k] != after.places[k] for k in before.places) <= 2
+    last = store.manifest()
+    store.delete(F.col("id") == "none")
+    assert store.manifest() == last
+    assert _ids(store.read()) == {(str(k), 70 if k == 7 else k) for k in range(200) if k not in (8, 9)}
+    assert _ids(store.of_keys(spark.createDataFrame([("7",), ("8",), ("7",)], "id string"))) == {("7", 70)}
+
+
+def test_two_writers(spark, tmp_path, monkeypatch):
+    """A writer that finds another's state before its own keeps that one's rows, whether they share parts or not."""
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, v int")
+    for parts in (1, 64):
+        path = str(tmp_path / f"s{parts}")
+        first, second = (stores.Store(spark, path, "id string, v int", parts=parts) for _ in range(2))
+        first.put(rows(("a", 1), ("b", 1)))
+        publish, calls, writes = stores.Store._publish, [], []
+
+        def between(self, state, publish=publish, calls=calls, second=second):
+            calls.append(state.number)
+            if len(calls) == 1:
+                second.put(rows(("b", 2), ("c", 2)))
+            return publish(self, state)
+
+        with monkeypatch.context() as m:
+            m.setattr(stores.Store, "_publish", between)
+            first.change(lambda _: rows(("a", 3)), lambda old: writes.append(1) or stores.upserted(old, rows(("a", 3)), "id"))
+        assert _ids(first.read()) == _ids(second.read()) == {("a", 3), ("b", 2), ("c", 2)}
+        assert len(writes) == (2 if parts == 1 else 1)
+
+
+def test_old_files_go_and_frames_stay_good_for_some_changes(spark, tmp_path):
+    store = stores.Store(spark, str(tmp_path / "s"), "id string, v int", parts=2, keep=3)
+    rows = lambda v: spark.createDataFrame([("a", v), ("b", v)], "id string, v int")
+    store.put(rows(0))
+    held = store.read()
+    for v in range(1, 3):
+        store.put(rows(v))
+    assert _ids(held) == {("a", 0), ("b", 0)}
+    for v in range(3, 9):
+        store.put(rows(v))
+    assert _ids(store.read()) == {("a", 8), ("b", 8)}
+    folders = [p for p in (tmp_path / "s").iterdir() if p.name != "manifests"]
+    assert len(folders) <= 3 and len(list((tmp_path / "s" / "manifests").glob("0*"))) == 3
+
+
+def test_an_incomplete_state_of_a_dead_writer_changes_nothing(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stores.time, "sleep", lambda _: None)
+    store = stores.Store(spark, str(tmp_path / "s"), "id string, v int", parts=2)
+    store.put(spark.createDataFrame([("a", 1)], "id string, v int"))
+    (tmp_path / "s" / "manifests" / "000000000002").write_text('{"parts": 2, "pla')
+    assert _ids(store.read()) == {("a", 1)}
+    store.put(spark.createDataFrame([("b", 2)], "id string, v int"))
+    assert _ids(store.read()) == {("a", 1), ("b", 2)} and store.manifest().number == 3
+
+
+def test_puts_of_repeated_keys_and_nothing(spark, tmp_path):
+    store = stores.Store(spark, str(tmp_path / "s"), "id string, v int")
+    store.put(spark.createDataFrame([], "id string, v int"))
+    store.put(spark.createDataFrame([("a", 1), ("a", 5), ("a", None), (None, 3)], "id string, v int"))
+    assert ("a", 5) in _ids(store.read()) and len(_ids(store.read())) == 2
+    assert _ids(store.retain(spark.createDataFrame([("a", 0)], "id string, v int"))) == {("a", 5)}
+    assert _ids(store.write(spark.createDataFrame([("z", 9)], "id string, v int"))) == {("z", 9)}
+
+
+def test_trims_by_bytes_of_one_owner_over_ranges(spark):
+    rows = [(k, ["u", "v", None][k % 3] if k % 7 else "u", [0.5] * (k % 5)) for k in range(400)]
+    df = spark.createDataFrame(rows, "k int, owner string, v array<float>")
+    size = stores.entry_bytes(F.col("v"))
+    for owner in (None, "owner"):
+        want = set()
+        for o in {r[1] for r in rows} if owner else [None]:
+            mine = sorted((r for r in rows if not owner or r[1] == o), reverse=True)
+            sizes = [4 * len(r[2]) + 300 for r in mine]
+            if len(mine) <= 150 and sum(sizes) <= 40_000:
+                want |= {r[0] for r in mine}
+            else:
+                want |= {r[0] for n, r in enumerate(mine, 1) if n <= 120 and sum(sizes[:n]) <= 32_000}
+        trimmed = stores.trimmed_by_bytes(df, size, "k", "k", 150, 40_000, owner=owner)
+        assert {r["k"] for r in trimmed.collect()} == want and trimmed.columns == df.columns
+        assert "SinglePartition" not in trimmed._jdf.queryExecution().executedPlan().toString()
