@@ -11,7 +11,9 @@ often a term, or a misspelling seen in the sample, stands in a toxic document th
 sample near a term is a misspelling only if it is as precise as terms must be; else it's a word of its own.  Each find is
 weighed by its context window: quotation marks around it or a verb of reporting next to it lower its weight, an address
 to a person raises it.  A text's score is the probability that not every find is harmless: one minus the product of
-(1 - weight).  A text without finds gets the share of toxic rows among such texts of the sample.
+(1 - weight).  A text with one find only scores no more than such texts of the sample are toxic, by the kind of the find:
+an insult of the fixed list, a learned term or stem, a misspelling, one with digits for letters.  A misspelling never
+weighs more than what it misspells.  A text without finds gets the share of toxic rows among such texts of the sample.
 
 What the model learns is bounded by the sample: at most about `max_toxic` and `max_clean` rows, `max_terms` terms, and
 the `MAX_VARIANTS` most frequent misspellings of it.
@@ -37,7 +39,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmark.llm.common import blocks, fold, id_text, worker_state
+from quillmark.llm.common import blocks, fold, id_text, worker_state, written
 
 THRESHOLD = 0.3
 #: Insults that the lexicon has before it learns any.
@@ -49,7 +51,7 @@ OPEN, CLOSE = "\"“„«‘'", "\"”“»’'"
 WINDOW, IN_QUOTES, REPORTED, ADDRESSED = 6, 0.4, 0.6, 1.15
 #: Sample and lexicon bounds.
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS, MAX_VARIANTS = 3000, 6000, 4000, 20_000
-STEMS, STEM_WORDS, LEAST_TEST, TERM_PRECISION, STEM_PRECISION = range(4, 9), 3, 13.0, 0.6, 0.9
+STEMS, STEM_WORDS, LEAST_TEST, TERM_PRECISION, STEM_PRECISION = range(4, 9), 3, 8.0, 0.6, 0.9
 CACHE_ENTRIES = 300_000
 words_of = re.compile(r"\w+").findall
 
@@ -152,7 +154,7 @@ class LexiconAutomaton:
 class Model:
     """Precisions of terms, stems and seen misspellings; of other misspellings by term or stem.
 
-    rest: the toxic share of texts without a find; single: of those with one find only.
+    rest: the toxic share of texts without a find; single: of those with one find only, by its kind, and by kind and term.
     """
 
     terms: dict[str, float] = field(default_factory=dict)
@@ -160,7 +162,7 @@ class Model:
     variants: dict[str, float] = field(default_factory=dict)
     unseen: dict[str, float] = field(default_factory=dict)
     rest: float = 0.01
-    single: float = 1.0
+    single: dict[str, float] = field(default_factory=dict)
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
@@ -180,10 +182,23 @@ class Scorer:
         if not edits:
             exact = m.terms.get(word)
             return ("term", word, exact) if exact is not None else ("stem", term, m.stems[term])
-        p = m.variants.get(word)
+        p, most = m.variants.get(word), m.terms.get(term, m.stems.get(term, 1.0))
         if p is None:
-            return "variant", term, m.unseen.get(term, BASE_PRECISION) * 0.8 ** (edits - 1)
-        return ("variant", term, p) if p >= TERM_PRECISION else None
+            return "variant", term, min(most, m.unseen.get(term, BASE_PRECISION) * 0.8 ** (edits - 1))
+        return ("variant", term, min(most, p)) if p >= TERM_PRECISION else None
+
+    @staticmethod
+    def single_kind(word: str, kind: str) -> str:
+        """What a find says if it is a text's only one: a letter becomes a digit by no accident, unlike other edits."""
+        if kind == "variant":
+            return "masked" if any(ch.isdigit() or ch == "_" for ch in word) else "misspelled"
+        return "insult" if word in BASE_TERMS else "learned"
+
+    def alone(self, word: str, kind: str, term: str) -> float:
+        """The most that a text scores whose only find is this one; for a misspelling, at most that of its term."""
+        own = self.single_kind(word, kind)
+        most = self.model.single.get(f"{own}:{term}", self.model.single.get(own, 1.0))
+        return most if kind != "variant" else min(most, self.alone(term, "term", term))
 
     def _learn(self, chunks: set[str]) -> None:
         if len(self._clean) + len(chunks) > CACHE_ENTRIES:
@@ -227,11 +242,13 @@ class Scorer:
             best: dict[str, float] = {}
             variant = 0.0  # of all misspellings only the surest counts: near words of one kind come together
             finds = misspelled = discounted = 0
+            most = 1.0
             for at, token in enumerate(tokens):
                 if token in bad:
                     factor = self._context(tokens, at)
-                    for word, (kind, _, p) in self._bad[token]:
+                    for word, (kind, term, p) in self._bad[token]:
                         finds += 1
+                        most = self.alone(word, kind, term) if finds == 1 else 1.0
                         misspelled += kind == "variant"
                         discounted += factor < 1
                         p = min(0.995, p * factor)
@@ -242,8 +259,7 @@ class Scorer:
             clean = (1.0 - self.model.rest) * (1.0 - variant)
             for p in best.values():
                 clean *= 1.0 - p
-            p = 1.0 - clean
-            out.append((min(p, self.model.single) if finds == 1 and best else p, finds, misspelled, discounted))
+            out.append((min(1.0 - clean, most), finds, misspelled, discounted))
         return out
 
 
@@ -262,7 +278,7 @@ def _sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int)
 
 
 def _without_copies(sample: DataFrame, functions: int = 4) -> DataFrame:
-    """Drops a row if one of the least hashes of its five-word shingles is that of a row with a smaller id.
+    """Drops a row if one of the least hashes of its five-word shingles is that of a row before it, by id and text.
 
     A group of near copies would make every rare word of its text look like a sign of its label.
     """
@@ -276,12 +292,13 @@ def _without_copies(sample: DataFrame, functions: int = 4) -> DataFrame:
                 shingles = {xxhash.xxh64_intdigest(" ".join(words[k : k + 5])) for k in range(max(1, len(words) - 4))}
                 hashes = np.fromiter(shingles, np.uint64, len(shingles))
                 least.append([int(((hashes * seed) >> np.uint64(1)).min()) for seed in seeds])
-            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(least, pa.list_(pa.int64()))], names=["toxic", "text", "doc_id", "keys"])
+            yield pa.RecordBatch.from_arrays([*block.columns, pa.array(least, pa.list_(pa.int64()))], names=["toxic", "text", "doc_id", "digest", "keys"])
 
-    keyed = sample.mapInArrow(keys, "toxic int, text string, doc_id bigint, keys array<bigint>").persist()
-    firsts = keyed.select("doc_id", F.posexplode("keys")).groupBy("pos", "col").agg(F.min("doc_id").alias("doc_id"))
-    kept = firsts.groupBy("doc_id").count().filter(F.col("count") == functions).select("doc_id")
-    return keyed.join(kept, "doc_id", "left_semi").select("toxic", "text")
+    # Rows are told apart by id and text: an id that occurs with several texts has the firsts of each.
+    keyed = written(sample.withColumn("digest", F.md5("text")).mapInArrow(keys, "toxic int, text string, doc_id bigint, digest string, keys array<bigint>"), "sample")
+    firsts = keyed.select("doc_id", "digest", F.posexplode("keys")).groupBy("pos", "col").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    kept = firsts.groupBy("first").count().filter(F.col("count") == functions).select("first.doc_id", "first.digest")
+    return keyed.join(kept, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"]).select("toxic", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_terms: int = MAX_TERMS) -> Model:
@@ -311,7 +328,7 @@ def _fit(sample: DataFrame, max_terms: int) -> Model:
             yield _class_counts(found)
 
     schema = "term string, c1 bigint, c0 bigint"
-    counted = sample.mapInArrow(count, schema).groupBy("term").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    counted = written(sample.mapInArrow(count, schema).groupBy("term").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")), "counted")
     c1, c0, total = F.col("c1"), F.col("c0"), F.col("c1") + F.col("c0")
     part = lambda c, s: F.when(c > 0, c * F.log(c / (total * s))).otherwise(0.0)
     tested = counted.filter("c1 >= 3").withColumn("test", part(c1, share) + part(c0, 1 - share)).withColumn("precision", (c1 + 0.5 * share) / (total + 0.5))
@@ -342,28 +359,44 @@ def _fit(sample: DataFrame, max_terms: int) -> Model:
             for toxic, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
                 kinds = {w: k for w in set(words_of(text.lower())) if (k := first.kind(w)) is not None}
                 found[toxic].update({f"{k[1]} {w}" for w, k in kinds.items() if k[0] == "variant"})
-                exact = {w for w, k in kinds.items() if k[0] != "variant"}
-                times = sum(w in exact for w in words_of(text.lower())) if len(exact) == 1 else len(exact)
-                found[toxic].update(["/one" if times == 1 else "/more" if times else "/misspelled" if kinds else "/none"])
             yield _class_counts(found)
 
-    rows = sample.mapInArrow(variants, schema).groupBy("term").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0")).orderBy(F.desc(F.expr("c1 + c0")), "term").limit(MAX_VARIANTS).collect()
+    total = lambda counts: counts.groupBy("term").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    rows = total(sample.mapInArrow(variants, schema)).orderBy(F.desc(F.expr("c1 + c0")), "term").limit(MAX_VARIANTS).collect()
     by_term: dict[str, list[float]] = {}
     seen_variants: list[tuple[str, str, int, int]] = []
     for r in rows:
         c1, c0 = r["c1"], r["c0"]
-        if r["term"] == "/none":
-            model.rest = min(0.25, (c1 + 0.5) / (c1 + c0 + 1.0))
-        elif r["term"] == "/one":
-            model.single = (c1 + 2.0) / (c1 + c0 + 2.0)
-        elif " " in r["term"]:
-            term, word = r["term"].split(" ")
-            by_term.setdefault(term, []).append(c1 / (c1 + c0))
-            seen_variants.append((term, word, c1, c1 + c0))
+        term, word = r["term"].split(" ")
+        by_term.setdefault(term, []).append(c1 / (c1 + c0))
+        seen_variants.append((term, word, c1, c1 + c0))
     # A misspelling that the sample doesn't show is as precise as others of its term there: each counts once, as a
     # single frequent ordinary word near a term says nothing of the rest.  One that it shows seldom is nearly so.
     model.unseen = {t: (sum(p) + BASE_PRECISION) / (len(p) + 1.0) for t, p in by_term.items()}
     model.variants = {word: (c1 + model.unseen[term]) / (n + 1.0) for term, word, c1, n in seen_variants}
+    known = Scorer(model)
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What texts with one find, and with none, say."""
+        for block in blocks(batches):
+            found = (Counter(), Counter())
+            for toxic, text in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
+                finds = [(w, k) for w in words_of(text.lower()) if (k := known.kind(w)) is not None]
+                if not finds:
+                    found[toxic].update(["none"])
+                elif len(finds) == 1:
+                    word, (kind, term, _) = finds[0]
+                    own = known.single_kind(word, kind)
+                    found[toxic].update([own, f"{own}:{term}"])
+            yield _class_counts(found)
+
+    alone = {r["term"]: (r["c1"], r["c1"] + r["c0"]) for r in total(sample.mapInArrow(few, schema)).collect()}  # at most a few for each term
+    c1, n = alone.pop("none", (0, 0))
+    model.rest = min(0.25, (c1 + 0.5) / (n + 1.0))
+    # Each kind starts from what terms must be; each term from its kind.
+    share = lambda name, start: (alone.get(name, (0, 0))[0] + BASE_WEIGHT * start) / (alone.get(name, (0, 0))[1] + BASE_WEIGHT)
+    kinds = {k: share(k, BASE_PRECISION) for k in ("insult", "learned", "misspelled", "masked")}
+    model.single = kinds | {k: share(k, kinds[k.split(":")[0]]) for k in alone if ":" in k}
     return model
 
 

@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import pytest
@@ -146,27 +147,49 @@ def plain_score(model, text):
             return None
         e, t, p = near[0]
         if not e:
-            return (word, False, model.terms[word]) if word in model.terms else (word, False, p)
+            return (word, False, model.terms[word], word) if word in model.terms else (word, False, p, t)
         if word in model.variants:
-            return (word, True, model.variants[word]) if model.variants[word] >= toxicity.TERM_PRECISION else None
-        return word, True, model.unseen.get(t, toxicity.BASE_PRECISION) * 0.8 ** (e - 1)
+            return (word, True, min(p, model.variants[word]), t) if model.variants[word] >= toxicity.TERM_PRECISION else None
+        return word, True, min(p, model.unseen.get(t, toxicity.BASE_PRECISION) * 0.8 ** (e - 1)), t
 
     tokens = text.split()
     finds = []
     for at, token in enumerate(tokens):
         for word in toxicity.words_of(token.lower()):
             if (found := best(word)) is not None:
-                finds.append((*found[:2], min(0.995, found[2] * toxicity.Scorer._context(tokens, at))))
+                finds.append((*found[:2], min(0.995, found[2] * toxicity.Scorer._context(tokens, at)), found[3]))
     if not finds:
         return model.rest
-    clean = (1 - model.rest) * (1 - max((p for _, variant, p in finds if variant), default=0.0))
+    clean = (1 - model.rest) * (1 - max((p for _, variant, p, _ in finds if variant), default=0.0))
     exact = {}
-    for word, variant, p in finds:
+    for word, variant, p, _ in finds:
         if not variant:
             exact[word] = max(p, exact.get(word, 0.0))
     for p in exact.values():
         clean *= 1 - p
-    return min(1 - clean, model.single) if len(finds) == 1 and exact else 1 - clean
+    if len(finds) > 1:
+        return 1 - clean
+    word, variant, _, term = finds[0]
+    single = lambda kind: model.single.get(f"{kind}:{term}", model.single[kind])
+    exact = single("insult" if term in toxicity.BASE_TERMS else "learned")
+    return min(1 - clean, exact, single("masked" if re.search("[0-9_]", word) else "misspelled") if variant else 1.0)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
+def test_an_insult_weighs_no_less_than_its_misspelling(spark, scale):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{scale}/{t}.parquet") for t in ("documents", "labels"))
+    scorer = toxicity.Scorer(toxicity.fit(docs, labels))
+    for term in toxicity.BASE_TERMS:
+        bent = [term[:k] + c + term[k + 1 :] for k in range(1, len(term)) for c in "01x"] + [term[:2] + term[3:], term + "z"]
+        exact, *others = (s[0] for s in scorer.score([f"you {w}" for w in (term, *bent)]))
+        assert all(exact >= x for x in others) and exact >= toxicity.THRESHOLD
+
+
+def test_rows_that_repeat_an_id_with_other_texts_stay_in_the_sample(spark):
+    rows = [(1, k, " ".join(f"w{k}x{j}" for j in range(9))) for k in range(4)] + [(0, 9, "a b c d e f g"), (0, 9, "h i j k l m n"), (0, 10, "a b c d e f g")]
+    sample = spark.createDataFrame([(t, x, i) for t, i, x in rows], "toxic int, text string, doc_id bigint")
+    got = sorted(r["text"] for r in toxicity._without_copies(sample).collect())
+    assert got == sorted(x for t, i, x in rows if i != 10)
 
 
 def test_scores_against_their_definition(spark, small):
