@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillmark.operators.sampling import with_position
+from quillmark.sources.shared import checkpointed
 
 RRF_K = 60
+#: Queries up to which what is known of each is broadcast: two lists of some hundred scores and positions each.
+BROADCAST_QUERIES = 2_000
 #: What is added to a fused score.
 BOOSTS = {"active": 0.15, "stale": 0.05, "superseded": -0.10, "dataset": 0.2, "cell": 0.3, "column": 0.2, "near_cell": 0.15, "near_source": 0.10}
 
@@ -37,6 +40,59 @@ def fused(df: DataFrame, scores: Sequence[str], pos: str, query: str | None = No
     return df.withColumn("rrf", total).drop(*(f"_rank_{s}" for s in scores))
 
 
+def pool(df: DataFrame, scores: Sequence[str], pos: str, size: int | Column, raised: Column | None = None, query: str | None = None, k: int = RRF_K, first: int = 64) -> DataFrame:
+    """The `size` best rows of each query by fused score plus `raised`, with rrf and score: those of fused(), without ranking all rows.
+
+    Only rows that lead a list among rows raised alike can be among the best: `first` of each list are taken, and their
+    exact ranks counted, as the rows that come before each.  A row that wasn't taken ranks behind the last one taken in every
+    list; if that leaves it no chance against the rows found, the query is done, else it is asked again with four times as
+    many.  df is read twice a turn; what is shuffled is the rows taken in each task, and their counts.  `raised` should have
+    few values.  Scores are summed as they come, so df must give the same ones each time.  Null scores come last.
+    """
+    own = df.columns
+    by = [query] if query else ["_all"]
+    rows = df if query else df.withColumn("_all", F.lit(0))
+    at = lambda s: F.struct(F.coalesce(F.col(s).cast("double"), F.lit(float("-inf"))).alias("s"), F.col(pos).alias("o"))
+    rows = rows.withColumns({"_raised": F.lit(0.0) if raised is None else raised.cast("double"), "_size": F.lit(size) if isinstance(size, int) else size, **{f"_at_{s}": at(s) for s in scores}})
+    better = lambda x, y: (x["s"] > y["s"]) | ((x["s"] == y["s"]) & (x["o"] < y["o"]))
+    done = None
+    while True:
+        taken = None
+        for s in scores:
+            lead = F.row_number().over(Window.partitionBy(*by, "_raised").orderBy(F.desc(f"_at_{s}.s"), f"_at_{s}.o"))
+            led = rows.withColumn("_lead", lead).filter(F.col("_lead") <= first).drop("_lead")
+            taken = led if taken is None else taken.unionByName(led)
+        taken = checkpointed(taken.dropDuplicates([*by, pos]))
+        # Of each query the rows taken, best first in each list, and how many rows lie between one and the next.
+        sort = lambda s: F.array_sort(F.collect_list(f"_at_{s}"), lambda x, y: F.when(better(x, y), -1).when(better(y, x), 1).otherwise(0))
+        marks = taken.groupBy(*by).agg(*(sort(s).alias(f"_marks_{s}") for s in scores))
+        placed = rows.join(F.broadcast(marks) if marks.count() <= BROADCAST_QUERIES else marks, by)
+        behind = lambda s: F.size(F.filter(f"_marks_{s}", lambda m: better(m, F.col(f"_at_{s}"))))
+        counts = placed.select(*by, F.posexplode(F.array(*map(behind, scores))).alias("_list", "_behind")).groupBy(*by, "_list", "_behind").agg(F.count("*").alias("_n"))
+        ranks = checkpointed(counts.withColumn("_rank", F.sum("_n").over(Window.partitionBy(*by, "_list").orderBy("_behind"))))
+        found = taken.join(marks, by)
+        total = F.lit(0.0)
+        for j, s in enumerate(scores):
+            mine = ranks.filter(F.col("_list") == j).select(*by, F.col("_behind").alias(f"_b{j}"), F.col("_rank").alias(f"_rank_{s}"))
+            found = found.withColumn(f"_b{j}", behind(s)).join(mine, [*by, f"_b{j}"])
+            total = total + 1.0 / (k + F.col(f"_rank_{s}"))
+        found = found.withColumn("rrf", total).withColumn("score", total + F.col("_raised"))
+        place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), pos))
+        found = checkpointed(found.withColumn("_place", place).select(*dict.fromkeys([*own, *by]), "rrf", "score", "_place", "_size", "_raised", *(f"_rank_{s}" for s in scores)))
+        # What a row that wasn't taken can have at most, by how it is raised; where fewer were taken, none is left.
+        last = [F.coalesce(F.max(F.when(F.col(f"_lead_{s}") == first, F.col(f"_rank_{s}"))), F.lit(None)).alias(f"_last_{s}") for s in scores]
+        leads = {f"_lead_{s}": F.row_number().over(Window.partitionBy(*by, "_raised").orderBy(f"_rank_{s}")) for s in scores}
+        chance = found.withColumns(leads).groupBy(*by, "_raised").agg(*last).filter(F.col(f"_last_{scores[0]}").isNotNull())
+        most = chance.groupBy(*by).agg(F.max(F.col("_raised") + sum((1.0 / (k + 1 + F.col(f"_last_{s}")) for s in scores), F.lit(0.0))).alias("_most"))
+        worst = found.filter(F.col("_place") <= F.col("_size")).groupBy(*by).agg(F.min("score").alias("_worst"), F.count("*").alias("_n"), F.first("_size").alias("_size"))
+        again = checkpointed(worst.join(most, by).filter((F.col("_n") < F.col("_size")) | (F.col("_most") >= F.col("_worst") - 1e-12)).select(*by))
+        best = found.filter(F.col("_place") <= F.col("_size")).join(again, by, "left_anti").select(*own, "rrf", "score")
+        done = best if done is None else done.unionByName(best)
+        if again.isEmpty():
+            return done
+        rows, first = rows.join(F.broadcast(again) if again.count() <= BROADCAST_QUERIES else again, by, "left_semi"), 4 * first
+
+
 def boost(status: Column, in_dataset: Column | None = None, own_cell: Column | None = None, source_cell: Column | None = None, in_column: Column | None = None, distance: Column | None = None, source_distance: Column | None = None) -> Column:
     """The sum of all boosts that apply.  A record of the active cell counts twice: by its own cell and by its source."""
     yes = lambda c, name: F.when(F.coalesce(c, F.lit(False)), BOOSTS[name]).otherwise(0.0) if c is not None else F.lit(0.0)

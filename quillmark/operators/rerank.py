@@ -58,8 +58,8 @@ def rerank(pool: DataFrame, query: str) -> DataFrame:
     return _reranker[0](pool, query)
 
 
-def mmr(pool: DataFrame, top: int, key: str, score: str = "score", vector: str = "vector", pos: str = "_pos", query: str | None = None, weight: float = LAMBDA, rank: str | None = None) -> DataFrame:
-    """The pool's `top` rows by greedy maximal marginal relevance, with their place.
+def mmr(pool: DataFrame, top: int | str, key: str, score: str = "score", vector: str = "vector", pos: str = "_pos", query: str | None = None, weight: float = LAMBDA, rank: str | None = None) -> DataFrame:
+    """The pool's `top` rows, or as many as a column of that name says, by greedy maximal marginal relevance, with their place.
 
     The pool's order is that of `rank`, as a reranker gives it, or else by score.  A pool that isn't larger keeps it.  Pools are bounded by the rank filter before (24 rows by default), so a
     group is one small Arrow batch.  Rows without a vector are similar to nothing; ties go to the row that came first.
@@ -70,10 +70,11 @@ def mmr(pool: DataFrame, top: int, key: str, score: str = "score", vector: str =
     def pick(rows: pd.DataFrame) -> pd.DataFrame:
         rows = (rows.sort_values(rank, kind="stable") if rank else rows.sort_values([score, pos], ascending=[False, True], kind="stable")).reset_index(drop=True)
         order = list(range(len(rows)))
-        if len(rows) > top:
+        most = top if isinstance(top, int) else int(rows[top].iloc[0])
+        if len(rows) > most:
             unit = [None if v is None or not np.linalg.norm(v) else np.asarray(v, float) / np.linalg.norm(v) for v in rows[vector]]
             scores, order = rows[score].to_numpy(float), []
-            while len(order) < top:
+            while len(order) < most:
                 best, best_at = -np.inf, -1
                 for k in range(len(rows)):
                     if k in order:
@@ -87,5 +88,5 @@ def mmr(pool: DataFrame, top: int, key: str, score: str = "score", vector: str =
         out["place"] = range(1, len(order) + 1)
         return out
 
-    keyed = pool.select(*dict.fromkeys([*group, key, score, vector, pos, *([rank] if rank else [])]))
+    keyed = pool.select(*dict.fromkeys([*group, key, score, vector, pos, *([rank] if rank else []), *([] if isinstance(top, int) else [top])]))
     return keyed.groupBy(*group).applyInPandas(pick, schema)

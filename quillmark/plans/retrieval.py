@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions import vectors as V
-from quillmark.operators import fusion, lexical, rerank, search
+from quillmark.operators import batch, fusion, lexical, rerank, search
 from quillmark.plans.common import QUERY, rounded, rounded_sql, table, tokens_sql
+from quillmark.sources.shared import checkpointed
 
 TERMS = T.tokens_of(QUERY)
 #: Tokens by which a document that may hold a passage is found.
@@ -100,15 +101,24 @@ RRF_CTE = BM25_CTE + f""", pairs AS (SELECT s.doc_id, {rounded_sql("s.bm25", 6)}
 
 
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.fused(_both(spark, sf_dir), ["dense", "bm25"], "doc_id").select("doc_id", F.round("rrf", 9).alias("rrf"))
+    return fusion.fused(_both(spark, sf_dir).select("doc_id", "dense", "bm25"), ["dense", "bm25"], "doc_id").select("doc_id", F.round("rrf", 9).alias("rrf"))
 
 
 HYBRID_RRF = f"WITH {RRF_CTE} SELECT doc_id, round(rrf, 9) AS rrf FROM fused"
 
 
+def hybrid_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool that goes on to reranking: the best by fused score, without a rank for every document."""
+    both = checkpointed(_both(spark, sf_dir).select("doc_id", "dense", "bm25"))
+    return fusion.pool(both, ["dense", "bm25"], "doc_id", rerank.POOL).select("doc_id", F.round("rrf", 9).alias("rrf"))
+
+
+HYBRID_POOL = f"WITH {RRF_CTE} SELECT doc_id, round(rrf, 9) AS rrf FROM fused ORDER BY fused.rrf DESC, doc_id LIMIT {rerank.POOL}"
+
+
 def boosted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("quality") == 1, "active").when(F.col("quality") == 0, "superseded").otherwise("stale")
-    ranked = fusion.fused(_both(spark, sf_dir), ["dense", "bm25"], "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    ranked = fusion.fused(_both(spark, sf_dir).select("doc_id", "dense", "bm25", "source", "lang", "label"), ["dense", "bm25"], "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     raised = fusion.boost(status, in_dataset=F.col("source") == "src1", own_cell=F.col("label") == 1, source_cell=F.col("label") == 1, in_column=F.col("lang") == "de", distance=F.col("label") - 3, source_distance=F.col("label") - 5)
     return ranked.select("doc_id", F.round(F.col("rrf") + raised, 9).alias("score"))
 
@@ -214,7 +224,29 @@ def full_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(own, QUERY, request, V.hashed_words(64))
 
 
+def search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All passages of the benchmark as searches at once, with filters of their own; the records that go on to reranking."""
+    from quillmark.operators.knowledge import records
+
+    docs, asked = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    status = F.when(F.col("doc_id") % 5 == 0, "superseded").when(F.col("doc_id") % 5 > 1, "active")
+    own = records(docs, id=F.col("doc_id"), kind="note", text=F.col("text"), workspace=F.lit("w"), dataset=F.col("source"), metadata={"status": status}, provenance={"dataset_ids": F.array("source"), "columns": F.array("lang")}, pos=F.col("doc_id"))
+    n = F.col("item_id")
+    datasets = F.when(n % 4 == 0, F.array(*(F.lit(f"src{k}") for k in range(8))))
+    requests = asked.select(n.alias("request_id"), F.col("text").alias("query"), F.lit("w").alias("workspace_id"), F.when(n % 3 == 0, "en").alias("column"), datasets.alias("dataset_ids"), (n % 2 == 0).alias("include_superseded"), F.lit(False).alias("expand"))
+    return batch.pools(own, checkpointed(batch.prepared(requests))).select("request_id", "id", F.round("score", 9).alias("score"))
+
+
+SEARCH_BATCH = f"""WITH q AS (SELECT item_id, {tokens_sql("text")} AS t FROM benchmark WHERE trim(text) <> ''), asked AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(t) AS term FROM q) GROUP BY ALL),
+ d AS (SELECT doc_id, source, lang, {tokens_sql("text")} AS t FROM documents), own AS (SELECT item_id, doc_id, len(t) AS l FROM (SELECT item_id FROM q), d WHERE (item_id % 3 <> 0 OR lang = 'en') AND (item_id % 4 <> 0 OR source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7')) AND (item_id % 2 = 0 OR doc_id % 5 <> 0)),
+ stats AS (SELECT item_id, count(*) AS n, greatest(1.0, avg(l)) AS a FROM own GROUP BY item_id), tf AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+ held AS (SELECT item_id, doc_id, l, term, qtf, f FROM own JOIN tf USING (doc_id) JOIN asked USING (item_id, term)), df AS (SELECT item_id, term, count(*) AS d FROM held GROUP BY ALL),
+ bm AS (SELECT item_id, doc_id, sum(qtf * greatest(0.0, ln(1 + (n - d + 0.5) / (d + 0.5))) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * l / a)) ORDER BY term) AS s FROM held JOIN df USING (item_id, term) JOIN stats USING (item_id) GROUP BY ALL),
+ ranked AS (SELECT item_id, doc_id, 1.0 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY round(coalesce(s, 0.0), 9) DESC, doc_id)) + CASE WHEN doc_id % 5 > 1 THEN 0.15 WHEN doc_id % 5 = 0 THEN -0.1 ELSE 0.0 END + CASE WHEN item_id % 4 = 0 THEN 0.2 ELSE 0.0 END + CASE WHEN item_id % 3 = 0 THEN 0.2 ELSE 0.0 END AS score FROM own LEFT JOIN bm USING (item_id, doc_id))
+ SELECT item_id AS request_id, CAST(doc_id AS VARCHAR) AS id, round(score, 9) AS score FROM ranked QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {rerank.POOL}"""
+
 QUERIES = {
+    "search_batch": (search_batch, SEARCH_BATCH),
     "tokenize_tf": (tokenize_tf, TOKENIZE_TF),
     "bm25_all": (bm25_all, BM25_ALL),
     "bm25_topk": (bm25_topk, BM25_TOPK),
@@ -223,6 +255,7 @@ QUERIES = {
     "cosine_topk_many": (cosine_topk_many, COSINE_TOPK_MANY),
     "vector_filtered": (vector_filtered, VECTOR_FILTERED),
     "hybrid_rrf": (hybrid_rrf, HYBRID_RRF),
+    "hybrid_pool": (hybrid_pool, HYBRID_POOL),
     "boosted_search": (boosted_search, BOOSTED_SEARCH),
     "feature_rerank": (feature_rerank, FEATURE_RERANK),
     "mmr_select": (mmr_select, None),

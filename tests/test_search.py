@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions.vectors import hashed_words
-from quillmark.operators import fusion, lexical, rerank, search
+from quillmark.operators import batch, fusion, lexical, rerank, search
 from quillmark.operators.knowledge import records
 
 NOTES = [
@@ -249,3 +249,52 @@ def test_system_knowledge_comes_after_the_stored_records(notes):
     assert ids[: len(stored)] == stored and len(ids) > len(stored)
     without = search.search(notes, " ", search.Request(workspace_id="w", limit=1000, include_system=False))
     assert [r["id"] for r in without.orderBy("place").collect()] == stored
+
+
+@pytest.mark.parametrize("first", [2, 64])
+def test_pool_is_the_front_of_the_full_ranking(spark, first):
+    """With ties, zeros and nulls in the lists, rows raised by few values, and queries of any number of rows."""
+    import random
+
+    rng = random.Random(first)
+    rows = [(q, k, rng.choice([0.0, 0.0, None, rng.random()]), rng.choice([0.5, rng.random(), -1.0]), rng.choice([0.0, 0.15, 0.15, -0.1])) for q in range(4) for k in range([300, 150, 7, 1][q])]
+    df = spark.createDataFrame(rows, "q int, pos int, a double, b double, up double").repartition(5)
+    full = fusion.fused(df, ["a", "b"], "pos", query="q").withColumn("score", F.col("rrf") + F.col("up"))
+    want = {}
+    for r in full.collect():
+        want.setdefault(r["q"], []).append((-r["score"], r["pos"], r["rrf"]))
+    got = {}
+    for r in fusion.pool(df, ["a", "b"], "pos", 9, raised=F.col("up"), query="q", first=first).collect():
+        got.setdefault(r["q"], []).append((-r["score"], r["pos"], r["rrf"]))
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x)[:9] for q, x in want.items()}
+    one = df.filter("q = 0")
+    whole = sorted((-r["rrf"], r["pos"]) for r in fusion.fused(one, ["a"], "pos").collect())[:30]
+    assert sorted((-r["rrf"], r["pos"]) for r in fusion.pool(one, ["a"], "pos", 30, first=first).collect()) == whole
+    assert fusion.pool(df.limit(0), ["a", "b"], "pos", 5).count() == 0
+
+
+REQUESTS = [
+    (1, "survival time event", "w", None, None, None, None, None, None), (2, "regression", "w", 3, None, None, None, None, None), (3, "values by a t-test", "w", 8, ["d1"], None, None, None, "r4"),
+    (4, " ", "w", 2, None, None, None, None, None), (5, "what was removed before", "w", 4, None, None, None, None, None), (6, "category entropy", "w", 8, None, "category", None, None, None),
+    (7, "anything", None, 8, None, None, None, None, None), (8, "median", None, 5, None, None, None, "all", None), (9, "zzz", "w", 4, None, None, ["guide"], None, None), (10, "qqq", "w", 3, None, None, None, None, "r6"),
+    (11, "regression", "w", 1, None, None, ["note"], None, None),
+]
+
+
+@pytest.mark.parametrize("embedder", [None, hashed_words(64)])
+def test_many_searches_are_those_of_each(notes, spark, embedder):
+    schema = "request_id long, query string, workspace_id string, limit int, dataset_ids array<string>, column string, kinds array<string>, scope string, cell_id string"
+    got = {}
+    for r in batch.search_many(notes, spark.createDataFrame(REQUESTS, schema), embedder).collect():
+        got.setdefault(r["request_id"], []).append((r["place"], r["id"], round(r["score"], 9)))
+    for k, query, workspace, limit, datasets, column, kinds, scope, cell in REQUESTS:
+        request = search.Request(workspace_id=workspace, limit=limit, dataset_ids=tuple(datasets or ()), column=column, kinds=tuple(kinds or ()), scope=scope or "workspace", cell_id=cell, include_system=False)
+        want = [(r["place"], r["id"], round(r["score"], 9)) for r in search.search(notes, query, request, embedder).collect()]
+        assert sorted(got.get(k, [])) == sorted(want), query
+
+
+def test_many_searches_in_rounds_and_of_no_request(notes, spark):
+    asked = spark.createDataFrame([(k, "regression median", "w") for k in range(5)], "request_id int, query string, workspace_id string")
+    rows = batch.search_many(notes, asked, at_once=2).collect()
+    assert len({(r["id"], r["place"], r["score"]) for r in rows}) == len(rows) / 5 > 0
+    assert batch.search_many(notes, asked.limit(0)).count() == 0
