@@ -250,3 +250,37 @@ def catalogue(spark: SparkSession, workspace: str, kind: str, prefix: str, rows)
     extra = F.when(F.col("verified").isNotNull(), known)
     text = F.concat("name", F.lit(" ("), "family", F.lit("): "), "about")
     return records(df, id=F.concat(F.lit(prefix), "key"), kind=kind, text=text, workspace=F.lit(workspace), metadata={"source": F.lit(kind), "title": F.col("name"), "extra": extra}, provenance={}, pos=F.col("pos"))
+
+
+CORPUS = "key string, kind string, name string, family string, about string, ui_path string, verified boolean, place bigint"
+
+
+def corpus(methods: DataFrame, groups: DataFrame, overlays: DataFrame | None = None, unverified: DataFrame | None = None, elsewhere: str = "analyse") -> DataFrame:
+    """The capabilities that a catalogue in tables describes, in the schema CORPUS.
+
+    methods: key, label, group, summary, place; groups: group, label, ui_path; overlays: key, kind (functionality or guide), name,
+    family, about, ui_path, written by hand, which come after; unverified: keys of methods to flag.  A method whose group
+    isn't there has the group's name and `elsewhere` as its place.  Of rows with one key the least stays, an overlay last.
+    """
+    known = groups.groupBy("group").agg(F.min(F.struct("label", "ui_path")).alias("g"))
+    made = methods.filter("key is not null").join(known, "group", "left")
+    family, ui = F.coalesce("g.label", "group"), F.coalesce("g.ui_path", F.lit(elsewhere))
+    flagged = F.lit(True)
+    if unverified is not None:
+        made = made.join(unverified.select("key").distinct().withColumn("_flag", F.lit(False)), "key", "left")
+        flagged = F.coalesce("_flag", F.lit(True))
+    note = F.when(flagged, "").otherwise(" Note: experimental, its verification is pending.")
+    about = F.concat(F.coalesce("summary", F.lit("")), F.lit(" Find it at "), ui, F.lit("."), note)
+    out = made.select("key", F.lit("functionality").alias("kind"), F.col("label").alias("name"), family.alias("family"), about.alias("about"), ui.alias("ui_path"), flagged.alias("verified"), F.col("place").cast("bigint").alias("place"))
+    if overlays is not None:
+        out = out.unionByName(overlays.filter("key is not null").select("key", "kind", "name", "family", "about", "ui_path", F.lit(True).alias("verified"), (F.col("place") + F.lit(1 << 40)).cast("bigint").alias("place")))
+    rest = [c for c in out.columns if c != "key"]
+    first = out.groupBy("key").agg(F.min(F.struct("place", *(c for c in rest if c != "place"))).alias("_row"))
+    return first.select("key", *(F.col(f"_row.{c}").alias(c) for c in rest))
+
+
+def corpus_records(rows: DataFrame, workspace: str) -> DataFrame:
+    """Records of rows of a corpus, in their order."""
+    extra = F.create_map(F.lit("functionality_id"), "key", F.lit("ui_path"), "ui_path", F.lit("verified"), F.col("verified").cast("string"))
+    text = F.concat("name", F.lit(" ("), "family", F.lit("): "), "about")
+    return records(rows, id=F.concat(F.lit("func::"), "key"), kind=F.col("kind"), text=text, workspace=F.lit(workspace), metadata={"source": F.lit("functionality"), "title": F.col("name"), "extra": extra}, provenance={}, pos=F.col("place"))

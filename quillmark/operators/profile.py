@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quillmark.functions.coerce import finite, is_missing, js_round, trim_ws, value_kind
+from quillmark.sources.shared import checkpointed, running_sums
 
 DUPLICATE_CAP, PAIR_COLUMNS, HIGH_MISSING, TOGETHER, UNIQUE, MAJORITY, COMPOSITES, CANDIDATES, TOP = 5000, 4, 20.0, 0.3, 0.98, 0.5, 2, 3, 5
 #: Rows inside a bracket up to which its values are counted one by one; beyond it the bracket is narrowed.
@@ -178,34 +179,50 @@ def _narrowed(df: DataFrame, brackets: Brackets, accuracy: int = 10_000) -> Brac
     return out
 
 
+def numeric_counts(df: DataFrame, spec: DatasetSpec, columns: list[str] | None = None) -> DataFrame:
+    """column, x, n: how often each finite value occurs.  The state of a numeric profile, which merged_counts() merges."""
+    columns = columns or [c for c in df.columns if spec.kind(df, c) == "numeric"]
+    cells = F.array(*(F.struct(F.lit(c).alias("column"), finite(F.col(c), logical_kind(df.schema[c].dataType)).alias("x")) for c in columns))
+    return df.select(F.inline(cells)).filter("x is not null").groupBy("column", "x").agg(F.count("*").alias("n"))
+
+
+def merged_counts(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """The state of all rows together, from the states of parts: what was counted isn't read again."""
+    for other in others:
+        first = first.unionByName(other)
+    return first.groupBy("column", "x").agg(F.sum("n").alias("n"))
+
+
 def numeric_profile(df: DataFrame, spec: DatasetSpec, columns: list[str] | None = None) -> DataFrame:
-    """column and its statistics over finite values; statistics are null for a column without any.
+    """column and its statistics over finite values: profile_of_counts() of all rows, which are read once."""
+    columns = columns or [c for c in df.columns if spec.kind(df, c) == "numeric"]
+    return profile_of_counts(numeric_counts(df, spec, columns), columns)
+
+
+def profile_of_counts(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """column and its statistics from a state; statistics are null for a column without a finite value.
 
     Quartiles are the values at floor(n * p) of the ascending order, variance is that of a sample and 0 for one value,
-    skewness and kurtosis use the sample deviation and are 0 for fewer than three values or none that differ.
+    skewness and kurtosis use the sample deviation and are 0 for fewer than three values or none that differ.  Ranks come
+    from sums over ranges of the values, so no task holds a column.
     """
-    columns = columns or [c for c in df.columns if spec.kind(df, c) == "numeric"]
-    numbers = df.select(*(finite(F.col(c), logical_kind(df.schema[c].dataType)).alias(c) for c in columns))
-    size = numbers.agg(*(F.count(c).alias(c) for c in columns)).first()
-    ranks = {c: [size[c] // 4, size[c] * 3 // 4, (size[c] - 1) // 2, size[c] // 2] for c in columns if size[c]}
-    at = values_at(numbers, ranks)
-    rows = [(c, *(at[c][r] for r in ranks[c])) for c in columns if c in ranks] + [(c, None, None, None, None) for c in columns if c not in ranks]
-    order = df.sparkSession.createDataFrame(rows, "column string, q1 double, q3 double, low double, high double")
-    cells = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("x")) for c in columns))
-    by_value = numbers.select(F.inline(cells)).groupBy("column", "x").count()
-    modes = by_value.filter("x is not null").groupBy("column").agg(F.max_by("x", F.struct("count", -F.col("x"))).alias("mode"))
-    n, x = F.count("x"), F.col("x")
-    moments = numbers.select(F.inline(cells)).groupBy("column").agg(n.alias("n"), F.avg(x).alias("mean"), F.min(x).alias("min"), F.max(x).alias("max"), F.var_samp(x).alias("variance"), F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"))
-    moments = _every(moments, columns, n=F.lit(0).cast("bigint"))
-    shrink = (F.col("n") - 1) / F.col("n")
-    flat = (F.col("n") < 3) | (F.coalesce("variance", F.lit(0.0)) == 0)
-    some = F.col("n") > 0
-    return moments.join(F.broadcast(order), "column").join(F.broadcast(modes), "column", "left").select(
-        "column", "n", js_round(F.col("mean"), 3).alias("mean"), js_round((F.col("low") + F.col("high")) / 2, 3).alias("median"), "mode", "min", "max",
+    counts = checkpointed(counts)
+    basics = counts.groupBy("column").agg(F.sum("n").alias("rows"), F.sum(F.col("x") * F.col("n")).alias("total"), F.min("x").alias("min"), F.max("x").alias("max"), F.max_by("x", F.struct("n", -F.col("x"))).alias("mode"))
+    basics = F.broadcast(checkpointed(basics.withColumn("mean", F.col("total") / F.col("rows"))))  # a row for each column
+    placed = running_sums(counts, "column", [F.col("x")], {"upto": "n"}).join(basics, "column")
+    off, n, last = F.col("x") - F.col("mean"), F.col("n"), F.col("rows") - 1
+    at = lambda rank, name: F.min(F.when(F.col("upto") > rank, F.col("x"))).alias(name)
+    ranks = (at(F.expr("rows div 4"), "q1"), at(F.expr("rows * 3 div 4"), "q3"), at(F.expr("(rows - 1) div 2"), "low"), at(F.expr("rows div 2"), "high"))
+    found = placed.groupBy("column").agg(F.sum(n * off * off).alias("m2"), F.sum(n * off * off * off).alias("m3"), F.sum(n * off * off * off * off).alias("m4"), *ranks).join(basics, "column")
+    found = _every(found.withColumn("variance", F.when(last > 0, F.col("m2") / last).otherwise(0.0)), columns, rows=F.lit(0).cast("bigint"))
+    flat = (F.col("rows") < 3) | (F.col("variance") == 0)
+    some, total, s = F.col("rows") > 0, F.col("rows"), F.sqrt("variance")
+    return found.select(
+        "column", total.alias("n"), js_round(F.col("mean"), 3).alias("mean"), js_round((F.col("low") + F.col("high")) / 2, 3).alias("median"), "mode", "min", "max",
         js_round(F.col("max") - F.col("min"), 3).alias("range"), js_round(F.col("q1"), 3).alias("q1"), js_round(F.col("q3"), 3).alias("q3"), js_round(F.col("q3") - F.col("q1"), 3).alias("iqr"),
-        F.when(some, js_round(F.coalesce("variance", F.lit(0.0)), 3)).alias("variance"), F.when(some, js_round(F.sqrt(F.coalesce("variance", F.lit(0.0))), 3)).alias("std"),
-        F.when(some, F.when(flat, 0.0).otherwise(js_round(F.col("g1") * F.pow(shrink, F.lit(1.5)), 3))).alias("skewness"),
-        F.when(some, F.when(flat, 0.0).otherwise(js_round((F.col("g2") + 3) * F.pow(shrink, F.lit(2.0)) - 3, 3))).alias("kurtosis"),
+        F.when(some, js_round(F.col("variance"), 3)).alias("variance"), F.when(some, js_round(s, 3)).alias("std"),
+        F.when(some, F.when(flat, 0.0).otherwise(js_round(F.try_divide(F.col("m3") / total, s * s * s), 3))).alias("skewness"),
+        F.when(some, F.when(flat, 0.0).otherwise(js_round(F.try_divide(F.col("m4") / total, s * s * s * s) - 3, 3))).alias("kurtosis"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions.text import tokens_of
-from quillmark.operators import knowledge, profile, sampling
+from quillmark.operators import knowledge, lexical, profile, sampling
 from quillmark.operators.profile import DatasetSpec
 
 #: A provider makes records for a workspace.
@@ -150,6 +150,16 @@ def functionality_provider(query: str) -> Provider:
     return catalogue_provider(knowledge.FUNCTIONALITIES, "functionality", "func::", query)
 
 
+def corpus_provider(corpus: DataFrame, query: str, keep: int = knowledge.CATALOG_KEEP) -> Provider:
+    """The capabilities of a corpus, of any size, with most tokens of the query in name, family or text: a bounded top-k on each partition."""
+
+    def provide(spark: SparkSession, workspace: str) -> DataFrame:
+        best = lexical.prefilter(corpus, F.concat_ws(" ", "name", "family", "about"), query, "place", None, keep)
+        return knowledge.corpus_records(best, workspace)
+
+    return provide
+
+
 def functionality(key: str) -> tuple | None:
     """A capability by its key."""
     return next((r for r in knowledge.FUNCTIONALITIES if r[0] == key), None)

@@ -50,22 +50,6 @@ def with_position(df: DataFrame, order: list[str | Column], name: str = "_pos")
     return ranged.join(F.broadcast(starts), "_range").select(*own, place.cast("bigint").alias(name))
 
 
-def running_sums(df: DataFrame, group: str, order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Adds sums of columns so far, in an order within each group: ranges of the order, and what lies before each.
-
-    A task holds a range, never a group; of a group that spans several ranges, one row for each goes into the offsets.
-    """
-    spark, own = df.sparkSession, df.columns
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), group, *order)
-    ranged = checkpointed(ranged.withColumn("_range", F.spark_partition_id()))
-    so_far = Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_range", group).agg(*(F.sum(c).alias(f"{name}_all") for name, c in sums.items()))
-    starts = totals.select("_range", group, *(F.coalesce(F.sum(f"{name}_all").over(before), F.lit(0)).alias(f"{name}_start") for name in sums))
-    inside = ranged.withColumns({name: F.sum(c).over(so_far) for name, c in sums.items()})
-    return inside.join(starts, ["_range", group]).select(*own, *((F.col(name) + F.col(f"{name}_start")).alias(name) for name in sums))
-
-
 def head_tail(df: DataFrame, pos: str, n: int, sample_n: int) -> DataFrame:
     """Rows at both ends: a seventh or so of the sample, fifteen at most from each end."""
     h = min(HEAD_TAIL_MAX, int(sample_n * HEAD_TAIL_SHARE))

@@ -226,27 +226,25 @@ OUTPUT_NARRATIVES = f"""WITH e AS (SELECT *, event_id % 2 = 1 AS odd, event_id %
   WHEN 2 THEN ' chart' || title || ' type bar ' || CASE WHEN odd THEN 'for a, b' ELSE '' END || '.' WHEN 3 THEN ' metric' || title || ': ' || data WHEN 4 THEN ' error' || title || ': ' || data WHEN 5 THEN ' note' || title || ': ' || data
   WHEN 6 THEN ' dataset' || title || ': ' || {_ROWS} || ' rows.' WHEN 7 THEN ' file' || title || ': ' || event_type END AS text, CASE k WHEN 2 THEN 'notebook_visualization' WHEN 4 THEN 'error' ELSE 'notebook_output' END AS kind FROM x"""
 
-CATALOGUE_QUERY = "compares the mean of groups"
+CATALOGUE_QUERY = "red gear, large or ECONOMY"
 
 
 def catalogue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context lines of the catalogues' rows for a query."""
-    found = providers.dictionary_provider(CATALOGUE_QUERY)(spark, "w").unionByName(providers.functionality_provider(CATALOGUE_QUERY)(spark, "w"))
+    """Context lines of the capabilities nearest to a query: parts are the methods, brands their groups, passages the guides."""
+    part, asked = table(spark, sf_dir, "part"), table(spark, sf_dir, "benchmark")
+    methods = part.select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("key"), F.col("p_name").alias("label"), F.col("p_brand").alias("group"), F.col("p_type").alias("summary"), F.col("p_partkey").alias("place"))
+    groups = part.filter("p_partkey % 2 = 0").select(F.col("p_brand").alias("group"), F.concat(F.lit("Group "), "p_brand").alias("label"), F.lower("p_brand").alias("ui_path"))
+    guides = asked.select(F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("key"), F.lit("guide").alias("kind"), F.lit("Guide").alias("name"), F.lit("large").alias("family"), F.col("text").alias("about"), F.lit("upload").alias("ui_path"), F.col("item_id").alias("place"))
+    flags = part.filter("p_size <= 3").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("key"))
+    found = providers.corpus_provider(knowledge.corpus(methods, groups, guides, flags), CATALOGUE_QUERY, 100)(spark, "w")
     return found.select("id", "kind", prompt.context_line().alias("line"))
 
 
-def _catalogue_sql(rows, kind: str, prefix: str, line: str) -> str:
-    quoted = lambda t: "'" + t.replace("'", "''") + "'"
-    values = ", ".join(f"({k}, {', '.join(map(quoted, r[:4]))}, {r[4] if len(r) > 4 else 'NULL'})" for k, r in enumerate(rows))
-    score = " + ".join(f"CAST(contains(lower(name || ' ' || family || ' ' || about), '{t}') AS INTEGER)" for t in tokens_of(CATALOGUE_QUERY))
-    return f"SELECT '{prefix}' || key AS id, '{kind}' AS kind, '[{kind}] ' || name || ' (' || family || '): ' || about || {line} AS line FROM (SELECT * FROM (VALUES {values}) v(k, key, name, family, about, verified) ORDER BY {score} DESC, k LIMIT {knowledge.CATALOG_KEEP})"
-
-
-CATALOGUE_LINES = (
-    _catalogue_sql(knowledge.DICTIONARY, "note", "dict::", "' (cell:— ws:w dataset:—)'")
-    + " UNION ALL "
-    + _catalogue_sql(knowledge.FUNCTIONALITIES, "functionality", "func::", "' (ref: functionality:' || key || ' ui:' || family || '/' || key || CASE WHEN verified THEN '' ELSE ' experimental-verification-pending' END || ')'")
-)
+_HITS = " + ".join(f"CAST(contains(lower(name || ' ' || family || ' ' || about), '{t}') AS INTEGER)" for t in tokens_of(CATALOGUE_QUERY))
+CATALOGUE_LINES = f"""WITH g AS (SELECT p_brand, 'Group ' || p_brand AS label, lower(p_brand) AS ui FROM part WHERE p_partkey % 2 = 0 GROUP BY p_brand),
+ c AS (SELECT 'm' || p_partkey AS key, 'functionality' AS kind, p_name AS name, coalesce(label, p_brand) AS family, p_type || ' Find it at ' || coalesce(ui, 'analyse') || '.' || CASE WHEN p_size <= 3 THEN ' Note: experimental, its verification is pending.' ELSE '' END AS about, coalesce(ui, 'analyse') AS ui, p_size > 3 AS verified, 0 AS late, p_partkey AS place FROM part LEFT JOIN g USING (p_brand)
+  UNION ALL SELECT 'g' || item_id, 'guide', 'Guide', 'large', text, 'upload', true, 1, item_id FROM benchmark)
+ SELECT 'func::' || key AS id, kind, '[' || kind || '] ' || name || ' (' || family || '): ' || about || ' (ref: functionality:' || key || ' ui:' || ui || CASE WHEN verified THEN '' ELSE ' experimental-verification-pending' END || ')' AS line FROM c ORDER BY {_HITS} DESC, late, place LIMIT 100"""
 
 
 def _words(text: str) -> list[str]:

@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from quillmark.functions.text import embedding_key
 from quillmark.functions.vectors import Embedder, embed
-from quillmark.operators.sampling import running_sums
-from quillmark.sources.shared import checkpointed
+from quillmark.sources.shared import checkpointed, running_sums
 
 #: Parts of a new store.
 PARTS = 16

@@ -3,6 +3,8 @@ import statistics
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from quillmark.operators import profile, sampling
 from quillmark.operators.profile import DatasetSpec
 from quillmark.sources import datasets
@@ -162,3 +164,23 @@ def test_narrowing_ends_on_equal_and_odd_values(spark, monkeypatch):
         kept = [v for k, v in enumerate(values) if k % 3 == 0]
         got = profile.values_at(df, {"x": ranks, "y": [0, len(kept) // 2]})
         assert got == {"x": {r: sorted(values)[r] for r in ranks}, "y": {0: min(kept), len(kept) // 2: sorted(kept)[len(kept) // 2]}}
+
+
+def test_a_profile_after_an_append_reads_the_new_rows_only(spark):
+    import random
+
+    rng = random.Random(9)
+    old = [(rng.choice([None, 1.5, -3.0, rng.gauss(0, 9), float("nan"), float("inf")]), k % 7) for k in range(900)]
+    new = [(rng.gauss(5, 1), 7) for _ in range(300)] + [(None, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "x double, y int").repartition(3)
+    kept = profile.numeric_counts(frame(old), SPEC, ["x", "y"]).checkpoint()
+    merged = profile.merged_counts(kept, profile.numeric_counts(frame(new), SPEC, ["x", "y"]))
+    after = sorted(profile.profile_of_counts(merged, ["x", "y", "none"]).collect())
+    whole = sorted(profile.numeric_profile(frame(old + new).withColumn("none", F.lit(None).cast("double")), SPEC, ["x", "y", "none"]).collect())
+    assert after == whole and [r["n"] for r in after if r["column"] == "none"] == [0]
+
+
+def test_numeric_profile_reads_the_table_once_and_holds_no_column_in_a_task(spark):
+    df = spark.range(1000).selectExpr("cast(id % 97 AS double) AS x")
+    plan = profile.profile_of_counts(profile.numeric_counts(df, SPEC, ["x"]), ["x"])._jdf.queryExecution().executedPlan().toString()
+    assert "Range (0" not in plan and "SinglePartition" not in plan

@@ -103,3 +103,17 @@ def test_memo_expires():
     assert memo.get("u", "s", "k") == 1
     now[0] = 11
     assert memo.get("u", "s", "k") is None
+
+
+def test_a_catalogue_in_tables(spark):
+    """Overlays and guides come after, flags reach the text and the line, a group that isn't there has its own name."""
+    methods = spark.createDataFrame([("t", "t-test", "cmp", "Compares two means.", 0), ("t", "again", "cmp", "x", 5), ("f", "Forecast", "gone", None, 1), (None, "no key", "cmp", "y", 2)], "key string, label string, group string, summary string, place int")
+    groups = spark.createDataFrame([("cmp", "Comparison", "tests/means")], "group string, label string, ui_path string")
+    overlays = spark.createDataFrame([("up", "guide", "Upload", "Start", "Drop a file.", "upload", 0), ("t", "functionality", "late", "z", "z", "z", 1)], "key string, kind string, name string, family string, about string, ui_path string, place int")
+    flags = spark.createDataFrame([("f",), ("f",), ("none",)], "key string")
+    rows = {r["key"]: r for r in knowledge.corpus(methods, groups, overlays, flags).collect()}
+    assert {k: (r["name"], r["family"], r["ui_path"], r["verified"], r["kind"]) for k, r in rows.items()} == {"t": ("t-test", "Comparison", "tests/means", True, "functionality"), "f": ("Forecast", "gone", "analyse", False, "functionality"), "up": ("Upload", "Start", "upload", True, "guide")}
+    assert rows["f"]["about"] == " Find it at analyse. Note: experimental, its verification is pending."
+    best = providers.corpus_provider(knowledge.corpus(methods, groups, overlays, flags), "means of a file", 2)(spark, "w")
+    assert [r["id"] for r in best.orderBy("_pos").collect()] == ["func::t", "func::up"]
+    assert knowledge.corpus(methods.limit(0), groups).count() == 0
