@@ -5,7 +5,6 @@ from __future__ import annotations
 import ctypes
 import gc
 import re
-import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Hashable, Iterator
@@ -16,7 +15,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from quillmark.sources.shared import read
+from quillmark.sources.shared import read, shared_folder
 
 #: Text bytes that a Python worker holds at once; a longer single text forms a block of its own.
 BLOCK_BYTES = 2 << 20
@@ -78,21 +77,6 @@ def fold_of(doc_id: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % 4
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir of the session.
-
-    Where that setting is absent, a session in one process gets a temporary folder; any other is refused, as its
-    executors would each write to a disk of their own.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
-    if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.gettempdir()}/quillmark-shared"
-    return found.rstrip("/")
-
-
 def written(df: DataFrame, what: str) -> DataFrame:
     """Writes df as a table into the shared folder and reads it back: cuts lineage, survives a lost executor.
 
@@ -104,7 +88,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 def stored(df: DataFrame, what: str) -> tuple[DataFrame, Callable[[], None]]:
     """written(), and what deletes the table before the application ends, once nothing reads it any more."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillmark-{what}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/quillmark-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -23,7 +23,6 @@ import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillmark.llm.common import blocks, fold, fresh, id_text, own_columns, small_batches, worker_state, written
+from quillmark.llm.common import blocks, counted, fold, fresh, id_text, own_columns, small_batches, worker_state, written
 
 UNDETERMINED = "und"
 LONGEST = 5
 SMOOTHING = 0.5
 LEAST_WORD, LEAST_GRAM = 2, 3
+#: Labels up to which their rates are broadcast.
+BROADCAST_LABELS = 1_000_000
 #: Entries of a worker's chunk cache; it only saves work.
 CACHE_ENTRIES = 300_000
 _runs = re.compile(r"[^\W\d_]+").findall
@@ -69,23 +70,32 @@ class Model:
 
 
 def _sampled(docs: DataFrame, label: str, per_label: int) -> tuple[DataFrame, list]:
-    """Rows whose hash falls under their label's rate; the rate makes about per_label rows of each label."""
-    sizes = docs.groupBy(label).count().collect()
-    if not sizes:
+    """Rows whose hash falls under their label's rate; the rate makes about per_label rows of each label.
+
+    Rates are a table, joined where rows lie as long as labels are few enough to broadcast.  The model has a column for
+    each label, so their names are gathered.
+    """
+    sizes, seen = counted(docs.groupBy(label).count(), "labels")
+    if not seen["n"]:
         return docs.limit(0), []
-    rate = reduce(lambda c, r: c.when(F.col(label) == r[label], int(min(1.0, per_label / r["count"]) * (1 << 30))), sizes, F.when(F.lit(False), 0)).otherwise(0)
-    return docs.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < rate), sorted(r[label] for r in sizes)
+    rates = sizes.select(label, (F.least(F.lit(1.0), per_label / F.col("count")) * (1 << 30)).cast("bigint").alias("_rate"))
+    rated = docs.join(F.broadcast(rates) if seen["n"] <= BROADCAST_LABELS else rates, label)
+    return rated.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.col("_rate")).drop("_rate"), sorted(r[label] for r in sizes.select(label).collect())
 
 
-def _kept(counted: DataFrame, most: int) -> list:
-    """Rows (label, term, n) of the most frequent terms: all with n over the smallest bound that leaves at most `most`."""
-    by_n = sorted(counted.groupBy("n").count().collect(), key=lambda r: -r["n"]) if most else []
-    least, total = None, 0
+def _kept(counts: DataFrame, most: int) -> list:
+    """At most `most` rows (label, term, n): the most frequent ones, of those with one n the first by term and label."""
+    by_n = sorted(counts.groupBy("n").count().collect(), key=lambda r: -r["n"]) if most else []
+    least, total, tied = None, 0, None
     for r in by_n:
-        if (total := total + r["count"]) > most:
+        if total + r["count"] > most:
+            tied = r["n"]
             break
-        least = r["n"]
-    return counted.filter(F.col("n") >= least).collect() if least is not None else []
+        least, total = r["n"], total + r["count"]
+    rows = counts.filter(F.col("n") >= least).collect() if least is not None else []
+    if tied is not None and total < most:
+        rows += counts.filter(F.col("n") == tied).orderBy("term", "label").limit(most - total).collect()
+    return rows
 
 
 def _matrix(rows: list, languages: list[str], groups: list[str]) -> tuple[list[str], np.ndarray]:

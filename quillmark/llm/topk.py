@@ -94,8 +94,9 @@ class Block:
                 bar = np.partition(lower, n - k)[n - k]
             if front.sum() >= bar:
                 continue  # a candidate that no list has shown yet could still qualify
-            # Single precision is for the mask's product only; what it may round away is added to the bound.
-            slack = 1e-5 * np.abs(front).sum()
+            # Single precision is for the mask's product only; what it may round away, a unit for each component summed, is
+            # added to the bound.
+            slack = max(1e-5, (len(front) + 2) * 2.0**-23) * np.abs(front).sum()
             alive = np.flatnonzero(read + (front.sum() - front.astype(np.float32) @ seen) + slack >= bar)
             if len(alive) <= max(8 * k, n // SURVIVORS):
                 break

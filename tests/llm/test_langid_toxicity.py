@@ -2,6 +2,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmark.llm import langid, queries, toxicity
 from quillmark.llm.common import fold_of
@@ -294,3 +295,18 @@ def test_languages_against_their_definition(spark, small):
     for r in queries.op10_language_id(spark, small).collect():
         lang, score = want[r["doc_id"]]
         assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, abs=1e-4), r
+
+
+def test_a_hundred_thousand_labels(spark):
+    """Rates are a table, not an expression for each label; the model has fewer terms then, but as many as it can."""
+    df = spark.range(100_000).selectExpr("id AS doc_id", "concat('l', id) AS lang", "concat('word', id, ' and some more') AS text")
+    sample, labels = langid._sampled(df.select("doc_id", F.col("lang").alias("label"), "text"), "label", 10)
+    assert len(labels) == 100_000 and sample.count() == 100_000
+    assert len(sample._jdf.queryExecution().optimizedPlan().toString()) < 5000
+
+
+def test_terms_that_tie_fill_what_is_left(spark):
+    counts = spark.createDataFrame([("a", "t", 5), ("a", "z", 2), ("a", "y", 2), ("b", "y", 2), ("a", "x", 1)], "label string, term string, n long")
+    kept = lambda most: {(r["label"], r["term"]) for r in langid._kept(counts, most)}
+    assert kept(0) == set() and kept(1) == {("a", "t")} and kept(3) == {("a", "t"), ("a", "y"), ("b", "y")} and len(kept(9)) == 5
+    assert len(langid._kept(counts.filter("n = 2"), 2)) == 2

@@ -39,3 +39,19 @@ def test_clean_documents_stay(spark, small):
     train = spark.read.parquet(f"{small}/documents.parquet").withColumn("doc_id", F.col("doc_id") + 100)
     got = by_id(corpus_pipeline.language_id(spark, docs.unionByName(train), small))
     assert got[1]["lang"] == "en" and 3 in got and 2 not in got
+
+
+NAMES = ["we`ird", "a.b", "_doc", "_clean", "found", "fate", "text_digest", "row_hash", "spans", "base", "lang_pred", "lang_score", "topic", "weight", "probability", "n_tokens", "sampled", "part", "cell", "label", "sp ace", "``", "_rate"]
+
+
+def test_columns_of_any_name_in_every_stage(spark, small, odd):
+    """Backticks, dots, blanks and the names that stages use: all but the last stage hand them on as they are."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs = docs.limit(120).unionByName(docs.limit(5)).unionByName(odd.select(*docs.columns))
+    docs = docs.select("*", *(F.lit(n).alias(n) for n in NAMES)).checkpoint()
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, small).checkpoint()
+        assert docs.count() <= before.count() and docs.count() > 0, name
+        if name != "byte_bpe":
+            assert docs.columns == before.columns
+            assert all(list(r)[-len(NAMES) :] == NAMES for r in docs.collect()), name
