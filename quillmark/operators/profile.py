@@ -199,6 +199,21 @@ def numeric_profile(df: DataFrame, spec: DatasetSpec, columns: list[str] | None
     return profile_of_counts(numeric_counts(df, spec, columns), columns)
 
 
+def folder_profile(frames: dict[str, DataFrame], specs: dict[str, DatasetSpec] | None = None) -> DataFrame:
+    """numeric_profile() of the numeric columns of many tables at once, as `table.column`: one state, ranks keyed by column."""
+    state, columns = None, []
+    for name, df in frames.items():
+        spec = (specs or {}).get(name, DatasetSpec(name))
+        own = [c for c in df.columns if spec.kind(df, c) == "numeric"]
+        if own:
+            counts = numeric_counts(df, spec, own).withColumn("column", F.concat(F.lit(f"{name}."), "column"))
+            state = counts if state is None else state.unionByName(counts)
+            columns += [f"{name}.{c}" for c in own]
+    if state is None:
+        raise ValueError("no table has a numeric column")
+    return profile_of_counts(state, columns)
+
+
 def profile_of_counts(counts: DataFrame, columns: list[str]) -> DataFrame:
     """column and its statistics from a state; statistics are null for a column without a finite value.
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from typing import Protocol
 
+from pyspark.errors import PythonException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
-from pyspark.storagelevel import StorageLevel
 
 from quillmark.functions.text import expanded, merged_terms, tokens_of
-from quillmark.functions.vectors import Embedder, cosine, embed
+from quillmark.functions.vectors import Embedder, EmbeddingModel, cosine, embed
 from quillmark.operators import fusion, lexical, providers, rerank
 from quillmark.operators.knowledge import normalized, union_first
+from quillmark.sources.shared import checkpointed
 
 LIMIT, DATA_LIMIT, FALLBACK = 8, 12, 0.5
 #: Queries of a table that are broadcast together.
@@ -108,7 +110,15 @@ def later(records: DataFrame, k: int) -> DataFrame:
     return normalized(records).withColumn("_pos", F.col("_pos") + F.lit(k * AFTER))
 
 
-def search(records: DataFrame, query: str, request: Request, embedder: Embedder | None = None, vectors: DataFrame | None = None, extra: Sequence[DataFrame] = (), appended: Sequence[DataFrame] = (), cells: DataFrame | None = None) -> DataFrame:
+class VectorCache(Protocol):
+    """What search() needs of a cache of embeddings: sources.knowledge_store.EmbeddingCache, or another."""
+
+    def get(self, model: str, texts: DataFrame) -> DataFrame: ...
+
+    def set(self, model: str, vectors: DataFrame) -> DataFrame: ...
+
+
+def search(records: DataFrame, query: str, request: Request, embedder: Embedder | EmbeddingModel | None = None, vectors: DataFrame | None = None, extra: Sequence[DataFrame] = (), appended: Sequence[DataFrame] = (), cells: DataFrame | None = None, cache: VectorCache | None = None) -> DataFrame:
     """id, kind, text, score, place: the best records for a query.
 
     extra: provider records, of which stored ones with the same id win; appended: records added as they are; so are
@@ -116,8 +126,11 @@ def search(records: DataFrame, query: str, request: Request, embedder: Embedder
     vectors: (text, vector) known already; missing texts go through the embedder, each once.  cells: id, idx, for
     distances.  Without an embedder ranking is lexical only.  A query without text, and an embedder that fails on the
     query or on a text, give the first records, all with the same score.  Vectors of the candidates are made before they
-    are ranked, so that a failure shows here.
+    are ranked, so that a failure shows here; what isn't the embedder's own error is raised.  A configured model brings its
+    name, under which a cache is read before the model is asked, and keeps what it made.
     """
+    model = embedder if isinstance(embedder, EmbeddingModel) else None
+    embedder = model.embedder() if model else embedder
     request = request.normalized(query)
     found = candidates(normalized(records), request)
     if request.scope != "all" and request.workspace_id is None and request.notebook_id is None:
@@ -137,11 +150,19 @@ def search(records: DataFrame, query: str, request: Request, embedder: Embedder
     if embedder is not None:
         try:
             vector = [float(x) for x in embedder([query])[0]]
-            missing = scored if vectors is None else scored.select("text").join(vectors, "text", "left_anti")
-            made = embed(missing, "text", embedder).select("text", "vector").persist(StorageLevel.MEMORY_AND_DISK)
-            made.count()
         except Exception:  # any failing model
             return first_ones(found, request.limit)
+        texts = scored.select("text")
+        if cache is not None and model is not None:
+            cached = checkpointed(cache.get(model.name, texts).select("text", "vector"))
+            vectors = cached if vectors is None else vectors.select("text", "vector").unionByName(cached.join(vectors.select("text"), "text", "left_anti"))
+        missing = texts if vectors is None else texts.join(vectors, "text", "left_anti")
+        try:
+            made = checkpointed(embed(missing, "text", embedder).select("text", "vector"))
+        except PythonException:  # of the model, in a task
+            return first_ones(found, request.limit)
+        if cache is not None and model is not None and not made.isEmpty():
+            cache.set(model.name, made)
         known = made if vectors is None else vectors.select("text", "vector").unionByName(made)
     if vector is not None:
         scored = scored.join(known.select("text", "vector"), "text", "left")

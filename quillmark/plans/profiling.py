@@ -13,13 +13,17 @@ ORDERS = DatasetSpec("orders.CSV", order=("o_orderkey",))
 
 
 def profile_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.lit("x").alias("constant"), F.lit(None).cast("string").alias("nothing"))
-    out = profile.dataset_profile(df, ORDERS)
+    """Groups of orders that repeat, with empty rows, an empty and a constant column."""
+    key, kept = F.col("o_orderkey"), F.col("o_orderkey") % 1000 != 0
+    df = table(spark, sf_dir, "orders").select(F.when(kept, F.floor(key / 3)).alias("group"), F.when(kept, F.col("o_orderstatus")).alias("status"), F.when(kept, "x").alias("constant"), F.lit(None).cast("string").alias("nothing"))
+    out = profile.dataset_profile(df, DatasetSpec("orders.CSV", order=("group", "status")))
     return out.withColumn("constant_cols", F.array_join("constant_cols", ",")).withColumn("column_count_by_type", F.array_join(F.transform(F.array_sort(F.map_entries("column_count_by_type")), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ","))
 
 
-PROFILE_DATASET = """SELECT 'orders.CSV' AS file_name, count(*) AS rows, CAST(5 AS INTEGER) AS cols, count(*) * 40 AS file_size_estimate, 'categorical:4,numeric:1' AS column_count_by_type,
- CAST(0 AS BIGINT) AS duplicate_rows, CAST(0.0 AS DOUBLE) AS duplicate_pct, CAST(0 AS BIGINT) AS empty_rows, CAST(1 AS INTEGER) AS empty_cols, 'constant' AS constant_cols, 'csv' AS format FROM orders"""
+PROFILE_DATASET = f"""WITH d AS (SELECT CASE WHEN o_orderkey % 1000 <> 0 THEN o_orderkey // 3 END AS g, CASE WHEN o_orderkey % 1000 <> 0 THEN o_orderstatus END AS s FROM orders),
+ head AS (SELECT g, s FROM d ORDER BY g NULLS FIRST, s NULLS FIRST LIMIT 5000), dup AS (SELECT CAST(sum(c) - count(*) AS BIGINT) AS repeated, sum(c) AS looked FROM (SELECT count(*) AS c FROM head GROUP BY g, s))
+ SELECT 'orders.CSV' AS file_name, count(*) AS rows, CAST(4 AS INTEGER) AS cols, count(*) * 32 AS file_size_estimate, 'categorical:3,numeric:1' AS column_count_by_type, any_value(repeated) AS duplicate_rows,
+ {rounded_sql("100.0 * any_value(repeated) / any_value(looked)", 2)} AS duplicate_pct, count(*) FILTER (WHERE g IS NULL AND s IS NULL) AS empty_rows, CAST(1 AS INTEGER) AS empty_cols, 'constant' AS constant_cols, 'csv' AS format FROM d, dup"""
 
 
 def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +36,7 @@ def duplicate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 DUPLICATE_ROWS = """WITH head AS (SELECT user_id // 10 AS u, event_type FROM events ORDER BY event_id LIMIT 5000), g AS (SELECT u, event_type, count(*) AS c FROM head GROUP BY ALL)
 SELECT CAST(sum(c) AS BIGINT) AS rows, CAST(sum(c) - count(*) AS BIGINT) AS duplicate_rows FROM g"""
 
+FOLDER = {"region": ("r_regionkey",), "nation": ("n_nationkey", "n_regionkey"), "customer": ("c_custkey", "c_nationkey", "c_acctbal"), "supplier": ("s_nationkey", "s_acctbal"), "part": ("p_size", "p_retailprice"), "orders": ("o_custkey", "o_totalprice"), "events": ("user_id", "value"), "lineitem": ("l_quantity", "l_tax")}
 NUMERIC = {"lineitem": ("l_quantity", "l_extendedprice", "l_discount")}
 
 
@@ -39,17 +44,23 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.numeric_profile(table(spark, sf_dir, "lineitem").select(*NUMERIC["lineitem"]), DatasetSpec("lineitem.parquet"))
 
 
-def _numeric_sql(column: str) -> str:
+def profile_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numeric columns of all tables of orders and their parties, in one state."""
+    return profile.folder_profile({name: table(spark, sf_dir, name).select(*columns) for name, columns in FOLDER.items()})
+
+
+def _numeric_sql(column: str, source: str = "lineitem", name: str | None = None) -> str:
     r = rounded_sql
-    return f"""SELECT '{column}' AS "column", n, {r("mean", 3)} AS mean, {r("med", 3)} AS median, mode, mn AS min, mx AS max, {r("mx - mn", 3)} AS "range", {r("q1", 3)} AS q1, {r("q3", 3)} AS q3, {r("q3 - q1", 3)} AS iqr,
+    return f"""SELECT '{name or column}' AS "column", n, {r("mean", 3)} AS mean, {r("med", 3)} AS median, mode, mn AS min, mx AS max, {r("mx - mn", 3)} AS "range", {r("q1", 3)} AS q1, {r("q3", 3)} AS q3, {r("q3 - q1", 3)} AS iqr,
  {r("s * s", 3)} AS variance, {r("s", 3)} AS std, CASE WHEN n < 3 OR s = 0 THEN 0.0 ELSE {r("sk", 3)} END AS skewness, CASE WHEN n < 3 OR s = 0 THEN 0.0 ELSE {r("ku", 3)} END AS kurtosis
  FROM (SELECT count(*) AS n, any_value(m.mean) AS mean, median(x) AS med, min(x) AS mn, max(x) AS mx, any_value(m.s) AS s, sum(power((x - m.mean) / m.s, 3)) / count(*) AS sk, sum(power((x - m.mean) / m.s, 4)) / count(*) - 3 AS ku,
   max(CASE WHEN rn = m.n // 4 + 1 THEN x END) AS q1, max(CASE WHEN rn = (m.n * 3) // 4 + 1 THEN x END) AS q3, any_value(mo.x0) AS mode
-  FROM (SELECT {column} AS x, row_number() OVER (ORDER BY {column}) AS rn FROM lineitem) v,
-   (SELECT count({column}) AS n, avg({column}) AS mean, stddev_samp({column}) AS s FROM lineitem) m,
-   (SELECT {column} AS x0 FROM lineitem GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 1) mo)"""
+  FROM (SELECT {column} AS x, row_number() OVER (ORDER BY {column}) AS rn FROM {source}) v,
+   (SELECT count({column}) AS n, avg({column}) AS mean, stddev_samp({column}) AS s FROM {source}) m,
+   (SELECT {column} AS x0 FROM {source} GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 1) mo)"""
 
 
+PROFILE_FOLDER = " UNION ALL ".join(_numeric_sql(c, name, f"{name}.{c}") for name, columns in FOLDER.items() for c in columns)
 PROFILE_NUMERIC = " UNION ALL ".join(_numeric_sql(c) for c in NUMERIC["lineitem"])
 
 
@@ -158,6 +169,7 @@ QUERIES = {
     "profile_dataset": (profile_dataset, PROFILE_DATASET),
     "duplicate_rows": (duplicate_rows, DUPLICATE_ROWS),
     "profile_numeric": (profile_numeric, PROFILE_NUMERIC),
+    "profile_folder": (profile_folder, PROFILE_FOLDER),
     "column_counts": (column_counts, COLUMN_COUNTS),
     "top_values": (top_values, TOP_VALUES),
     "profile_categorical": (profile_categorical, PROFILE_CATEGORICAL),

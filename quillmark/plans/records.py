@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions.coerce import js_round
-from quillmark.operators import knowledge, notebook, profile, prompt, sampling
+from quillmark.operators import knowledge, notebook, profile, prompt, providers, sampling
 from quillmark.operators.profile import DatasetSpec
-from quillmark.plans.common import orders_with_gaps, rounded_sql, table
+from quillmark.plans.common import GAPS_SQL, missing_sql, orders_with_gaps, rounded_sql, table
+from quillmark.plans.profiling import GAP_COLUMNS
 from quillmark.sources import ipynb, stores
 
 ORDERS = DatasetSpec("orders.csv", order=("o_orderkey",))
@@ -91,33 +92,46 @@ COLUMN_TEXT = _column_text("p_size") + " UNION ALL " + _column_text("p_retailpri
 
 
 def relationship_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = orders_with_gaps(spark, sf_dir)
-    repeated, looked = profile.duplicate_rows(df, ORDERS)
-    keys = [r["column"] for r in profile.key_profile(df, ORDERS).filter("candidate_key").orderBy("column").limit(3).collect()]
-    high = [r["column"] for r in profile.missing_profile(df).filter("high").collect()]
-    average = profile.missing_per_row(df).first()[0]
-    quality = profile.quality_profile(df, ORDERS)
-    texts = knowledge.relationship_texts("d", profile.missing_together(df), keys, (repeated, 0.0), profile.composite_keys(df, ORDERS), quality, high, average)
-    return spark.createDataFrame(texts, "id string, text string")
+    made = providers.relationship_provider(orders_with_gaps(spark, sf_dir), ORDERS, "d")(spark, "w")
+    return made.select("id", "kind", "text")
+
+
+_GAP_PAIRS = [(a, b) for i, a in enumerate(GAP_COLUMNS[1:]) for b in GAP_COLUMNS[i + 2 :]]
+_NOTED = "'Relationship: columns \"' || a || '\" and \"' || b || '\" tend to be missing together (correlation ' || printf('%.2f', raw) || ') in dataset d'"
+#: Of these columns only the key and the price have values enough to make a composite key.
+RELATIONSHIP_RECORDS = (
+    f"WITH {GAPS_SQL}, p AS ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {rounded_sql(f'count(*) FILTER (WHERE {missing_sql(a)} AND {missing_sql(b)}) / sqrt(CAST(count(*) FILTER (WHERE {missing_sql(a)}) AS DOUBLE) * count(*) FILTER (WHERE {missing_sql(b)}))', 2)} AS raw, count(*) FILTER (WHERE {missing_sql(a)} AND {missing_sql(b)}) / sqrt(CAST(count(*) FILTER (WHERE {missing_sql(a)}) AS DOUBLE) * count(*) FILTER (WHERE {missing_sql(b)})) AS exact FROM gaps" for a, b in _GAP_PAIRS)
+    + f"""), head AS (SELECT * FROM gaps ORDER BY o_orderkey LIMIT 5000), dup AS (SELECT coalesce(sum(c), 0) - count(*) AS n, sum(c) AS looked FROM (SELECT count(*) AS c FROM head GROUP BY o_orderkey, priority, status, custkey, totalprice)),
+ texts AS (SELECT 'missingTogether:' || a || ':' || b AS id, {_NOTED} AS text FROM p WHERE exact > 0.3
+  UNION ALL SELECT 'candidateKeys', 'Relationship: candidate key columns [o_orderkey] uniquely identify rows in dataset d (duplicate ' || printf('%g', round(100.0 * n / looked, 2)) || '% ' || n || ' rows)' FROM dup WHERE (SELECT count(DISTINCT o_orderkey) = count(*) FROM gaps)
+  UNION ALL SELECT 'composite:o_orderkey_totalprice', 'Relationship: composite key [o_orderkey, totalprice] uniquely identifies rows in dataset d' FROM (SELECT count(DISTINCT coalesce(CAST(totalprice AS VARCHAR), '')) AS d, count(*) AS n, (SELECT count(DISTINCT (o_orderkey, coalesce(CAST(totalprice AS VARCHAR), ''))) = count(*) FROM head) AS ok FROM gaps) WHERE ok AND d / CAST(n AS DOUBLE) > 0.5
+  UNION ALL SELECT 'highMissing', 'Relationship: columns with high missing rate in d: ' || list || ' (avg missing per row ' || printf('%.1f', average) || ')' FROM (SELECT (SELECT string_agg(c, ', ' ORDER BY k) FROM ("""
+    + " UNION ALL ".join(f"SELECT {k} AS k, '{c}' AS c, 100.0 * count(*) FILTER (WHERE {missing_sql(c)}) / count(*) AS pct FROM gaps" for k, c in enumerate(GAP_COLUMNS))
+    + f") WHERE pct > 20) AS list, (SELECT {rounded_sql('avg(' + ' + '.join(f'CAST({missing_sql(c)} AS INTEGER)' for c in GAP_COLUMNS) + ')', 2)} FROM gaps) AS average) WHERE list IS NOT NULL)\n SELECT 'rel:d:' || id AS id, 'relationship' AS kind, text FROM texts"
+)
 
 
 def dataset_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "nation")
-    spec = DatasetSpec("nation.csv")
-    kinds = {c: spec.kind(df, c) for c in df.columns}
-    rows = df.count()
-    texts = [("description", "dataset_profile", knowledge.dataset_description(df, "nation.csv", kinds, rows), None)]
-    texts += [("profile", "dataset_profile", knowledge.dataset_profile_text(profile.dataset_profile(df, spec).first().asDict()), None)]
-    texts += [(f"col:{c}", "column_semantic", f'Column "{c}" is {k}', c) for c, k in kinds.items()]
-    return knowledge.dataset_records(spark, "w", "d", texts).select("id", "kind", "text", "source_hash")
-
-
-_DS = (
-    ("dataset:d:description", "dataset_profile", 'Dataset "nation.csv" purpose: nation has 25 rows and 3 columns. Types: numeric:2, categorical:1. Columns: n_nationkey (numeric), n_name (categorical), n_regionkey (numeric).'),
-    ("dataset:d:profile", "dataset_profile", "RAG dataset profile: 25 rows ×3 cols (nation.csv), duplicate 0% (0 rows), empty rows 0, constant cols: none, types: numeric:2, categorical:1"),
-    *((f"dataset:d:col:{c}", "column_semantic", f'Column "{c}" is {k}') for c, k in (("n_nationkey", "numeric"), ("n_name", "categorical"), ("n_regionkey", "numeric"))),
-)
-DATASET_RECORDS = " UNION ALL ".join(f"SELECT '{i}' AS id, '{k}' AS kind, '{t}' AS text, substr(sha256('{t}'), 1, 16) AS source_hash" for i, k, t in _DS)
+    """What the dataset provider says of customers before they are profiled, but for its sample; some rows come twice, some are empty."""
+    c = table(spark, sf_dir, "customer")
+    planted = c.filter("c_custkey % 100 = 0")
+    df = c.unionByName(planted).unionByName(planted.select(*(F.lit(None).cast(t).alias(n) for n, t in c.dtypes))).withColumn("same", F.when(F.col("c_custkey").isNotNull(), "x"))
+    spec = DatasetSpec("customer.csv", order=("c_custkey",))
+    made = providers.dataset_provider(df, spec, "d", objective="find groups", profiled=False)(spark, "w")
+    return made.filter("kind != 'data_representative'").select("id", "kind", "text", "source_hash")
+
+
+_COLUMNS = (("c_custkey", "numeric"), ("c_name", "categorical"), ("c_nationkey", "numeric"), ("c_acctbal", "numeric"), ("c_mktsegment", "categorical"), ("same", "categorical"))
+_LISTED = ", ".join(f"{c} ({k})" for c, k in _COLUMNS)
+DATASET_RECORDS = (
+    f"""WITH planted AS (SELECT count(*) AS p FROM customer WHERE c_custkey % 100 = 0), n AS (SELECT count(*) + 2 * any_value(p) AS n, any_value(p) AS p FROM customer, planted),
+ head AS (SELECT count(*) AS looked, count(*) - count(DISTINCT coalesce(CAST(k AS VARCHAR), 'none')) AS repeated FROM (SELECT k FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 100 = 0 UNION ALL SELECT NULL FROM customer WHERE c_custkey % 100 = 0) ORDER BY k NULLS FIRST LIMIT 5000)),
+ texts AS (SELECT 'description' AS id, 'dataset_profile' AS kind, DESCRIPTION AS text FROM n UNION ALL SELECT 'profile', 'dataset_profile', 'RAG dataset profile: ' || n || ' rows ×6 cols (customer.csv), duplicate ' || printf('%g', floor(100.0 * repeated / looked * 100 + 0.5) / 100) || '% (' || repeated || ' rows), empty rows ' || p || ', constant cols: same, types: numeric:3, categorical:3' FROM n, head
+  UNION ALL """
+    + " UNION ALL ".join(f"SELECT 'col:{c}', 'column_semantic', 'Column \"{c}\" is {k}'" for c, k in _COLUMNS)
+    + ") SELECT 'dataset:d:' || id AS id, kind, text, substr(sha256(text), 1, 16) AS source_hash FROM texts"
+).replace("DESCRIPTION", f"'Dataset \"customer.csv\" purpose: find groups has ' || n || ' rows and 6 columns. Types: numeric:3, categorical:3. Columns: {_LISTED}.'")
 
 
 def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +283,7 @@ QUERIES = {
     "row_to_text": (row_to_text, ROW_TO_TEXT),
     "source_hash": (source_hash, SOURCE_HASH),
     "column_semantic_text": (column_semantic_text, COLUMN_TEXT),
-    "relationship_records": (relationship_records, None),
+    "relationship_records": (relationship_records, RELATIONSHIP_RECORDS),
     "dataset_records": (dataset_records, DATASET_RECORDS),
     "upsert_latest": (upsert_latest, UPSERT_LATEST),
     "union_dedup": (union_dedup, UNION_DEDUP),

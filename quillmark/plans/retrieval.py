@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quillmark.functions import text as T
 from quillmark.functions import vectors as V
-from quillmark.operators import batch, fusion, lexical, rerank, search
+from quillmark.operators import batch, fusion, lexical, rerank, search, vector_index
 from quillmark.plans.common import QUERY, rounded, rounded_sql, table, tokens_sql
-from quillmark.sources.shared import checkpointed
+from quillmark.sources.shared import checkpointed, temporary_store
 
 TERMS = T.tokens_of(QUERY)
 #: Tokens by which a document that may hold a passage is found.
@@ -81,6 +81,15 @@ def cosine_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
 COSINE_TOPK_MANY = f"SELECT query_id, vec_id, CAST(place AS INTEGER) AS place, {rounded_sql('s', 6)} AS score FROM (SELECT z.vec_id AS query_id, e.vec_id, {COSINE} AS s, row_number() OVER (PARTITION BY z.vec_id ORDER BY {COSINE} DESC, e.vec_id) AS place FROM embeddings e JOIN embeddings z ON z.vec_id % 50 = 0) WHERE place <= 5"
 
 
+def cosine_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same searches over vectors laid out by pivots, without reading those that can't be near."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    width = vectors.select(F.max(F.size("embedding"))).first()[0] or 1
+    found, _ = vector_index.VectorIndex.build(vectors, temporary_store(spark, "pivots") + "/rows", width).search(queries, 5)
+    return found.select("query_id", "vec_id", "place", rounded("score"))
+
+
 def vector_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.vector_search(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 8, F.col("label").isin(1, 2, 3)).select("vec_id", "label", rounded("score"))
 
@@ -253,6 +262,7 @@ QUERIES = {
     "bm25_batch": (bm25_batch, BM25_BATCH),
     "cosine_topk": (cosine_topk, COSINE_TOPK),
     "cosine_topk_many": (cosine_topk_many, COSINE_TOPK_MANY),
+    "cosine_pruned": (cosine_pruned, COSINE_TOPK_MANY),
     "vector_filtered": (vector_filtered, VECTOR_FILTERED),
     "hybrid_rrf": (hybrid_rrf, HYBRID_RRF),
     "hybrid_pool": (hybrid_pool, HYBRID_POOL),

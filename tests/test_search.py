@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmark.functions.vectors import hashed_words
-from quillmark.operators import batch, fusion, lexical, rerank, search
+from quillmark.operators import batch, fusion, lexical, rerank, search, vector_index
 from quillmark.operators.knowledge import records
 
 NOTES = [
@@ -298,3 +298,103 @@ def test_many_searches_in_rounds_and_of_no_request(notes, spark):
     rows = batch.search_many(notes, asked, at_once=2).collect()
     assert len({(r["id"], r["place"], r["score"]) for r in rows}) == len(rows) / 5 > 0
     assert batch.search_many(notes, asked.limit(0)).count() == 0
+
+
+def test_pruned_search_is_that_of_all_vectors(spark, tmp_path):
+    """With copies, zero vectors, other widths, fewer vectors than asked for, and queries of zeros."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    middle = rng.normal(size=(20, 8))
+    rows = [(k, [float(x) for x in middle[k % 20] + 0.05 * rng.normal(size=8)]) for k in range(2000)] + [(3000 + k, [float(x) for x in middle[3]]) for k in range(9)] + [(4000, [0.0] * 8), (4001, [1.0] * 3), (4002, None), (4003, [float("nan")] * 8)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = [(k, r[1]) for k, r in enumerate(rows[:2000:90])] + [(900, [0.0] * 8), (901, [1.0, -1.0] * 4)]
+    queries = spark.createDataFrame(asked, "query_id long, query array<double>")
+    index = vector_index.VectorIndex.build(vectors, str(tmp_path / "index"), 8, pivots=25)
+    got, met = index.search(queries, 6)
+    want = search.vector_search_many(vectors.filter("vec_id != 4003"), queries, 6)
+    key = lambda df: sorted((r["query_id"], r["place"], r["vec_id"], r["score"]) for r in df.collect() if r["query_id"] < 900)
+    assert key(got) == key(want)
+    assert {(r["query_id"], r["place"], r["vec_id"]) for r in got.collect()} == {(r["query_id"], r["place"], r["vec_id"]) for r in want.collect()}
+    assert sum(r["n"] for r in met.collect() if r["query_id"] < 900) < 0.3 * 2000 * 23
+    few = vector_index.VectorIndex.build(vectors.filter("vec_id < 3"), str(tmp_path / "few"), 8)
+    assert key(few.search(queries, 6)[0]) == key(search.vector_search_many(vectors.filter("vec_id < 3"), queries, 6))
+    none = vector_index.VectorIndex.build(vectors.limit(0), str(tmp_path / "none"), 8)
+    assert none.search(queries, 6)[0].count() == 0
+
+
+def brute_search(notes, query, limit, dim=64, cell=None):
+    """The whole search of current notes of a workspace, in plain Python."""
+    import math
+
+    from quillmark.functions.text import expanded, merged_terms, tokens_of
+
+    docs = [(k, i, t, status) for k, (i, t, status) in enumerate(notes) if status != "superseded"]
+    base = tokens_of(query)
+    terms = merged_terms(base, expanded(base))
+    cut = {k: tokens_of(t) for k, _, t, _ in docs}
+    average = max(1.0, sum(map(len, cut.values())) / len(docs))
+    df = {t: sum(t in w for w in cut.values()) for t in set(terms)}
+    idf = {t: max(0.0, math.log(1 + (len(docs) - n + 0.5) / (n + 0.5))) for t, n in df.items()}
+    bm = {k: sum(idf[t] * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / average)) for t in terms) for k, w in cut.items()}
+    vectors = dict(zip(cut, hashed_words(dim)([t for _, _, t, _ in docs]).astype(float), strict=True))
+    q = hashed_words(dim)([query])[0].astype(float)
+    unit = lambda v: v / math.sqrt(float(v @ v)) if v.any() else v
+    dense = {k: round(float(unit(v) @ unit(q)), 12) for k, v in vectors.items()}
+    rank = lambda score: {k: n for n, k in enumerate(sorted(score, key=lambda k: (-score[k], k)), 1)}
+    by_bm, by_dense = rank(bm), rank(dense)
+    raised = {k: {"active": 0.15, "stale": 0.05}[s] + (0.6 if i == cell else 0.0) for k, i, _, s in docs}
+    score = {k: 1 / (60 + by_bm[k]) + 1 / (60 + by_dense[k]) + raised[k] for k in cut}
+
+    def features(text):
+        words, phrase = tokens_of(text), query.strip().lower()
+        at = [words.index(t) for t in base if t in words]
+        if not words or not base:
+            return 0.0
+        near = 0.5 if len(base) > 1 and len(at) == len(base) and max(at) - min(at) <= 10 else 0.0
+        return 2.0 * len(at) / len(base) + (1.5 if len(phrase) > 3 and phrase in text.lower() else 0.0) + near
+
+    text = {k: t for k, _, t, _ in docs}
+    pool = sorted(cut, key=lambda k: (-features(text[k]), -score[k], k))[:24]
+    final = {k: score[k] + features(text[k]) for k in pool}
+    picked = []
+    while len(picked) < min(limit, len(pool)):
+        if len(pool) <= limit:
+            picked = list(pool)
+            break
+        like = lambda k: max([0.0, *(float(unit(vectors[k]) @ unit(vectors[j])) for j in picked)])
+        picked.append(max((k for k in pool if k not in picked), key=lambda k: (0.7 * final[k] - 0.3 * like(k), -pool.index(k))))
+    name = {k: i for k, i, _, _ in docs}
+    return [(n, name[k], round(final[k], 6)) for n, k in enumerate(picked, 1)]
+
+
+@pytest.mark.parametrize(("query", "limit", "cell"), [("compare the means of a t-test", 3, None), ("missing values median", 8, None), ("revenue by month", 4, "r6"), ("std of categories", 2, "r1")])
+def test_full_search_against_brute_force(notes, query, limit, cell):
+    found = search.search(notes, query, search.Request(workspace_id="w", limit=limit, cell_id=cell, include_system=False), hashed_words(64))
+    assert sorted((r["place"], r["id"], round(r["score"], 6)) for r in found.collect()) == brute_search(NOTES, query, limit, cell=cell)
+
+
+def test_a_model_with_a_cache_embeds_each_text_once(notes, spark, tmp_path):
+    from quillmark.functions.vectors import EmbeddingModel
+    from quillmark.sources.knowledge_store import EmbeddingCache
+
+    cache = EmbeddingCache(spark, str(tmp_path / "cache"))
+    model = EmbeddingModel(name="words-64", dimension=64)
+    request = search.Request(workspace_id="w", limit=3, include_system=False)
+    rows = lambda df: sorted((r["place"], r["id"], r["score"]) for r in df.collect())
+    first = rows(search.search(notes, "regression number", request, model, cache=cache))
+    assert cache.count() == 7  # the superseded note isn't a candidate
+
+    def never(texts):
+        assert texts == ["regression number"]
+        return model.embedder()(texts)
+
+    only_query = EmbeddingModel(name="words-64", dimension=64, make=lambda _: never)
+    assert rows(search.search(notes, "regression number", request, only_query, cache=cache)) == first == rows(search.search(notes, "regression number", request, model.embedder()))
+
+
+def test_errors_that_are_not_the_models_are_raised(notes):
+    """A text column that can't be read is no failing model."""
+    broken = notes.withColumn("text", F.when(F.lit(True), F.raise_error(F.lit("lost file"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="lost file"):
+        search.search(broken, "regression", search.Request(workspace_id="w", limit=3, include_system=False), hashed_words(8)).collect()
