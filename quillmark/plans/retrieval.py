@@ -254,7 +254,64 @@ SEARCH_BATCH = f"""WITH q AS (SELECT item_id, {tokens_sql("text")} AS t FROM ben
  ranked AS (SELECT item_id, doc_id, 1.0 / (60 + row_number() OVER (PARTITION BY item_id ORDER BY round(coalesce(s, 0.0), 9) DESC, doc_id)) + CASE WHEN doc_id % 5 > 1 THEN 0.15 WHEN doc_id % 5 = 0 THEN -0.1 ELSE 0.0 END + CASE WHEN item_id % 4 = 0 THEN 0.2 ELSE 0.0 END + CASE WHEN item_id % 3 = 0 THEN 0.2 ELSE 0.0 END AS score FROM own LEFT JOIN bm USING (item_id, doc_id))
  SELECT item_id AS request_id, CAST(doc_id AS VARCHAR) AS id, round(score, 9) AS score FROM ranked QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= {rerank.POOL}"""
 
+CELL = 7
+
+
+def search_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexical search from an active cell, to whose place in the notebook the records' cells are near or far."""
+    from quillmark.operators.knowledge import records
+
+    docs = table(spark, sf_dir, "documents")
+    place = F.col("doc_id") % 50
+    status = F.when(F.col("doc_id") % 5 == 0, "superseded").when(F.col("doc_id") % 5 > 1, "active")
+    own = records(docs, id=F.col("doc_id"), kind="note", text=F.col("text"), workspace=F.lit("w"), cell=F.concat(F.lit("c"), place.cast("string")), metadata={"status": status}, provenance={}, pos=F.col("doc_id"))
+    cells = docs.select(F.concat(F.lit("c"), place.cast("string")).alias("id"), place.alias("idx")).filter("idx < 40").distinct()
+    request = search.Request(workspace_id="w", cell_id=f"c{CELL}", include_superseded=True, limit=60, expand=False, rerank=False, include_system=False)
+    return search.search(own, QUERY, request, cells=cells).select("id", "place", F.round("score", 9).alias("score"))
+
+
+SEARCH_CELLS = f"""WITH {BM25_CTE}, r AS (SELECT doc_id, doc_id % 50 AS cell, 1.0 / (60 + row_number() OVER (ORDER BY round(bm25, 9) DESC, doc_id)) AS rrf FROM scored),
+ s AS (SELECT doc_id, rrf + CASE WHEN doc_id % 5 > 1 THEN 0.15 WHEN doc_id % 5 = 0 THEN -0.1 ELSE 0.0 END + CASE WHEN cell = {CELL} THEN 0.3 + 0.3 ELSE 0.0 END + CASE WHEN cell < 40 THEN 0.15 / (1 + abs(cell - {CELL})) + 0.1 / (1 + abs(cell - {CELL})) ELSE 0.0 END AS score FROM r)
+ SELECT CAST(doc_id AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS place, round(score, 9) AS score FROM s ORDER BY score DESC, doc_id LIMIT 60"""
+
+
+def prepared_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as requests: their limits, whether they ask for older records, and their terms."""
+    said = table(spark, sf_dir, "conversations").filter("text is not null")
+    kinds = F.when(F.col("turn") % 3 == 0, F.array(F.lit("data_representative"), F.lit("note")))
+    asked = said.select(F.concat_ws(":", "conv_id", "turn").alias("request_id"), F.when(F.col("conv_id") % 4 == 0, F.concat("text", F.lit(" as Originally planned"))).otherwise(F.col("text")).alias("query"), kinds.alias("kinds"), F.when(F.col("turn") % 5 == 0, 3).alias("limit"), F.lit(False).alias("expand"))
+    done = batch.prepared(asked)
+    return done.select("request_id", "limit", "include_superseded", F.array_join("terms", " ").alias("terms"))
+
+
+PREPARED_REQUESTS = f"""WITH q AS (SELECT conv_id || ':' || turn AS request_id, turn, CASE WHEN conv_id % 4 = 0 THEN text || ' as Originally planned' ELSE text END AS query FROM conversations WHERE text IS NOT NULL)
+ SELECT request_id, CAST(CASE WHEN turn % 5 = 0 THEN 3 WHEN turn % 3 = 0 THEN 12 ELSE 8 END AS INTEGER) AS "limit", regexp_matches(query, '(?i)originally|previously|history|before|earlier|superseded') AS include_superseded, array_to_string({tokens_sql("query")}, ' ') AS terms FROM q"""
+
+
+def cache_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages and turns that repeat, embedded through a cache that has every second passage: each text once, hits from the cache."""
+    import numpy as np
+
+    from quillmark.sources import stores
+
+    passages, said = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations")
+    at = F.timestamp_seconds(F.lit(1))
+    held = passages.filter("item_id % 2 = 0").groupBy("text").agg(F.min("item_id").alias("item_id"))
+    cache = held.select(T.embedding_key(F.lit("m"), F.col("text")).alias("key"), F.lit("m").alias("model"), F.array(F.lit(-1.0), F.col("item_id").cast("double")).cast("array<float>").alias("vector"), at.alias("created_at"), at.alias("used_at"))
+    lengths = lambda texts: np.array([[len(t), t.count("e")] for t in texts], np.float32).reshape(-1, 2)
+    texts = passages.select("text").unionByName(passages.select("text")).unionByName(said.select("text"))
+    known, after = stores.through_cache(cache, texts, "m", lengths, F.timestamp_seconds(F.lit(9)))
+    used = after.select("key", F.unix_timestamp("used_at").alias("used"), F.unix_timestamp("created_at").alias("made"))
+    return known.withColumn("key", T.embedding_key(F.lit("m"), F.col("text"))).join(used, "key").select("key", F.get("vector", F.lit(0)).alias("first"), F.get("vector", F.lit(1)).alias("second"), "used", "made")
+
+
+CACHE_SPLIT = """WITH held AS (SELECT text, min(item_id) AS i FROM benchmark WHERE item_id % 2 = 0 AND text IS NOT NULL GROUP BY text), t AS (SELECT DISTINCT text FROM (SELECT text FROM benchmark UNION ALL SELECT text FROM conversations) WHERE text IS NOT NULL)
+ SELECT 'm:v1:' || substr(sha256(t.text), 1, 16) AS key, CAST(CASE WHEN i IS NULL THEN length(t.text) ELSE -1 END AS FLOAT) AS first, CAST(coalesce(i, length(t.text) - length(replace(t.text, 'e', ''))) AS FLOAT) AS second, CAST(9 AS BIGINT) AS used, CAST(CASE WHEN i IS NULL THEN 9 ELSE 1 END AS BIGINT) AS made FROM t LEFT JOIN held USING (text)"""
+
 QUERIES = {
+    "search_cells": (search_cells, SEARCH_CELLS),
+    "prepared_requests": (prepared_requests, PREPARED_REQUESTS),
+    "cache_split": (cache_split, CACHE_SPLIT),
     "search_batch": (search_batch, SEARCH_BATCH),
     "tokenize_tf": (tokenize_tf, TOKENIZE_TF),
     "bm25_all": (bm25_all, BM25_ALL),
