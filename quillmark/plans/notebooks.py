@@ -153,6 +153,20 @@ def first_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 FIRST_CANDIDATES = f"SELECT CAST(doc_id AS VARCHAR) AS id, {_KIND} AS kind, CAST(0.5 AS DOUBLE) AS score, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS place FROM documents WHERE doc_id % 5 <> 0 ORDER BY doc_id LIMIT 20"
 
 
+def search_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An embedder that fails on a text gives the first records too; a provider that fails gives nothing."""
+
+    def failing(texts):
+        if texts != ["what is there"]:
+            raise RuntimeError("no model")
+        return [[1.0]]
+
+    memo = providers.RequestMemo(spark, "w")
+    nothing = memo.get("lost", lambda session, workspace: session.read.parquet(f"{sf_dir}/no such table"))
+    found = search.search(_documents(spark, sf_dir), "what is there", search.Request(scope="all", limit=20, include_system=False), failing, extra=[nothing])
+    return found.select("id", "kind", "score", "place")
+
+
 def record_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records stored, a third stored again, some removed by id and by cell; then looked up by dataset, column, cell and hash."""
     first, _, lang = _firsts(spark, sf_dir)
@@ -286,6 +300,7 @@ QUERIES = {
     "ipynb_contents": (ipynb_contents, IPYNB_CONTENTS),
     "notebook_store": (notebook_store, NOTEBOOK_STORE),
     "search_filters": (search_filters, SEARCH_FILTERS),
+    "search_without_model": (search_without_model, FIRST_CANDIDATES),
     "first_candidates": (first_candidates, FIRST_CANDIDATES),
     "record_store": (record_store, RECORD_STORE),
     "vector_store": (vector_store, VECTOR_STORE),

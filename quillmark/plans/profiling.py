@@ -45,8 +45,9 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numeric columns of all tables of orders and their parties, in one state."""
-    return profile.folder_profile({name: table(spark, sf_dir, name).select(*columns) for name, columns in FOLDER.items()})
+    """The numeric columns of all tables of orders and their parties, in one state; one column has no number."""
+    frames = {name: table(spark, sf_dir, name).select(*columns) for name, columns in FOLDER.items()}
+    return profile.folder_profile(frames | {"region": frames["region"].withColumn("nothing", F.lit(float("nan")))})
 
 
 def _numeric_sql(column: str, source: str = "lineitem", name: str | None = None) -> str:
@@ -60,7 +61,7 @@ def _numeric_sql(column: str, source: str = "lineitem", name: str | None = None)
    (SELECT {column} AS x0 FROM {source} GROUP BY {column} ORDER BY count(*) DESC, {column} LIMIT 1) mo)"""
 
 
-PROFILE_FOLDER = " UNION ALL ".join(_numeric_sql(c, name, f"{name}.{c}") for name, columns in FOLDER.items() for c in columns)
+PROFILE_FOLDER = " UNION ALL ".join(_numeric_sql(c, name, f"{name}.{c}") for name, columns in FOLDER.items() for c in columns) + " UNION ALL SELECT 'region.nothing', 0, " + ", ".join(["NULL"] * 13)
 PROFILE_NUMERIC = " UNION ALL ".join(_numeric_sql(c) for c in NUMERIC["lineitem"])
 
 

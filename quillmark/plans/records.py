@@ -112,6 +112,21 @@ RELATIONSHIP_RECORDS = (
 )
 
 
+def short_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short forms of profile, column and relation records."""
+    return providers.plain_records(orders_with_gaps(spark, sf_dir), ORDERS, "d")(spark, "w").select("id", "kind", "text")
+
+
+_GAP_KINDS = ("numeric", "categorical", "categorical", "numeric", "numeric")
+SHORT_RECORDS = (
+    RELATIONSHIP_RECORDS[: RELATIONSHIP_RECORDS.index(" texts AS (")]
+    + """ texts AS (SELECT 'dataset:d:profile' AS id, 'dataset_profile' AS kind, 'Dataset orders.csv profile: ' || (SELECT count(*) FROM gaps) || ' rows x5 cols, duplicate 0% (0 rows)' AS text
+  UNION ALL SELECT 'dataset:d:rel:missingTogether:' || a || ':' || b, 'relationship', 'Relationship: columns "' || a || '" and "' || b || '" missing together (correlation ' || printf('%.2f', raw) || ') in d' FROM p WHERE exact > 0.3 UNION ALL """
+    + " UNION ALL ".join(f"SELECT 'dataset:d:col:{c}', 'column_semantic', 'Column {c} ({k}): unique ' || count(DISTINCT {c}) FILTER (WHERE NOT {missing_sql(c)}) || ' missing ' || printf('%g', {rounded_sql(f'100.0 * count(*) FILTER (WHERE {missing_sql(c)}) / count(*)', 2)}) || '%' FROM gaps" for c, k in zip(GAP_COLUMNS, _GAP_KINDS, strict=True))
+    + ") SELECT id, kind, text FROM texts"
+)
+
+
 def dataset_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the dataset provider says of customers before they are profiled, but for its sample; some rows come twice, some are empty."""
     c = table(spark, sf_dir, "customer")
@@ -284,6 +299,7 @@ QUERIES = {
     "source_hash": (source_hash, SOURCE_HASH),
     "column_semantic_text": (column_semantic_text, COLUMN_TEXT),
     "relationship_records": (relationship_records, RELATIONSHIP_RECORDS),
+    "short_records": (short_records, SHORT_RECORDS),
     "dataset_records": (dataset_records, DATASET_RECORDS),
     "upsert_latest": (upsert_latest, UPSERT_LATEST),
     "union_dedup": (union_dedup, UNION_DEDUP),

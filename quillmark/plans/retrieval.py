@@ -275,6 +275,23 @@ SEARCH_CELLS = f"""WITH {BM25_CTE}, r AS (SELECT doc_id, doc_id % 50 AS cell, 1.
  SELECT CAST(doc_id AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS place, round(score, 9) AS score FROM s ORDER BY score DESC, doc_id LIMIT 60"""
 
 
+def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search whose pool another reranker orders: by the length of texts."""
+    from quillmark.operators.knowledge import records
+
+    docs = table(spark, sf_dir, "documents")
+    own = records(docs, id=F.col("doc_id"), kind="note", text=F.col("text"), workspace=F.lit("w"), metadata={}, provenance={}, pos=F.col("doc_id"))
+    rerank.set_reranker(lambda pool, query: pool.withColumn("score", F.length("text").cast("double")))
+    try:
+        return search.search(own, QUERY, search.Request(workspace_id="w", limit=9, expand=False, include_system=False)).select("id", "place", "score")
+    finally:
+        rerank.set_reranker(None)
+
+
+SEARCH_RERANKED = f"""WITH {BM25_CTE}, pool AS (SELECT doc_id FROM scored ORDER BY round(bm25, 9) DESC, doc_id LIMIT {rerank.POOL})
+ SELECT CAST(doc_id AS VARCHAR) AS id, CAST(row_number() OVER (ORDER BY length(text) DESC, doc_id) AS INTEGER) AS place, CAST(length(text) AS DOUBLE) AS score FROM pool JOIN documents USING (doc_id) ORDER BY length(text) DESC, doc_id LIMIT 9"""
+
+
 def prepared_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations as requests: their limits, whether they ask for older records, and their terms."""
     said = table(spark, sf_dir, "conversations").filter("text is not null")
@@ -309,6 +326,7 @@ CACHE_SPLIT = """WITH held AS (SELECT text, min(item_id) AS i FROM benchmark WHE
  SELECT 'm:v1:' || substr(sha256(t.text), 1, 16) AS key, CAST(CASE WHEN i IS NULL THEN length(t.text) ELSE -1 END AS FLOAT) AS first, CAST(coalesce(i, length(t.text) - length(replace(t.text, 'e', ''))) AS FLOAT) AS second, CAST(9 AS BIGINT) AS used, CAST(CASE WHEN i IS NULL THEN 9 ELSE 1 END AS BIGINT) AS made FROM t LEFT JOIN held USING (text)"""
 
 QUERIES = {
+    "search_reranked": (search_reranked, SEARCH_RERANKED),
     "search_cells": (search_cells, SEARCH_CELLS),
     "prepared_requests": (prepared_requests, PREPARED_REQUESTS),
     "cache_split": (cache_split, CACHE_SPLIT),
