@@ -42,6 +42,11 @@ def test_singular_and_plural(spark, token, one, many):
     assert column(spark, [token], text.plural) == [many]
 
 
+def test_singular_of_tokens_that_are_all_ending(spark):
+    want = {"shes": "sh", "ches": "ch", "sses": "ss", "ties": "tie", "series": "sery"}
+    assert column(spark, list(want), text.singular) == list(want.values()) == [text.singular_of(t) for t in want]
+
+
 def test_expansion_is_bounded():
     assert text.expanded(["sd", "means"]) == ["standard", "deviation", "mean"]
     assert text.expanded(["rmse", "ci"]) == ["root", "mean", "square", "error", "rmses", "confidence"]
