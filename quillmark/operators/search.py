@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from quillmark.functions.text import expanded, merged_terms, tokens_of
 from quillmark.functions.vectors import Embedder, EmbeddingModel, cosine, embed
-from quillmark.operators import fusion, lexical, providers, rerank
+from quillmark.operators import fusion, lexical, nearest, providers, rerank
 from quillmark.operators.knowledge import normalized, union_first
 from quillmark.sources.shared import checkpointed
 
@@ -215,19 +215,17 @@ def vector_search(vectors: DataFrame, query: Sequence[float], k: int = 5, condit
 def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 5, vector: str = "embedding", key: str = "vec_id", at_once: int = QUERIES_AT_ONCE) -> DataFrame:
     """query_id, key, score, place: the k rows nearest to each query (query_id, query) by cosine, ties by key.
 
-    At most `at_once` queries are broadcast in one go, each round scans the vectors once; rows meet queries of their own
-    length only.  The rank filter keeps k rows for each query and task before anything is shuffled.
+    At most `at_once` queries go out in one chunk, each chunk scans the vectors once; rows meet queries of their own
+    length only.  Tasks keep k rows for each query before anything is shuffled.
     """
-    rounds = max(1, -(-queries.count() // at_once))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), key)
-    rows = vectors.select(key, vector, F.size(vector).alias("_width"))
-    out = None
-    for k_round in range(rounds):
-        some = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == k_round) if rounds > 1 else queries
-        asked = F.broadcast(some.select("query_id", "query", F.size("query").alias("_width")))
-        scored = rows.join(asked, "_width").select("query_id", key, cosine(F.col(vector), F.col("query")).alias("score"))
-        top = scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-        out = top if out is None else out.unionByName(top)
+    kinds = dict(queries.dtypes) | dict(vectors.dtypes)
+    out = vectors.sparkSession.createDataFrame([], f"query_id {kinds['query_id']}, `{key}` {kinds[key]}, score double, place int")
+    for k_chunk, chunk in enumerate(nearest.chunks(queries, at_once)):
+        asked = vectors.sparkSession.sparkContext.broadcast(chunk)
+        top = checkpointed(nearest.nearest(vectors, asked, k, vector, key).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k))
+        asked.destroy()
+        out = top if not k_chunk else out.unionByName(top)
     return out
 
 

@@ -398,3 +398,32 @@ def test_errors_that_are_not_the_models_are_raised(notes):
     broken = notes.withColumn("text", F.when(F.lit(True), F.raise_error(F.lit("lost file"))).otherwise(F.col("text")))
     with pytest.raises(Exception, match="lost file"):
         search.search(broken, "regression", search.Request(workspace_id="w", limit=3, include_system=False), hashed_words(8)).collect()
+
+
+def test_nearest_of_odd_vectors_are_those_of_the_plain_expression(spark):
+    """Copies, zeros, nulls, NaN, infinity, huge and tiny vectors, scaled ones, as rows and as queries."""
+    import numpy as np
+    from pyspark.sql.window import Window
+
+    from quillmark.functions.vectors import cosine
+
+    rng = np.random.default_rng(3)
+    some = [[float(x) for x in rng.normal(size=4)] for _ in range(150)]
+    odd = [[0.0] * 4, [-0.0] * 4, [None, 1.0, 2.0, 3.0], [float("nan"), 1.0, 1.0, 1.0], [float("inf"), 1.0, 0.0, 1.0], [1e200, 1.0, 1.0, 1.0], [1e-200, 0.0, 1e-200, 0.0], some[5], [2 * x for x in some[5]], None, [1.0, 2.0]]
+    rows = list(enumerate(some + odd + odd + [some[5]] * 30 + odd * 5))
+    vectors = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>").repartition(3)
+    queries = vectors.filter("vec_id % 3 = 0 or vec_id between 150 and 172").selectExpr("concat('q', vec_id) as query_id", "embedding as query")
+    pairs = vectors.crossJoin(queries).filter("size(embedding) = size(query)").withColumn("score", cosine(F.col("embedding"), F.col("query")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), "vec_id"))
+    key = lambda df: sorted((r["query_id"], r["place"], r["vec_id"], repr(r["score"])) for r in df.collect())
+    assert key(search.vector_search_many(vectors, queries, 4)) == key(pairs.withColumn("place", place).filter("place <= 4"))
+    names = vectors.select(F.concat(F.lit("v"), "vec_id").alias("vec_id"), "embedding")
+    assert search.vector_search_many(names, queries, 4).join(pairs.select("query_id", F.concat(F.lit("v"), "vec_id").alias("vec_id"), F.col("score").alias("s")), ["query_id", "vec_id"]).filter("not score <=> s").count() == 0
+
+
+def test_nearest_makes_no_row_for_each_pair(spark):
+    from quillmark.operators import nearest
+
+    vectors = spark.range(3000).selectExpr("id as vec_id", "array(sin(id), cos(id), sin(2 * id)) as embedding").repartition(2)
+    (chunk,) = nearest.chunks(vectors.filter("vec_id % 10 = 0").selectExpr("vec_id as query_id", "embedding as query"), 1000)
+    assert nearest.nearest(vectors, spark.sparkContext.broadcast(chunk), 5, "embedding", "vec_id").count() == 2 * 300 * 5
