@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillmark.functions.vectors import cosine
+from quillmark.operators import nearest
 from quillmark.sources.shared import checkpointed
 
 PIVOTS = 64
@@ -25,6 +25,8 @@ PIVOTS = 64
 SLACK = 1e-6
 #: The pivot of vectors without a direction, which rank last.
 NOWHERE = -1
+#: Queries of a chunk.
+QUERIES_AT_ONCE = 10_000
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -33,15 +35,16 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _angles(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Angles between rows of v and unit vectors."""
-    length = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.arccos(np.clip(v / np.where(length > 0, length, 1.0) @ pivots.T, -1.0, 1.0))
+    with np.errstate(invalid="ignore"):
+        length = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.arccos(np.clip(v / np.where(length > 0, length, 1.0) @ pivots.T, -1.0, 1.0))
 
 
 @dataclass
 class VectorIndex:
     """Vectors of one width by pivot.  pivots: unit vectors; about: radius and number of vectors of each pivot."""
 
-    rows: DataFrame
+    rows: DataFrame | None
     pivots: np.ndarray
     about: dict[int, tuple[float, int]]
     key: str
@@ -72,48 +75,56 @@ class VectorIndex:
         about = {r["pivot"]: (r["radius"] + SLACK, r["n"]) for r in stored.groupBy("pivot").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}
         return cls(stored, centers, about, key, vector, width)
 
-    def reaches(self, queries: DataFrame, k: int) -> DataFrame:
-        """query_id, query, pivot, n, bound, first: what each query can find with each pivot, and whether it looks there first."""
-        about, pivots, width = self.about, self.pivots, self.width
-        own = sorted(about)
+    def reaches(self, q: np.ndarray, k: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """Pivots; what each query (a row) can find with each of them at most, and whether it looks there first."""
+        own = sorted(self.about)
         near = [p for p in own if p != NOWHERE]
-        kind = dict(queries.dtypes)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows or not own:
-                    continue
-                q = _matrix(b.column(1), width)
-                bound = np.full((len(q), len(own)), -2.0)
-                if near:
-                    angle = _angles(q, pivots[near]) - np.array([about[p][0] for p in near])
-                    bound[:, [own.index(p) for p in near]] = np.cos(np.maximum(angle, 0.0)) + SLACK
-                bound[(q == 0).all(axis=1)] = -2.0
-                n = np.array([about[p][1] for p in own])
-                order = np.argsort(-bound, axis=1, kind="stable")
-                before = np.cumsum(n[order], axis=1) - n[order]
-                first = np.zeros(bound.shape, bool)
-                np.put_along_axis(first, order, before < k, axis=1)
-                at = pa.array(np.repeat(np.arange(len(q)), len(own)))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.tile(own, len(q)), pa.int32()), pa.array(np.tile(n, len(q)), pa.int64()), pa.array(bound.ravel()), pa.array(first.ravel())], names=["query_id", "query", "pivot", "n", "bound", "first"])
-
-        asked = queries.select("query_id", "query").filter(F.size("query") == width)
-        return asked.mapInArrow(run, f"query_id {kind['query_id']}, query {kind['query']}, pivot int, n bigint, bound double, first boolean")
-
-    def search(self, queries: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+        bound = np.full((len(q), len(own)), -2.0)
+        if near:
+            angle = _angles(q, self.pivots[near]) - np.array([self.about[p][0] for p in near])
+            bound[:, [own.index(p) for p in near]] = np.cos(np.maximum(angle, 0.0)) + SLACK
+        bound[(q == 0).all(axis=1) | ~np.isfinite(q).all(axis=1)] = -2.0
+        n = np.array([self.about[p][1] for p in own], np.int64)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        before = np.cumsum(n[order], axis=1) - n[order]
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, order, before < k, axis=1)
+        return own, bound, first
+
+    def search(self, queries: DataFrame, k: int = 5, at_once: int = QUERIES_AT_ONCE) -> tuple[DataFrame, DataFrame]:
         """query_id, key, score, place of the k nearest by cosine, ties by key, as a search of all vectors gives them; and
-        query_id, n: how many vectors each query met.  Queries (query_id, query) are broadcast, some thousand at a time."""
-        reach = checkpointed(self.reaches(queries, k))
+        query_id, n: how many vectors each query met.  Queries (query_id, query) go out in chunks."""
+        spark, width = self.rows.sparkSession, self.width
+        plan = VectorIndex(None, self.pivots, self.about, self.key, self.vector, width)  # without the table, for tasks
+        kind = dict(queries.dtypes)["query_id"]
         best = Window.partitionBy("query_id").orderBy(F.col("score").desc_nulls_last(), self.key)
-
-        def top(pairs: DataFrame) -> DataFrame:
-            scored = self.rows.join(F.broadcast(pairs.select("query_id", "query", "pivot")), "pivot").select("query_id", self.key, cosine(F.col(self.vector), F.col("query")).alias("score"))
-            return scored.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-
-        found = checkpointed(top(reach.filter("first")))
-        last = found.groupBy("query_id").agg(F.when(F.count("score") == k, F.min("score")).alias("last"))
-        more = reach.filter("not first").join(F.broadcast(last), "query_id", "left").filter(F.col("last").isNull() | (F.col("bound") >= F.col("last"))).drop("last")
-        more = checkpointed(more)
-        both = found.unionByName(top(more)).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
-        met = reach.filter("first").unionByName(more).groupBy("query_id").agg(F.sum("n").alias("n"))
-        return both, met
+        ranked = lambda rows: rows.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+        out = spark.createDataFrame([], f"query_id {kind}, `{self.key}` {dict(self.rows.dtypes)[self.key]}, score double, place int")
+        met = spark.createDataFrame([], f"query_id {kind}, n bigint")
+        for chunk in nearest.chunks(queries.filter(F.size("query") == width), at_once) if self.about else ():
+            asked, q = spark.sparkContext.broadcast(chunk), _matrix(chunk.column("query").combine_chunks(), width)
+            own, bound, first = self.reaches(q, k)
+
+            memo: dict = {}
+
+            def top(last: np.ndarray | None, asked=asked, own=own, bound=bound, first=first, memo=memo) -> DataFrame:
+                reached = first if last is None else ~first & (bound >= last[:, None])
+
+                def meets(pivot: int, numbers: np.ndarray, x: np.ndarray) -> np.ndarray:
+                    if not memo:  # once for each task
+                        memo[0] = plan.reaches(x, k)
+                    pivots, most, before = memo[0]
+                    at = pivots.index(pivot)
+                    return before[:, at] if last is None else ~before[:, at] & (most[:, at] >= last[numbers])
+
+                rows = self.rows.filter(F.col("pivot").isin([p for p, some in zip(own, reached.any(axis=0), strict=True) if some]))
+                return nearest.nearest(rows, asked, k, self.vector, self.key, "pivot", meets)
+
+            found = checkpointed(ranked(top(None)))
+            known = {r["query_id"]: r["last"] for r in found.groupBy("query_id").agg(F.when((F.count("score") == k) & ~F.isnan(F.max("score")), F.min("score")).alias("last")).collect()}
+            last = np.array([-3.0 if known.get(i) is None else known[i] for i in chunk.column("query_id").to_pylist()])
+            both = checkpointed(ranked(found.drop("place").unionByName(top(last))))
+            asked.destroy()
+            n = (first | (bound >= last[:, None])) @ np.array([self.about[p][1] for p in own], np.int64)
+            out, met = out.unionByName(both), met.unionByName(spark.createDataFrame(list(zip(chunk.column("query_id").to_pylist(), n.tolist(), strict=True)), met.schema))
+        return out, met
