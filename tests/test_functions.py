@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from hypothesis import given
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -97,3 +97,15 @@ def test_long_texts_are_pooled():
     assert vectors.windows("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"] and vectors.windows("", 4, 1) == [""]
     made = vectors.pooled(lambda texts: np.array([[len(t), 1.0] for t in texts]), 4, 1)(["abcdefghij", "ab", ""])
     assert np.allclose(made, [[4 / 17**0.5, 1 / 17**0.5], [2, 1], [0, 1]])
+
+
+@settings(deadline=None, max_examples=8, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet="aZz09+#- .,\n\tÀéİK\U0001f600", max_size=30), min_size=1, max_size=20))
+def test_tokens_are_what_splitting_leaves(spark, texts):
+    before = lambda c: F.filter(F.split(F.lower(c), text.SPLIT), lambda t: F.length(t) > 1)
+    assert column(spark, [*texts, None], text.tokenize) == column(spark, [*texts, None], before)
+
+
+def test_tokens_are_matched_not_split(spark):
+    plan = spark.range(1).select(text.tokenize(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "filter(" not in plan
