@@ -427,3 +427,35 @@ def test_nearest_makes_no_row_for_each_pair(spark):
     vectors = spark.range(3000).selectExpr("id as vec_id", "array(sin(id), cos(id), sin(2 * id)) as embedding").repartition(2)
     (chunk,) = nearest.chunks(vectors.filter("vec_id % 10 = 0").selectExpr("vec_id as query_id", "embedding as query"), 1000)
     assert nearest.nearest(vectors, spark.sparkContext.broadcast(chunk), 5, "embedding", "vec_id").count() == 2 * 300 * 5
+
+
+def test_many_bm25_scores_are_made_where_texts_lie(spark, monkeypatch):
+    """In tiles of two queries and three texts; queries without tokens, of one id, and texts without any."""
+    import math
+
+    monkeypatch.setattr(lexical, "QUERIES", 2)
+    monkeypatch.setattr(lexical, "DOCUMENTS", 3)
+    words = ["alpha", "beta", "gamma", "delta", "c++", "x"]
+    docs = spark.createDataFrame([(k, " ".join(words[(k * j) % 6] for j in range(k % 7))) for k in range(40)] + [(90, None), (91, "! ?")], "doc_id long, text string").repartition(3)
+    asked = [(1, "beta alpha beta"), (2, "nobody"), (3, "c++ delta x"), (4, ""), (5, None), (6, "gamma"), (7, "alpha"), (7, "gamma")]
+    got = lexical.bm25_many(docs, spark.createDataFrame(asked, "query_id long, query string"))
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    rows = {(r["query_id"], r["doc_id"]): r["bm25"] for r in got.collect()}
+    filled, n = docs.filter("text is not null"), 42
+    want = {}
+    for q, text in {1: "beta alpha beta", 3: "c++ delta x", 6: "gamma", 7: "alpha gamma"}.items():
+        tf = {r["doc_id"]: r["t"] for r in filled.select("doc_id", lexical.tokenize(F.col("text")).alias("t")).collect()}
+        average = sum(map(len, tf.values())) / len(tf)
+        for t in lexical.tokens_of(text):
+            df = sum(t in x for x in tf.values())
+            for d, x in tf.items():
+                if t in x:
+                    f = x.count(t)
+                    idf = math.log(1 + (n - df + 0.5) / (df + 0.5))
+                    want[q, d] = want.get((q, d), 0.0) + idf * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(x) / average))
+    assert rows == pytest.approx(want)
+    best = {(r["query_id"], r["doc_id"]): r["bm25"] for r in lexical.bm25_many(docs.coalesce(1), spark.createDataFrame(asked, "query_id long, query string"), digits=3, best=2).collect()}
+    near = {k: math.floor(v * 1000 + 0.5) / 1000 for k, v in rows.items()}
+    for q in (1, 3, 6, 7):
+        top = sorted((k for k in near if k[0] == q), key=lambda k: (-near[k], k))[:2]
+        assert set(top) <= set(best) and all(best[k] == near[k] for k in top)
