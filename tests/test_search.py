@@ -459,3 +459,12 @@ def test_many_bm25_scores_are_made_where_texts_lie(spark, monkeypatch):
     for q in (1, 3, 6, 7):
         top = sorted((k for k in near if k[0] == q), key=lambda k: (-near[k], k))[:2]
         assert set(top) <= set(best) and all(best[k] == near[k] for k in top)
+
+
+def test_recall_ranks_no_more_than_the_best_of_each_task(spark, folder, monkeypatch):
+    from quillmark.plans import retrieval
+
+    asked, made = [], lexical.bm25_many
+    monkeypatch.setattr(lexical, "bm25_many", lambda *args, **options: asked.append(options) or made(*args, **options))
+    assert retrieval.recall_at_k(spark, folder).first()["hits"] == 1
+    assert asked == [{"digits": 6, "best": 3}]
