@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TEXT_CHARS, ERROR_CHARS, TITLE_CHARS = 2000, 500, 80
+#: Parts of an export for each shuffle partition of the session, so that a part's cells fit into the memory of a task.
+PARTS = 4
 #: Cell types that survive a round trip by name; other code cells come back as transform.
 KEPT = ("upload", "model", "clean", "analysis")
 OUTPUT = "array<struct<type:string,data:string>>"
@@ -42,9 +44,10 @@ def shown(output: Column) -> Column:
     whole = output["type"].isin("table", "dataset", "chart")
     mime = F.when(whole, F.create_map(F.lit("text/plain"), F.when(output["type"] == "chart", "[chart ]").otherwise(cut(TEXT_CHARS)), F.lit("application/json"), data)).otherwise(F.create_map(F.lit("text/plain"), cut(TEXT_CHARS)))
     failed = output["type"] == "error"
-    return F.struct(
-        F.when(failed, "error").otherwise("display_data").alias("output_type"), F.when(~failed, mime).alias("data"), F.when(~failed, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))).alias("metadata"),
-        F.when(failed, "CellError").alias("ename"), F.when(failed, cut(ERROR_CHARS)).alias("evalue"), F.when(failed, F.array(cut(TEXT_CHARS))).alias("traceback"),
+    # By name, as names given by alias() are lost where this is used within another lambda.
+    return F.named_struct(
+        F.lit("output_type"), F.when(failed, "error").otherwise("display_data"), F.lit("data"), F.when(~failed, mime), F.lit("metadata"), F.when(~failed, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))),
+        F.lit("ename"), F.when(failed, "CellError"), F.lit("evalue"), F.when(failed, cut(ERROR_CHARS)), F.lit("traceback"), F.when(failed, F.array(cut(TEXT_CHARS))),
     )
 
 
@@ -59,18 +62,23 @@ def exported(notebooks: DataFrame, cells: DataFrame) -> DataFrame:
     markdown = F.col("type").isin("markdown", "assistant")
     links = F.struct("dataset_ids", "operation", "columns", "source_cell_ids", "depends_on")
     source = F.when(markdown, F.coalesce("source", "title", F.lit(""))).otherwise(F.coalesce(F.when(F.col("source") != "", F.col("source")), described(F.col("title"), F.col("columns"), F.col("dataset_ids"), links)))
-    output = F.transform(F.coalesce("outputs", F.array().cast(OUTPUT)), shown)
+    output = F.coalesce("outputs", F.array().cast(OUTPUT))
     cell = F.struct(
         "idx", F.when(markdown, "markdown").otherwise("code").alias("cell_type"), "id", F.struct("type", "status", "title", "operation", "columns", "dataset_ids", "source_cell_ids", "depends_on").alias("metadata"),
         source.alias("source"), F.when(~markdown, F.col("execution_count")).alias("execution_count"), F.when(~markdown, output).alias("outputs"),
     )
+    # Cells and notebooks meet in one shuffle and one aggregation, in parts of a fixed number, which aren't merged for being
+    # small when compressed; a sort of collected cells, as a join or a partial aggregate needs it, would spill them again.
+    # Outputs are shown once they are together, as their shown form is larger.
+    rows = cells.filter("notebook_id is not null").select("notebook_id", cell.alias("cell")).unionByName(notebooks.select(F.col("id").alias("notebook_id"), F.struct("workspace_id").alias("notebook")), allowMissingColumns=True)
+    parts = PARTS * int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    per = rows.repartition(parts, "notebook_id").groupBy("notebook_id").agg(F.collect_list("cell").alias("cells"), F.collect_list("notebook").alias("notebooks"))
     # data and metadata are maps, which have no order: the cells are sorted by their place and id alone
-    per = cells.select("notebook_id", cell.alias("cell")).groupBy("notebook_id").agg(F.collect_list("cell").alias("cells"))
     before = lambda x, y: F.when((x["idx"] < y["idx"]) | ((x["idx"] == y["idx"]) & (x["id"] < y["id"])), -1).when((x["idx"] == y["idx"]) & (x["id"] == y["id"]), 0).otherwise(1)
-    per = per.select("notebook_id", F.transform(F.array_sort("cells", before), lambda c: c.dropFields("idx")).alias("cells"))
-    both = notebooks.select(F.col("id").alias("notebook_id"), "workspace_id").join(per, "notebook_id", "left")
+    both = per.select("notebook_id", F.explode("notebooks").alias("notebook"), F.transform(F.array_sort("cells", before), lambda c: c.dropFields("idx").withField("outputs", F.transform(c["outputs"], shown))).alias("cells"))
+    both = both.select("notebook_id", "notebook.workspace_id", "cells")
     about = F.struct(F.struct(F.lit("quillmark").alias("display_name"), F.lit("python").alias("language"), F.lit("python3").alias("name")).alias("kernelspec"), F.struct(F.lit("python").alias("name")).alias("language_info"), F.col("notebook_id").alias("id"), "workspace_id")
-    document = F.struct(F.coalesce("cells", F.array().cast(per.schema["cells"].dataType)).alias("cells"), about.alias("metadata"), F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"))
+    document = F.struct("cells", about.alias("metadata"), F.lit(4).alias("nbformat"), F.lit(5).alias("nbformat_minor"))
     return both.select("notebook_id", F.to_json(document).alias("document"))
 
 

@@ -357,3 +357,17 @@ def test_trims_by_bytes_of_one_owner_over_ranges(spark):
         trimmed = stores.trimmed_by_bytes(df, size, "k", "k", 150, 40_000, owner=owner)
         assert {r["k"] for r in trimmed.collect()} == want and trimmed.columns == df.columns
         assert "SinglePartition" not in trimmed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_notebooks_are_exported_with_one_shuffle_of_their_cells(spark):
+    from quillmark.sources import ipynb
+
+    notebooks = spark.createDataFrame([("a", "w1"), ("b", "w2"), ("a", "w3")], "id string, workspace_id string")
+    cells = spark.createDataFrame([("a", "2", 2, "clean", "active"), ("a", "1", 1, "clean", "active"), ("c", "9", 1, "clean", "active"), (None, "8", 1, "clean", "active")], "notebook_id string, id string, idx int, type string, status string")
+    made = ipynb.exported(notebooks, cells)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    back = sorted((r["notebook_id"], r["workspace_id"], r["id"]) for r in ipynb.imported(made).collect())
+    shown = ipynb.exported(notebooks, cells.withColumn("outputs", F.array(F.struct(F.lit("table").alias("type"), F.lit("ddd").alias("data"))))).filter("notebook_id = 'a'").first()["document"]
+    assert '"outputs":[{"output_type":"display_data","data":{"text/plain":"ddd","application/json":"ddd"},"metadata":{}}]' in shown
+    assert made.count() == 3 and back == [("a", "w1", "1"), ("a", "w1", "2"), ("a", "w3", "1"), ("a", "w3", "2")]
