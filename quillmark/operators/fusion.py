@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,32 +49,55 @@ def pool(df: DataFrame, scores: Sequence[str], pos: str, size: int | Column, rai
     many.  df is read twice a turn; what is shuffled is the rows taken in each task, and their counts.  `raised` should have
     few values.  Scores are summed as they come, so df must give the same ones each time.  Null scores come last.
     """
-    own = df.columns
     by = [query] if query else ["_all"]
     rows = df if query else df.withColumn("_all", F.lit(0))
-    at = lambda s: F.struct(F.coalesce(F.col(s).cast("double"), F.lit(float("-inf"))).alias("s"), F.col(pos).alias("o"))
-    rows = rows.withColumns({"_raised": F.lit(0.0) if raised is None else raised.cast("double"), "_size": F.lit(size) if isinstance(size, int) else size, **{f"_at_{s}": at(s) for s in scores}})
-    better = lambda x, y: (x["s"] > y["s"]) | ((x["s"] == y["s"]) & (x["o"] < y["o"]))
-    done = None
-    while True:
+    rows = rows.withColumns({"_raised": F.lit(0.0) if raised is None else raised.cast("double"), "_size": F.lit(size) if isinstance(size, int) else size, **{f"_at_{s}": place_in(s, pos) for s in scores}})
+
+    def asked(again: DataFrame | None) -> DataFrame:
+        return rows if again is None else rows.join(F.broadcast(again) if again.count() <= BROADCAST_QUERIES else again, by, "left_semi")
+
+    def lead(first: int, again: DataFrame | None) -> DataFrame:
         taken = None
         for s in scores:
-            lead = F.row_number().over(Window.partitionBy(*by, "_raised").orderBy(F.desc(f"_at_{s}.s"), f"_at_{s}.o"))
-            led = rows.withColumn("_lead", lead).filter(F.col("_lead") <= first).drop("_lead")
+            ahead = F.row_number().over(Window.partitionBy(*by, "_raised").orderBy(F.desc(f"_at_{s}.s"), f"_at_{s}.o"))
+            led = asked(again).withColumn("_lead", ahead).filter(F.col("_lead") <= first).drop("_lead")
             taken = led if taken is None else taken.unionByName(led)
-        taken = checkpointed(taken.dropDuplicates([*by, pos]))
+        return taken
+
+    def count(taken: DataFrame, again: DataFrame | None) -> DataFrame:
         # Of each query the rows taken, best first in each list, and how many rows lie between one and the next.
+        better = lambda x, y: (x["s"] > y["s"]) | ((x["s"] == y["s"]) & (x["o"] < y["o"]))
         sort = lambda s: F.array_sort(F.collect_list(f"_at_{s}"), lambda x, y: F.when(better(x, y), -1).when(better(y, x), 1).otherwise(0))
         marks = taken.groupBy(*by).agg(*(sort(s).alias(f"_marks_{s}") for s in scores))
-        placed = rows.join(F.broadcast(marks) if marks.count() <= BROADCAST_QUERIES else marks, by)
+        placed = asked(again).join(F.broadcast(marks) if marks.count() <= BROADCAST_QUERIES else marks, by)
         behind = lambda s: F.size(F.filter(f"_marks_{s}", lambda m: better(m, F.col(f"_at_{s}"))))
-        counts = placed.select(*by, F.posexplode(F.array(*map(behind, scores))).alias("_list", "_behind")).groupBy(*by, "_list", "_behind").agg(F.count("*").alias("_n"))
+        return placed.select(*by, F.posexplode(F.array(*map(behind, scores))).alias("_list", "_behind")).groupBy(*by, "_list", "_behind").agg(F.count("*").alias("_n"))
+
+    return settled(lead, count, df.columns, scores, pos, by, k, first)
+
+
+def place_in(score: str, pos: str) -> Column:
+    """Where a row stands in a list: its score, null as the least, and its position."""
+    return F.struct(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("s"), F.col(pos).alias("o"))
+
+
+def settled(lead: Callable[[int, DataFrame | None], DataFrame], count: Callable[[DataFrame, DataFrame | None], DataFrame], own: Sequence[str], scores: Sequence[str], pos: str, by: list[str], k: int = RRF_K, first: int = 64) -> DataFrame:
+    """pool() over rows that lead() and count() know, wherever they are made; both take the queries asked again, None for all.
+
+    lead: at least the `first` rows of each query and list among rows raised alike, with _raised, _size and _at_ of each
+    list (place_in).  count, of such rows: by, _list, _behind, _n, how many rows of the query have so many of these before them.
+    """
+    again, done = None, None
+    while True:
+        taken = checkpointed(lead(first, again).dropDuplicates([*by, pos]))
+        counts = count(taken, again)
         ranks = checkpointed(counts.withColumn("_rank", F.sum("_n").over(Window.partitionBy(*by, "_list").orderBy("_behind"))))
-        found = taken.join(marks, by)
+        found = taken
         total = F.lit(0.0)
         for j, s in enumerate(scores):
             mine = ranks.filter(F.col("_list") == j).select(*by, F.col("_behind").alias(f"_b{j}"), F.col("_rank").alias(f"_rank_{s}"))
-            found = found.withColumn(f"_b{j}", behind(s)).join(mine, [*by, f"_b{j}"])
+            before = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(f"_at_{s}.s"), f"_at_{s}.o")) - 1
+            found = found.withColumn(f"_b{j}", before).join(mine, [*by, f"_b{j}"])
             total = total + 1.0 / (k + F.col(f"_rank_{s}"))
         found = found.withColumn("rrf", total).withColumn("score", total + F.col("_raised"))
         place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), pos))
@@ -90,7 +113,7 @@ def pool(df: DataFrame, scores: Sequence[str], pos: str, size: int | Column, rai
         done = best if done is None else done.unionByName(best)
         if again.isEmpty():
             return done
-        rows, first = rows.join(F.broadcast(again) if again.count() <= BROADCAST_QUERIES else again, by, "left_semi"), 4 * first
+        first = 4 * first
 
 
 def boost(status: Column, in_dataset: Column | None = None, own_cell: Column | None = None, source_cell: Column | None = None, in_column: Column | None = None, distance: Column | None = None, source_distance: Column | None = None) -> Column:

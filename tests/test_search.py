@@ -468,3 +468,73 @@ def test_recall_ranks_no_more_than_the_best_of_each_task(spark, folder, monkeypa
     monkeypatch.setattr(lexical, "bm25_many", lambda *args, **options: asked.append(options) or made(*args, **options))
     assert retrieval.recall_at_k(spark, folder).first()["hits"] == 1
     assert asked == [{"digits": 6, "best": 3}]
+
+
+def _most_rows(spark, since):
+    """The most rows that any step of the executions from a number on has put out."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    executions = store.executionsList()
+    for k in range(executions.size()):
+        e = executions.apply(k)
+        if e.executionId() >= since:
+            values = store.executionMetrics(e.executionId())
+            for m in (e.metrics().apply(j) for j in range(e.metrics().size())):
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    most = max(most, int(values.apply(m.accumulatorId()).split("\n")[-1].split(" ")[0].replace(",", "")))
+    return most
+
+
+def test_a_batch_makes_no_row_for_each_pair_and_is_that_of_its_sql(spark, tmp_path, monkeypatch):
+    """Few words, so that many scores are equal or differ by rounding alone; null texts, languages and sources; requests in turns."""
+    import random
+
+    import duckdb
+
+    from quillmark.plans import retrieval
+
+    for name, value in (("ROWS", 500), ("COUNTS", 3000), ("AT_ONCE", 17)):
+        monkeypatch.setattr(batch, name, value, raising=False)
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(9)]
+    docs = [(k, None if k % 97 == 0 else " ".join(rng.choices(words, k=rng.choice([0, 4, 7, 10]))), rng.choice(["en", "de", None]), rng.choice(["src1", "src9", None])) for k in range(5000)]
+    asked = [(k, " ".join(rng.choices([*words, "nobody"], k=k % 6)) if k % 7 else " ! ") for k in range(48)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    since = spark._jsparkSession.sharedState().statusStore().executionsCount()
+    got = sorted(tuple(r) for r in retrieval.search_batch(spark, str(tmp_path)).collect())
+    assert 5000 <= _most_rows(spark, since) < 5000 * 48 / 4
+    with duckdb.connect() as db:
+        for name in ("documents", "benchmark"):
+            db.sql(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+        want = sorted(db.sql(retrieval.SEARCH_BATCH).fetchall())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-9)
+
+
+def test_pools_of_a_batch_are_the_front_of_the_full_ranking(spark, monkeypatch):
+    """By two lists, with pools larger than what is taken first, copies, texts without tokens and records raised by status and cell."""
+    import random
+
+    from quillmark.functions.text import tokens_of
+    from quillmark.functions.vectors import cosine, embed
+
+    for name, value in (("ROWS", 50), ("COUNTS", 100), ("AT_ONCE", 2)):
+        monkeypatch.setattr(batch, name, value, raising=False)
+    rng, model = random.Random(5), hashed_words(16)
+    words = [f"w{k}" for k in range(12)]
+    rows = [(k, " ".join(rng.choices(words, k=k % 9)), rng.choice(["active", "stale", None]), f"c{k % 3}") for k in range(700)]
+    df = spark.createDataFrame(rows, "pos int, text string, status string, cell string").repartition(3)
+    own = records(df, id=F.concat(F.lit("r"), "pos"), kind="note", text=F.col("text"), workspace=F.lit("w"), cell=F.col("cell"), metadata={"status": F.col("status")}, provenance={}, pos=F.col("pos")).persist()
+    asked = [(1, "w1 w2 w2", 200, "c1"), (2, "w3", 5, None), (3, "w5 w6 w7", 90, None), (4, "nobody", 30, "c2"), (5, "?", 70, None)]
+    requests = spark.createDataFrame([(*r, "w", False) for r in asked], "request_id int, query string, limit int, cell_id string, workspace_id string, expand boolean")
+    found = {}
+    for r in batch.pools(own, batch.prepared(requests), model).collect():
+        found.setdefault(r["request_id"], []).append((-round(r["score"], 12), r["_order"], r["id"]))
+    known = embed(own, "text", model)
+    for k, query, limit, cell in asked:
+        vector = F.array(*(F.lit(float(x)) for x in model([query])[0]))
+        scored = lexical.bm25(own, sorted(tokens_of(query)), "id").join(known, "text").withColumn("bm25", F.round("bm25", 9)).withColumn("dense", F.coalesce(cosine(F.col("vector"), vector), F.lit(0.0)))
+        ranked = fusion.fused(scored, ["dense", "bm25"], "_pos")
+        up = fusion.boost(F.col("metadata.status"), own_cell=F.col("cell_id") == cell, source_cell=F.col("cell_id") == cell)
+        want = sorted((-round(r["score"], 12), str(r["_pos"]).zfill(20) + r["id"], r["id"]) for r in ranked.withColumn("score", F.col("rrf") + up).collect())
+        assert sorted(found[k]) == want[: max(limit, 24)], query
